@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locuspark.llm import packing, token_store
+from locuspark.llm import packing, simhash, token_store
 
 
 def tokenizer_path() -> str:
@@ -28,8 +28,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path()).drop("source")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_token_store": op7_token_store,
     "op8_packing": op8_packing,
+    "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {}
