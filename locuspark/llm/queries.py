@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locuspark.llm import packing, simhash, token_store
+from locuspark.llm import oracle, packing, quality_rules, secret_scan, simhash, token_store
 
 
 def tokenizer_path() -> str:
@@ -19,6 +19,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
+
+
+def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.digest(quality_rules.judge(_table(spark, sf_dir, "documents")))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return token_store.read(token_store.write(docs, tokenizer_path()), docs)
@@ -33,8 +41,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_ownership": op1_secret_ownership,
+    "op6_host_rules": op6_host_rules,
     "op7_token_store": op7_token_store,
     "op8_packing": op8_packing,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_secret_ownership": oracle.OP1,
+    "op6_host_rules": oracle.OP6,
+}
