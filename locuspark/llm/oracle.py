@@ -64,3 +64,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({_F
        NOT ({_FAILS["few_words"]} OR {_FAILS["repeats"]}) AND NOT worst > {HOST_RATE} AS kept, host, worst > {HOST_RATE} AS host_rejected, round(worst, 6) AS host_rate
 FROM m JOIN v USING (host)
 """
+
+OP2 = """
+WITH f AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+p AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS p
+      FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+s AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS p
+      FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM f, (SELECT DISTINCT n FROM p) WHERE len(w) >= n)),
+h AS (SELECT rid, s.n, i, item_id FROM s JOIN p ON s.n = p.n AND s.p = p.p),
+hit AS (SELECT rid, count(DISTINCT i + k) AS n_hit FROM h, range(13) r(k) WHERE k < n GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM h) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM f LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+"""

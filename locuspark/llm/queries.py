@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locuspark.llm import oracle, packing, quality_rules, secret_scan, simhash, token_store
+from locuspark.llm import decontaminate, oracle, packing, quality_rules, secret_scan, sharding, simhash, token_store
 
 
 def tokenizer_path() -> str:
@@ -23,6 +23,10 @@ def op1_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents")))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(quality_rules.judge(_table(spark, sf_dir, "documents")))
 
@@ -36,18 +40,25 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path()).drop("source")
 
 
+def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(sharding.shuffled(_table(spark, sf_dir, "documents")))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ownership": op1_secret_ownership,
+    "op2_decontaminate": op2_decontaminate,
     "op6_host_rules": op6_host_rules,
     "op7_token_store": op7_token_store,
     "op8_packing": op8_packing,
+    "op9_shards": op9_shards,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_ownership": oracle.OP1,
+    "op2_decontaminate": oracle.OP2,
     "op6_host_rules": oracle.OP6,
 }
