@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from locuspark.llm import decontaminate, html_blocks, oracle, packing, quality_rules, secret_scan, sharding, simhash, token_store
+from locuspark.llm import decontaminate, html_blocks, oracle, packing, pii_crf, quality_rules, secret_scan, sharding, simhash, token_store
 
 
 def tokenizer_path() -> str:
@@ -27,6 +27,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_crf.digest(pii_crf.find(_table(spark, sf_dir, "documents")))
+
+
 def op5_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(_table(spark, sf_dir, "pages"))
 
@@ -55,6 +59,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_decontaminate": op2_decontaminate,
+    "op4_pii_crf": op4_pii_crf,
     "op5_html_blocks": op5_html_blocks,
     "op6_host_rules": op6_host_rules,
     "op7_token_store": op7_token_store,
