@@ -133,14 +133,15 @@ def _scan(docs: DataFrame, text: str, block: list[tuple[str | None, str]], size:
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(FOUND).fields]))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, the columns in keep, n_words, hits (stretches of words), item_ids (sorted), spans (code points) and n_hit."""
+def find(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
+    """doc_id, with carry the whole row as a struct, n_words, hits (stretches of words), item_ids (sorted), spans (code points) and n_hit."""
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text").cast("bigint") + 64)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, h: a + h["end"] - h["start"]).alias("n_hit")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("__text"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(keep or [])))
-    kept = [F.col(f"__{i}").alias(c) for i, c in enumerate(keep or [])]
+    kept = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] * carry
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("__text"), *kept)
+    kept = ["row"] * carry
     part = lambda k: [(r["id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()]
     if blocks == 1:
         return _scan(rows, "__text", part(0), size).select("doc_id", *kept, "n_words", "hits", "item_ids", "spans", n_hit)
@@ -182,5 +183,5 @@ def digest(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **columns: str) -> DataFrame:
     """docs without the contaminated rows."""
-    found = find(docs, benchmark, keep=docs.columns, **columns)
-    return found.filter(~contaminated(F.col("n_words"), F.col("n_hit"))).select(*docs.columns)
+    found = find(docs, benchmark, carry=True, **columns)
+    return found.filter(~contaminated(F.col("n_words"), F.col("n_hit"))).select("row.*")

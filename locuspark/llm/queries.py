@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from locuspark.llm import decontaminate, html_blocks, oracle, packing, pii_crf, quality_rules, secret_scan, sharding, simhash, token_store
+from locuspark.llm import decontaminate, html_blocks, oracle, packing, pii_crf, quality_rules, secret_scan, sharding, simhash, token_store, warc
+from locuspark.storage import new_folder
 
 
 def tokenizer_path() -> str:
@@ -27,6 +29,15 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as responses, their derivatives written as WARC files, and what the files hold."""
+    pages = _table(spark, sf_dir, "pages")
+    path = new_folder(spark, "warc")
+    warc.write(warc.derive(warc.responses(pages)), path)
+    columns = ["warc_type", "record_id", "refers_to", "target_uri", "date", "content_type", "block_digest", "digest_holds"]
+    return warc.read(spark, path).select(F.col("source_key").cast("bigint").alias("page_id"), *columns, F.length("block").cast("bigint").alias("content_length"), F.sha2("block", 256).alias("block_sha256"))
+
+
 def op4_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_crf.digest(pii_crf.find(_table(spark, sf_dir, "documents")))
 
@@ -59,6 +70,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_decontaminate": op2_decontaminate,
+    "op3_warc": op3_warc,
     "op4_pii_crf": op4_pii_crf,
     "op5_html_blocks": op5_html_blocks,
     "op6_host_rules": op6_host_rules,

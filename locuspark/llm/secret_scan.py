@@ -132,9 +132,10 @@ def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Da
     """
     key = F.xxhash64(F.col(text)).alias("text_hash")
     found = scan(docs, doc_id=doc_id, text=text, keep=[key]).withColumn("spans", F.concat("base", "added")).filter(F.size("spans") > 0)
-    found = written(found.groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans")).select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), "spans"), "secrets-spans")
-    d = docs.withColumn("text_hash", key)
-    joined = d.join(found, d[doc_id].eqNullSafe(found["s_id"]) & (d["text_hash"] == found["s_hash"]), "left")
-    cut = F.when(F.col("spans").isNull(), F.col(text)).otherwise(redacted(F.col(text), F.col("spans")))
-    out = joined.withColumn(text, cut).select(*docs.columns)
-    return out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    found = written(found.groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans")), "secrets-spans")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(text).alias("text"), F.col(doc_id).alias("id"), key.alias("hash"))
+    joined = rows.join(found, rows["id"].eqNullSafe(found["doc_id"]) & (rows["hash"] == found["text_hash"]), "left")
+    cut = F.when(F.col("spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("spans")))
+    out = joined.select("row", cut.alias("text"))
+    changed = {text: F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

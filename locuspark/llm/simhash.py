@@ -224,3 +224,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     alone = distinct.join(placed.select("fp"), "fp", "left_anti").select("fp", F.col("first_doc").alias("component_id"))
     classes = written(of_linked.union(alone), "simhash-classes")
     return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the rows that a smaller doc_id of their component stands for.
+
+    Only the ids that go are shuffled against the texts.  Rows with a null doc_id stay, and so do rows that repeat
+    the kept id.
+    """
+    found = near_duplicates(docs, doc_id, text)
+    gone = written(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct(), "simhash-gone")
+    return docs.join(gone, docs[doc_id] == gone["gone_id"], "left_anti")
