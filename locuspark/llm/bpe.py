@@ -1,4 +1,4 @@
-"""Exact, memoised byte-level BPE encoding on top of the ``tokenizers`` library.
+"""Exact byte-level BPE encoding on top of the ``tokenizers`` library, each distinct word of a batch once.
 
 Byte-level BPE never merges across pre-tokens, and between two non-space characters a single space
 always opens a pre-token.  A text can therefore be cut at such spaces, each distinct piece encoded once
@@ -13,11 +13,18 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Most pieces remembered by a Python worker (about 120 bytes each).
-MEMO_ENTRIES = 700_000
+#: Most words remembered by a Python worker (about 120 bytes each).
+MEMO_ENTRIES = 300_000
+#: Bytes of text whose words are told apart at once, and words in a call of the library.
+CHUNK_BYTES = 3 << 20
+CALL_WORDS = 50_000
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-_NEAR_SPACE = re.compile(r"[^\S ] | [^\S ]")
+# White space and control characters: a superset of what any of the libraries takes for white space.
+_SPACE = r"[\x00-\x20\x{85}\x{A0}\x{1680}\x{180E}\x{2000}-\x{200B}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_IRREGULAR = rf"{_SPACE} | {_SPACE}|\A{_SPACE}|{_SPACE}\z"
 
 
 class ByteBpe:
@@ -30,7 +37,9 @@ class ByteBpe:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.tab = self.tokenizer.encode("\t", add_special_tokens=False).ids[0]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how the file writes a space
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -38,43 +47,87 @@ class ByteBpe:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Each word as it stands after a single space.  One library call: a tab between words is a pre-token of its own."""
-        ids = array(self.code, self.tokenizer.encode_batch_fast(["\t".join(" " + w for w in words)], add_special_tokens=False)[0].ids)
-        cuts = np.flatnonzero(np.frombuffer(ids, dtype=self.dtype) == self.tab).tolist()
-        return [ids[a:b].tobytes() for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
+        """Each word as it stands after a single space, many in one call: only a word's first token begins with the space."""
+        out: list[bytes] = []
+        step = self.dtype.itemsize
+        for lo in range(0, len(words), CALL_WORDS):
+            part = words[lo : lo + CALL_WORDS]
+            raw = array(self.code, self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids).tobytes()
+            cuts = (np.flatnonzero(self.opens[np.frombuffer(raw, dtype=self.dtype)]) * step).tolist()
+            if len(cuts) != len(part):
+                raise ValueError("the tokenizer doesn't begin words at spaces")
+            out += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
+        return out
 
-    def _learn(self, words: list[str]) -> None:
-        """Remembers what each word gives after a single space; a word with white space at an end is left out.
+    def _after_space(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words, as they stand after a space, with no white space at their ends.
 
-        Two generations bound the memory: words not met while one fills up are forgotten.
+        Two generations bound the memory.
         """
         if len(self.memo) > MEMO_ENTRIES // 2:
             self.older, self.memo = self.memo, {}
-        need = set(words).difference(self.memo)
-        self.memo.update({w: self.older[w] for w in need.intersection(self.older)})
-        need = [w for w in need.difference(self.memo) if not w[-1].isspace()]
-        plain = [w for w in need if "\t" not in w]
+        memo, older = self.memo, self.older
+        fresh = []
+        for w in [w for w in words if w not in memo]:
+            if w in older:
+                memo[w] = older[w]
+            else:
+                fresh.append(w)
+        plain = [w for w in fresh if " " not in w]
         if plain:
-            self.memo.update(zip(plain, self._encode_words(plain), strict=True))
-        self.memo.update((w, self._encode(" " + w)) for w in need if "\t" in w)
+            memo.update(zip(plain, self._encode_words(plain), strict=True))
+        if len(plain) < len(fresh):
+            memo.update((w, self._encode(" " + w)) for w in fresh if " " in w)
+        return [memo[w] for w in words]
+
+    def _irregular(self, text: str) -> bytes:
+        """A text with white space that a plain cut at spaces doesn't fit."""
+        if any(s in text for s in self.special):
+            return self._encode(text)
+        first, *words = _SAFE_CUT.split(text)
+        last = self._encode(" " + words.pop()) if words else b""
+        ids = self._after_space(words)
+        return b"".join([self._encode(first), *ids, last])
 
-    def _words(self, text: str) -> list[str]:
-        """A text cut at safe spaces."""
-        words = text.split(" ")
-        if "  " in text or text[0].isspace() or text[-1].isspace() or _NEAR_SPACE.search(text):
-            words = _SAFE_CUT.split(text)
-        return words
+    def _regular(self, texts: pa.Array) -> list[bytes]:
+        split = pc.split_pattern(texts, " ")
+        offsets = split.offsets.to_numpy()
+        offsets = offsets - offsets[0]
+        words = split.flatten()
+        coded = words.dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        firsts = offsets[:-1]
+        ids = self._after_space(coded.dictionary.to_pylist())
+        codes[firsts] = len(ids) + np.arange(len(firsts))
+        ids += [self._encode(w) for w in words.take(pa.array(firsts)).to_pylist()]
+        step = self.dtype.itemsize
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // step
+        starts = np.cumsum(sizes) - sizes
+        pool = np.frombuffer(b"".join(ids), dtype=self.dtype)
+        lengths = sizes[codes]
+        ends = np.cumsum(lengths)
+        where = np.repeat((starts[codes] - (ends - lengths)).astype(np.int32), lengths)
+        where += np.arange(len(where), dtype=np.int32)
+        raw = pool[where].tobytes()
+        cuts = [0, *(ends[offsets[1:] - 1] * step).tolist()]
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+    def encode_batch(self, texts: pa.Array) -> list[bytes]:
         """The ids of whole texts, as raw bytes of ``dtype``; nothing for a null or empty text."""
-        cut = [None if not t or any(s in t for s in self.special) else self._words(t) for t in texts]
-        self._learn([w for words in cut if words for w in words[1:]])
-        memo, out = self.memo, []
-        for text, words in zip(texts, cut, strict=True):
-            if words is None:
-                out.append(self._encode(text) if text else b"")
-                continue
-            first, *rest = words
-            last = [] if not rest or rest[-1] in memo else [self._encode(" " + rest.pop())]
-            out.append(b"".join([self._encode(first), *[memo[w] for w in rest], *last]))
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        out: list[bytes] = []
+        at, sizes = 0, np.cumsum(pc.binary_length(texts).to_numpy())
+        while at < len(texts):
+            done = int(sizes[at - 1]) if at else 0
+            stop = max(at + 1, int(np.searchsorted(sizes, done + CHUNK_BYTES, side="right")))
+            part = texts.slice(at, stop - at)
+            odd = pc.or_(pc.equal(part, ""), pc.match_substring_regex(part, _IRREGULAR))
+            for s in self.special:
+                odd = pc.or_(odd, pc.match_substring(part, s))
+            regular = part.filter(pc.invert(odd))
+            plain = iter(self._regular(regular) if len(regular) else [])
+            odd_texts = iter(part.filter(odd).to_pylist())
+            for o in odd.to_pylist():
+                out.append(next(plain) if not o else self._irregular(t) if (t := next(odd_texts)) else b"")
+            at = stop
         return out

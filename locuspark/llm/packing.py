@@ -49,9 +49,9 @@ def tokenised(docs: DataFrame, tokenizer: str, doc_id: Column, text: Column, sou
         width, end = bpe.dtype.itemsize, np.array([end_id], dtype=bpe.dtype).tobytes()
         so_far: dict[str | None, int] = {}
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                payload = [x + end for x in bpe.encode_batch(part["text"].to_pylist())]
+            for lo in range(0, batch.num_rows, 10_000):
+                part = batch.slice(lo, 10_000)
+                payload = [x + end for x in bpe.encode_batch(part["text"])]
                 starts, sizes = [], [len(x) // width for x in payload]
                 for s, n in zip(part["source"].to_pylist(), sizes, strict=True):
                     starts.append(so_far.get(s, 0))
@@ -176,19 +176,21 @@ def pack(
     ready = ready.select("doc_id", "source", "doc_tokens", "payload", "queue", (F.col("b_base") + F.col("local_start")).alias("queue_start"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schedule = Schedule(totals, weights, size)
+        schedule, crc = Schedule(totals, weights, size), zlib.crc32
         for batch in batches:
             rows: list[tuple] = []
             ids: list[bytes] = []
             for doc, src, n, payload, queue, begin in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 wide = np.frombuffer(payload, dtype="<u2" if len(payload) == 2 * n else "<u4").astype("<u4").tobytes()
-                start = 0
+                wide, start = memoryview(wide), 0
                 for where, length in schedule.runs(queue, begin, n):
-                    piece = wide[4 * start : 4 * (start + length)]
-                    rows.append((doc, start, length, zlib.crc32(piece), n, where // size, where % size, src))
+                    end = start + 4 * length
+                    piece = wide[start:end]
+                    window, offset = divmod(where, size)
+                    rows.append((doc, start >> 2, length, crc(piece), n, window, offset, src))
                     if with_ids:
-                        ids.append(piece)
-                    start += length
+                        ids.append(bytes(piece))
+                    start = end
                 if len(rows) >= 50_000:
                     yield _batch(rows, ids, with_ids)
                     rows, ids = [], []

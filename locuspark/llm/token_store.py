@@ -173,9 +173,9 @@ def write(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
 
         def encoded() -> Iterator[bytes]:
             for batch in batches:
-                for lo in range(0, batch.num_rows, 500):
-                    part = batch.slice(lo, 500)
-                    ids = [x + end for x in bpe.encode_batch(part["text"].to_pylist())]
+                for lo in range(0, batch.num_rows, 10_000):
+                    part = batch.slice(lo, 10_000)
+                    ids = [x + end for x in bpe.encode_batch(part["text"])]
                     first = len(offsets) - 1
                     for x in ids:
                         offsets.append(offsets[-1] + len(x) // width)
