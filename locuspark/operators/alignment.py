@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,8 +63,6 @@ def variant_frequencies(catalogue: DataFrame, msa: DataFrame) -> DataFrame:
 
 def left_align(msa: DataFrame) -> DataFrame:
     """msa with each sequence's gaps moved left against a consensus backbone."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def align(ref: pd.Series, seq: pd.Series) -> pd.Series:
         return pd.Series([left_aligned(r, s) for r, s in zip(ref, seq, strict=True)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,8 +72,6 @@ def greedy_match(truth: DataFrame, called: DataFrame, n: int, *, sample: str = "
     Passes: both have n digits; only the call has; only the truth has; neither has.  Passes two and three match prefixes
     and depend on order, so each (sample, gene), a handful of names, is one small group.
     """
-    import pandas as pd
-
     def fits(step: int, t: str, c: str) -> bool:
         long_t, long_c = len(t) >= n, len(c) >= n
         if step == 0:
@@ -184,8 +183,6 @@ def from_to(records: DataFrame, source: str, target: str) -> DataFrame:
 
 def base_differences(matches: DataFrame, sequences: DataFrame) -> DataFrame:
     """matches with both sequences' lengths and the bases that no alignment can match."""
-    import pandas as pd
-
     from locuspark.functions.decoding import local_matches
 
     @F.pandas_udf("bigint")

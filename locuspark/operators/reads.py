@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from locuspark.functions.decoding import TYPE_RANK, decode, pileup_bases
 from locuspark.functions.scalars import PROPER, has_flag
 from locuspark.operators.sets import pair_records
+from locuspark.storage import written
 
 MAX_EDITS = 4
 MIN_PILEUP, SURE_SHARE, RARE_SHARE = 20, 0.8, 0.2
@@ -32,7 +33,8 @@ def unique_records(records: DataFrame) -> DataFrame:
 
 def read_pairs(records: DataFrame, *, sample: str = "sample", max_edits: int = MAX_EDITS) -> DataFrame:
     """pair_id and both mates of pairs whose mates both pass: left is the later record, right the earlier."""
-    rows = kept_records(records.filter("rnext = '='"), max_edits)
+    # Written, since records are matched with themselves and their columns are costly expressions of one text line.
+    rows = written(kept_records(records.filter("rnext = '='"), max_edits), "records")
     pairs = pair_records(rows, [sample, "qname", "rname"], "line", "pos", "pnext", "flag")
     name = F.xxhash64(sample, "qname", "rname", "left.line", "right.line")
     return pairs.withColumn("pair_id", name)
@@ -138,11 +140,14 @@ def as_pairs(found: DataFrame, pairs: DataFrame, *, sample: str = "sample") -> D
 
 
 def decode_reads(records: DataFrame, catalogue: DataFrame, ratios: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(reads in wide form, evidence in long form) of a sample's records."""
-    pairs = read_pairs(records)
-    reads = decoded(mates(pairs))
-    variants = with_ids(long_variants(reads, ratios), catalogue)
-    found = evidence(reads, variants, catalogue)
+    """(reads in wide form, evidence in long form) of a sample's records.
+
+    Pairs, decoded mates and variants are each used several times, so they are written once.
+    """
+    pairs = written(read_pairs(records), "pairs")
+    reads = written(decoded(mates(pairs)), "mates")
+    variants = written(with_ids(long_variants(reads, ratios), catalogue), "read-variants")
+    found = written(evidence(reads, variants, catalogue), "evidence")
     return as_pairs(found, pairs), found
 
 

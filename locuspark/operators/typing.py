@@ -180,7 +180,7 @@ def type_gene(gene: str, cn: int, reads: list[tuple[list[str], list[str]]], vari
 
     variants: (id, position, type, value, carriers, in_exon).  strategy: full, exonfirst or em.
     """
-    carriers = {v[0]: set(v[4] or []) for v in variants}
+    carriers = {v[0]: set(() if v[4] is None else v[4]) for v in variants}
     place = {v[0]: (v[1], v[2], v[3]) for v in variants}
     alleles = sorted(set().union(*carriers.values())) if carriers else []
     if strategy == "em":

@@ -302,10 +302,10 @@ def histogram(t):
 
 
 @query("""WITH d AS (SELECT l_returnflag, CAST(l_shipdate AS DATE) AS day, CAST(sum(l_quantity) AS BIGINT) AS n FROM lineitem GROUP BY ALL)
-SELECT l_returnflag, day, n FROM (SELECT *, min(n) OVER (PARTITION BY l_returnflag ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS a, min(n) OVER (PARTITION BY l_returnflag ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS b FROM d) WHERE n < a AND n < b""")
+SELECT l_returnflag, strftime(day, '%Y-%m-%d') AS day, n FROM (SELECT *, min(n) OVER (PARTITION BY l_returnflag ORDER BY day ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS a, min(n) OVER (PARTITION BY l_returnflag ORDER BY day ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS b FROM d) WHERE n < a AND n < b""")
 def local_minima(t):
     daily = t("lineitem").groupBy("l_returnflag", F.to_date("l_shipdate").alias("day")).agg(F.sum("l_quantity").cast("bigint").alias("n"))
-    return series.local_minima(daily, ["l_returnflag"], "day", "n", 5)
+    return series.local_minima(daily, ["l_returnflag"], "day", "n", 5).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 _SECONDS = "CAST(floor(epoch(ts)) AS BIGINT)"
