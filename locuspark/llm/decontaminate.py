@@ -15,7 +15,6 @@ itself; an empty benchmark or table is allowed; further columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator

@@ -11,8 +11,6 @@ occur; an empty table gives no rows; further columns are ignored.  Texts are rea
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
