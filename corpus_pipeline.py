@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from locuspark.llm import decontaminate, packing, quality_rules, secret_scan, simhash
 from locuspark.llm.queries import tokenizer_path
