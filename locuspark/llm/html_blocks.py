@@ -38,6 +38,8 @@ CONTENT = frozenset("article main".split())
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
+# Words of the same attributes that name the main text, where no element does.
+CONTENT_NAMES = frozenset("article articlebody content entry main post story".split())
 # Common words.
 STOP_WORDS = {
     "en": frozenset("a an and are as at be been but by for from had has have he her his i in is it its no not of on or our she so that the their them there they this to was we were what when which who will with would you your".split()),
@@ -57,7 +59,7 @@ _WORDS = re.compile(r"[^\W\d_]+")
 class Block:
     text: str
     linked: int
-    container: str  # "article", "boilerplate" or ""
+    container: str  # "article", "content", "boilerplate" or ""
     label: str = ""  # "good", "bad" or "" while open
 
 
@@ -75,7 +77,7 @@ def blocks(page: str) -> tuple[list[Block], str]:
         text = " ".join("".join(parts).split())
         if text:
             kinds = {k for _, k in stack}
-            out.append(Block(text, linked, "boilerplate" if "boilerplate" in kinds else "article" if "article" in kinds else ""))
+            out.append(Block(text, linked, next((k for k in ("boilerplate", "article", "content") if k in kinds), "")))
         parts.clear()
         linked = 0
 
@@ -121,8 +123,12 @@ def blocks(page: str) -> tuple[list[Block], str]:
                 lang = value[:2]
             elif key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value)):
                 kind = "skip"
-            elif key in ("class", "id", "role") and name not in ("html", "body") and kind in ("", "article") and NAMES.intersection(_SPLIT.split(value)):
-                kind = "boilerplate"
+            elif key in ("class", "id", "role") and name not in ("html", "body") and kind in ("", "article", "content"):
+                said = set(_SPLIT.split(value))
+                if NAMES & said:
+                    kind = "boilerplate"
+                elif not kind and CONTENT_NAMES & said:
+                    kind = "content"
         if name in RAW and not m[0].endswith("/>"):
             stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
             at = stop.end() if stop else end
@@ -138,14 +144,20 @@ def stop_density(text: str, lang: str) -> float:
     return sum(w in known for w in words) / len(words) if words else 0.0
 
 
+def innermost(found: list[Block]) -> str:
+    """What holds the page's main text: an article or main element, else one named so, else nothing known."""
+    kinds = {b.container for b in found}
+    return next((k for k in ("article", "content") if k in kinds), "")
+
+
 def classify(found: list[Block], lang: str) -> None:
     """Pass one."""
-    has_article = any(b.container == "article" for b in found)
+    inner = innermost(found)
     for b in found:
         n = len(b.text)
-        if b.container == "boilerplate" or (has_article and b.container != "article"):
+        if b.container == "boilerplate" or (inner and b.container != inner):
             b.label = "bad"
-        elif b.linked > MAX_LINK_DENSITY * n and (not has_article or b.linked >= n):
+        elif b.linked > MAX_LINK_DENSITY * n and (not inner or b.linked >= n):
             b.label = "bad"
         elif n < LENGTH_LOW:
             b.label = ""
@@ -153,18 +165,19 @@ def classify(found: list[Block], lang: str) -> None:
             density = stop_density(b.text, lang)
             if density >= STOP_HIGH or (n > LENGTH_HIGH and density >= STOP_LOW):
                 b.label = "good"
-            elif density < STOP_LOW and not has_article:
+            elif density < STOP_LOW and not inner:
                 b.label = "bad"
 
 
 def inherit(found: list[Block]) -> None:
     """Pass two: open blocks take their nearest decided neighbours' label; where these differ, the nearer one's, and good on a tie."""
-    groups: dict[str, list[Block]] = {}
+    inner = innermost(found)
+    groups: dict[bool, list[Block]] = {}
     for b in found:
-        groups.setdefault(b.container if b.container == "article" else "", []).append(b)
-    for container, group in groups.items():
+        groups.setdefault(bool(inner) and b.container == inner, []).append(b)
+    for inside, group in groups.items():
         # Links inside an article are no neighbours to learn from: what stands beside them is prose.
-        decided = [(i, b.label) for i, b in enumerate(group) if b.label and (container != "article" or b.label == "good")]
+        decided = [(i, b.label) for i, b in enumerate(group) if b.label and (not inside or b.label == "good")]
         k = 0
         for i, b in enumerate(group):
             if b.label:
@@ -176,7 +189,7 @@ def inherit(found: list[Block]) -> None:
             near = [x for x in (left, right) if x]
             best = min((abs(x[0] - i) for x in near), default=0)
             labels = {x[1] for x in near if abs(x[0] - i) == best}
-            b.label = "good" if "good" in labels or (not near and container == "article") else "bad"
+            b.label = "good" if "good" in labels or (not near and inside) else "bad"
 
 
 def main_text(page: str | None) -> str:
