@@ -31,6 +31,9 @@ BARE_DIFFERENT = 8
 #: From so many owners on, a value counts as a widely copied example.
 WIDE_OWNERS = 3
 
+#: Largest table of documents with added spans that is broadcast, in rows of about 200 bytes.
+BROADCAST_ROWS = 100_000
+
 SPAN = "struct<start:bigint,kind:int,end:bigint,hash:string>"
 
 
@@ -128,14 +131,18 @@ def redacted(text: Column, spans: Column, mask: str = "[REDACTED]") -> Column:
 def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with all secrets masked: rows and columns stay, n_chars follows the text.
 
-    Spans meet their text by id and text hash, so repeated rows and ids are safe.
+    Base spans are found again as the text streams by.  Added spans need the corpus's counts; few documents have any,
+    so these meet their text by id and text hash in a broadcast of a counted table, or in a shuffle beyond BROADCAST_ROWS.
     """
+    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     key = F.xxhash64(F.col(text)).alias("text_hash")
-    found = scan(docs, doc_id=doc_id, text=text, keep=[key]).withColumn("spans", F.concat("base", "added")).filter(F.size("spans") > 0)
-    found = written(found.groupBy("doc_id", "text_hash").agg(F.first("spans").alias("spans")), "secrets-spans")
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(text).alias("text"), F.col(doc_id).alias("id"), key.alias("hash"))
-    joined = rows.join(found, rows["id"].eqNullSafe(found["doc_id"]) & (rows["hash"] == found["text_hash"]), "left")
-    cut = F.when(F.col("spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("spans")))
-    out = joined.select("row", cut.alias("text"))
+    found = scan(docs, doc_id=doc_id, text=text, keep=[key]).filter(F.size("added") > 0)
+    found = written(found.groupBy("doc_id", "text_hash").agg(F.first("added").alias("added")), "secrets-added")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(text).alias("text"), F.col(doc_id).alias("id"), key.alias("hash"), base_spans(t).alias("base"))
+    small = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    joined = rows.join(small, rows["id"].eqNullSafe(found["doc_id"]) & (rows["hash"] == found["text_hash"]), "left")
+    spans = F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))
+    cut = let(spans, lambda s: redacted(F.col("text"), s))
+    out = joined.select("row", F.when(F.col("text").isNotNull(), cut).alias("text"))
     changed = {text: F.col("text")} | ({"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return out.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
