@@ -25,6 +25,8 @@ SYMBOLS = "#*$%&|<>"
 
 #: A host is rejected where the shrunk rate of a rule's failures is above this.
 HOST_RATE = 0.9
+#: Shrinking moves a host's rate no further than so many standard errors of its own documents' rate.
+DEVIATIONS = 3
 #: Largest table of hosts that is broadcast (rows of about 40 bytes); beyond it, the join is dealt over SALTS.
 BROADCAST_HOSTS = 200_000
 SALTS = 16
@@ -70,27 +72,39 @@ def failures() -> dict[str, Column]:
     }
 
 
+def own_limits(failed: Column, documents: Column) -> tuple[Column, Column]:
+    """Least and most rate that a host's own documents allow: Wilson's interval of DEVIATIONS standard errors."""
+    z2 = float(DEVIATIONS * DEVIATIONS)
+    middle = failed + z2 / 2
+    width = DEVIATIONS * F.sqrt(failed * (documents - failed) / documents + z2 / 4)
+    return (middle - width) / (documents + z2), (middle + width) / (documents + z2)
+
+
 def host_rates(rows: DataFrame) -> DataFrame:
     """host, documents, and each rule's shrunk rate.  Failures are summed before they are shuffled.
 
-    With rates of mean m and variance v over hosts, the prior's weight is m(1-m)/v' - 1, where v' is v less what
-    sampling alone explains; it is 1 at least, and a host's rate becomes (failed + weight*m) / (documents + weight).
+    With rates of mean m and variance v over hosts, each host counting once in both, the prior's weight is
+    m(1-m)/v' - 1, where v' is v less what sampling alone explains; it is 1 at least, and a host's rate becomes
+    (failed + weight*m) / (documents + weight).  Where v' is hardly above 0 the weight exceeds any host's documents,
+    so the rate is held within what the host's own documents allow (``own_limits``): the prior decides on hosts of
+    few documents, and a large host by its own ones.
     """
     rules = failures()
     hosts = written(rows.groupBy("host").agg(F.count("*").alias("documents"), *(F.count_if(c).alias(f"f_{r}") for r, c in rules.items())), "hosts")
     rate = {r: F.col(f"f_{r}") / F.col("documents") for r in RULES}
     prior = hosts.agg(
         F.avg(1 / F.col("documents")).alias("noise"),
-        *(F.sum(f"f_{r}").cast("double").alias(f"s_{r}") for r in RULES), F.sum("documents").alias("n"),
+        *(F.avg(rate[r]).alias(f"m_{r}") for r in RULES),
         *(F.var_pop(rate[r]).alias(f"v_{r}") for r in RULES),
     )
     out = hosts.crossJoin(F.broadcast(prior))  # one row
 
     def shrunk(r: str) -> Column:
-        m = F.col(f"s_{r}") / F.col("n")
+        m = F.col(f"m_{r}")
         spread = F.greatest(F.col(f"v_{r}") - m * (1 - m) * F.col("noise"), F.lit(1e-9))
         weight = F.least(F.greatest(m * (1 - m) / spread - 1, F.lit(1.0)), F.lit(1e6))
-        return (F.col(f"f_{r}") + weight * m) / (F.col("documents") + weight)
+        least, most = own_limits(F.col(f"f_{r}"), F.col("documents"))
+        return F.greatest(least, F.least(most, (F.col(f"f_{r}") + weight * m) / (F.col("documents") + weight)))
 
     return out.select("host", "documents", *(shrunk(r).alias(f"rate_{r}") for r in RULES))
 

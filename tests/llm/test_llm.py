@@ -246,6 +246,23 @@ def test_quality_rejects_a_bad_host(spark):
     assert all(got[1000 + i]["kept"] for i in range(400))
 
 
+@pytest.mark.parametrize("small", [(1000, 67, 3), (67_000, 1, 0)])
+def test_quality_judges_a_large_host_by_its_own_documents(spark, small):
+    """A host with a third of all rows, wholly bad or wholly good, beside hosts of the other kind."""
+    hosts, documents, few = small
+    n = F.col("id")
+    for hot_fails in (True, False):
+        of_small = n % documents < few if few else n % 22 == 0
+        hot = spark.range(33_000).select(F.lit("hot").alias("host"), F.lit(hot_fails).alias("dup"))
+        rest = spark.range(hosts * documents).select(F.concat(F.lit("h"), (n / documents).cast("bigint")).alias("host"), (of_small if hot_fails else ~of_small).alias("dup"))
+        rows = hot.union(rest).select("host", F.lit(100).alias("n_words"), F.lit(0).alias("n_repeat_words"), F.when(F.col("dup"), 3).otherwise(0).alias("n_dup_lines"), F.lit(4).alias("n_lines"))
+        got = {r["host"]: r["rate_dup_lines"] for r in quality_rules.host_rates(rows).collect()}
+        assert len(got) == hosts + 1
+        assert got["hot"] > quality_rules.HOST_RATE if hot_fails else got["hot"] < 0.01
+        if hot_fails:
+            assert max(r for h, r in got.items() if h != "hot") < quality_rules.HOST_RATE
+
+
 # --- 7, 8 -----------------------------------------------------------------------------------------------------
 
 
