@@ -10,6 +10,9 @@ its own documents.  What a round leaves free is filled by the next one, so every
 Queues that run dry (possible only with explicit targets) leave; the others go on in a new phase with their
 shares renewed.  Sources whose quantum would be under ``min_quantum`` tokens share a queue, so that no
 document is shredded and the driver holds at most ``size / min_quantum + 1`` queues, whatever the corpus.
+Inside a shared queue each source keeps its own deficit: the sources take turns of ``min_quantum`` tokens by the
+same closed form one level down (``Turns``), so all of them get their shares over a run of windows.  Of such
+sources the driver and the tasks hold one number each.
 
 Rows: null text is empty text (one end id); repeated rows are packed as often as they occur; a null source is
 a source of its own; an empty table gives no rows; further columns are ignored.
@@ -123,11 +126,57 @@ def granted_through(schedule: Schedule, phase: int, turn: int, j: int) -> int:
     return sums[j + 1] - sums[j]
 
 
-def queues(totals: DataFrame, targets: dict[str, float] | None, size: int, min_quantum: int) -> tuple[DataFrame, list[int], list[float]]:
-    """source -> (queue, base), and each queue's tokens and weight.  totals: source, tokens.
+class Turns:
+    """Where the tokens of the sources of one queue go in it: a tree of at most FAN children a node.
 
-    A source with the share of a quantum has its own queue; the others, in hashed groups each of at most about
-    a quantum's share, are laid one behind the other.  Only grouped figures reach the driver.
+    A node's children are served in turns, and through turn r of R a child of n tokens has been served n*r/R of
+    them, in whole quanta; the rest is its deficit, and the last turn serves all of it.  With about a quantum for
+    each child in a turn, a run is a quantum long on the average.
+    """
+
+    FAN = 32
+
+    def __init__(self, tokens: np.ndarray, quantum: int):
+        self.quantum, self.levels = quantum, [tokens]
+        while len(self.levels[-1]) > 1:
+            self.levels.append(np.add.reduceat(self.levels[-1], np.arange(0, len(self.levels[-1]), self.FAN)))
+        self.turn = lru_cache(maxsize=4096)(self._turn)
+
+    def _rounds(self, level: int, node: int) -> int:
+        children = min(self.FAN, len(self.levels[level]) - node * self.FAN)
+        return max(1, int(self.levels[level + 1][node]) // (self.quantum * children))
+
+    def _turn(self, level: int, node: int, turn: int) -> tuple[list[int], list[int]]:
+        """Of each child: the tokens served through a turn, and what takes a token's number to its place in the node."""
+        sizes, rounds, q = self.levels[level][node * self.FAN : (node + 1) * self.FAN].tolist(), self._rounds(level, node), self.quantum
+        before, after = ([n if r == rounds else n * r // rounds // q * q for n in sizes] for r in (turn - 1, turn))
+        shift, at = [], sum(before)
+        for a, b in zip(before, after, strict=True):
+            shift.append(at - a)
+            at += b - a
+        return after, shift
+
+    def runs(self, child: int, x: int, n: int, level: int = 0) -> Iterator[tuple[int, int]]:
+        """(position in the queue, length) of tokens x..x+n of a source, in their order."""
+        if level == len(self.levels) - 1:
+            yield x, n
+            return
+        node, j = divmod(child, self.FAN)
+        size, rounds, q = int(self.levels[level][child]), self._rounds(level, node), self.quantum
+        while n:
+            turn = min(rounds, -(-(x // q + 1) * q * rounds // size))  # the first one that serves beyond x
+            after, shift = self.turn(level, node, turn)
+            here = min(n, after[j] - x)
+            yield from self.runs(node, x + shift[j], here, level + 1)
+            x, n = x + here, n - here
+
+
+def queues(totals: DataFrame, targets: dict[str, float] | None, size: int, min_quantum: int) -> tuple[DataFrame, list[int], list[float], dict[int, np.ndarray]]:
+    """source -> (queue, member), each queue's tokens and weight, and the members' tokens of shared queues.
+
+    totals: source, tokens.  A source with the share of a quantum has its own queue; the others share queues, in
+    hashed groups each of at most about a quantum's share.  Only grouped figures and the members' tokens reach the
+    driver.
     """
     from pyspark.sql import Window as W
 
@@ -139,15 +188,21 @@ def queues(totals: DataFrame, targets: dict[str, float] | None, size: int, min_q
     if targets is not None:
         own, groups = F.col("source").isin(*targets), 1
     group = F.when(own, F.concat(F.lit("="), F.coalesce("source", F.lit("")))).otherwise(F.concat(F.lit("~"), F.pmod(F.xxhash64("source"), F.lit(groups))))
-    placed = totals.withColumn("queue", group).withColumn("base", F.sum("tokens").over(W.partitionBy("queue").orderBy("source").rowsBetween(W.unboundedPreceding, -1)))
-    placed = written(placed.select("source", "queue", F.coalesce("base", F.lit(0)).alias("base"), "tokens"), "packing-queues")
+    placed = totals.withColumn("queue", group).withColumn("member", F.row_number().over(W.partitionBy("queue").orderBy("source")) - 1)
+    placed = written(placed.select("source", "queue", "member", "tokens"), "packing-queues")
     found = sorted((r["queue"], r["tokens"]) for r in placed.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect())
     names = [q for q, _ in found]
     given = targets or {}
     rest_weight = max(0.0, 1.0 - sum(given.values()))
     weights = [float(n) if targets is None else given.get(q[1:], rest_weight) if q[0] == "=" else rest_weight for q, n in found]
     index = F.create_map(*[x for i, q in enumerate(names) for x in (F.lit(q), F.lit(i))]) if names else F.create_map(F.lit(""), F.lit(0))
-    return placed.select("source", index[F.col("queue")].alias("queue"), "base"), [n for _, n in found], weights
+    placed = placed.select("source", index[F.col("queue")].alias("queue"), "member", "tokens")
+    shared = placed.join(F.broadcast(placed.filter("member = 1").select("queue")), "queue").select("queue", "member", "tokens").toArrow()
+    queue, member, tokens = (shared.column(i).to_numpy() for i in range(3))
+    order = np.lexsort((member, queue))
+    queue, tokens = queue[order], tokens[order]
+    members = {int(k): tokens[queue == k] for k in np.unique(queue)}
+    return placed.select("source", "queue", "member"), [n for _, n in found], weights, members
 
 
 def pack(
@@ -163,27 +218,29 @@ def pack(
     """
     tokens = written(tokenised(docs, tokenizer, F.col(doc_id), F.col(text), F.col(source), end_id), "packing-ids")
     parts = written(tokens.groupBy("source", "part").agg(F.sum("doc_tokens").alias("tokens")), "packing-totals")
-    placed, totals, weights = queues(parts.groupBy("source").agg(F.sum("tokens").alias("tokens")), targets, size, min_quantum)
+    placed, totals, weights, members = queues(parts.groupBy("source").agg(F.sum("tokens").alias("tokens")), targets, size, min_quantum)
     from pyspark.sql import Window as W
 
     before = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     bases = parts.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-    bases = bases.join(placed, bases["source"].eqNullSafe(placed["source"])).select(bases["source"].alias("b_source"), bases["part"].alias("b_part"), "queue", (F.col("base") + F.col("before")).alias("b_base"))
+    bases = bases.join(placed, bases["source"].eqNullSafe(placed["source"])).select(bases["source"].alias("b_source"), bases["part"].alias("b_part"), "queue", "member", F.col("before").alias("b_base"))
     bases = written(bases, "packing-bases")
     if bases.count() <= BROADCAST_ROWS:
         bases = F.broadcast(bases)
     ready = tokens.join(bases, tokens["source"].eqNullSafe(bases["b_source"]) & (tokens["part"] == bases["b_part"]))
-    ready = ready.select("doc_id", "source", "doc_tokens", "payload", "queue", (F.col("b_base") + F.col("local_start")).alias("queue_start"))
+    ready = ready.select("doc_id", "source", "doc_tokens", "payload", "queue", "member", (F.col("b_base") + F.col("local_start")).alias("source_start"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schedule, crc = Schedule(totals, weights, size), zlib.crc32
+        turns = {q: Turns(n, min_quantum) for q, n in members.items()}
         for batch in batches:
             rows: list[tuple] = []
             ids: list[bytes] = []
-            for doc, src, n, payload, queue, begin in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for doc, src, n, payload, queue, member, begin in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 wide = np.frombuffer(payload, dtype="<u2" if len(payload) == 2 * n else "<u4").astype("<u4").tobytes()
                 wide, start = memoryview(wide), 0
-                for where, length in schedule.runs(queue, begin, n):
+                inside = turns[queue].runs(member, begin, n) if queue in turns else ((begin, n),)
+                for where, length in (run for at, most in inside for run in schedule.runs(queue, at, most)):
                     end = start + 4 * length
                     piece = wide[start:end]
                     window, offset = divmod(where, size)

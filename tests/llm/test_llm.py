@@ -330,6 +330,38 @@ def test_schedule_fills_windows_to_the_mixture():
             assert all(abs(c - 256 * t / sum(totals)) <= 8 for c, t in zip(counts, totals, strict=True))
 
 
+def test_turns_place_every_token_once():
+    rng = random.Random(8)
+    for count in (1, 2, 33, 1100):
+        sizes = np.array([rng.choice((1, 5, 64, 200, 900)) for _ in range(count)])
+        turns = packing.Turns(sizes, 64)
+        places = []
+        for j, n in enumerate(sizes.tolist()):
+            whole = [p for at, m in turns.runs(j, 0, n) for p in range(at, at + m)]
+            cut = rng.randint(0, n)
+            assert whole == [p for x, k in ((0, cut), (cut, n - cut)) for at, m in turns.runs(j, x, k) for p in range(at, at + m)]
+            places += whole
+        assert sorted(places) == list(range(int(sizes.sum())))
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_packing_keeps_the_mixture_of_many_sources(spark, hot):
+    """100 sources, beside a hot one too: each gets its share over every run of windows."""
+    data = [(i, "alpha beta gamma delta " * 40, f"s{i % 100}") for i in range(2000)]
+    if hot:
+        data += [(5000 + i, "alpha beta gamma delta " * 40, "hot") for i in range(1000)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, source string").repartition(3)
+    got = packing.pack(docs, queries.tokenizer_path()).collect()
+    last, run = max(r["sequence_id"] for r in got), 20
+    share = {s: 1 / 150 if hot else 1 / 100 for s in (f"s{i}" for i in range(100))} | ({"hot": 1 / 3} if hot else {})
+    for first in range(0, last - run, run):
+        seen: dict[str, int] = {}
+        for r in got:
+            if first <= r["sequence_id"] < first + run:
+                seen[r["source"]] = seen.get(r["source"], 0) + r["length"]
+        assert all(abs(seen.get(s, 0) - run * 2048 * p) <= 3 * 64 for s, p in share.items())
+
+
 # --- 9 --------------------------------------------------------------------------------------------------------
 
 
