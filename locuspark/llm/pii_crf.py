@@ -1,8 +1,8 @@
 """Personal data: exact base patterns, and a skip-chain conditional random field over what looks like them.
 
 Tokens with a digit or an at sign are the nodes of a document's field; all other words are outside any entity and
-serve as context only.  Neighbouring nodes are joined in a chain, and distant nodes that repeat each other or agree in
-their last ten digits share a skip potential.  Tokens inside a base span are observed, so loopy message passing
+serve as context only.  Neighbouring nodes are joined in a chain, and distant nodes that repeat each other or belong to
+numbers that agree in their last ten digits, however they are grouped, share a skip potential.  Tokens inside a base span are observed, so loopy message passing
 carries their labels along the skips: a number given once in full is also found where it is written another way.
 Nodes that end up as personal data outside the base spans become added spans; the base stays as it is.
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,7 +29,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
 TRAIN_DOCS = 1500
 TRAIN_STEPS = 300
-#: Least marginal probability of an added span, and rounds of message passing.
+#: Least marginal probability of an added span, and rounds of message passing; more by the depth of the repeats' trees.
 CONFIDENCE = 0.9
 ROUNDS = 12
 #: Chain neighbours are at most so many characters apart.
@@ -149,16 +149,50 @@ def likeness(text: str, start: int, end: int) -> str | None:
     return digits[-10:] if len(digits) >= 7 and not any(c.isalpha() for c in token) else None
 
 
-def field(text: str, found: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain and skip edges.  Repeats are joined one after the other, so edges grow with the nodes."""
-    chain = [(i, i + 1) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= CHAIN_GAP]
-    skip, last = [], {}
+def occurrences(text: str, found: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(key, first, last node) of what may be repeated: single tokens, and the last ten digits of adjacent number tokens.
+
+    A number is read backwards from each token until it has ten digits, so what stands before it doesn't matter.
+    """
+    digits = ["" if any(c.isalpha() or c == "@" for c in text[a:b]) else "".join(c for c in text[a:b] if "0" <= c <= "9") for a, b in found]
     for i, (a, b) in enumerate(found):
         key = likeness(text, a, b)
         if key is not None:
-            if key in last and last[key] != i - 1:
-                skip.append((last[key], i))
-            last[key] = i
+            yield key, i, i
+        first, number = i, digits[i]
+        while number and len(number) < 10 and first and digits[first - 1] and found[first][0] - found[first - 1][1] <= 2 and text[found[first - 1][1] : found[first][0]].isspace():
+            first -= 1
+            number = digits[first] + number
+        if first < i and len(number) >= 7:
+            yield number[-10:], first, i
+
+
+def field(text: str, found: list[tuple[int, int]], observed: Iterable[int] = ()) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Chain and skip edges.  A key's occurrences are joined to an observed one, or form a balanced tree if none is.
+
+    Edges grow with the nodes, and paths with the logarithm of the repeats.
+    """
+    chain = [(i, i + 1) for i in range(len(found) - 1) if found[i + 1][0] - found[i][1] <= CHAIN_GAP]
+    seen, known, by = set(chain), set(observed), {}
+    for key, first, last in occurrences(text, found):
+        by.setdefault(key, []).append((first, last))
+    skip: list[tuple[int, int]] = []
+
+    def join(i: int, j: int) -> None:
+        edge = (min(i, j), max(i, j))
+        if i != j and edge not in seen:
+            seen.add(edge)
+            skip.append(edge)
+
+    for places in by.values():
+        places.sort(key=lambda p: p[1] not in known)
+        for n in range(1, len(places)):
+            (first, last), (top, parent) = places[n], places[0 if places[0][1] in known else (n - 1) // 2]
+            for i in range(first, last + 1):
+                join(parent, i)
+            if n == 1 or places[0][1] in known:  # the other tokens of the root too
+                for i in range(top, parent):
+                    join(i, last)
     return chain, skip
 
 
@@ -172,7 +206,7 @@ class Model:
         """Loopy sum-product over one field."""
         scores = x @ self.node.T
         for i, label in observed.items():
-            scores[i] = -50.0
+            scores[i] = -1e9  # whatever any number of repeats say
             scores[i, label] = 0.0
         edges = np.array(chain + skip, dtype=np.int64).reshape(-1, 2)
         if len(edges):
@@ -181,7 +215,7 @@ class Model:
             tables = np.exp(np.concatenate([tables, tables]))
             m, e = np.zeros((len(source), len(LABELS))), len(edges)
             back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
-            for _ in range(ROUNDS):
+            for _ in range(ROUNDS * (1 + len(skip).bit_length())):
                 belief = scores.copy()
                 np.add.at(belief, target, m)
                 out = belief[source] - m[back]
@@ -211,7 +245,7 @@ class Model:
                 observed[i] = by_start[j][2] + 1
         if len(observed) == len(found):
             return []
-        p = self.marginals(np.array([features(text, a, b) for a, b in found]), *field(text, found), observed)
+        p = self.marginals(np.array([features(text, a, b) for a, b in found]), *field(text, found, observed), observed)
         best, out = p.argmax(axis=1), []
         for i, (a, b) in enumerate(found):
             if i in observed or best[i] == 0 or p[i, best[i]] < CONFIDENCE:
@@ -243,6 +277,7 @@ def training_documents(n: int, seed: int) -> Iterator[tuple[str, list[tuple[int,
     while n:
         area, number = digits(3), f"{digits(3)}-{digits(4)}"
         phone = [f"+1 ({area}) {number}", f"({area}) {number}", f"{area}-{number}", f"1-{area}-{number}"]
+        bare = [f"{area} {number}".replace("-", " "), f"{area}{number}".replace("-", "")]  # known only by what came before
         c = card()
         cards = [c, " ".join(c[i : i + 4] for i in range(0, 16, 4)), "-".join(c[i : i + 4] for i in range(0, 16, 4))]
         mail = f"{word()}.{digits(2)}@{word()}{rng.randint(0, 9)}.example.com"
@@ -263,7 +298,7 @@ def training_documents(n: int, seed: int) -> Iterator[tuple[str, list[tuple[int,
             kind, ways = rng.choice(entities)
             if rng.random() < 0.2:
                 text += rng.choice(sorted(CUES[kind])) + " "
-            way = rng.choice(ways)
+            way = rng.choice(ways + bare if kind == 3 and any(k == 3 for k, _, _ in spans) else ways)
             core = way.strip("<>,")
             core = core.strip("()") if kind == 1 else core
             at = len(text) + way.find(core)

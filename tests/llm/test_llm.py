@@ -198,6 +198,19 @@ def test_personal_field():
     assert right / total > 0.97
 
 
+def test_personal_field_follows_far_repeats():
+    """Numbers in other groups, which nothing but a skip edge labels, are found however many repeats lie between."""
+    model, gap = pii_crf.trained(), " filler words here" * 6 + " "
+    for other in ("988 555 2485", "9885552485"):
+        text = "+1 (988) 555-2485" + gap + gap.join([other] * 40) + gap
+        got = model.added(text, pii_crf.base_spans(text))
+        assert model.added(other + gap, []) == []
+        assert [text[a:b] for _, a, b in got] == [other] * 40
+    found = pii_crf.nodes(text := "+1 (988) 555-2485" + gap + "988-555-2485" + gap + "in 2020 988 555 2485")
+    _, skip = pii_crf.field(text, found)
+    assert {text[slice(*found[i])] for e in skip for i in e} == {"(988)", "555-2485", "988-555-2485", "988", "555", "2485"}
+
+
 # --- 5 --------------------------------------------------------------------------------------------------------
 
 
