@@ -1,14 +1,20 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags.  Pass one decides blocks by stop-word density, length and link
-density, and by the part of the page that they stand in: navigation, footers, adverts, forms, comments and the
-like are boilerplate, whatever they say.  Blocks too short to tell are left open.  Pass two gives each open block the
-label of its nearest decided neighbour on either side; inside an article element the neighbours are those of
-the article, and an article without any decided block is kept whole.
-
-Pages are read by a tolerant scanner of our own that never fails: unclosed tags, cut-off pages and unknown
-entities are read as browsers do.  A null or empty page has no text; repeated rows are read each for itself; further
-columns are ignored.
+density; blocks too short to tell, and long ones of middling density, are left open.  Pass two gives each open block
+the label of its nearest decided neighbour on either side.
+
+Where the blocks stand is one more feature.  Elements made for menus, footers, forms and the like are boilerplate.
+A class, id or role that names boilerplate lowers its element's prior: the element is left out, unless it holds an
+article or main element, or a heading with blocks that pass one calls good.  Article and main elements, or else elements
+named so, are candidates for the main text; the weight of pass one's labels decides among several, and a
+candidate without a good block gives way to good text outside that far outweighs it.  Inside the main text all is kept
+that isn't boilerplate: its neighbours are those of the main text, and menus are told by runs of links.
+
+Pages are read by a tolerant scanner of our own that never fails: end tags may be left out where HTML allows
+it, cut-off pages and unknown entities are read as far as they go, and elements nested deeper than MAX_DEPTH are taken
+as siblings, so the time is linear in the page.  A null or empty page has no text; repeated rows are read each for
+itself; ids of any type are kept as they are; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,16 +22,25 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 # Thresholds of the two passes.
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.30, 0.32
 MAX_LINK_DENSITY = 0.2
+#: Below this density in every known language, a page's language is taken as unknown, and length decides alone.
+STOP_UNKNOWN = 0.1
+#: What a character of a block weighs that isn't good; of the heaviest candidate, the share that others need; and how
+#: far good text outside must outweigh a candidate without any.
+OPEN_WEIGHT, LEAST_SHARE, OUTVOTES = 0.1, 0.25, 3.0
+#: So many neighbouring blocks that are links and nothing else are a menu.
+MENU_RUN = 3
+MAX_DEPTH = 512
 
 # Elements.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -34,10 +49,31 @@ RAW = frozenset("script style textarea title iframe noscript".split())
 BOILERPLATE = frozenset("nav footer header aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CONTENT = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Start tags that end an open paragraph, and what other start tags end, up to which element.
+ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul".split())
+P_SCOPE = frozenset("table td th caption button object template body html".split())
+ENDS = {
+    "li": (frozenset(["li"]), frozenset("ul ol menu dir table".split())),
+    "dt": (frozenset(["dt", "dd"]), frozenset(["dl", "table"])),
+    "dd": (frozenset(["dt", "dd"]), frozenset(["dl", "table"])),
+    "option": (frozenset(["option"]), frozenset(["select"])),
+    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
+    "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
+    "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
+    "tr": (frozenset(["tr"]), frozenset(["table"])),
+    "tbody": (frozenset(["tbody", "thead", "tfoot"]), frozenset(["table"])),
+    "thead": (frozenset(["tbody", "thead", "tfoot"]), frozenset(["table"])),
+    "tfoot": (frozenset(["tbody", "thead", "tfoot"]), frozenset(["table"])),
+    "body": (frozenset(["head"]), frozenset(["body"])),
+    **{h: (HEADINGS, BLOCKS - HEADINGS) for h in HEADINGS},
+}
 # Words of class, id and role attributes that name boilerplate.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
+# Words that make a name speak of a layout, not of the element itself, as in has-sidebar.
+LAYOUT = frozenset("has have with without no not is non show hide hides".split())
 # Words of the same attributes that name the main text, where no element does.
 CONTENT_NAMES = frozenset("article articlebody content entry main post story".split())
 # Common words.
@@ -47,50 +83,110 @@ STOP_WORDS = {
     "de": frozenset("als am an auch auf aus bei das dass dem den der des die durch ein eine einem einen einer er es für hat ich im in ist mit nach nicht noch nur oder sein sich sie sind so über um und von vor war was wenn werden wie wird zu zum zur".split()),
     "es": frozenset("a al como con de del desde donde el ella en entre era es esta este fue ha hay la las le lo los más me mi muy no nos o para pero por que se ser si sin sobre son su sus también un una y ya yo".split()),
 }
-ANY_STOP_WORD = frozenset().union(*STOP_WORDS.values())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|lang|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
+_PIECES = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _WORDS = re.compile(r"[^\W\d_]+")
 
 
+@dataclass
+class Node:
+    """An open element that matters: what it is, and what was found inside it."""
+
+    kind: str  # "skip", "boilerplate", "named", "article", "content" or ""
+    holds_content: bool = False
+    holds_heading: bool = False
+
+
 @dataclass
 class Block:
     text: str
     linked: int
-    container: str  # "article", "content", "boilerplate" or ""
+    boilerplate: bool
+    named: tuple[Node, ...] = ()  # elements around it with a boilerplate name
+    article: Node | None = None  # innermost article or main element
+    content: Node | None = None  # innermost element named so
     label: str = ""  # "good", "bad" or "" while open
+    alone: bool = field(default=False)  # a link and nothing else
+
+
+def said(value: str) -> set[str]:
+    """The words of a class, id or role attribute; a name that speaks of the layout says nothing."""
+    out: set[str] = set()
+    for name in value.split():
+        pieces = [p for p in _PIECES.split(name) if p]
+        if not LAYOUT & set(pieces):
+            out.update(pieces)
+    return out
+
+
+def _kind(name: str, attributes: str) -> tuple[str, str]:
+    """What an element is, and its language."""
+    kind, lang = "skip" if name in SKIPPED else "boilerplate" if name in BOILERPLATE else "article" if name in CONTENT else "", ""
+    for key, *values in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
+        value, key = "".join(values).lower(), key.lower()
+        if key == "lang":
+            lang = value[:2]
+        elif key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value)):
+            kind = "skip"
+        elif key in ("class", "id", "role") and name not in ("html", "body") and kind in ("", "article", "content"):
+            words = said(value)
+            if NAMES & words and kind != "article":
+                kind = "named"
+            elif kind == "article" and "comment" in words | {w.removesuffix("s") for w in words}:
+                kind = "named"  # readers' comments are often articles of their own
+            elif not kind and CONTENT_NAMES & words:
+                kind = "content"
+    return kind, lang
 
 
 def blocks(page: str) -> tuple[list[Block], str]:
     """The blocks with text, in page order, and the page's language."""
     out: list[Block] = []
     parts: list[str] = []
-    linked = 0
     lang = ""
-    stack: list[tuple[str, str]] = []  # open elements that matter, with what they are
-    links = 0
+    stack: list[tuple[str, Node]] = []
+    depth = {"skip": 0, "boilerplate": 0}
+    marked: dict[str, list[Node]] = {"named": [], "article": [], "content": []}
+    linked = links = 0
 
     def close_block() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            kinds = {k for _, k in stack}
-            out.append(Block(text, linked, next((k for k in ("boilerplate", "article", "content") if k in kinds), "")))
+            last = lambda k: marked[k][-1] if marked[k] else None
+            out.append(Block(text, linked, depth["boilerplate"] > 0, tuple(marked["named"]), last("article"), last("content"), alone=linked >= len(text)))
         parts.clear()
         linked = 0
 
     def add(raw: str) -> None:
         nonlocal linked
-        if raw and not any(k == "skip" for _, k in stack):
+        if raw and not depth["skip"]:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if links:
                 linked += len(text.strip())
 
-    at, end = 0, len(page)
-    while at < end:
+    def pop(i: int) -> None:
+        """Closes the open elements from the i-th on."""
+        for _, node in reversed(stack[i:]):
+            if node.kind in depth:
+                depth[node.kind] -= 1
+            elif node.kind:
+                marked[node.kind].pop()
+        del stack[i:]
+
+    def end(closes: frozenset[str], scope: frozenset[str]) -> None:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in closes:
+                return pop(i)
+            if stack[i][0] in scope:
+                return None
+
+    paragraph = frozenset(["p"])
+    at, stop = 0, len(page)
+    while at < stop:
         m = _TOKEN.search(page, at)
         if not m:
             add(page[at:])
@@ -107,76 +203,126 @@ def blocks(page: str) -> tuple[list[Block], str]:
         elif name == "br":
             parts.append(" ")
         if name == "a":
-            links = max(0, links + (-1 if closing else 1)) if closing or links == 0 else links
+            links = 0 if closing else 1
         if closing:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    del stack[i:]
+                    pop(i)
+                    break
+                if stack[i][0] == "table" and name in ("p", "li", "div", "span", "b", "a"):
                     break
             continue
+        if name in ENDS_P:
+            end(paragraph, P_SCOPE)
+        if name in ENDS:
+            end(*ENDS[name])
         if name in VOID:
             continue
-        kind = "skip" if name in SKIPPED else "boilerplate" if name in BOILERPLATE else "article" if name in CONTENT else ""
-        for key, *values in _ATTRIBUTE.findall(m[3]) if m[3].strip() else ():
-            value, key = "".join(values).lower(), key.lower()
-            if key == "lang" and name == "html":
-                lang = value[:2]
-            elif key == "hidden" or (key == "style" and re.search(r"display\s*:\s*none", value)):
-                kind = "skip"
-            elif key in ("class", "id", "role") and name not in ("html", "body") and kind in ("", "article", "content"):
-                said = set(_SPLIT.split(value))
-                if NAMES & said:
-                    kind = "boilerplate"
-                elif not kind and CONTENT_NAMES & said:
-                    kind = "content"
+        kind, own = _kind(name, m[3])
+        lang = own if own and name == "html" else lang
         if name in RAW and not m[0].endswith("/>"):
-            stop = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-            at = stop.end() if stop else end
+            close = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+            at = close.end() if close else stop
             continue
-        stack.append((name, kind))
+        if kind == "article" or name in HEADINGS:
+            for node in marked["named"]:
+                node.holds_content |= kind == "article"
+                node.holds_heading |= name == "h1"
+        if len(stack) < MAX_DEPTH:
+            node = Node(kind)
+            stack.append((name, node))
+            if kind in depth:
+                depth[kind] += 1
+            elif kind:
+                marked[kind].append(node)
     close_block()
     return out, lang
 
 
-def stop_density(text: str, lang: str) -> float:
+def stop_density(text: str, known: frozenset[str] | None) -> float:
+    """The share of common words; 0 for a page in no known language."""
     words = _WORDS.findall(text.lower())
-    known = STOP_WORDS.get(lang, ANY_STOP_WORD)
-    return sum(w in known for w in words) / len(words) if words else 0.0
+    return sum(w in known for w in words) / len(words) if words and known else 0.0
 
 
-def innermost(found: list[Block]) -> str:
-    """What holds the page's main text: an article or main element, else one named so, else nothing known."""
-    kinds = {b.container for b in found}
-    return next((k for k in ("article", "content") if k in kinds), "")
+def common_words(found: list[Block], lang: str) -> frozenset[str] | None:
+    """The common words of the page's language: of the one that it names, else of the one that fits best; None if none does."""
+    if lang in STOP_WORDS:
+        return STOP_WORDS[lang]
+    words = [w for b in found if not b.boilerplate for w in _WORDS.findall(b.text.lower())]
+    best = max(STOP_WORDS.values(), key=lambda known: sum(w in known for w in words))
+    return best if sum(w in best for w in words) >= STOP_UNKNOWN * len(words) else None
 
 
 def classify(found: list[Block], lang: str) -> None:
-    """Pass one."""
-    inner = innermost(found)
+    """Pass one: labels by density, length and links alone, but for elements made for boilerplate."""
+    known = common_words(found, lang)
     for b in found:
         n = len(b.text)
-        if b.container == "boilerplate" or (inner and b.container != inner):
-            b.label = "bad"
-        elif b.linked > MAX_LINK_DENSITY * n and (not inner or b.linked >= n):
+        if b.boilerplate or b.linked > MAX_LINK_DENSITY * n:
             b.label = "bad"
         elif n < LENGTH_LOW:
             b.label = ""
+        elif known is None:
+            b.label = "good"
         else:
-            density = stop_density(b.text, lang)
+            density = stop_density(b.text, known)
             if density >= STOP_HIGH or (n > LENGTH_HIGH and density >= STOP_LOW):
                 b.label = "good"
-            elif density < STOP_LOW and not inner:
+            elif density < STOP_LOW:
                 b.label = "bad"
+    # A name is outvoted by an article inside it, or by a heading with good blocks.
+    good = {id(node) for b in found if b.label == "good" for node in b.named}
+    for b in found:
+        if any(not (x.holds_content or (x.holds_heading and id(x) in good)) for x in b.named):
+            b.boilerplate, b.label = True, "bad"
+
+
+def main_parts(found: list[Block]) -> list[bool] | None:
+    """Which blocks stand in the page's main text; None where no element holds it."""
+    for tier in ("article", "content"):
+        held = [None if b.boilerplate else getattr(b, tier) for b in found]
+        weight: dict[int, float] = {}
+        for b, node in zip(found, held, strict=True):
+            if node is not None:
+                weight[id(node)] = weight.get(id(node), 0.0) + len(b.text) * (1.0 if b.label == "good" else OPEN_WEIGHT)
+        if not weight:
+            continue
+        most = max(weight.values())
+        main = [node is not None and weight[id(node)] >= LEAST_SHARE * most for node in held]
+        inside = sum(len(b.text) for b, x in zip(found, main, strict=True) if x)
+        outside = sum(len(b.text) for b, x in zip(found, main, strict=True) if not x and b.label == "good")
+        if outside > max(OUTVOTES * inside, LENGTH_HIGH) and not any(b.label == "good" for b, x in zip(found, main, strict=True) if x):
+            return None
+        return main
+    return None
+
+
+def _menus(found: list[Block]) -> None:
+    """Runs of blocks that are links and nothing else stay bad; a single one is left open."""
+    i = 0
+    while i < len(found):
+        j = i
+        while j < len(found) and found[j].alone and not found[j].boilerplate:
+            j += 1
+        for b in found[i:j]:
+            b.label = "bad" if j - i >= MENU_RUN else ""
+        i = max(j, i + 1)
 
 
 def inherit(found: list[Block]) -> None:
-    """Pass two: open blocks take their nearest decided neighbours' label; where these differ, the nearer one's, and good on a tie."""
-    inner = innermost(found)
-    groups: dict[bool, list[Block]] = {}
-    for b in found:
-        groups.setdefault(bool(inner) and b.container == inner, []).append(b)
-    for inside, group in groups.items():
-        # Links inside an article are no neighbours to learn from: what stands beside them is prose.
+    """Pass two: open blocks take their nearest decided neighbours' label; where these differ, the nearer one's, and good on a tie.
+
+    In the main text, links and long blocks of low density are open too, and only good neighbours count: a menu or
+    an advert says nothing of the sentence that stands beside it.  Without any decided neighbour a block is good.
+    """
+    main = main_parts(found)
+    groups = [(None, found)] if main is None else [(inside, [b for b, x in zip(found, main, strict=True) if x == inside]) for inside in (True, False)]
+    for inside, group in groups:
+        if inside:
+            for b in group:
+                b.label = b.label if b.boilerplate or b.label == "good" else ""
+            _menus(group)
         decided = [(i, b.label) for i, b in enumerate(group) if b.label and (not inside or b.label == "good")]
         k = 0
         for i, b in enumerate(group):
@@ -184,12 +330,16 @@ def inherit(found: list[Block]) -> None:
                 continue
             while k < len(decided) and decided[k][0] < i:
                 k += 1
-            left = decided[k - 1] if k else None
-            right = decided[k] if k < len(decided) else None
-            near = [x for x in (left, right) if x]
+            near = [x for x in (decided[k - 1] if k else None, decided[k] if k < len(decided) else None) if x]
             best = min((abs(x[0] - i) for x in near), default=0)
             labels = {x[1] for x in near if abs(x[0] - i) == best}
-            b.label = "good" if "good" in labels or (not near and inside) else "bad"
+            b.label = "good" if "good" in labels or not near else "bad"
+        if inside is False:
+            for b in group:
+                b.label = "bad"
+        elif inside is None and not any(b.label == "good" for b in group):
+            for b in group:  # nothing is long enough to tell: what isn't boilerplate or links is all there is
+                b.label = "bad" if b.boilerplate or b.linked > MAX_LINK_DENSITY * len(b.text) else "good"
 
 
 def main_text(page: str | None) -> str:
@@ -210,5 +360,5 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", pag
             texts = [main_text(p) for p in batch["html"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
+    return rows.mapInArrow(run, StructType([StructField("page_id", rows.schema["page_id"].dataType), StructField("url", StringType()), StructField("text", StringType()), StructField("n_chars", LongType())]))
