@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space of words: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
-BLOCK = 64
+#: Values of a block of prefix(), and code points of a chunk of cutter().
+BLOCK, CHUNK = 64, 1000
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -26,17 +28,54 @@ def indexes(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
-def prefix_sums(values: Column) -> Column:
-    """The sum of all values before each: over whole blocks first, so that long arrays don't cost the square."""
+def prefix(values: Column, zero: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """What combine makes of all values before each: over whole blocks first, so that long arrays don't cost the square."""
+    fold = lambda v: F.aggregate(v, zero, combine)
 
     def over(v: Column) -> Column:
-        blocks = F.transform(indexes(F.ceil(F.size(v) / BLOCK)), lambda b: total(F.slice(v, b * BLOCK + 1, BLOCK)))
-        before = lambda s: F.transform(s, lambda _, b: total(F.slice(s, 1, b)))
-        return let(let(blocks, before), lambda base: F.transform(v, lambda _, i: F.get(base, (i / BLOCK).cast("int")) + total(F.slice(v, (i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK))))
+        blocks = F.transform(indexes(F.ceil(F.size(v) / BLOCK)), lambda b: fold(F.slice(v, b * BLOCK + 1, BLOCK)))
+        before = lambda s: F.transform(s, lambda _, b: fold(F.slice(s, 1, b)))
+        return let(let(blocks, before), lambda base: F.transform(v, lambda _, i: combine(F.get(base, (i / BLOCK).cast("int")), fold(F.slice(v, (i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK)))))
 
     return let(values, over)
 
 
+def prefix_sums(values: Column) -> Column:
+    """The sum of all values before each."""
+    return prefix(values, F.lit(0).cast("bigint"), lambda a, b: a + b)
+
+
+def cutter(text: Column, use: Callable[[Callable[[Column, Column], Column]], Column]) -> Column:
+    """use(cut), where cut(a, b) is text[a:b] in code points: from chunks, so that many cuts don't each walk the text."""
+
+    def with_chunks(chunks: Column) -> Column:
+        def cut(a: Column, b: Column) -> Column:
+            first, last = (a / CHUNK).cast("int"), (b / CHUNK).cast("int")
+            part = lambda i, start, n: F.coalesce(F.substring(F.get(chunks, i), start.cast("int"), n.cast("int")), F.lit(""))
+            far = F.concat(part(first, a % CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(chunks, first + 2, last - first - 1), ""), part(last, F.lit(1), b % CHUNK))
+            return F.when(first == last, part(first, a % CHUNK + 1, b - a)).otherwise(far)
+
+        return use(cut)
+
+    return let(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0)), with_chunks)
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], copies: str, by: str, *, most: int) -> DataFrame:
+    """rows joined to table on keys; a key with more than ``most`` rows is dealt over several tasks.
+
+    table has a row for each key, with the number of rows that have it in ``copies`` (dropped); by is a stored column of
+    rows that tells them apart.  Hot keys are at most one for every ``most`` rows, which is what bounds their broadcast.
+    """
+    ways = F.ceil(F.col(copies) / most).cast("int")
+    hot = table.filter(F.col(copies) > most).select(*(F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)), ways.alias("_ways"))
+    if hot.isEmpty():
+        return rows.join(table.drop(copies), keys)
+    on = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_h{i}")) for i, k in enumerate(keys)))
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(by), F.col("_ways")), F.lit(0)).cast("int")).drop("_ways", *(f"_h{i}" for i in range(len(keys))))
+    spread = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(ways, F.lit(1)) - 1))).drop(copies)
+    return salted.join(spread, [*keys, "_salt"]).drop("_salt")
+
+
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, found>> of leftmost non-overlapping matches, in code points, end exclusive.
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from locuspark.llm.quality_rules import HOST_RATE, LEAST_WORDS, REPEAT_PERCENT, RULES
-from locuspark.llm.secret_scan import BARE, BARE_DIFFERENT, WIDE_OWNERS
+from locuspark.llm.quality_rules import BOUND, DEVIATIONS, HOST_RATE, LEAST_WORDS, REPEAT_PERCENT, RULES
+from locuspark.llm.secret_scan import BARE, BARE_DIFFERENT, LIVE_REPOSITORIES, WIDE_OWNERS, WIDE_REPOSITORIES
 
 _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -11,8 +11,8 @@ _ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["
 def _matches(kind: int, pattern: str, least: int, group: int) -> str:
     """doc, kind, start, end, value of one kind's matches: pieces between matches give the places."""
     return f"""
-    SELECT doc_id, owner, repository, {kind} AS kind, pos - len_m AS s, pos AS e, value FROM (
-      SELECT doc_id, owner, repository, value, length(m) AS len_m,
+    SELECT rid, doc_id, owner, repository, {kind} AS kind, pos - len_m AS s, pos AS e, value FROM (
+      SELECT rid, doc_id, owner, repository, value, length(m) AS len_m,
              sum(length(g) + length(m)) OVER (PARTITION BY rid ORDER BY i) AS pos
       FROM (SELECT rid, doc_id, owner, repository, unnest(range(len(ms))) AS i, unnest(ms) AS m, unnest(gs[:len(ms)]) AS g,
                    unnest(regexp_extract_all(text, '{pattern}', {group})) AS value
@@ -21,34 +21,37 @@ def _matches(kind: int, pattern: str, least: int, group: int) -> str:
 
 
 OP1 = f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce('=' || source, '') AS owner, concat_ws('/', source, lang) AS repository FROM documents),
 base AS ({_matches(0, _ASSIGN, 8, 2)} UNION ALL {_matches(1, "AKIA[A-Z0-9]+", 16, 0)} UNION ALL {_matches(2, "[0-9a-f]{32,}", 32, 0)}),
 bare AS (SELECT * FROM ({_matches(3, BARE, 16, 0)}) b
          WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= {BARE_DIFFERENT}
-           AND NOT EXISTS (SELECT 1 FROM base x WHERE x.doc_id = b.doc_id AND x.s < b.e AND b.s < x.e)),
+           AND NOT EXISTS (SELECT 1 FROM base x WHERE x.rid = b.rid AND x.s < b.e AND b.s < x.e)),
 cand AS (SELECT * FROM base UNION ALL SELECT * FROM bare),
-stats AS (SELECT value, count(DISTINCT owner) AS owners FROM cand GROUP BY value),
-judged AS (SELECT cand.*, owners, ['assign', 'access', 'hex', 'live'][kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS shown FROM cand JOIN stats USING (value)),
-per AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
-               string_agg(shown, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS base, string_agg(shown, ',' ORDER BY s, kind, e) FILTER (kind < 3 OR owners = 1) AS spans,
-               count(*) FILTER (kind = 3 AND owners = 1) AS n_live, count(*) FILTER (owners >= {WIDE_OWNERS}) AS n_wide, count(*) FILTER (owners = 1) AS n_single, max(owners) AS most_owners
-        FROM judged GROUP BY doc_id)
+stats AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT repository) AS repositories FROM cand GROUP BY value),
+judged AS (SELECT cand.*, owners, repositories, ['assign', 'access', 'hex', 'live'][kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS shown FROM cand JOIN stats USING (value)),
+per AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+               string_agg(shown, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS base, string_agg(shown, ',' ORDER BY s, kind, e) FILTER (kind < 3 OR (owners = 1 AND repositories <= {LIVE_REPOSITORIES})) AS spans,
+               count(*) FILTER (kind = 3 AND owners = 1 AND repositories <= {LIVE_REPOSITORIES}) AS n_live, count(*) FILTER (owners >= {WIDE_OWNERS} OR repositories >= {WIDE_REPOSITORIES}) AS n_wide, count(*) FILTER (owners = 1) AS n_single, max(owners) AS most_owners, max(repositories) AS most_repositories
+        FROM judged GROUP BY rid)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_live, 0) AS n_live, coalesce(n_wide, 0) AS n_wide, coalesce(n_single, 0) AS n_single, coalesce(most_owners, 0) AS most_owners
-FROM d LEFT JOIN per ON d.doc_id = per.doc_id
+       coalesce(n_live, 0) AS n_live, coalesce(n_wide, 0) AS n_wide, coalesce(n_single, 0) AS n_single, coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
+FROM d LEFT JOIN per USING (rid)
 """
 
 _FAILS = {"few_words": f"n_words < {LEAST_WORDS}", "repeats": f"100 * n_repeat_words > {REPEAT_PERCENT} * n_words", "dup_lines": "2 * n_dup_lines > n_lines"}
 
 
 def _shrunk(r: str) -> str:
-    m = f"(s_{r} / n)"
-    weight = f"least(greatest({m} * (1 - {m}) / greatest(v_{r} - {m} * (1 - {m}) * noise, 1e-9) - 1, 1.0), 1e6)"
-    return f"(f_{r} + {weight} * {m}) / (documents + {weight})"
+    """The posterior rate, held within the host's own limits, and its lower bound, as a struct."""
+    z2, f = float(DEVIATIONS * DEVIATIONS), f"f_{r}"
+    weight = f"least(greatest(m_{r} * (1 - m_{r}) / greatest(v_{r} - m_{r} * (1 - m_{r}) * noise, 1e-9) - 1, 1.0), 1e6)"
+    width = f"{DEVIATIONS} * sqrt({f} * (documents - {f}) / documents + {z2 / 4})"
+    rate = f"greatest(({f} + {z2 / 2} - {width}) / (documents + {z2}), least(({f} + {z2 / 2} + {width}) / (documents + {z2}), ({f} + {weight} * m_{r}) / (documents + {weight})))"
+    return f"{rate} AS p_{r}, p_{r} - {BOUND} * sqrt(p_{r} * (1 - p_{r}) / (documents + {weight} + 1)) AS b_{r}"
 
 
 OP6 = f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, source AS host FROM documents),
 w AS (SELECT rid, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM d),
 l AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
 g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
@@ -58,11 +61,12 @@ m AS (SELECT rid, doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(r
              CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, len(l) AS n_lines, coalesce(rep.n, 0) AS n_repeat_words
       FROM d JOIN w USING (rid) JOIN l USING (rid) LEFT JOIN rep USING (rid)),
 hosts AS (SELECT host, count(*) AS documents, {", ".join(f"count(*) FILTER ({c}) AS f_{r}" for r, c in _FAILS.items())} FROM m GROUP BY host),
-prior AS (SELECT avg(1 / documents) AS noise, CAST(sum(documents) AS DOUBLE) AS n, {", ".join(f"CAST(sum(f_{r}) AS DOUBLE) AS s_{r}, var_pop(f_{r} / documents) AS v_{r}" for r in RULES)} FROM hosts),
-v AS (SELECT host, greatest({", ".join(map(_shrunk, RULES))}) AS worst FROM hosts, prior)
+prior AS (SELECT avg(1 / documents) AS noise, {", ".join(f"avg(f_{r} / documents) AS m_{r}, var_pop(f_{r} / documents) AS v_{r}" for r in RULES)} FROM hosts),
+p AS (SELECT host, documents, {", ".join(map(_shrunk, RULES))} FROM hosts, prior),
+v AS (SELECT host, greatest({", ".join(f"p_{r}" for r in RULES)}) AS rate, greatest({", ".join(f"b_{r}" for r in RULES)}) AS least_rate FROM p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({_FAILS["few_words"]} OR {_FAILS["repeats"]}) AS base_failed,
-       NOT ({_FAILS["few_words"]} OR {_FAILS["repeats"]}) AND NOT worst > {HOST_RATE} AS kept, host, worst > {HOST_RATE} AS host_rejected, round(worst, 6) AS host_rate
-FROM m JOIN v USING (host)
+       NOT ({_FAILS["few_words"]} OR {_FAILS["repeats"]}) AND NOT least_rate > {HOST_RATE} AS kept, m.host, least_rate > {HOST_RATE} AS host_rejected, round(rate, 6) AS host_rate, round(least_rate, 6) AS host_least
+FROM m JOIN v ON m.host IS NOT DISTINCT FROM v.host
 """
 
 OP2 = """

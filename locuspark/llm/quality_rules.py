@@ -2,11 +2,13 @@
 
 Every document is held to rules on its own text.  Failures of each rule are summed by host; hosts with few documents have
 noisy rates, so each rate is shrunk by a beta prior whose mean and weight are fitted to all hosts' rates by the
-method of moments.  A host whose shrunk rate of some rule is so high that nearly all its documents fail it is
-rejected, and its documents with it; all others stay unless they fail a base rule themselves.
+method of moments.  A host is rejected where the posterior leaves little doubt that most of its documents fail some rule
+(its rate less BOUND posterior standard deviations is above HOST_RATE), and its documents go with it; all others stay
+unless they fail a base rule themselves.
 
-Rows: null text has no words and fails; a null host is a host of its own; repeated rows count as often as they
-occur; an empty table gives no rows; further columns are ignored.  Texts are read once and never shuffled.
+Rows: null text has no words and fails; a null host is a host of its own, apart from the empty one; repeated rows
+count as often as they occur; an empty table gives no rows; further columns are ignored.  Texts are read once and never
+shuffled.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ REPEAT_PERCENT = 50
 WINDOW = 3
 SYMBOLS = "#*$%&|<>"
 
-#: A host is rejected where the shrunk rate of a rule's failures is above this.
-HOST_RATE = 0.9
+#: A host is rejected where a rule's failure rate is above this, at its posterior's lower bound of so many deviations.
+HOST_RATE, BOUND = 0.5, 2.0
 #: Shrinking moves a host's rate no further than so many standard errors of its own documents' rate.
 DEVIATIONS = 3
 #: Largest table of hosts that is broadcast (rows of about 40 bytes); beyond it, the join is dealt over SALTS.
@@ -59,7 +61,7 @@ def measured(docs: DataFrame, keys: list[Column], text: str, host: Column) -> Da
     without = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))).cast("bigint")
     lines = let(F.filter(F.split(t, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != ""), lambda x: F.struct(F.size(x).cast("bigint").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines")))
     of_words = let(words(t), lambda w: F.struct(F.size(w).cast("bigint").alias("n_words"), repeat_words(w).alias("n_repeat_words")))
-    rows = docs.select(*keys, F.coalesce(host.cast("string"), F.lit("")).alias("host"), of_words.alias("w"), lines.alias("l"), (F.length(t).cast("bigint") - without(SPACES)).alias("word_chars"), without(SYMBOLS).alias("n_symbols"))
+    rows = docs.select(*keys, host.cast("string").alias("host"), of_words.alias("w"), lines.alias("l"), (F.length(t).cast("bigint") - without(SPACES)).alias("word_chars"), without(SYMBOLS).alias("n_symbols"))
     return rows.select(*[c for c in rows.columns if c not in ("w", "l")], "w.n_words", "w.n_repeat_words", "l.n_lines", "l.n_dup_lines")
 
 
@@ -99,49 +101,62 @@ def host_rates(rows: DataFrame) -> DataFrame:
     )
     out = hosts.crossJoin(F.broadcast(prior))  # one row
 
-    def shrunk(r: str) -> Column:
+    def posterior(r: str) -> Column:
         m = F.col(f"m_{r}")
         spread = F.greatest(F.col(f"v_{r}") - m * (1 - m) * F.col("noise"), F.lit(1e-9))
         weight = F.least(F.greatest(m * (1 - m) / spread - 1, F.lit(1.0)), F.lit(1e6))
         least, most = own_limits(F.col(f"f_{r}"), F.col("documents"))
-        return F.greatest(least, F.least(most, (F.col(f"f_{r}") + weight * m) / (F.col("documents") + weight)))
+        p = F.greatest(least, F.least(most, (F.col(f"f_{r}") + weight * m) / (F.col("documents") + weight)))
+        return F.struct(p.alias("rate"), (p - BOUND * F.sqrt(p * (1 - p) / (F.col("documents") + weight + 1))).alias("least"))
 
-    return out.select("host", "documents", *(shrunk(r).alias(f"rate_{r}") for r in RULES))
+    found = out.select("host", "documents", *(posterior(r).alias(r) for r in RULES))
+    return found.select("host", "documents", *(c for r in RULES for c in (F.col(f"{r}.rate").alias(f"rate_{r}"), F.col(f"{r}.least").alias(f"least_{r}"))))
 
 
-def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: Column | None = None, keep: list[Column] | None = None) -> DataFrame:
+def verdicts(rows: DataFrame) -> DataFrame:
+    """host, host_rejected, host_rate, host_least: the worst rule's posterior rate and lower bound."""
+    rates = host_rates(rows)
+    worst, least = (F.greatest(*(F.col(f"{x}_{r}") for r in RULES)) for x in ("rate", "least"))
+    return written(rates.select("host", (least > HOST_RATE).alias("host_rejected"), F.round(worst, 6).alias("host_rate"), F.round(least, 6).alias("host_least")), "hosts-judged")
+
+
+def judge(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", host: Column | None = None, keep: list[Column] | None = None, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """Each document's figures, base_failed, host_rejected and kept."""
     rows = written(measured(docs, [F.col(doc_id).alias("doc_id"), *(keep or [])], text, F.col("source") if host is None else host), "quality")
-    rates = host_rates(rows)
-    worst = F.greatest(*(F.col(f"rate_{r}") for r in RULES))
-    verdicts = written(rates.select("host", (worst > HOST_RATE).alias("host_rejected"), F.round(worst, 6).alias("host_rate")), "hosts-judged")
-    if verdicts.count() <= BROADCAST_HOSTS:
-        joined = rows.join(F.broadcast(verdicts), "host")
+    judged = verdicts(rows)
+    if judged.count() <= broadcast_hosts:
+        joined = rows.join(F.broadcast(judged.withColumnRenamed("host", "_host")), F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
     else:
-        salted = verdicts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"]).drop("salt")
+        salted = judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("host", "_host").withColumnRenamed("salt", "_salt")
+        salt = F.pmod(F.xxhash64("doc_id", "word_chars"), F.lit(SALTS)).cast("int")
+        joined = rows.withColumn("salt", salt).join(salted, F.col("host").eqNullSafe(F.col("_host")) & (F.col("salt") == F.col("_salt"))).drop("salt", "_salt", "_host")
     rules = failures()
-    base = rules["few_words"] | rules["repeats"]
-    joined = joined.withColumn("base_failed", base)
+    joined = joined.withColumn("base_failed", rules["few_words"] | rules["repeats"])
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
 def digest(judged: DataFrame) -> DataFrame:
     """The columns of the query."""
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_rejected", "host_rate")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host", "host_rejected", "host_rate", "host_least")
 
 
-def keep_good(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """docs without the rejected rows.
 
-    The verdict on hosts is one value for each host and the rules are recomputed as the text streams by, so the
-    texts aren't shuffled unless the hosts are too many to broadcast.
+    Texts are measured once: rows that pass are written beside the figures of all, and read again when the hosts
+    are judged.  Rejected hosts are broadcast after a count; beyond the bound they are dealt over SALTS.
     """
-    host = F.col("source")
-    judged = judge(docs, doc_id=doc_id, text=text, host=host)
-    bad = written(judged.filter("host_rejected").select("host").distinct(), "hosts-rejected")
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    failed = let(words(t), lambda w: (F.size(w) < LEAST_WORDS) | (100 * repeat_words(w) > REPEAT_PERCENT * F.size(w)))
-    kept = docs.filter(~failed)
-    on = F.coalesce(kept["source"].cast("string"), F.lit("")) == bad["host"]
-    return kept.join(F.broadcast(bad) if bad.count() <= BROADCAST_HOSTS else bad, on, "left_anti")
+    rules = failures()
+    passed = ~(rules["few_words"] | rules["repeats"])
+    whole = F.struct(*(docs[c] for c in docs.columns)).alias("_row")
+    rows = measured(docs, [whole], text, F.col("source"))
+    rows = written(rows.withColumn("_row", F.when(passed, F.col("_row"))), "quality-rows")
+    bad = written(verdicts(rows.drop("_row")).filter("host_rejected").select(F.col("host").alias("_host")), "hosts-rejected")
+    kept = rows.filter("_row is not null").select("host", "_row")
+    if bad.count() <= broadcast_hosts:
+        kept = kept.join(F.broadcast(bad), F.col("host").eqNullSafe(F.col("_host")), "left_anti")
+    else:
+        spread = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")
+        kept = kept.withColumn("_s", salt).join(spread, F.col("host").eqNullSafe(F.col("_host")) & (F.col("_s") == F.col("_salt")), "left_anti")
+    return kept.select("_row.*")

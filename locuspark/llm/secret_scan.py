@@ -2,12 +2,14 @@
 
 Each text is scanned for labelled secrets, access keys and long hexadecimal strings (the base), and for bare
 tokens that look like credentials.  Every candidate's hash is counted over distinct repositories and owners in
-the whole corpus.  A value that several owners hold is a widely copied example; a value of a single owner that
-looks random is likely to be live.  Bare tokens of the second sort become spans of kind ``live``; the base stays.
-
-Rows: null text is empty; a null owner or repository is one of its own; repeated rows are scanned as often as
-they occur, and count once for their owner; an empty table gives no rows; further columns are ignored.
-Texts are read once and never shuffled: only spans and hashes are.
+the whole corpus.  A value that several owners hold, or that lies in many repositories, is a widely copied example; a
+value of a single owner, in few repositories, that looks random is likely to be live.  Bare tokens of the second sort
+become spans of kind ``live``; the base stays.
+
+Rows: null text is empty; a null owner or repository is one of its own, apart from the empty one; repeated rows are
+scanned as often as they occur, and count once for their owner and repository; an empty table gives no rows; further
+columns are ignored.  Texts are read once and never shuffled: only spans and hashes are.  Time is linear in a text
+and n log n in its spans.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locuspark.llm.native import let, matches
+from locuspark.llm.native import cutter, join_hot, let, matches, prefix
 from locuspark.storage import written
 
 # The base patterns and least lengths.
@@ -28,8 +30,12 @@ KINDS = ("assign", "access", "hex", "live")
 #: Bare tokens: so many characters, letters and digits among them, and so many different characters.
 BARE = r"[A-Za-z0-9+/_=-]{16,}"
 BARE_DIFFERENT = 8
-#: From so many owners on, a value counts as a widely copied example.
-WIDE_OWNERS = 3
+#: From so many owners or repositories on, a value counts as a widely copied example.
+WIDE_OWNERS, WIDE_REPOSITORIES = 3, 6
+#: A live value has one owner and at most so many repositories; in more, it is the owner's own example.
+LIVE_REPOSITORIES = 2
+#: A value with more candidates than this is dealt over several tasks when it meets its counts.
+HOT_VALUE = 1_000_000
 
 #: Largest table of documents with added spans that is broadcast, in rows of about 200 bytes.
 BROADCAST_ROWS = 100_000
@@ -52,32 +58,51 @@ def base_spans(text: Column) -> Column:
 def bare_spans(text: Column, base: Column) -> Column:
     """array<SPAN> of tokens that look random and lie outside the base spans."""
     looks = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(v, ""))) >= BARE_DIFFERENT)
-    free = lambda m: ~F.exists(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-    found = F.filter(matches(text, BARE), lambda m: looks(m["found"]) & free(m))
-    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(3).alias("kind"), m["end"].alias("end"), F.sha2(m["found"], 256).alias("hash")))
+    found = F.filter(matches(text, BARE), lambda m: looks(m["found"]))
+    span = lambda m: F.struct(m["start"].alias("start"), F.lit(3).alias("kind"), m["end"].alias("end"), F.sha2(m["found"], 256).alias("hash"))
+    return let(found, lambda f: F.when(F.size(f) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(F.transform(_apart(f, base), span)))
+
+
+def _apart(found: Column, base: Column) -> Column:
+    """The matches that no base span overlaps, from both in one order: what ends last before each, and what starts first behind it."""
+    none, far = F.lit(-1).cast("bigint"), F.lit(1 << 62)
+    both = F.sort_array(F.concat(F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["found"].alias("found"))), F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.lit(None).cast("string").alias("found")))))
+
+    def over(s: Column) -> Column:
+        ends = prefix(F.transform(s, lambda x: F.when(x["found"].isNull(), x["end"]).otherwise(none)), none, lambda a, b: F.greatest(a, b))
+        starts = prefix(F.transform(F.reverse(s), lambda x: F.when(x["found"].isNull(), x["start"]).otherwise(far)), far, lambda a, b: F.least(a, b))
+        free = lambda e, t: F.transform(s, lambda x, i: F.when(x["found"].isNotNull() & (F.get(e, i) <= x["start"]) & (F.get(t, F.size(s) - 1 - i) >= x["end"]), x))
+        return F.array_compact(let(ends, lambda e: let(starts, lambda t: free(e, t))))
+
+    return let(both, over)
+
+
+def _named(name: Column) -> Column:
+    """A name that tells null from the empty one."""
+    return F.coalesce(F.concat(F.lit("="), name.cast("string")), F.lit(""))
 
 
 def extracted(docs: DataFrame, keys: list[Column], text: str, owner: Column, repository: Column) -> DataFrame:
     """keys, owner, repository, base, bare: one row for each document, without its text."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(*keys, F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repository.cast("string"), F.lit("")).alias("repository"), let(t, lambda x: let(base_spans(x), lambda b: F.struct(b.alias("base"), bare_spans(x, b).alias("bare")))).alias("found"))
+    rows = docs.select(*keys, _named(owner).alias("owner"), _named(repository).alias("repository"), let(t, lambda x: let(base_spans(x), lambda b: F.struct(b.alias("base"), bare_spans(x, b).alias("bare")))).alias("found"))
     return rows.select("*", "found.base", "found.bare").drop("found")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """hash, owners, repositories: counts of distinct ones, aggregated step by step so that a hot value has few rows."""
-    pairs = candidates.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
-    by_owner = pairs.groupBy("hash", "owner").agg(F.count("*").alias("n"))
-    owners = by_owner.groupBy("hash").agg(F.count("*").alias("owners"))
+    """hash, owners, repositories, copies: counts of distinct ones, aggregated step by step so that a hot value has few rows."""
+    pairs = written(candidates.groupBy("hash", "owner", "repository").agg(F.count("*").alias("n")), "secrets-pairs")
+    by_owner = pairs.groupBy("hash", "owner").agg(F.sum("n").alias("n")).groupBy("hash").agg(F.count("*").alias("owners"), F.sum("n").alias("copies"))
     repositories = pairs.select("hash", "repository").distinct().groupBy("hash").agg(F.count("*").alias("repositories"))
-    return owners.join(repositories, "hash")
+    return by_owner.join(repositories, "hash")
 
 
-def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner: Column | None = None, repository: Column | None = None, keep: list[Column] | None = None) -> DataFrame:
+def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner: Column | None = None, repository: Column | None = None, keep: list[Column] | None = None, hot: int = HOT_VALUE) -> DataFrame:
     """One row for each document: doc_id, base and added spans, and counts by ownership.
 
-    base, added: array<struct<start, kind, end, hash>>.  n_wide: candidates that at least WIDE_OWNERS owners hold;
-    n_single: those of a single owner; most_owners: of any candidate.  keep adds columns computed from docs.
+    base, added: array<struct<start, kind, end, hash>>.  n_wide: candidates that WIDE_OWNERS owners or WIDE_REPOSITORIES
+    repositories hold at least; n_single: those of a single owner; most_owners, most_repositories: of any candidate.
+    A repository belongs to its owner, unless named otherwise ``source`` and ``source/lang``.  keep adds columns from docs.
     """
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", owner, F.col("lang")) if repository is None else repository
@@ -86,17 +111,19 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner:
     having = rows.filter((F.size("base") > 0) | (F.size("bare") > 0))
     candidates = having.select("row", "owner", "repository", F.inline(F.concat("base", "bare")))
     stats = written(ownership(candidates), "secrets-owners")
-    judged = candidates.join(stats, "hash").select("row", "owners", "repositories", F.struct("start", "kind", "end", "hash").alias("span"))
+    judged = join_hot(candidates.select("row", "start", "kind", "end", "hash"), stats, ["hash"], "copies", "row", most=hot)
+    live = (F.col("owners") == 1) & (F.col("repositories") <= LIVE_REPOSITORIES)
     by_row = judged.groupBy("row").agg(
-        F.sort_array(F.collect_list(F.when((F.col("span.kind") == 3) & (F.col("owners") == 1), F.col("span")))).alias("added"),
-        F.count_if(F.col("owners") >= WIDE_OWNERS).alias("n_wide"),
+        F.sort_array(F.collect_list(F.when((F.col("kind") == 3) & live, F.struct("start", "kind", "end", "hash")))).alias("added"),
+        F.count_if((F.col("owners") >= WIDE_OWNERS) | (F.col("repositories") >= WIDE_REPOSITORIES)).alias("n_wide"),
         F.count_if(F.col("owners") == 1).alias("n_single"),
         F.max("owners").alias("most_owners"),
+        F.max("repositories").alias("most_repositories"),
     )
     none = F.lit(0).cast("bigint")
     joined = rows.join(by_row, "row", "left")
     kept = [c for c in rows.columns if c not in ("row", "owner", "repository", "base", "bare")]
-    return joined.select(*kept, "base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")).alias("added"), *(F.coalesce(c, none).alias(c) for c in ("n_wide", "n_single", "most_owners")))
+    return joined.select(*kept, "base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")).alias("added"), *(F.coalesce(c, none).alias(c) for c in ("n_wide", "n_single", "most_owners", "most_repositories")))
 
 
 def rendered(spans: Column) -> Column:
@@ -109,21 +136,22 @@ def digest(scanned: DataFrame) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
     return scanned.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(rendered(F.col("base")), 256).alias("base_sha256"),
-        rendered(F.sort_array(F.concat("base", "added"))).alias("spans"), F.size("added").cast("bigint").alias("n_live"), "n_wide", "n_single", "most_owners",
+        rendered(F.sort_array(F.concat("base", "added"))).alias("spans"), F.size("added").cast("bigint").alias("n_live"), "n_wide", "n_single", "most_owners", "most_repositories",
     )
 
 
 def redacted(text: Column, spans: Column, mask: str = "[REDACTED]") -> Column:
     """text with each span, overlapping ones as one, replaced by mask."""
-    ends = lambda s: F.transform(s, lambda x, i: F.array_max(F.transform(F.slice(s, 1, i + 1), lambda y: y["end"])))
 
     def over(s: Column) -> Column:
-        def cut(e: Column) -> Column:
-            opens = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["start"] >= F.get(e, i - 1)), F.struct(F.coalesce(F.get(e, i - 1), F.lit(0)).alias("a"), x["start"].alias("b")))), lambda x: x.isNotNull())
-            pieces = F.transform(opens, lambda x: F.concat(F.substring(text, (x["a"] + 1).cast("int"), (x["b"] - x["a"]).cast("int")), F.lit(mask)))
-            return F.concat(F.array_join(pieces, ""), F.substring(text, (F.array_max(e) + 1).cast("int"), F.length(text)))
+        ends = prefix(F.transform(s, lambda x: x["end"]), F.lit(0).cast("bigint"), lambda a, b: F.greatest(a, b))
+
+        def pieces(reach: Column) -> Column:
+            opens = F.array_compact(F.transform(s, lambda x, i: F.when((i == 0) | (x["start"] >= F.get(reach, i)), F.struct(F.get(reach, i).alias("a"), x["start"].alias("b")))))
+            last = F.array_max(F.transform(s, lambda x: x["end"]))
+            return cutter(text, lambda cut: F.concat(F.array_join(F.transform(opens, lambda x: F.concat(cut(x["a"], x["b"]), F.lit(mask))), ""), cut(last, F.length(text).cast("bigint"))))
 
-        return let(ends(s), cut)
+        return let(ends, pieces)
 
     return F.when(F.size(spans) == 0, text).otherwise(let(F.sort_array(spans), over))
 
