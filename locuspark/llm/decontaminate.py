@@ -1,34 +1,42 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over normalised item windows, one scan of each text.
+"""Benchmark decontamination: one Aho-Corasick automaton over normalised test items, one scan of each text.
 
-Texts and items are lower-cased (A-Z) and split into words of digits, letters and all characters beyond ASCII.  Every
-window of 13 consecutive item words, or the whole of a shorter item, is a pattern of the automaton, which runs
-over the text's words joined by single spaces; what it finds is mapped back to words, and to code points of the
-original text.
+Texts and items are lower-cased (A-Z) and split into words of digits, letters and all characters beyond ASCII.  The
+automaton reads words, not characters: each word of the items is one symbol.  Its patterns are the items shorter than a
+window, whole, and of longer items every seventh run of seven words: a window of 13 words holds one of
+these runs, wherever it begins, so that the automaton has a node for a word of the items and not for a word of each
+window.  Where a run is found, the words on both sides are compared until 13 or more agree, or don't.  What is found is
+mapped back to words, and to code points of the original text.
 
-The benchmark is sent to the executors in blocks of at most ``block_bytes``; normally there is one.  More
-blocks mean one scan each, joined by row, so neither the driver nor a worker ever holds more than a block.
+The benchmark is sent to the executors in blocks of about ``block_bytes``; normally there is one.  A worker builds a
+block's automaton once and keeps HELD_BLOCKS of them; with more blocks it holds so many bytes of texts and reads them
+once with each block.  Texts are never shuffled, and neither the driver nor a worker ever holds the whole benchmark.
 
 Rows: null text has no words and is clean; items without words are ignored, and so are null ids in the lists of
 items, though their windows count as hits; items that share an id are one item; repeated rows are judged each for
-itself; an empty benchmark or table is allowed; further columns are ignored.
+itself; an empty benchmark or table is allowed; ids of any type are kept as they are; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from locuspark.storage import written
+from pyspark.sql.types import StructType
 
 WINDOW_WORDS = 13
 #: A document is contaminated from one hit word in so many on.
 HIT_SHARE = 20
-BLOCK_BYTES = 32 << 20
+#: Bytes of items in a block (a word of four letters and more is a symbol, and there are a million of these), automata
+#: that a worker keeps, and bytes of texts that it holds where there are more blocks than that.
+BLOCK_BYTES = 2 << 20
+HELD_BLOCKS = 4
+HOLD_BYTES = 64 << 20
+#: Places of runs with the words around them that a worker remembers.
+MEMO_ENTRIES = 200_000
 
 _KEEP = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
 #: Bytes of UTF-8 to lower case, with a space for all that isn't part of a word.
@@ -41,11 +49,18 @@ def normalised(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-def windows(words: list[bytes], size: int = WINDOW_WORDS) -> Iterator[tuple[int, bytes]]:
-    """(number of words, words joined by spaces)."""
-    n = min(size, len(words))
-    for i in range(len(words) - n + 1 if words else 0):
-        yield n, b" ".join(words[i : i + n])
+#: Letters that a symbol is spelled with, other ones at each place: the automaton tries a node's children one by one.
+LETTERS = 128
+
+
+def _symbol(n: int) -> str:
+    """The n-th symbol as one character; the first stands for words that no item has, and there are none among the surrogates."""
+    return chr(n + 1 if n < 0xD7FF else n + 0x801)
+
+
+def _spelled(n: int, width: int) -> str:
+    """The n-th symbol in letters; a pattern's first letter only fits a symbol's first."""
+    return "".join([chr(1 + LETTERS * j + n // LETTERS**j % LETTERS) for j in range(width)])
 
 
 class Automaton:
@@ -54,37 +69,89 @@ class Automaton:
     def __init__(self, items: list[tuple[str | None, str]], size: int = WINDOW_WORDS):
         import ahocorasick
 
-        found: dict[str, tuple[int, set[int]]] = {}
-        self.ids = [i for i, _ in items]
+        self.ids, self.size, self.run = [i for i, _ in items], size, (size + 1) // 2
+        self.symbols: dict[bytes, str] = {}
+        self.texts: list[str] = []
+        found: dict[str, tuple[list[int], list[tuple[int, int]]]] = {}
         for k, (_, text) in enumerate(items):
-            for n, window in windows(normalised(text), size):
-                found.setdefault(f" {window.decode('latin-1')} ", (n, set()))[1].add(k)
+            words = normalised(text)
+            for w in words:
+                if w not in self.symbols:
+                    self.symbols[w] = _symbol(len(self.symbols) + 1)
+            item = "".join([self.symbols[w] for w in words])
+            self.texts.append(item)
+            if not item:
+                continue
+            if len(item) < size:
+                found.setdefault(item, ([], []))[0].append(k)
+            else:
+                for at in self._runs(item):
+                    found.setdefault(item[at : at + self.run], ([], []))[1].append((k, at))
+        self.width = next(n for n in (1, 2, 3) if len(self.symbols) <= LETTERS**n)
+        self.letters = {w: _spelled(n, self.width) for n, w in enumerate(self.symbols)}
+        letters = dict(zip(self.symbols.values(), self.letters.values(), strict=True))
         self.inner = ahocorasick.Automaton()
-        for pattern, value in found.items():
-            self.inner.add_word(pattern, (len(pattern), value[0], tuple(value[1])))
+        for n, (pattern, (whole, places)) in enumerate(found.items()):
+            self.inner.add_word("".join([letters[c] for c in pattern]), (n, len(pattern), tuple(whole), tuple(places)))
         self.empty = not found
+        self.memo: dict[tuple[int, int, str], list[tuple[int, int, int]]] = {}
         if found:
             self.inner.make_automaton()
 
+    def _runs(self, item: str) -> Iterator[int]:
+        """Places of runs that a window needs which the item doesn't have further left."""
+        last = len(item) - self.size
+        seen: set[str] = set()
+        fresh = []
+        for i in range(last + 1):
+            window = item[i : i + self.size]
+            fresh.append(window not in seen)
+            seen.add(window)
+        for at in range(0, len(item) - self.run + 1, self.run):
+            if any(fresh[max(0, at - self.size + self.run) : at + 1]):
+                yield at
+
+    def _around(self, text: str, start: int, places: tuple[tuple[int, int], ...]) -> list[tuple[int, int, int]]:
+        """(words before the run, words behind it, item) where a whole window agrees."""
+        out, end, most = [], start + self.run, self.size - self.run
+        for k, at in places:
+            item, left, right = self.texts[k], 0, 0
+            while left < most and left < min(start, at) and text[start - left - 1] == item[at - left - 1]:
+                left += 1
+            stop = at + self.run
+            while right < most and end + right < len(text) and stop + right < len(item) and text[end + right] == item[stop + right]:
+                right += 1
+            if left + self.run + right >= self.size:
+                out.append((left, right, k))
+        return out
+
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
         """(first word, end word) stretches that are hit, and the positions of the items hit."""
         if self.empty or not words:
             return [], set()
-        starts: list[int] = []
+        get, none, width = self.letters.get, "\0" * self.width, self.width
+        text = ""
         hits: list[tuple[int, int]] = []
         items: set[int] = set()
-        for end, (length, n, which) in self.inner.iter(f" {b' '.join(words).decode('latin-1')} "):
-            if not starts:
-                at = 0
-                for w in words:
-                    starts.append(at)
-                    at += len(w) + 1
-            first = bisect_left(starts, end - length + 1)
-            if hits and first <= hits[-1][1] and first >= hits[-1][0]:
-                hits[-1] = (hits[-1][0], max(hits[-1][1], first + n))
-            else:
-                hits.append((first, first + n))
-            items.update(which)
+        most = self.size - self.run
+        for last, (pattern, length, whole, places) in self.inner.iter("".join([get(w, none) for w in words])):
+            end = (last + 1) // width
+            start = end - length
+            if whole:
+                hits.append((start, end))
+                items.update(whole)
+            if places:
+                text = text or "".join([self.symbols.get(w, _symbol(0)) for w in words])
+                before = min(start, most)
+                key = (pattern, before, text[start - before : end + most])
+                around = self.memo.get(key)
+                if around is None:
+                    if len(self.memo) >= MEMO_ENTRIES:
+                        self.memo.clear()
+                    around = self.memo[key] = self._around(text, start, places)
+                for left, right, k in around:
+                    hits.append((start - left, end + right))
+                    items.add(k)
         return merged(hits), items
 
 
@@ -108,67 +175,63 @@ def original(text: str, hits: list[tuple[int, int]]) -> list[dict]:
 FOUND = "n_words bigint, hits array<struct<start:bigint,end:bigint>>, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>"
 
 
-def _scan(docs: DataFrame, text: str, block: list[tuple[str | None, str]], size: int) -> DataFrame:
-    """docs with FOUND for one block of items; word stretches are in hits, code points in spans."""
-    sent = docs.sparkSession.sparkContext.broadcast(block)
-    pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_held: dict[tuple[str, int], Automaton] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton(sent.value, size)
-        for batch in batches:
-            counts, hits, items, spans = [], [], [], []
-            for t in batch[text].to_pylist():
-                words = normalised(t)
-                found, which = automaton.scan(words)
-                counts.append(len(words))
-                hits.append([{"start": a, "end": b} for a, b in found])
-                items.append(sorted({i for k in which if (i := automaton.ids[k]) is not None}))
-                spans.append(original(t or "", found))
-            more = [pa.array(counts, pa.int64()), pa.array(hits, pairs), pa.array(items, pa.list_(pa.string())), pa.array(spans, pairs)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "n_words", "hits", "item_ids", "spans"])
 
-    from pyspark.sql.types import StructType
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *StructType.fromDDL(FOUND).fields]))
+def _automaton(run: str, block: int, items: list[tuple[str | None, str]], size: int) -> Automaton:
+    """A block's automaton, built once by each worker while it keeps no more than HELD_BLOCKS."""
+    key = (run, block)
+    if key not in _held:
+        while len(_held) >= HELD_BLOCKS:
+            del _held[next(iter(_held))]
+        _held[key] = Automaton(items, size)
+    return _held[key]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = WINDOW_WORDS, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
     """doc_id, with carry the whole row as a struct, n_words, hits (stretches of words), item_ids (sorted), spans (code points) and n_hit."""
-    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text"))
+    items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.octet_length("text").cast("bigint") + 64)).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    n_hit = F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, h: a + h["end"] - h["start"]).alias("n_hit")
-    kept = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] * carry
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("__text"), *kept)
-    kept = ["row"] * carry
     part = lambda k: [(r["id"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect()]
-    if blocks == 1:
-        return _scan(rows, "__text", part(0), size).select("doc_id", *kept, "n_words", "hits", "item_ids", "spans", n_hit)
-    # Rows are told apart by id and text; equal ones have equal results.
-    bare = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("__text")).withColumn("h", F.xxhash64("__text"))
-    each = [_scan(bare, "__text", part(k), size).filter(F.size("hits") > 0).select("doc_id", "h", "hits", "item_ids") for k in range(blocks)]
-    union = each[0]
-    for more in each[1:]:
-        union = union.union(more)
-    found = union.groupBy("doc_id", "h").agg(F.flatten(F.collect_set("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"))
-    found = written(found.select(F.col("doc_id").alias("f_id"), F.col("h").alias("f_h"), F.col("hits").alias("f_hits"), F.col("item_ids").alias("f_ids")), "benchmark-hits")
-    rows = _scan(rows, "__text", [], size).drop("hits", "item_ids", "spans").withColumn("h", F.xxhash64("__text"))
-    joined = rows.join(found, rows["doc_id"].eqNullSafe(found["f_id"]) & rows["h"].eqNullSafe(found["f_h"]), "left")
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
-            hits = [merged([(h["start"], h["end"]) for h in x or []]) for x in batch["f_hits"].to_pylist()]
-            spans = [original(t or "", h) for t, h in zip(batch["__text"].to_pylist(), hits, strict=True)]
-            ids = [x or [] for x in batch["f_ids"].to_pylist()]
-            names = [n for n in batch.schema.names if n not in ("f_hits", "f_ids", "__text", "n_words")]
-            yield pa.RecordBatch.from_arrays([*(batch[n] for n in names), batch["n_words"], pa.array([[{"start": a, "end": b} for a, b in h] for h in hits], pairs), pa.array(ids, pa.list_(pa.string())), pa.array(spans, pairs)], names=[*names, "n_words", "hits", "item_ids", "spans"])
+    sent = [docs.sparkSession.sparkContext.broadcast(part(k)) for k in range(blocks)]  # one block at a time
+    name, pairs = uuid.uuid4().hex, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def judged(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits: list[list[list[tuple[int, int]]]] = [[[] for _ in range(b.num_rows)] for b in batches]
+        ids: list[list[set[str]]] = [[set() for _ in range(b.num_rows)] for b in batches]
+        counts: list[list[int]] = [[0] * b.num_rows for b in batches]
+        for k, block in enumerate(sent):
+            automaton = _automaton(name, k, block.value, size)
+            for n, batch in enumerate(batches):
+                for i, t in enumerate(batch["__text"].to_pylist()):
+                    words = normalised(t)
+                    counts[n][i] = len(words)
+                    found, which = automaton.scan(words)
+                    if found:
+                        hits[n][i] += found
+                        ids[n][i].update(x for j in which if (x := automaton.ids[j]) is not None)
+        for n, batch in enumerate(batches):
+            found = [merged(h) if h else [] for h in hits[n]]
+            spans = [original(t.as_py() or "", h) if h else [] for t, h in zip(batch["__text"], found, strict=True)]
+            more = [pa.array(counts[n], pa.int64()), pa.array([[{"start": a, "end": b} for a, b in h] for h in found], pairs), pa.array([sorted(x) for x in ids[n]], pa.list_(pa.string())), pa.array(spans, pairs)]
+            kept = [c for c in batch.schema.names if c != "__text"]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), *more], names=[*kept, "n_words", "hits", "item_ids", "spans"])
 
-    from pyspark.sql.types import StructType
-
-    names = [f for f in rows.schema.fields if f.name not in ("__text", "n_words", "h")]
-    out = joined.drop("h", "f_id", "f_h").mapInArrow(settle, StructType([*names, *StructType.fromDDL(FOUND).fields]))
-    return out.select("doc_id", *kept, "n_words", "hits", "item_ids", "spans", n_hit)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if blocks <= HELD_BLOCKS or sum(b.nbytes for b in held) >= HOLD_BYTES:
+                yield from judged(held)
+                held = []
+        if held:
+            yield from judged(held)
+
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *[F.struct(*(docs[c] for c in docs.columns)).alias("row")] * carry, F.col(text).cast("string").alias("__text"))
+    fields = [f for f in rows.schema.fields if f.name != "__text"]
+    out = rows.mapInArrow(run, StructType([*fields, *StructType.fromDDL(FOUND).fields]))
+    return out.select("*", F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, h: a + h["end"] - h["start"]).alias("n_hit"))
 
 
 def contaminated(n_words, n_hit):

@@ -182,6 +182,52 @@ def test_decontamination(spark, docs, rows, none, block_bytes):
     assert decontaminate.clean(short, bench).columns == docs.columns
 
 
+@pytest.mark.parametrize("size", [13, 5, 2, 1])
+def test_automaton_finds_what_comparing_finds(size):
+    """Few different words, so that windows repeat within and among items, and runs lie close to either end."""
+    rng = random.Random(size)
+    for _ in range(150):
+        words = [f"w{i}" for i in range(rng.choice([1, 2, 3, 200]))]
+        items = [(i % 5, " ".join(rng.choices(words, k=rng.choice([0, 1, 3, 7, 12, 13, 14, 20, 40])))) for i in range(rng.randint(1, 8))]
+        text = " ".join(rng.choices([*words, "other"], k=rng.randint(0, 30)))
+        for _ in range(3):
+            said = rng.choice(items)[1].split()
+            a = rng.randint(0, len(said))
+            text += " " + " ".join(said[a : a + rng.randint(0, 30)]) + rng.choice(["", " other"])
+        automaton = decontaminate.Automaton([(str(i), t) for i, t in items], size)
+        hits, which = automaton.scan(decontaminate.normalised(text))
+        n, hit, ids = brute_hits(text, items, size)
+        assert sum(b - a for a, b in hits) == hit and sorted({automaton.ids[k] for k in which}) == ids
+
+
+def test_automaton_stays_small_and_quick():
+    """A megabyte of items takes tens of megabytes; one word over and over, and many items with one passage, are no trouble."""
+    import time
+    import tracemalloc
+
+    rng = random.Random(2)
+    tracemalloc.start()
+    automaton = decontaminate.Automaton([(str(i), " ".join(f"x{int(rng.paretovariate(0.5))}" for _ in range(60))) for i in range(2500)])
+    assert tracemalloc.get_traced_memory()[1] + automaton.inner.get_stats()["total_size"] < 120 << 20
+    tracemalloc.stop()
+    began = time.time()
+    same = decontaminate.Automaton([("a", "the " * 20_000), *((str(i), "one passage that all of them share with each other word for word here") for i in range(2000))])
+    hits, which = same.scan(decontaminate.normalised("the " * 50_000 + "one passage that all of them share with each other word for word here " * 200))
+    assert hits == [(0, 50_000 + 200 * 14)] and len(which) == 2001
+    assert time.time() - began < 30
+
+
+def test_decontamination_holds_texts_for_many_blocks(spark, docs, rows, monkeypatch):
+    """More blocks than a worker keeps, and texts held in small lots, change nothing."""
+    items = [(i, (rows[15 + i][1] or "")[:400]) for i in range(12)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = decontaminate.digest(decontaminate.find(docs, bench)).collect()
+    monkeypatch.setattr(decontaminate, "HELD_BLOCKS", 2)
+    monkeypatch.setattr(decontaminate, "HOLD_BYTES", 10_000)
+    got = decontaminate.digest(decontaminate.find(docs, bench, block_bytes=600)).collect()
+    assert counted(got) == counted(want) and any(r["contaminated"] for r in got)
+
+
 # --- 3 --------------------------------------------------------------------------------------------------------
 
 
