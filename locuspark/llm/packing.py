@@ -15,7 +15,7 @@ same closed form one level down (``Turns``), so all of them get their shares ove
 sources the driver and the tasks hold one number each.
 
 Rows: null text is empty text (one end id); repeated rows are packed as often as they occur; a null source is
-a source of its own; an empty table gives no rows; further columns are ignored.
+a source of its own; an empty table gives no rows; ids of any type are kept as they are; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from locuspark.llm.bpe import ByteBpe
 from locuspark.storage import written
@@ -40,8 +41,9 @@ MIN_QUANTUM = 64
 #: Largest table of bases that is broadcast, in rows of about 40 bytes; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
-PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string"
-_TOKENS = "doc_id bigint, source string, part int, local_start bigint, doc_tokens bigint, payload binary"
+#: The columns of pieces, behind doc_id.
+PIECES = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string"
+_TOKENS = "source string, part int, local_start bigint, doc_tokens bigint, payload binary"
 
 
 def tokenised(docs: DataFrame, tokenizer: str, doc_id: Column, text: Column, source: Column, end_id: int) -> DataFrame:
@@ -64,8 +66,8 @@ def tokenised(docs: DataFrame, tokenizer: str, doc_id: Column, text: Column, sou
                     names=["doc_id", "source", "part", "local_start", "doc_tokens", "payload"],
                 )
 
-    rows = docs.select(doc_id.cast("bigint").alias("doc_id"), text.cast("string").alias("text"), source.cast("string").alias("source"), F.spark_partition_id().alias("part"))
-    return rows.mapInArrow(run, _TOKENS)
+    rows = docs.select(doc_id.alias("doc_id"), text.cast("string").alias("text"), source.cast("string").alias("source"), F.spark_partition_id().alias("part"))
+    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], *StructType.fromDDL(_TOKENS).fields]))
 
 
 class Schedule:
@@ -235,8 +237,9 @@ def pack(
         turns = {q: Turns(n, min_quantum) for q, n in members.items()}
         for batch in batches:
             rows: list[tuple] = []
+            docs: list[int] = []  # rows of the batch that the pieces belong to
             ids: list[bytes] = []
-            for doc, src, n, payload, queue, member, begin in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+            for row, (src, n, payload, queue, member, begin) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True)):
                 wide = np.frombuffer(payload, dtype="<u2" if len(payload) == 2 * n else "<u4").astype("<u4").tobytes()
                 wide, start = memoryview(wide), 0
                 inside = turns[queue].runs(member, begin, n) if queue in turns else ((begin, n),)
@@ -244,21 +247,22 @@ def pack(
                     end = start + 4 * length
                     piece = wide[start:end]
                     window, offset = divmod(where, size)
-                    rows.append((doc, start >> 2, length, crc(piece), n, window, offset, src))
+                    docs.append(row)
+                    rows.append((start >> 2, length, crc(piece), n, window, offset, src))
                     if with_ids:
                         ids.append(bytes(piece))
                     start = end
                 if len(rows) >= 50_000:
-                    yield _batch(rows, ids, with_ids)
-                    rows, ids = [], []
-            yield _batch(rows, ids, with_ids)
+                    yield _batch(batch.column(0), docs, rows, ids, with_ids)
+                    rows, docs, ids = [], [], []
+            yield _batch(batch.column(0), docs, rows, ids, with_ids)
 
-    return ready.mapInArrow(place, PIECES + (", ids binary" if with_ids else ""))
+    return ready.mapInArrow(place, StructType([ready.schema["doc_id"], *StructType.fromDDL(PIECES + (", ids binary" if with_ids else "")).fields]))
 
 
-def _batch(rows: list[tuple], ids: list[bytes], with_ids: bool) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 7 + [pa.string()]
-    names = [x.split()[0] for x in PIECES.split(", ")]
-    columns = zip(*rows, strict=True) if rows else [[]] * 8
-    arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+def _batch(keys: pa.Array, docs: list[int], rows: list[tuple], ids: list[bytes], with_ids: bool) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 6 + [pa.string()]
+    names = ["doc_id", *(x.split()[0] for x in PIECES.split(", "))]
+    columns = zip(*rows, strict=True) if rows else [[]] * 7
+    arrays = [keys.take(pa.array(docs, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
     return pa.RecordBatch.from_arrays([*arrays, pa.array(ids, pa.binary())] if with_ids else arrays, names=names + ["ids"] * with_ids)

@@ -9,8 +9,8 @@ Nodes that end up as personal data outside the base spans become added spans; th
 The field is trained on documents made by ``training_documents`` (TRAIN_DOCS of them, a fixed seed) by
 pseudo-likelihood; nothing is learned from the corpus.
 
-Rows: null text is empty; repeated rows are scanned each for itself; an empty table gives no rows; further columns are
-ignored.  All scans are linear in the text's length.
+Rows: null text is empty; repeated rows are scanned each for itself; an empty table gives no rows; ids of any type are
+kept as they are; further columns are ignored.  All scans are linear in the text's length.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
@@ -348,7 +349,7 @@ def trained(documents: int = TRAIN_DOCS, seed: int = 7) -> Model:
 
 # --- Spark ----------------------------------------------------------------------------------------------------
 
-FOUND = "doc_id bigint, base array<struct<kind:int,start:bigint,end:bigint>>, added array<struct<kind:int,start:bigint,end:bigint>>"
+FOUND = "base array<struct<kind:int,start:bigint,end:bigint>>, added array<struct<kind:int,start:bigint,end:bigint>>"
 
 
 def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -365,7 +366,8 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
                 added.append(model.added(t or "", base[-1]))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], rows(base), rows(added)], names=["doc_id", "base", "added"])
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, FOUND)
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], *StructType.fromDDL(FOUND).fields]))
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -13,8 +13,9 @@ neighbours that a key's 24 free bits leave.  Components of the forest's edges ar
 contraction on tables in the shared folder; nothing but counts reaches the driver.
 
 Rows: null or wordless text has fingerprint zero and is linked like any other; fewer words than a shingle give one
-shingle of them all; every row of the table counts, also repeated ones; an empty table gives no rows; further
-columns are ignored.  A null doc_id keeps its row, and a component of such rows only has a null id.
+shingle of them all; every row of the table counts, also repeated ones; an empty table gives no rows; ids of any
+type that has an order are kept as they are; further columns are ignored.  A null doc_id keeps its row, and a component
+of such rows only has a null id.
 """
 
 from __future__ import annotations
@@ -23,15 +24,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from locuspark.llm.native import join_hot
 from locuspark.storage import written
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
 BUDGET = 2
 SEGMENTS, SEGMENT_BITS = 8, 8
+#: So many edges at most are joined up in one task; more go through rounds on tables.  Both are exact.
+SMALL_EDGES = 16_384
+#: A fingerprint of more rows than this is dealt over several tasks when its rows meet their component.
+HOT_ROWS = 1_000_000
 #: Shingles whose bits are counted at once by a worker.
 CHUNK = 1 << 19
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -71,14 +78,19 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): fp is the fingerprint as a signed long, text_hash tells texts apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t) for t in batch["text"].to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(found, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], rows.schema["text_hash"], StructField("fp", LongType())]))
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
 
 # --- candidates -----------------------------------------------------------------------------------------------
@@ -187,14 +199,26 @@ def links(fps: DataFrame) -> DataFrame:
 # --- components -----------------------------------------------------------------------------------------------
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    edges = [(u, v) for batch in batches for u, v in zip(batch["u"].to_pylist(), batch["v"].to_pylist(), strict=True)]
+    names = sorted({x for e in edges for x in e})
+    index = {x: i for i, x in enumerate(names)}
+    forest = Forest(len(names))
+    for u, v in edges:
+        forest.join(index[u], index[v])
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([names[forest.root(i)] for i in range(len(names))], pa.int64())], names=["node", "root"])
+
+
+def components(edges: DataFrame, *, small: int = SMALL_EDGES) -> DataFrame:
     """(node, root) for every node of an edge: root is the component's smallest node.
 
-    Alternating star contraction: each round points every larger neighbour, then every smaller one, at the least
+    Few edges, by count, are joined up in one task.  Alternating star contraction: each round points every larger neighbour, then every smaller one, at the least
     neighbour.  A round keeps at most as many edges as there were, and the number of rounds grows with the
     logarithm of the nodes.  Joins split a hub's rows; nothing gathers the neighbours of a node.
     """
     edges = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
+    if edges.count() <= small:
+        return edges.repartition(1).mapInArrow(_joined_up, "node bigint, root bigint")
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -212,26 +236,45 @@ def components(edges: DataFrame) -> DataFrame:
     return nodes.union(nodes.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row: component_id is the smallest doc_id reachable by links."""
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The rows' fingerprints, and of each distinct one its component's root and smallest doc_id, and its rows."""
     prints = written(fingerprints(docs, doc_id, text), "simhash-docs")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "simhash-distinct")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_rows")), "simhash-distinct")
     roots = components(written(links(distinct.select("fp")), "simhash-links"))
-    placed = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "first_doc")
-    placed = written(placed, "simhash-roots")
+    placed = written(distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "first_doc", "n_rows"), "simhash-roots")
     ids = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    of_linked = placed.join(ids, "root").select("fp", "component_id")
-    alone = distinct.join(placed.select("fp"), "fp", "left_anti").select("fp", F.col("first_doc").alias("component_id"))
-    classes = written(of_linked.union(alone), "simhash-classes")
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    of_linked = placed.join(ids, "root").select("fp", "root", "component_id", "n_rows")
+    alone = distinct.join(placed.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("first_doc").alias("component_id"), "n_rows")
+    return prints, written(of_linked.union(alone), "simhash-classes")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row: component_id is the smallest doc_id reachable by links."""
+    prints, found = classes(docs, doc_id, text)
+    rows = join_hot(prints.select("doc_id", "fp"), found.select("fp", "component_id", "n_rows"), ["fp"], "n_rows", "doc_id", most=hot_rows)
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that a smaller doc_id of their component stands for.
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """docs with one row of each component: of its smallest doc_id, and of several texts with that id the least by hash.
 
-    Only the ids that go are shuffled against the texts.  Rows with a null doc_id stay, and so do rows that repeat
-    the kept id.
+    Rows are told apart by id and text, so a row is never lost to another one that only shares its id; of rows that
+    share both, one stays.  Only ids and hashes are shuffled against the texts.  Null ids count as the largest.
     """
-    found = near_duplicates(docs, doc_id, text)
-    gone = written(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct(), "simhash-gone")
-    return docs.join(gone, docs[doc_id] == gone["gone_id"], "left_anti")
+    prints, found = classes(docs, doc_id, text)
+    keyed = prints.groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("repeats"))
+    keyed = written(join_hot(keyed, found.select("fp", "root", "n_rows"), ["fp"], "n_rows", "text_hash", most=hot_rows), "simhash-keyed")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
+    first = keyed.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n_keys"))
+    # A component with one key has nothing to give up; the others' keys meet their first, a hot component's in several tasks.
+    several = join_hot(keyed, first.filter("n_keys > 1"), ["root"], "n_keys", "text_hash", most=hot_rows)
+    gone = several.filter(order != F.col("first")).select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"))
+    gone = written(gone, "simhash-gone")
+    key = lambda i, h: F.col("_id").eqNullSafe(F.col(i)) & (F.col("_hash") == F.col(h))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("_row"), F.col(doc_id).alias("_id"), text_hash(F.col(text)).alias("_hash"))
+    kept = rows.join(gone, key("g_id", "g_hash"), "left_anti")
+    again = written(keyed.filter("repeats > 1").select(F.col("doc_id").alias("r_id"), F.col("text_hash").alias("r_hash")), "simhash-again")
+    if again.isEmpty():
+        return kept.select("_row.*")
+    once = kept.join(again, key("r_id", "r_hash"), "left_semi").groupBy("_id", "_hash").agg(F.first("_row").alias("_row"))
+    return kept.join(again, key("r_id", "r_hash"), "left_anti").select("_row.*").union(once.select("_row.*"))

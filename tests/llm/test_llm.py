@@ -425,11 +425,13 @@ def tokenizer():
     return Tokenizer.from_file(queries.tokenizer_path())
 
 
-def test_encoder_equals_whole_texts(tokenizer):
+def test_encoder_equals_whole_texts(tokenizer, monkeypatch):
     rng = random.Random(1)
     alphabet = [" ", "  ", "\n", "\t", "a", "é", "1", "'s", "　", "\x85", "\x1c", "<|endoftext|>", "..", "word", " b", "x", "漢", "​"]
     some = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(5000)] + [t or "" for t in texts()]
     bpe = ByteBpe(queries.tokenizer_path())
+    monkeypatch.setattr("locuspark.llm.bpe.MEMO_ENTRIES", 500)
+    monkeypatch.setattr("locuspark.llm.bpe.CHUNK_BYTES", 30_000)
     for t, raw in zip(some, bpe.encode_batch(pa.array(some)), strict=True):
         assert np.frombuffer(raw, bpe.dtype).tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
 
@@ -482,6 +484,23 @@ def test_schedule_fills_windows_to_the_mixture():
             assert all(abs(c - 256 * t / sum(totals)) <= 8 for c, t in zip(counts, totals, strict=True))
 
 
+def test_windows_keep_explicit_targets(spark, tokenizer):
+    """Each full window holds each source's target share while the source lasts; ids of text are kept."""
+    data = [(f"d{i}", "alpha beta gamma delta " * 300, ["a", "b", "c"][i % 3]) for i in range(120)]
+    docs = spark.createDataFrame(data, "doc_id string, text string, source string").repartition(3)
+    got = packing.pack(docs, queries.tokenizer_path(), targets={"a": 0.5, "b": 0.3}).collect()
+    assert {r["doc_id"] for r in got} == {d for d, _, _ in data}
+    seen: dict[int, dict[str, int]] = {}
+    for r in got:
+        seen.setdefault(r["sequence_id"], {}).setdefault(r["source"], 0)
+        seen[r["sequence_id"]][r["source"]] += r["length"]
+    tokens = sum(r["length"] for r in got if r["source"] == "a")
+    lasting = int(tokens / (0.5 * 2048)) - 1  # windows until a, the first to run dry, has
+    assert lasting > 5
+    for w in range(lasting):
+        assert all(abs(seen[w][s] - 2048 * p) <= 1 for s, p in (("a", 0.5), ("b", 0.3), ("c", 0.2))), (w, seen[w])
+
+
 def test_turns_place_every_token_once():
     rng = random.Random(8)
     for count in (1, 2, 33, 1100):
@@ -573,7 +592,22 @@ def test_simhash(docs, rows, none):
     assert counted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got) == want
     assert simhash.near_duplicates(none).count() == 0
     kept = simhash.keep_first(docs)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {r[2] for r in want}
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted({r[2] for r in want})
+
+
+@pytest.mark.parametrize("hot", [simhash.HOT_ROWS, 2])
+def test_keep_first_tells_rows_apart(spark, hot):
+    """Ids that several rows share, null ids, repeated rows and hot groups: one row of each component, and no text lost."""
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcdefg"}
+    data = [("3", "a"), ("5", "b"), ("5", "a"), ("7", "c"), ("7", "c"), (None, "d"), (None, "a"), (None, "e"), (None, "e"), ("9", "f"), ("9", "g"), *[(str(20 + i), "g") for i in range(30)]]
+    rows = [(i, text[c], c) for i, c in data]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, fp string").repartition(3)
+    kept = simhash.keep_first(docs, hot_rows=hot)
+    got = sorted(((r["doc_id"], r["fp"]) for r in kept.collect()), key=str)
+    assert kept.columns == docs.columns
+    assert got == sorted([("3", "a"), ("5", "b"), ("7", "c"), (None, "d"), (None, "e"), ("9", "f"), ("20", "g")], key=str)
+    found = simhash.near_duplicates(docs, hot_rows=hot).collect()
+    assert len(found) == len(rows) and counted(r["component_id"] for r in found)["20"] == 31
 
 
 def test_simhash_links_large_keys():
@@ -594,9 +628,11 @@ def test_simhash_links_large_keys():
     assert grouped(simhash.links_in_key(values, chain)) == grouped(every)
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("small", [0, simhash.SMALL_EDGES])
+def test_components_of_chains_and_stars(spark, small):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(-5, 3)]
-    got = dict(simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
+    got = dict(simhash.components(spark.createDataFrame(edges, "a bigint, b bigint"), small=small).collect())
+    assert simhash.components(spark.createDataFrame([], "a bigint, b bigint"), small=small).count() == 0
     assert all(got[i] == -5 for i in range(41)) and all(got[100 + i] == 100 for i in range(60)) and len(got) == 102
 
 
