@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from locuspark.llm.bpe import ByteBpe
+from locuspark.llm.bpe import encoder
 from locuspark.storage import written
 
 WINDOW_TOKENS = 2048
@@ -50,7 +50,7 @@ def tokenised(docs: DataFrame, tokenizer: str, doc_id: Column, text: Column, sou
     """Ids of each document as raw bytes, with the tokens of its source that its task wrote before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(tokenizer)
+        bpe = encoder(tokenizer)
         width, end = bpe.dtype.itemsize, np.array([end_id], dtype=bpe.dtype).tobytes()
         so_far: dict[str | None, int] = {}
         for batch in batches:

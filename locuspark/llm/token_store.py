@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from locuspark.llm.bpe import ByteBpe
+from locuspark.llm.bpe import encoder
 from locuspark.storage import new_folder, written
 
 END_ID = 2
@@ -166,7 +166,7 @@ def write(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
     shards = max(1, -(-total // shard_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, shard = ByteBpe(tokenizer), TaskContext.get().partitionId()
+        bpe, shard = encoder(tokenizer), TaskContext.get().partitionId()
         attempt, width = TaskContext.get().taskAttemptId(), bpe.dtype.itemsize
         end = np.array([end_id], dtype=bpe.dtype).tobytes()
         offsets, out = [0], []
@@ -202,7 +202,7 @@ def write(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
         return pa.table({"bucket": table["bucket"][:1], "blob": pa.array([build(table["key"].to_numpy(), values)], pa.binary())})
 
     keyed.groupBy("bucket").applyInArrow(index, "bucket int, blob binary").write.parquet(f"{path}/index")
-    return Store(path, str(ByteBpe(tokenizer).dtype.str), buckets, counts)
+    return Store(path, str(encoder(tokenizer).dtype.str), buckets, counts)
 
 
 def _bucket(buckets: int):
