@@ -6,12 +6,15 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: White space of words: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
 #: Values of a block of prefix(), and code points of a chunk of cutter().
 BLOCK, CHUNK = 64, 1000
+#: Keys whose prefix sums are one window of before().
+GROUP = 8192
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -60,6 +63,19 @@ def cutter(text: Column, use: Callable[[Callable[[Column, Column], Column]], Col
     return let(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0)), with_chunks)
 
 
+def before(table: DataFrame, key: str, amount: str, name: str) -> DataFrame:
+    """key and name: the sum of amount over all smaller keys, whole numbers from 0 on, each in one row.
+
+    In two levels, so that one task has the sums of GROUP keys each, not the keys.
+    """
+    group = F.floor(F.col(key) / GROUP).alias("_group")
+    rows = table.select(F.col(key), F.col(amount).alias("_amount"), group)
+    preceding = lambda w: F.coalesce(F.sum("_amount").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = rows.groupBy("_group").agg(F.sum("_amount").alias("_amount")).select("_group", preceding(W.orderBy("_group")).alias("_base"))
+    inside = rows.select(key, "_group", preceding(W.partitionBy("_group").orderBy(key)).alias("_local"))
+    return inside.join(groups, "_group").select(key, (F.col("_base") + F.col("_local")).cast("bigint").alias(name))
+
+
 def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], copies: str, by: str, *, most: int) -> DataFrame:
     """rows joined to table on keys; a key with more than ``most`` rows is dealt over several tasks.
 

@@ -1,16 +1,18 @@
 """Two-pass external shuffle into shards, in SQL functions only.
 
-Pass one scatters records uniformly into memory-sized buckets by a seeded hash of their content.  Pass two permutes
-each bucket with a seeded Fisher-Yates shuffle (the SQL function shuffle) and writes it.  The law is ``rows``: with
-buckets laid end to end, record number i goes to shard i mod shards, slot i div shards, so shard counts
-differ by one at most, and neighbours in a bucket go to different shards.
+Pass one scatters records uniformly into memory-sized buckets by a seeded hash of their content.  Pass two sorts each
+bucket by content, permutes it with a seeded Fisher-Yates shuffle (the SQL function shuffle) and writes it.  The
+generator of that function runs through a task's buckets in turn, so these are sorted by number first: seed and
+records alone decide the order.  The law is ``rows``: with buckets laid end to end, record number i goes to shard
+i mod shards, slot i div shards, so shard counts differ by one at most, and neighbours in a bucket go to different shards.
 
-A bucket holds about ``bucket_bytes``; their number follows from the table's size.  Should one bucket get
-several times its share (only rows with the same id and text can bring that about), its rows are dealt over further
-buckets.  Pass two is written before places are counted, so a task that runs again can't change them.
+A bucket holds about ``bucket_bytes``; their number follows from the table's size, and a task has TASK_BUCKETS of them at
+most.  Should one bucket get several times its share (only rows with the same id and text can bring that about), its
+rows are dealt over further buckets.  Pass two is written before places are counted, so a task that runs again can't
+change them.
 
 Rows: null text has no bytes; a null or repeated doc_id is a record like any other; an empty table gives no rows;
-further columns are carried along when ``with_rows`` asks for the records.
+further columns are carried along in the records.
 """
 
 from __future__ import annotations
@@ -19,11 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locuspark.llm.native import before
 from locuspark.storage import written
 
 SHARDS = 24
 SEED = 20
 BUCKET_BYTES = 4 << 20
+TASK_BUCKETS = 16
+#: Tasks of pass two where there are buckets enough, however small the table is.
+LEAST_TASKS = 64
 #: A bucket with so many times its share is dealt out further.
 OVERFULL = 4
 #: Buckets' first places: so many rows of 16 bytes are broadcast at most; beyond it the join shuffles.
@@ -57,22 +63,20 @@ def scattered(rows: DataFrame, doc_id: str, text: str, seed: int, bucket_bytes:
     return rows, buckets
 
 
-def shuffled(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def shuffled(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, broadcast_buckets: int = BROADCAST_BUCKETS) -> DataFrame:
     """The records in shuffled order: (bucket, place, record columns, shard, slot), written to the shared folder."""
     columns = docs.columns
     packed = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"), F.struct(*(docs[c] for c in columns)).alias("record"))
     rows, buckets = scattered(packed, "_id", "_text", seed, bucket_bytes)
     size = record_size(F.col("_text")).alias("size")
     records = rows.select("bucket", F.struct(F.xxhash64(F.lit(seed + 1), "_id", "_text").alias("h"), "record", size, F.crc32(F.coalesce("_text", F.lit("")).cast("binary")).alias("text_crc32")).alias("r"))
-    gathered = records.repartition(max(1, min(buckets, 20_000)), "bucket").groupBy("bucket").agg(F.collect_list("r").alias("rs"))
-    # Sorted first: the order in which records arrive must not matter for the permutation.
-    permuted = gathered.select("bucket", F.shuffle(F.array_sort("rs", lambda a, b: _order(a, b)), seed).alias("rs"))
+    tasks = max(-(-buckets // TASK_BUCKETS), min(buckets, LEAST_TASKS))
+    gathered = records.repartition(tasks, "bucket").groupBy("bucket").agg(F.array_sort(F.collect_list("r"), _order).alias("rs"))
+    permuted = gathered.sortWithinPartitions("bucket").select("bucket", F.shuffle("rs", seed).alias("rs"))
     done = written(permuted.select("bucket", F.posexplode("rs").alias("place", "r")).select("bucket", "place", "r.record", "r.size", "r.text_crc32"), "shuffle-buckets")
     counts = written(done.groupBy("bucket").agg(F.count("*").alias("n")), "shuffle-counts")
-    # Buckets number one for every few MB of input; their prefix sums are one small sorted task.
-    first = counts.select("bucket", F.coalesce(F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    first = written(first, "shuffle-first")
-    placed = done.join(F.broadcast(first) if first.count() <= BROADCAST_BUCKETS else first, "bucket")
+    first = written(before(counts, "bucket", "n", "first"), "shuffle-first")
+    placed = done.join(F.broadcast(first) if first.count() <= broadcast_buckets else first, "bucket")
     number = F.col("first") + F.col("place")
     return placed.select("record", "size", "text_crc32", (number % shards).cast("int").alias("shard"), F.floor(number / shards).cast("bigint").alias("slot"))
 

@@ -2,14 +2,16 @@
 
 Format, in one folder: ``shard-NNNNNN.bin`` holds the ids of consecutive records, little-endian uint16 or, for
 vocabularies over 65,536, uint32; ``shard-NNNNNN.off`` holds uint64 positions, in tokens, of each record's start
-and of the end.  Records lie in ascending order of their key.  ``index`` is a Parquet table (bucket, blob): a key
-belongs to the bucket xxhash64(key) mod buckets, and its blob is a minimal perfect hash of the bucket's keys onto
-slots that store a fingerprint, the shard, the first record and the number of records with that key.  A look-up
-costs one bucket, one hash, one fingerprint comparison and one read, however large the store is.
+and of the end.  Records lie in ascending order of their key.  A key belongs to the bucket xxhash64(key) mod buckets;
+``index-NNNNNN.mph`` holds FILE_BUCKETS buckets: first uint64 positions of each bucket's blob and of the end, then the
+blobs.  A blob is a minimal perfect hash of the bucket's keys onto slots that store a fingerprint, the shard, the first
+record and the number of records with that key.  A look-up costs a hash, and four reads of bounded size however large
+the store is: the bucket's position, its blob, the record's offsets, and its ids.
 
 Rows: null text is empty text (one end id); rows with one key lie side by side, by text, and one look-up finds
-them all; a null key sorts first and is found as None; an empty table makes an empty store.  Shards are written
-under a task's own name and then renamed, so a task that runs twice leaves one whole file.
+them all; a null key sorts first and is found as None; an empty table makes an empty store; keys are whole numbers, and
+other types are refused before anything is read.  Shards are written under a task's own name and then renamed, so a task
+that runs twice leaves one whole file.
 """
 
 from __future__ import annotations
@@ -21,19 +23,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql.types import IntegralType
 
 from locuspark.llm.bpe import encoder
+from locuspark.llm.native import before
 from locuspark.storage import new_folder, written
 
 END_ID = 2
-#: UTF-8 bytes of text for a shard, and keys for an index bucket.
+#: UTF-8 bytes of text for a shard, keys for an index bucket, and buckets for an index file.
 SHARD_BYTES = 16 << 20
 BUCKET_KEYS = 4096
+FILE_BUCKETS = 64
 #: Bits of a hash level for each key that it has to place.
 GAMMA = 2.0
 #: The key that stands for null.
@@ -57,10 +62,11 @@ def _save(uri: str, name: str, attempt: int, chunks: Iterator[bytes]) -> None:
     system.move(own, final)
 
 
-def _load(uri: str, name: str) -> bytes:
+def _load(uri: str, name: str, at: int = 0, size: int | None = None) -> bytes:
+    """A file, or so many bytes of it from a position on."""
     system, folder = _open(uri)
     with system.open_input_file(f"{folder}/{name}") as f:
-        return f.read()
+        return f.read() if size is None else f.read_at(size, at)
 
 
 # --- minimal perfect hash -------------------------------------------------------------------------------------
@@ -136,21 +142,26 @@ class Store:
     buckets: int
     shards: DataFrame
 
-    def index(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema("bucket int, blob binary").parquet(f"{self.path}/index")
+    def get(self, key: int | None) -> list[np.ndarray]:
+        """The ids of the records with one key, by reads of bounded size; no job is run."""
+        k, kind = NULL_KEY if key is None else key, np.dtype(self.dtype)
+        hashed = xxhash.xxh64_intdigest(struct.pack("<q", k), 42)
+        bucket = (hashed - (1 << 64) if hashed >> 63 else hashed) % self.buckets
+        file, at = divmod(bucket, FILE_BUCKETS)
+        start, end = struct.unpack("<QQ", _load(self.path, f"index-{file:06d}.mph", 8 * at, 16))
+        shard, first, n = find(_load(self.path, f"index-{file:06d}.mph", start, end - start), np.array([k], dtype=np.int64))[0].tolist()
+        if not n:
+            return []
+        off = np.frombuffer(_load(self.path, f"shard-{shard:06d}.off", 8 * first, 8 * (n + 1)), "<u8").astype(np.int64)
+        ids = np.frombuffer(_load(self.path, f"shard-{shard:06d}.bin", int(off[0]) * kind.itemsize, int(off[-1] - off[0]) * kind.itemsize), kind)
+        return np.split(ids, (off[1:-1] - off[0]).tolist())
 
-    def get(self, spark: SparkSession, key: int | None) -> list[np.ndarray]:
-        """The ids of the records with one key."""
-        k = NULL_KEY if key is None else key
-        bucket = xxhash.xxh64_intdigest(struct.pack("<q", k), 42)
-        bucket = (bucket - (1 << 64) if bucket >> 63 else bucket) % self.buckets
-        for row in self.index(spark).filter(F.col("bucket") == bucket).collect():
-            shard, first, n = find(bytes(row["blob"]), np.array([k], dtype=np.int64))[0]
-            off = np.frombuffer(_load(self.path, f"shard-{shard:06d}.off"), "<u8").astype(np.int64)
-            kind, (system, folder) = np.dtype(self.dtype), _open(self.path)
-            with system.open_input_file(f"{folder}/shard-{shard:06d}.bin") as f:
-                return [np.frombuffer(f.read_at(int(off[r + 1] - off[r]) * kind.itemsize, int(off[r]) * kind.itemsize), kind) for r in range(first, first + n)]
-        return []
+
+def _key(df: DataFrame, column: str) -> Column:
+    """The key of a row; an id that isn't a whole number is refused."""
+    if not isinstance(df.schema[column].dataType, IntegralType):
+        raise ValueError(f"keys are whole numbers; {column} is {df.schema[column].dataType.simpleString()}")
+    return F.coalesce(F.col(column).cast("bigint"), F.lit(NULL_KEY)).alias("key")
 
 
 def write(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = END_ID, path: str | None = None, shard_bytes: int = SHARD_BYTES) -> Store:
@@ -161,7 +172,7 @@ def write(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
     """
     spark = docs.sparkSession
     path = path or new_folder(spark, "tokens")
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_KEY)).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(_key(docs, doc_id), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
 
@@ -195,45 +206,60 @@ def write(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
     counts = written(entries.groupBy("shard").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("records")), "tokens-shards")
     buckets = max(1, -(-(counts.agg(F.sum("records")).first()[0] or 0) // BUCKET_KEYS))
     keyed = entries.groupBy("key").agg(F.min(F.struct("shard", "record")).alias("at"), F.count("*").alias("records"))
-    keyed = keyed.select(_bucket(buckets), "key", F.col("at.shard").alias("shard"), F.col("at.record").alias("first"), "records")
+    keyed = keyed.select(F.col("key"), _bucket(buckets), _file(buckets), F.col("at.shard").alias("shard"), F.col("at.record").alias("first"), "records")
+    files = -(-buckets // FILE_BUCKETS)
+    # Every file is written, also one that no key falls into.
+    every = spark.range(files).select(F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("int").alias("bucket"), F.col("id").cast("int").alias("file"), *(F.lit(None).cast(t).alias(c) for c, t in (("shard", "int"), ("first", "bigint"), ("records", "bigint"))))
 
     def index(table: pa.Table) -> pa.Table:
+        file, table = table["file"][0].as_py(), table.filter(pc.is_valid(table["key"])).sort_by("bucket")
+        number, keys = table["bucket"].to_numpy(), table["key"].to_numpy()
         values = np.stack([table[c].to_numpy().astype(np.uint64) for c in ("shard", "first", "records")], axis=1)
-        return pa.table({"bucket": table["bucket"][:1], "blob": pa.array([build(table["key"].to_numpy(), values)], pa.binary())})
+        cuts = np.searchsorted(number, np.arange(file * FILE_BUCKETS, (file + 1) * FILE_BUCKETS + 1))
+        blobs = [build(keys[a:b], values[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        starts = 8 * (FILE_BUCKETS + 1) + np.cumsum([0, *map(len, blobs)])
+        _save(path, f"index-{file:06d}.mph", TaskContext.get().taskAttemptId(), iter([starts.astype("<u8").tobytes(), *blobs]))
+        return pa.table({"file": pa.array([file], pa.int32()), "keys": pa.array([len(keys)], pa.int64())})
 
-    keyed.groupBy("bucket").applyInArrow(index, "bucket int, blob binary").write.parquet(f"{path}/index")
+    written(keyed.unionByName(every).groupBy("file").applyInArrow(index, "file int, keys bigint"), "tokens-index")
     return Store(path, str(encoder(tokenizer).dtype.str), buckets, counts)
 
 
-def _bucket(buckets: int):
+def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int").alias("bucket")
 
 
+def _file(buckets: int) -> Column:
+    return F.floor(_bucket(buckets) / FILE_BUCKETS).cast("int").alias("file")
+
+
 READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
-def read(store: Store, keys: DataFrame, *, doc_id: str = "doc_id", with_ids: bool = False) -> DataFrame:
+def read(store: Store, keys: DataFrame, *, doc_id: str = "doc_id", with_ids: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Every stored record of the given keys: (doc_id, start in the whole store, n_tokens, ids_crc32[, ids]).
 
-    Keys meet their index bucket, then their shard; each shard is read once.  An unknown key gives no row.
+    Keys meet their index file, then their shard; each is read once.  An unknown key gives no row.
     """
-    spark = keys.sparkSession
-    wanted = keys.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NULL_KEY)).alias("key")).distinct().withColumn("bucket", _bucket(store.buckets).cast("int"))
+    wanted = keys.select(_key(keys, doc_id)).distinct().select("key", _bucket(store.buckets), _file(store.buckets))
+    path, kind = store.path, np.dtype(store.dtype)
 
-    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids = left["key"].to_numpy()
-        at = find(right["blob"][0].as_py(), ids) if right.num_rows else np.zeros((len(ids), 3), np.int64)
+    def look_up(table: pa.Table) -> pa.Table:
+        raw, table = _load(path, f"index-{table['file'][0].as_py():06d}.mph"), table.sort_by("bucket")
+        starts = np.frombuffer(raw, "<u8", FILE_BUCKETS + 1).astype(np.int64)
+        ids, number = table["key"].to_numpy(), table["bucket"].to_numpy()
+        cuts = [*np.unique(number, return_index=True)[1].tolist(), len(ids)]
+        at = np.concatenate([find(raw[starts[k] : starts[k + 1]], ids[a:b]) for a, b in zip(cuts, cuts[1:], strict=False) for k in [number[a] % FILE_BUCKETS]])
         have = at[:, 2] > 0
         return pa.table({"key": ids[have], "shard": at[have, 0].astype(np.int32), "first": at[have, 1], "records": at[have, 2]})
 
-    found = wanted.groupBy("bucket").cogroup(store.index(spark).groupBy("bucket")).applyInArrow(look_up, "key bigint, shard int, first bigint, records bigint")
+    found = wanted.groupBy("file").applyInArrow(look_up, "key bigint, shard int, first bigint, records bigint")
     # Shards number one for every 16 MB of text; their totals are prefix sums for the start of each.
-    bases = written(store.shards.select("shard", F.coalesce(F.sum("tokens").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base")), "tokens-bases")
-    if bases.count() <= BROADCAST_ROWS:
+    bases = written(before(store.shards, "shard", "tokens", "base"), "tokens-bases")
+    if bases.count() <= broadcast_rows:
         bases = F.broadcast(bases)
     n = max(1, store.shards.count())
     rows = found.join(bases, "shard").select("shard", "first", "records", "key", "base").repartition(n, "shard").sortWithinPartitions("shard", "first")
-    path, kind = store.path, np.dtype(store.dtype)
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, off, ids = None, None, None

@@ -454,8 +454,31 @@ def test_token_store(spark, docs, rows, none, tokenizer):
         ids = np.array([*tokenizer.encode(r[1] or "", add_special_tokens=False).ids, 2], dtype="<u4")
         assert (g["doc_id"], g["start"], g["n_tokens"], g["ids_crc32"]) == (r[0], at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
-    assert len(store.get(spark, rows[30][0])) == 3 and store.get(spark, 10**9) == []
-    assert token_store.read(token_store.write(none, queries.tokenizer_path()), none).count() == 0
+    for r in rows[:40]:
+        want = sorted([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for i, t, *_ in rows if i == r[0])
+        assert sorted(x.tolist() for x in store.get(r[0])) == want
+    assert store.get(10**9) == [] and store.get(None) == []
+    empty = token_store.write(none, queries.tokenizer_path())
+    assert token_store.read(empty, none).count() == 0 and empty.get(5) == []
+    few = token_store.read(store, docs.filter("doc_id in (3, 30)"), broadcast_rows=0, with_ids=True).collect()
+    assert counted(r["doc_id"] for r in few) == {3: 1, 30: 3} and all(zlib.crc32(r["ids"]) == r["ids_crc32"] for r in few)
+    with pytest.raises(ValueError, match="whole numbers"):
+        token_store.write(docs.withColumn("doc_id", F.col("doc_id").cast("string")), queries.tokenizer_path())
+
+
+def test_store_of_many_buckets(spark, monkeypatch):
+    """Keys over several index files, null and negative ones too; a look-up reads a bounded part of each file."""
+    monkeypatch.setattr(token_store, "BUCKET_KEYS", 4)
+    keys = [None, -5, *range(0, 6000, 3)]
+    docs = spark.createDataFrame([(k, f"alpha {k}") for k in keys], "doc_id bigint, text string").repartition(4)
+    store = token_store.write(docs, queries.tokenizer_path(), shard_bytes=5000)
+    assert store.buckets > 4 * token_store.FILE_BUCKETS
+    sizes = []
+    load = token_store._load
+    monkeypatch.setattr(token_store, "_load", lambda *a: sizes.append(len(x := load(*a))) or x)
+    assert all(len(store.get(k)) == 1 for k in keys[:300]) and not any(store.get(k) for k in range(1, 300, 3))
+    assert max(sizes) < 4000
+    assert sorted(r["doc_id"] for r in token_store.read(store, docs).filter("doc_id is not null").collect()) == keys[1:]
 
 
 @pytest.mark.parametrize("targets", [None, {"src0": 0.5, "src1": 0.1}])
@@ -548,6 +571,33 @@ def test_sharding(docs, rows, none):
     assert sharding.shuffled(none).count() == 0
 
 
+def test_shards_follow_from_seed_and_records(spark, docs, monkeypatch):
+    """However the table is laid out, with few buckets a task or many, and by broadcast or not."""
+    slots = lambda df, **more: {(r["doc_id"], r["text_crc32"]): (r["shard"], r["slot"]) for r in sharding.digest(sharding.shuffled(df, bucket_bytes=3000, **more)).collect()}
+    once = docs.dropDuplicates(["doc_id"])
+    first = slots(once)
+    assert len(first) > 60
+    assert slots(once.repartition(7).orderBy(F.desc("doc_id"))) == first
+    assert slots(once, broadcast_buckets=0) == first
+    assert slots(once, seed=21) != first
+    monkeypatch.setattr(sharding, "LEAST_TASKS", 2)
+    several = slots(once)
+    assert slots(once.repartition(5)) == several
+
+
+def test_places_before(spark):
+    from locuspark.llm.native import GROUP, before
+
+    rng = random.Random(3)
+    keys = sorted(rng.sample(range(5 * GROUP), 2000))
+    rows = [(k, rng.randint(0, 9)) for k in keys]
+    got = dict(before(spark.createDataFrame(rows, "k bigint, n bigint").repartition(3), "k", "n", "b").collect())
+    at = 0
+    for k, n in rows:
+        assert got[k] == at
+        at += n
+
+
 def test_sharding_deals_out_repeated_rows(spark):
     data = [(7, "the very same text of a row that is repeated", "en", "s", 1)] * 3000 + [(i, f"text {i}", "en", "s", 1) for i in range(500)]
     df = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(4)
