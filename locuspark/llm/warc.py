@@ -1,16 +1,21 @@
 """WARC derivatives: each response record gives a linked metadata record and a plain-text conversion record.
 
 Both refer to the response by WARC-Refers-To and keep its target URI and date.  The metadata record's fields hold the
-response's HTTP status and headers as they were sent, its block and payload digests, its title and its links;
-the conversion record's block is the page's text, with a digest of its own.  New record ids follow from the
-response's id, so a second run gives the same records.
+response's HTTP status and headers as they were sent, the response's other WARC headers, its block and payload digests,
+its title and its links; the conversion record's block is the page's text, with a digest of its own.  New record ids
+follow from the response's id, so a second run gives the same records.
+
+Bodies are taken out of chunked and gzip or deflate encodings before they are read; what can't be decoded is named in
+the metadata.  Pages of HTML are converted to the text of their blocks, other text as it is; payloads of any other type
+(images, archives, bodies in an unknown encoding) have no conversion record, only metadata.
 
 Files hold one gzip member for each record, as crawlers write them, in segments of bounded size; a task writes under
-its own name and renames at the end.
+its own name and renames at the end.  Files are read as streams, record by record, so their size doesn't matter.
 
 Rows: a response without an id gets one from its target and block; null url or page is an empty one; a response
-whose block has no HTTP head is all payload; a payload digest that doesn't fit is reported as a mismatch, never
-dropped; repeated rows give repeated records; an empty table gives none; other record types are passed over.
+whose block has no HTTP head is all payload, and read as HTML; a payload digest that doesn't fit is reported as a
+mismatch, never dropped; repeated rows give repeated records; an empty table gives none; other record types are passed
+over; a file that breaks off ends there, within a gzip member without that record; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +27,9 @@ import html
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -32,12 +39,18 @@ from pyspark.sql import functions as F
 from locuspark.llm.html_blocks import blocks
 
 SEGMENT_BYTES = 64 << 20
+#: Bytes of records that are handed on at once.
+BATCH_BYTES = 4 << 20
 #: Where records come from that have no date of their own.
 NO_DATE = "1970-01-01T00:00:00Z"
 RECORD = "source_key string, warc_type string, record_id string, refers_to string, target_uri string, date string, record binary"
 
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.I | re.S)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+# Headers of a response that its derivatives carry in fields of their own, or that speak of its own block.
+_OWN = frozenset("warc-type warc-record-id warc-target-uri warc-date warc-block-digest warc-payload-digest content-type content-length".split())
+# Types that are read as HTML.
+_HTML = frozenset("text/html application/xhtml+xml".split())
 _CHARSET = re.compile(r"charset\s*=\s*\"?([A-Za-z0-9_-]+)", re.I)
 
 
@@ -90,6 +103,47 @@ def plain_text(page: str) -> str:
     return "\n".join(b.text for b in blocks(page)[0])
 
 
+def header(lines: list[str], name: str) -> str:
+    """The last value of an HTTP header, '' where there is none."""
+    return next((v.strip() for k, _, v in (x.partition(":") for x in reversed(lines)) if k.strip().lower() == name), "")
+
+
+def dechunked(body: bytes) -> bytes:
+    """The chunks' content, as far as it goes."""
+    out, at = [], 0
+    while (end := body.find(b"\r\n", at)) >= 0:
+        size = body[at:end].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,8}", size) or not (n := int(size, 16)):
+            break
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 2 + n + 2
+    return b"".join(out)
+
+
+def body_of(lines: list[str], payload: bytes) -> tuple[bytes, str]:
+    """The payload without its transfer and content encodings, and the encoding that can't be undone, if any."""
+    if "chunked" in header(lines, "transfer-encoding").lower() and re.match(rb"[0-9A-Fa-f]{1,8}[ ;\r]", payload):
+        payload = dechunked(payload)
+    encodings = [x.strip().lower() for x in header(lines, "content-encoding").split(",") if x.strip()]
+    for name in reversed(encodings):
+        if name == "identity":
+            continue
+        if name not in ("gzip", "x-gzip", "deflate"):
+            return payload, name
+        if name != "deflate" and payload[:2] != b"\x1f\x8b":
+            continue  # the crawler has undone it already
+        for bits in (47, -15):
+            opened = zlib.decompressobj(bits)
+            try:
+                payload = opened.decompress(payload)
+                break
+            except zlib.error:
+                continue
+        else:
+            return payload, name
+    return payload, ""
+
+
 def derivatives(raw: bytes, key: str | None = None) -> list[tuple[str, str, str, str, str, bytes]]:
     """(type, record id, refers-to, target, date, record) of the metadata and the conversion of one response."""
     headers, block = parse(raw)
@@ -99,24 +153,33 @@ def derivatives(raw: bytes, key: str | None = None) -> list[tuple[str, str, str,
     target, date = headers.get("warc-target-uri", ""), headers.get("warc-date", NO_DATE)
     source = headers.get("warc-record-id") or f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, target + digest(block))}>"
     sent = headers.get("warc-payload-digest", "")
-    known = next((m[1] for x in lines if x.lower().startswith("content-type:") and (m := _CHARSET.search(x))), "utf-8")
-    try:
-        page = payload.decode(known, "replace")
-    except LookupError:
-        page = payload.decode("utf-8", "replace")
-    title = _TITLE.search(page)
-    fields = [("http-status", status), *(("http-header", x) for x in lines), ("source-block-digest", headers.get("warc-block-digest") or digest(block)), ("source-payload-digest", digest(payload)), ("payload-digest-match", "unknown" if not sent else str(sent == digest(payload)).lower())]
-    fields += [("title", " ".join(html.unescape(title[1]).split()))] if title else []
-    fields += [("outlink", " ".join(html.unescape("".join(x)).split())) for x in _LINK.findall(page)]
+    body, unknown = body_of(lines, payload)
+    kind = header(lines, "content-type").split(";")[0].strip().lower() or "text/html"
+    readable = not unknown and (kind in _HTML or kind.startswith("text/"))
+    fields = [("http-status", status), *(("http-header", x) for x in lines), *(("warc-header", f"{k}: {v}") for k, v in headers.items() if k not in _OWN)]
+    fields += [("source-block-digest", headers.get("warc-block-digest") or digest(block)), ("source-payload-digest", digest(payload)), ("payload-digest-match", "unknown" if not sent else str(sent == digest(payload)).lower())]
+    fields += [("undecoded", unknown)] if unknown else []
+    text = None
+    if readable:
+        charset = m[1] if (m := _CHARSET.search(header(lines, "content-type"))) else "utf-8"
+        try:
+            page = body.decode(charset, "replace")
+        except LookupError:
+            page = body.decode("utf-8", "replace")
+        text = page
+        if kind in _HTML:
+            text, title = plain_text(page), _TITLE.search(page)
+            fields += [("title", " ".join(html.unescape(title[1]).split()))] if title else []
+            fields += [("outlink", " ".join(html.unescape("".join(x)).split())) for x in _LINK.findall(page)]
+    made = [("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace"), [])]
+    if text is not None:
+        made.append(("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"), [("WARC-Source-Payload-Digest", digest(payload))]))
     out = []
-    for kind, content, body, more in (
-        ("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields).encode(), []),
-        ("conversion", "text/plain; charset=utf-8", plain_text(page).encode("utf-8", "replace"), [("WARC-Source-Payload-Digest", digest(payload))]),
-    ):
+    for kind, content, block_out, more in made:
         name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {source}')}>"
-        head = [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Refers-To", source), ("WARC-Target-URI", target), ("WARC-Date", date), ("Content-Type", content), ("WARC-Block-Digest", digest(body)), *more]
+        head = [("WARC-Type", kind), ("WARC-Record-ID", name), ("WARC-Refers-To", source), ("WARC-Target-URI", target), ("WARC-Date", date), ("Content-Type", content), ("WARC-Block-Digest", digest(block_out)), *more]
         head += [("WARC-Source-Key", key)] if key is not None else []
-        out.append((kind, name, source, target, date, record(head, body)))
+        out.append((kind, name, source, target, date, record(head, block_out)))
     return out
 
 
@@ -132,7 +195,7 @@ def responses(pages: DataFrame, *, key: str = "page_id", url: str = "url", page:
 
 
 def derive(records: DataFrame, *, key: str = "source_key", column: str = "record") -> DataFrame:
-    """RECORD: two rows for each response record."""
+    """RECORD: two rows for each response record that can be read as text, one for any other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD.split(", ")]
@@ -177,17 +240,64 @@ def write(records: DataFrame, path: str, *, column: str = "record", key: str = "
     return written(records.select(F.col(key).cast("string"), F.col(column)).mapInArrow(run, "segment string, offset bigint, length bigint, source_key string"), "warc-places")
 
 
-def members(content: bytes) -> Iterator[bytes]:
-    """The records of a segment: of gzip members, or of plain records one after the other."""
-    with io.BytesIO(content) if content[:2] != b"\x1f\x8b" else gzip.GzipFile(fileobj=io.BytesIO(content)) as f:
-        while head := f.readline():
-            if not head.startswith(b"WARC/"):
-                continue
-            lines = [head]
-            while (line := f.readline()) not in (b"\r\n", b"\n", b""):
-                lines.append(line)
-            size = next((int(x.split(b":", 1)[1]) for x in lines[1:] if x.lower().startswith(b"content-length:")), 0)
-            yield b"".join(lines) + b"\r\n" + f.read(size)
+def members(f: BinaryIO) -> Iterator[bytes]:
+    """The records of a segment: of gzip members, or of plain records one after the other.  Reads on as they are taken."""
+    start = f.read(2)
+    f = gzip.GzipFile(fileobj=_Behind(start, f)) if start == b"\x1f\x8b" else io.BufferedReader(_Behind(start, f))
+    with f:
+        try:
+            while head := f.readline():
+                if not head.startswith(b"WARC/"):
+                    continue
+                lines = [head]
+                while (line := f.readline()) not in (b"\r\n", b"\n", b""):
+                    lines.append(line)
+                size = next((int(x.split(b":", 1)[1]) for x in lines[1:] if x.lower().startswith(b"content-length:") and x.split(b":", 1)[1].strip().isdigit()), 0)
+                yield b"".join(lines) + b"\r\n" + f.read(size)
+        except (EOFError, zlib.error, gzip.BadGzipFile):  # the file breaks off within a member
+            return
+
+
+class _Behind(io.RawIOBase):
+    """A stream with what has been read of it put back."""
+
+    def __init__(self, start: bytes, rest: BinaryIO):
+        self.start, self.rest = start, rest
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.start[: len(buffer)] if self.start else self.rest.read(len(buffer))
+        self.start = self.start[len(data) :]
+        buffer[: len(data)] = data
+        return len(data)
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, record): the records of all segments below path, of any type; each file is one stream in one task."""
+    schema = "file string, record binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from locuspark.llm.token_store import _open
+
+        pack = lambda name, rows: pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(rows, pa.binary())], names=["file", "record"])
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                system, place = _open(re.sub(r"^file:/+", "file:///", name))
+                rows, held = [], 0
+                with system.open_input_stream(place, compression=None) as f:
+                    for raw in members(f):
+                        rows.append(raw)
+                        held += len(raw)
+                        if held >= BATCH_BYTES:
+                            yield pack(name, rows)
+                            rows, held = [], 0
+                if rows:
+                    yield pack(name, rows)
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path)
+    return files.select(F.col("path").alias("file")).mapInArrow(run, schema)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -196,19 +306,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     fields = ["warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "content-type", "warc-block-digest", "warc-source-key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string()] * 8 + [pa.bool_(), pa.binary()]
-        names = [x.split()[0] for x in schema.split(", ")]
-        pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        kinds, names = [pa.string()] * 8 + [pa.bool_(), pa.binary()], [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                rows = []
-                for raw in members(content):
-                    headers, block = parse(raw)
-                    rows.append((*(headers.get(f) for f in fields), headers.get("warc-block-digest") == digest(block), block))
-                    if len(rows) >= 500:
-                        yield pack(rows)
-                        rows = []
-                if rows:
-                    yield pack(rows)
+            rows = []
+            for raw in batch.column(0).to_pylist():
+                headers, block = parse(raw)
+                rows.append((*(headers.get(f) for f in fields), headers.get("warc-block-digest") == digest(block), block))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(path).select("content").mapInArrow(run, schema)
+    return records(spark, path).select("record").mapInArrow(run, schema)
