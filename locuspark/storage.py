@@ -31,7 +31,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df, written once as Parquet and read back: lineage ends here, and a lost executor costs a reread."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables that written() made, once nothing will read them any more; other tables are left alone."""
+    for df in tables:
+        if path := getattr(df, "written_to", None):
+            delete(df.sparkSession, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
