@@ -17,8 +17,10 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -248,16 +250,21 @@ class Model:
             return []
         p = self.marginals(np.array([features(text, a, b) for a, b in found]), *field(text, found, observed), observed)
         best, out = p.argmax(axis=1), []
+        near = lambda i, j: 0 <= i and j < len(found) and found[j][0] - found[i][1] <= 2
         for i, (a, b) in enumerate(found):
             if i in observed or best[i] == 0 or p[i, best[i]] < CONFIDENCE:
                 continue
             kind = int(best[i]) - 1
-            if out and out[-1][0] == kind and out[-1][3] == i - 1 and a - out[-1][2] <= 2:
-                out[-1] = (kind, out[-1][1], b, i)
+            if out and out[-1][0] == kind and out[-1][4] == i - 1 and near(i - 1, i):
+                out[-1] = (kind, out[-1][1], b, out[-1][3], i)
             else:
-                out.append((kind, a, b, i))
+                out.append((kind, a, b, i, i))
+        # A token beside a span that may be part of it leaves open where the entity ends: half an entity is none.
+        unsure = lambda i, j, k: near(i, j) and k not in observed and p[k, 0] < CONFIDENCE
+        out = [x for x in out if not unsure(x[3] - 1, x[3], x[3] - 1) and not unsure(x[4], x[4] + 1, x[4] + 1)]
         # A span that a base span overlaps adds nothing.
-        return [x[:3] for x in out if not any(a < x[2] and x[1] < b for _, a, b in base)]
+        starts, reach = [a for a, _, _ in by_start], list(accumulate((b for _, b, _ in by_start), max))
+        return [x[:3] for x in out if not (n := bisect_left(starts, x[2])) or reach[n - 1] <= x[1]]
 
 
 def training_documents(n: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int, int]]]]:

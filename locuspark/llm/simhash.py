@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from locuspark.llm.native import join_hot
-from locuspark.storage import written
+from locuspark.storage import release, written
 
 SHINGLE_WORDS = 3
 HASH_SEED = 42
@@ -212,7 +212,8 @@ def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame, *, small: int = SMALL_EDGES) -> DataFrame:
     """(node, root) for every node of an edge: root is the component's smallest node.
 
-    Few edges, by count, are joined up in one task.  Alternating star contraction: each round points every larger neighbour, then every smaller one, at the least
+    Few edges, by count, are joined up in one task.  More go through alternating star contraction: each round points
+    every larger neighbour, then every smaller one, at the least
     neighbour.  A round keeps at most as many edges as there were, and the number of rounds grows with the
     logarithm of the nodes.  Joins split a hub's rows; nothing gathers the neighbours of a node.
     """
@@ -226,8 +227,9 @@ def components(edges: DataFrame, *, small: int = SMALL_EDGES) -> DataFrame:
         large = both.filter("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = written(large, "star")
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
-        small = large.join(least, F.col("u") == F.col("n")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        edges = written(small, "star")
+        near = large.join(least, F.col("u") == F.col("n")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        earlier, edges = edges, written(near, "star")
+        release(earlier, large)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007), F.sum(F.xxhash64("v", "u") % 998_244_353)).first()
         if now == before:
             break

@@ -302,6 +302,37 @@ def test_personal_field_follows_far_repeats():
     assert {text[slice(*found[i])] for e in skip for i in e} == {"(988)", "555-2485", "988-555-2485", "988", "555", "2485"}
 
 
+def test_skips_and_chains_decide():
+    """Without its skip table the field loses the repeats, and without its chain table the numbers in groups."""
+    model, gap = pii_crf.trained(), " filler words here" * 6 + " "
+    text = "+1 (988) 555-2485" + gap + "988 555 2485" + gap + "(988) 555-2485" + gap + "9885552485 x"
+    want = ["988 555 2485", "(988) 555-2485", "9885552485"]
+    base = pii_crf.base_spans(text)
+    found = lambda m: [text[a:b] for _, a, b in m.added(text, base)]
+    assert found(model) == want
+    none = np.zeros_like(model.skip)
+    assert found(pii_crf.Model(model.node, model.chain, none)) == []
+    held = {}
+    for name, m in (("whole", model), ("no chain", pii_crf.Model(model.node, none, model.skip)), ("no skip", pii_crf.Model(model.node, model.chain, none))):
+        wrong = 0
+        for t, spans in pii_crf.training_documents(300, 77):
+            x, y, (chain, skip) = pii_crf._graph(t, spans)
+            if len(y):
+                wrong += int((m.marginals(x, chain, skip, {}).argmax(axis=1) != y).sum())
+        held[name] = wrong
+    assert held["whole"] < held["no chain"] and held["whole"] < held["no skip"], held
+
+
+def test_half_an_entity_is_none():
+    model = pii_crf.trained()
+    for text in ("card 4111 1111 1111 1112 expired", "call (212) 555-0000 now"):
+        for _, a, b in model.added(text, pii_crf.base_spans(text)):
+            assert text[a:b] in ("4111 1111 1111 1112", "(212) 555-0000")
+    many = "+1 (988) 555-2485 and 988 555 2485 " * 4000
+    got = model.added(many, pii_crf.base_spans(many))
+    assert len(got) == 4000 and {many[a:b] for _, a, b in got} == {"988 555 2485"}
+
+
 # --- 5 --------------------------------------------------------------------------------------------------------
 
 
@@ -706,8 +737,32 @@ def test_pipeline(spark, tmp_path, rows, tokenizer):
     for r in got:
         total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["length"]
     assert all(total[r["doc_id"]] == r["doc_tokens"] for r in got)
+    # Every piece holds the ids of the masked text.
+    stages = dict(corpus_pipeline.STAGES)
+    masked = {r["doc_id"]: r["text"] for r in stages["secrets"](spark, spark.createDataFrame(left, schema), str(tmp_path)).collect()}
+    assert any("[REDACTED]" in t for t in masked.values())
+    for r in got:
+        ids = np.array([*tokenizer.encode(masked[r["doc_id"]], add_special_tokens=False).ids, 1], dtype="<u4")
+        assert len(ids) == r["doc_tokens"] and zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"]
     names = [n for n, _ in corpus_pipeline.STAGES]
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
     assert len(names) == 5 and json.dumps(names)
+
+
+def test_pipeline_rejects_a_host_and_takes_odd_tables(spark, tmp_path):
+    """A host whose documents mostly repeat their lines goes whole; empty tables, repeated rows and null columns pass through."""
+    import corpus_pipeline
+
+    good = lambda i: " ".join(f"word{i}x{k}" for k in range(80))
+    bad = lambda i: "\n".join([f"line {i} of many words that are here {k // 5}" for k in range(20)])
+    rows = [(i, bad(i), "en", "bad", None) for i in range(60)] + [(100, good(100), "en", "bad", 1)] + [(200 + i, good(200 + i), None, None if i % 9 == 0 else f"h{i % 7}", 5) for i in range(80)]
+    rows += [rows[-1], (900, None, None, None, None), (None, good(900), "en", "h1", 3)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    for name, data in (("full", rows), ("empty", [])):
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    got = {r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/full").collect()}
+    assert got == {200 + i for i in range(80)} | {None}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
