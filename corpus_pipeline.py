@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from locuspark.llm import decontaminate, packing, quality_rules, secret_scan, simhash
 from locuspark.llm.queries import tokenizer_path
-from locuspark.storage import written
+from locuspark.storage import release, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +41,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what a stage returns is written and read again as the next one's input."""
+    """All stages over documents; what a stage returns is written and read again as the next one's input, and then removed.
+
+    Null and repeated ids, null texts and empty tables are taken by every stage; a null text has no words and goes with
+    the quality rules.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        release(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
