@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from locuspark.operators import typing
+from locuspark.operators import copynumber, typing
 from locuspark.plans import pipeline
 from locuspark.sources import alignments, results, sinks
 
@@ -21,12 +21,14 @@ def arguments() -> argparse.ArgumentParser:
     cn.add_argument("--model", default="lcnd", choices=["lcnd", "kde"])
     cn.add_argument("--cohort", action="store_true")
     cn.add_argument("--assume-3dl3-diploid", action="store_true")
+    cn.add_argument("--diploid-depth", help="JSON with mean and std of a diploid region's depth")
     cn.add_argument("--output", required=True)
     ty = commands.add_parser("type", help="alleles from alignment text")
     ty.add_argument("--sam", nargs="+", required=True, help="name=path of alignment text")
     ty.add_argument("--index", required=True, help="prefix of .snp, .link and .locus")
     ty.add_argument("--copynumber", required=True, help="table of sample, gene and cn")
     ty.add_argument("--strategy", default="full", choices=["full", "exonfirst", "em", "report"])
+    ty.add_argument("--allele-fasta", help="sequences whose lengths normalise the EM")
     ty.add_argument("--top-n", type=int, default=typing.TOP_N)
     ty.add_argument("--output", required=True)
     me = commands.add_parser("merge", help="cohort tables from single ones")
@@ -48,6 +50,9 @@ def main() -> None:
     named = lambda xs: [x.split("=", 1) for x in xs]
     if args.command == "copynumber":
         settings = pipeline.Settings(depth=args.mode, model=args.model, cohort=args.cohort, assume_reference_gene=args.assume_3dl3_diploid)
+        if args.diploid_depth:
+            region = spark.read.schema("mean DOUBLE, std DOUBLE").json(args.diploid_depth, multiLine=True).withColumnRenamed("std", "sd")
+            settings.lcnd = copynumber.diploid_setting(region, settings.lcnd)
         depths = _union([alignments.read_depth(spark, path).withColumn("sample", F.lit(name)) for name, path in named(args.depth)])
         sinks.write_table(pipeline.copy_numbers(pipeline.gene_depths(depths, settings), settings).select("sample", "gene", "cn", "depth"), args.output)
     elif args.command == "type":
@@ -55,7 +60,8 @@ def main() -> None:
         catalogue = alignments.catalogue(alignments.read_variants(spark, f"{args.index}.snp"), alignments.read_links(spark, f"{args.index}.link"), alignments.read_exons(spark, f"{args.index}.locus"))
         copies = spark.read.schema("sample STRING, gene STRING, cn INT, depth DOUBLE").csv(args.copynumber, sep="\t", header=True)
         settings = pipeline.Settings(strategy=args.strategy, typing=typing.Setting(top_n=args.top_n))
-        found = pipeline.typed(records, catalogue, copies, settings)
+        lengths = alignments.read_allele_lengths(spark, args.allele_fasta) if args.allele_fasta else None
+        found = pipeline.typed(records, catalogue, copies, settings, lengths=lengths)
         sinks.write_table(typing.calls(found), f"{args.output}.allele")
         sinks.write_table(typing.possible_sets(found), f"{args.output}.possible")
     else:

@@ -35,19 +35,26 @@ def deviation(n: Column, dev: Column, start_base: int) -> Column:
     return dev * F.when(n == 0, 1.5).otherwise(0.5 * (n - 1) + 1)
 
 
-def fit(depths: DataFrame, by: list[str], depth: str = "depth", setting: Lcnd = Lcnd()) -> DataFrame:
+def fit(depths: DataFrame, by: list[str], depth: str = "depth", setting: Lcnd = Lcnd(), bounds: DataFrame | None = None) -> DataFrame:
     """by, x_max, base_dev, base, log_likelihood: the base depth of one copy with the highest likelihood.
 
+    bounds (by, lower, upper) limits each group's base in place of the setting's limits.
+
     Only bins with depths in them count, so the work is depths x grid x copy numbers for each group of genes, all in
     one stage of joins with small generated grids.
     """
     n = setting.bins
     scale = depths.groupBy(*by).agg(F.greatest(F.max(depth) * 1.2, F.lit(1e-6)).alias("x_max")).withColumn("base_dev", F.col("x_max") * setting.base_dev)
+    if bounds is not None:
+        scale = scale.join(bounds, by) if by else scale.crossJoin(F.broadcast(bounds))  # one row
+        low, upper = F.col("lower"), F.col("upper")
+    else:
+        low = F.lit(float(setting.lower))
+        upper = F.lit(setting.upper).cast("double") if setting.upper is not None else F.col("x_max")
+    scale = scale.select(*by, "x_max", "base_dev", low.alias("_low"), upper.alias("_high"))
     scaled = depths.join(scale, by) if by else depths.crossJoin(F.broadcast(scale))
-    density = scaled.withColumn("_bin", equal_width_bin(F.col(depth), n, F.col("x_max"))).groupBy(*by, "x_max", "base_dev", "_bin").agg(F.count("*").alias("_w"))
-    upper = F.lit(setting.upper).cast("double") if setting.upper is not None else F.col("x_max")
-    low = F.lit(float(setting.lower))
-    grid = density.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_g")).withColumn("base", low + (upper - low) * F.col("_g") / (n - 1))
+    density = scaled.withColumn("_bin", equal_width_bin(F.col(depth), n, F.col("x_max"))).groupBy(*by, "x_max", "base_dev", "_low", "_high", "_bin").agg(F.count("*").alias("_w"))
+    grid = density.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_g")).withColumn("base", F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_g") / (n - 1))
     x = F.col("x_max") * F.col("_bin") / (n - 1)
     peak = F.greatest(*(normal_pdf(x, F.col("base") * c, deviation(F.lit(float(c)), F.col("base_dev"), setting.start_base)) for c in range(CN_MAX + 1)))
     ll = grid.withColumn("_l", F.ln(peak * F.col("x_max") / n + 1e-9) * F.col("_w"))
@@ -66,39 +73,69 @@ def assign(depths: DataFrame, model: DataFrame, by: list[str], depth: str = "dep
     return joined.withColumn("_p", peaks).withColumn("cn", (F.array_position("_p", F.array_max("_p")) - 1).cast("int")).drop("_p", "x_max", "base_dev", "base")
 
 
-def fit_diploid_bounds(statistics: DataFrame) -> tuple[float, float]:
-    """Bounds for the base from a diploid region's mean and sd: one row."""
-    row = statistics.select("mean", "sd").first()
-    return (row["mean"] - row["sd"]) / 2, (row["mean"] + row["sd"]) / 2
+#: Grid points where a diploid region bounds the base.
+BOUNDED_BINS = 300
+
+
+def diploid_setting(statistics: DataFrame, setting: Lcnd = Lcnd()) -> Lcnd:
+    """The setting with the base bounded by a diploid region's mean and sd (one row), on a grid of BOUNDED_BINS."""
+    row = statistics.select(F.col("mean").cast("double").alias("m"), F.col("sd").cast("double").alias("s")).first()
+    return Lcnd(BOUNDED_BINS, setting.start_base, setting.base_dev, (row["m"] - row["s"]) / 2, (row["m"] + row["s"]) / 2)
 
 
 def reference_gene_fit(depths: DataFrame, setting: Lcnd = Lcnd(), gene: str = REFERENCE_GENE, *, by: list[str] | None = None) -> DataFrame:
     """Copy numbers under the assumption that the reference gene has two copies: up to five refits, each nearer to half its depth.
 
-    One cohort at a time: the refit is driven by one number, the reference gene's copy number.
+    Each group (a sample, or with no keys the cohort) is fitted by itself: it is bounded by its own reference gene's mean
+    depth, and only groups whose reference gene isn't at two copies yet are fitted again.  A group that stays off
+    two, or has no reference gene, raises an error that names some of them.
     """
-    by = by or []
     from locuspark.storage import written
 
+    by = by or []
     depths = written(depths, "gene-depths")
-    mean = depths.filter(F.col("gene") == gene).agg(F.avg("depth")).first()[0]
-    if mean is None:
-        raise KeyError(gene)
-    now, p = setting, 1.0
-    for _ in range(6):
-        out = written(assign(depths, fit(depths, by, "depth", now), by, "depth", now), "copy-numbers")
-        if not out.filter((F.col("gene") == gene) & (F.col("cn") != 2)).limit(1).count():
-            return out
-        now = Lcnd(int(setting.bins * p), setting.start_base, setting.base_dev, mean / 2 - 5 * p, mean / 2 + 5 * p)
-        p = round(p - 0.2, 10)
-        if now.bins < 2:
+    of_gene = F.col("gene") == gene
+    means = depths.groupBy(*by).agg(F.avg(F.when(of_gene, F.col("depth"))).alias("_mean"))
+    if lacking := means.filter("_mean is null").limit(3).collect():
+        raise KeyError(f"{gene} is missing: {lacking}" if by else gene)
+    if depths.isEmpty():
+        return assign(depths, fit(depths, by, "depth", setting), by, "depth", setting)
+    means, left, share, bounds, bins, done = written(means, "reference-depths"), depths, 1.0, None, setting.bins, []
+    while bins >= 2:
+        now = Lcnd(bins, setting.start_base, setting.base_dev, setting.lower, setting.upper)
+        out = written(assign(left, fit(left, by, "depth", now, bounds), by, "depth", now), "copy-numbers")
+        off = written(out.groupBy(*by).agg(F.bool_or(of_gene & (F.col("cn") != 2)).alias("_off")).filter("_off").drop("_off"), "copy-numbers-off") if by else out.filter(of_gene & (F.col("cn") != 2))
+        if off.isEmpty():
+            return _union([*done, out])
+        if share <= 0:
             break
-    raise ValueError(f"{gene} can't be fitted to two copies")
+        if by:
+            done.append(out.join(off, by, "left_anti"))
+            left = left.join(off, by, "left_semi")
+            means = means.join(off, by, "left_semi")
+        bounds = means.select(*by, (F.col("_mean") / 2 - 5 * share).alias("lower"), (F.col("_mean") / 2 + 5 * share).alias("upper"))
+        bins = int(setting.bins * share)
+        share = round(share - 0.2, 10)
+    raise ValueError(f"{gene} can't be fitted to two copies: {off.limit(3).collect()}")
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def over_largest(values: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """values with name: value over its group's largest, which is joined as one row where there are no keys."""
+    top = values.groupBy(*by).agg(F.max(value).alias("_top"))
+    joined = values.join(top, by) if by else values.crossJoin(F.broadcast(top))
+    return joined.withColumn(name, F.col(value) / F.col("_top")).drop("_top")
 
 
 def kde_grid(values: DataFrame, by: list[str], value: str = "depth", *, bandwidth: float = 0.05, points: int = 100, high: float = 1.1) -> DataFrame:
     """by, i, x, log_density: Gaussian kernel density of value over its largest, on an even grid."""
-    scaled = values.withColumn("_v", F.col(value) / F.max(value).over(W.partitionBy(*by)))
+    scaled = over_largest(values, by, value, "_v")
     grid = scaled.select(*by, "_v", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")).withColumn("x", F.lit(float(high)) * F.col("i") / (points - 1))
     return grid.groupBy(*by, "i", "x").agg(F.ln(F.avg(normal_pdf(F.col("x"), F.col("_v"), F.lit(bandwidth)))).alias("log_density"))
 
@@ -108,7 +145,7 @@ def kde_cut(values: DataFrame, by: list[str], value: str = "depth", **grid: floa
     from locuspark.operators.series import local_minima
 
     cuts = local_minima(kde_grid(values, by, value, **grid), by, "i", "log_density", 5).groupBy(*by).agg(F.collect_list("x").alias("_cuts"))
-    out = values.withColumn("_v", F.col(value) / F.max(value).over(W.partitionBy(*by)))
+    out = over_largest(values, by, value, "_v")
     out = out.join(cuts, by, "left") if by else out.crossJoin(F.broadcast(cuts))
     return out.withColumn("cn", F.coalesce(F.size(F.filter("_cuts", lambda m: m < F.col("_v"))), F.lit(0))).drop("_v", "_cuts")
 

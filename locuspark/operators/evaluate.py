@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from locuspark.functions.alleles import allele_field, digits, gene_name, is_fusion, merged_gene, without_exon_suffix
 from locuspark.functions.scalars import f1, has_flag, ratio
-from locuspark.storage import written
 
 TIERS = (7, 5, 3)
 
@@ -19,36 +18,32 @@ def exploded(calls: DataFrame, sample: str, alleles: str) -> DataFrame:
     return calls.select(F.col(sample).alias("sample"), F.explode(F.split(alleles, "_")).alias("allele")).filter("allele <> ''")
 
 
-def _numbered(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("allele", "_id")))
-
-
 def tier_match(truth: DataFrame, called: DataFrame, keys: tuple[str, ...] = ("sample",), *, field=allele_field, gene=gene_name) -> DataFrame:
     """keys, gene, match, truth, called: pairs matched at 7, 5 and 3 digits, then by gene; the rest FN or FP.
 
     At each tier equal names pair up in order, so a multiset match: both sides are numbered within (keys, gene, field)
-    and joined; what is left goes on to the next tier.  keys may be none, one or several columns.
+    among what earlier tiers left, and numbers up to the smaller side's count are pairs.  All tiers are windows within
+    (keys, gene), so the names are shuffled once.  keys may be none, one or several columns.
     """
-    base = [*keys, "gene"]
-    t = truth.select(*keys, "allele", gene(F.col("allele")).alias("gene"))
-    c = called.withColumn("allele", without_exon_suffix(F.col("allele"))).select(*keys, "allele", gene(F.col("allele")).alias("gene"))
-    t, c = (x.withColumn("_id", F.row_number().over(W.partitionBy(*base).orderBy("allele"))) for x in (t, c))
-    matched = None
+    base, a = [*keys, "gene"], F.col("allele")
+    side = lambda df, name, which: df.select(*keys, name.alias("allele"), F.lit(which).alias("_side")).withColumn("gene", gene(a))
+    rows = side(truth, a, 0).union(side(called, without_exon_suffix(a), 1)).withColumns({f"_f{t}": field(a, t) for t in TIERS} | {"_f0": F.lit("")})
+    rows = rows.withColumn("_tier", F.lit(None).cast("int")).withColumn("_n", F.lit(None).cast("int"))
+    left = lambda which: F.sum(F.when(F.col("_tier").isNull() & (F.col("_side") == which), 1).otherwise(0))
     for tier in (*TIERS, 0):
-        name = field(F.col("allele"), tier) if tier else F.lit("")
-        a = _numbered(t.withColumn("_f", name), [*base, "_f"])
-        b = _numbered(c.withColumn("_f", name), [*base, "_f"])
-        on = [*base, "_f", "_n"]
-        hit = written(a.select(*on, F.col("allele").alias("truth"), F.col("_id").alias("_t")).join(b.select(*on, F.col("allele").alias("called"), F.col("_id").alias("_c")), on), "tier")
-        found = hit.select(*base, F.lit(f"MATCH{tier}" if tier else "GENE").alias("match"), "truth", "called")
-        matched = found if matched is None else matched.union(found)
-        # Each tier starts from what the last one left; written, so that plans don't grow with the tiers.
-        t = written(t.join(hit.select(*base, F.col("_t").alias("_id")), [*base, "_id"], "left_anti"), "tier")
-        c = written(c.join(hit.select(*base, F.col("_c").alias("_id")), [*base, "_id"], "left_anti"), "tier")
-    none = F.lit(None).cast("string")
-    fn = t.select(*base, F.lit("FN").alias("match"), F.col("allele").alias("truth"), none.alias("called"))
-    fp = c.select(*base, F.lit("FP").alias("match"), none.alias("truth"), F.col("allele").alias("called"))
-    return matched.union(fn).union(fp)
+        within = W.partitionBy(*base, f"_f{tier}")
+        running = within.orderBy("_side", "allele").rowsBetween(W.unboundedPreceding, W.currentRow)
+        number = F.when(F.col("_side") == 0, left(0).over(running)).otherwise(left(1).over(running))
+        rows = rows.withColumn("_m", number).withColumn("_least", F.least(left(0).over(within), left(1).over(within)))
+        hit = F.col("_tier").isNull() & (F.col("_m") <= F.col("_least"))
+        rows = rows.withColumn("_n", F.when(hit, F.col("_m").cast("int")).otherwise(F.col("_n"))).withColumn("_tier", F.when(hit, F.lit(tier)).otherwise(F.col("_tier")))
+    names = F.create_map(*[x for t in (*TIERS, 0) for x in (F.lit(t), F.lit(f"MATCH{t}" if t else "GENE"))])
+    of = F.coalesce(*(F.when(F.col("_tier") == t, F.col(f"_f{t}")) for t in (*TIERS, 0)))
+    only = lambda which: F.max(F.when(F.col("_side") == which, a))
+    pairs = rows.filter("_tier is not null").groupBy(*base, "_tier", of.alias("_f"), "_n").agg(only(0).alias("truth"), only(1).alias("called"))
+    pairs = pairs.select(*base, names[F.col("_tier")].alias("match"), "truth", "called")
+    rest = rows.filter("_tier is null").select(*base, F.when(F.col("_side") == 0, "FN").otherwise("FP").alias("match"), F.when(F.col("_side") == 0, a).alias("truth"), F.when(F.col("_side") == 1, a).alias("called"))
+    return pairs.union(rest)
 
 
 def match_summary(matches: DataFrame, keys: tuple[str, ...] = ("sample",)) -> DataFrame:

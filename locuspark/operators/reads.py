@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from locuspark.functions.decoding import TYPE_RANK, decode, pileup_bases
 from locuspark.functions.scalars import PROPER, has_flag
@@ -18,6 +19,8 @@ MAX_EDITS = 4
 MIN_PILEUP, SURE_SHARE, RARE_SHARE = 20, 0.8, 0.2
 #: Positions of a bin in the join of reads with the catalogue; reads are short, so they touch one or two.
 BIN = 256
+#: Catalogue rows that are broadcast, and ways that a larger catalogue's bins are dealt.
+BROADCAST_CATALOGUE, SALTS = 200_000, 32
 
 PIECES = "piece array<struct<typ:string,pos:int,length:int,val:string>>, clipped boolean"
 
@@ -66,15 +69,17 @@ def decoded(rows: DataFrame) -> DataFrame:
 
 def pileup_ratios(pileup: DataFrame, *keys: str) -> DataFrame:
     """keys, ref, pos, ratios and depth from pileup columns."""
-    from pyspark.sql.types import ArrayType, StringType
-
-    @F.udf(ArrayType(StringType()), useArrow=True)
-    def split(text):
-        return pileup_bases(text)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = [pileup_bases(t or "") for t in batch["bases"].to_pylist()]
+            kept = [n for n in batch.schema.names if n != "bases"]
+            yield pa.RecordBatch.from_arrays([*(batch[n] for n in kept), pa.array(split, pa.list_(pa.string()))], names=[*kept, "base"])
 
+    rows = pileup.select(*keys, "ref", "pos", "bases")
+    bases = rows.mapInArrow(run, StructType([*(f for f in rows.schema.fields if f.name != "bases"), StructField("base", ArrayType(StringType()))]))
     from locuspark.operators.series import base_ratios
 
-    return base_ratios(pileup.select(*keys, "ref", "pos", F.explode(split("bases")).alias("base")), [*keys, "ref", "pos"])
+    return base_ratios(bases.withColumn("base", F.explode("base")), [*keys, "ref", "pos"])
 
 
 def corrected_base(base, ratios, depth):
@@ -105,7 +110,7 @@ def with_ids(variants: DataFrame, catalogue: DataFrame) -> DataFrame:
     return out.withColumn("variant_id", F.coalesce("_id", "_nv")).withColumn("novel", F.col("_id").isNull()).drop("_id", "_nv")
 
 
-def evidence(reads: DataFrame, variants: DataFrame, catalogue: DataFrame) -> DataFrame:
+def evidence(reads: DataFrame, variants: DataFrame, catalogue: DataFrame, *, broadcast_rows: int = BROADCAST_CATALOGUE) -> DataFrame:
     """sample, pair_id, mate, ref, sign, variant_id: what each mate supports (true) and contradicts (false).
 
     Contradicted are the catalogue's variants inside the mate's span that it doesn't show: at the span's first
@@ -123,7 +128,13 @@ def evidence(reads: DataFrame, variants: DataFrame, catalogue: DataFrame) -> Dat
     known = catalogue.select("ref", F.col("pos").alias("v_pos"), "typ", "val", "del_len", F.col("id").alias("variant_id"), F.floor(F.col("pos") / BIN).alias("_bin"))
     inside = ((F.col("v_pos") > F.col("left")) & (F.col("v_pos") < F.col("right"))) | ((F.col("v_pos") == F.col("left")) & (F.col("typ") != "insertion")) | ((F.col("v_pos") == F.col("right")) & (F.col("left") < F.col("right")) & ((F.col("typ") == "insertion") | ((F.col("typ") == "single") & (F.col("val") < "T"))))
     open_end = (F.col("typ") == "deletion") & (F.col("v_pos") + F.col("del_len") + 10 >= F.col("right"))
-    near = binned.join(known, ["ref", "_bin"]).filter(inside & ~F.coalesce(open_end, F.lit(False)))
+    # All samples have the same few bins, so the catalogue is broadcast after a count, and beyond the bound dealt by salt.
+    if known.count() <= broadcast_rows:
+        met = binned.join(F.broadcast(known), ["ref", "_bin"])
+    else:
+        salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = binned.withColumn("_salt", F.pmod(F.xxhash64("sample", "pair_id"), F.lit(SALTS)).cast("int")).join(salted, ["ref", "_bin", "_salt"]).drop("_salt")
+    near = met.filter(inside & ~F.coalesce(open_end, F.lit(False)))
     near = near.join(positive.select(*key, "variant_id"), [*key, "variant_id"], "left_anti")
     unsure = shown.filter("val = 'N' and typ = 'single'").select(*key, F.col("pos").alias("v_pos"), "typ")
     negative = near.join(unsure, [*key, "v_pos", "typ"], "left_anti").select(*key, "ref", F.lit(False).alias("sign"), "variant_id")

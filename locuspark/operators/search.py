@@ -30,12 +30,15 @@ def beam_one(k: DataFrame, top: int, by: str = "gene") -> DataFrame:
 def beam_two(k: DataFrame, top: int, by: str = "gene", read: str = "read") -> DataFrame:
     """by, rank, a, b, cost, own, share_a, share_b: pairs by summed least mismatches, own sums and evenness.
 
-    The first members are the best alleles; pairs of one read meet on the read, so the work is reads x top x alleles.
+    The first members are the best alleles.  A read's counts are gathered in one row, as many as its gene has alleles,
+    and its pairs are summed where they are made, so what is shuffled is pairs of alleles and not of reads.
     """
-    first = beam_one(k, top, by).select(by, F.col("allele").alias("a"))
-    left = k.select(by, read, F.col("allele").alias("a"), F.col("k").alias("ka")).join(first, [by, "a"])
-    right = k.select(by, read, F.col("allele").alias("b"), F.col("k").alias("kb"))
-    both = left.join(right, [by, read]).withColumn("_l", F.least("a", "b")).withColumn("_h", F.greatest("a", "b"))
+    first = beam_one(k, top, by).select(by, "allele", F.lit(True).alias("first"))
+    marked = k.select(by, read, "allele", "k").join(first, [by, "allele"], "left").withColumn("first", F.coalesce("first", F.lit(False)))
+    each = marked.groupBy(by, read).agg(F.collect_list(F.struct("allele", "k", "first")).alias("_all"))
+    of = lambda x: F.transform("_all", lambda y: F.struct(x["allele"].alias("a"), x["k"].alias("ka"), y["allele"].alias("b"), y["k"].alias("kb")))
+    both = each.select(by, F.explode(F.filter("_all", lambda x: x["first"])).alias("_x"), "_all").select(by, F.inline(of(F.col("_x"))))
+    both = both.withColumn("_l", F.least("a", "b")).withColumn("_h", F.greatest("a", "b"))
     swap = F.col("a") != F.col("_l")
     tie = F.col("ka") == F.col("kb")
     wins = F.when(tie, 0.5).when((F.col("ka") < F.col("kb")) != swap, 1.0).otherwise(0.0)

@@ -124,8 +124,12 @@ def novel_ids(df: DataFrame, known: DataFrame, key: list[str], id_column: str =
     return joined.join(numbered, key, "left").withColumn(id_column, F.coalesce("_known", "_novel")).drop("_known", "_novel")
 
 
-def numbered_rows(df: DataFrame, order: list[str], name: str, *, parts: int = 32) -> DataFrame:
-    """Adds 0-based numbers in sorted order: rows are ranged into parts, numbered there, and the parts' counts summed."""
+def numbered_rows(df: DataFrame, order: list[str], name: str, *, parts: int | None = None) -> DataFrame:
+    """Adds 0-based numbers in sorted order: rows are ranged into parts, numbered there, and the parts' counts summed.
+
+    There are as many parts as the session has shuffle partitions, which is what grows with the tables.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
     from locuspark.storage import written
 

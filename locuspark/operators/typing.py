@@ -3,7 +3,7 @@
 A read and an allele disagree on k of the n variants that the read tells; the likelihood depends on k alone, so the
 search works with whole numbers: the best member of a set has the least k, and a set's value follows from the sum
 of least ks.  Each (sample, gene) is a small problem of its own (hundreds of alleles, thousands of reads), solved in one
-Arrow group; groups are spread over the cluster.
+group; groups are spread over the cluster.  Sets are scored in blocks, so memory holds reads x kept sets.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 HIT, MISS = math.log10(0.999), math.log10(0.001)
 TOP_N = 600
 LEAST_READS = 100
+#: Sets whose members' shares are worked out at once.
+SCORE_SETS = 256
+#: Catalogue rows that are sent to every worker; a larger catalogue meets the reads in slices of SLICE_SAMPLES samples.
+BROADCAST_CATALOGUE, SLICE_SAMPLES = 200_000, 8
 #: Genes that are never taken for homozygous.
 ALWAYS_MIXED = ("2DL1S1", "2DL5")
 
@@ -78,12 +82,13 @@ def _ranked(beam: Beam, top: int | None) -> Beam:
     return beam.cut(np.array(order[:top], dtype=np.int64))
 
 
-def _shares(k: np.ndarray, sets: np.ndarray, best: np.ndarray) -> np.ndarray:
+def _shares(k: np.ndarray, sets: np.ndarray) -> np.ndarray:
     """Share of the reads that each member explains best; ties are split."""
     out = np.zeros(sets.shape)
-    for i, members in enumerate(sets):
-        same = k[:, members] == best[:, i : i + 1]
-        out[i] = (same / same.sum(axis=1, keepdims=True)).sum(axis=0) / max(len(k), 1)
+    for lo in range(0, len(sets), SCORE_SETS):
+        each = k[:, sets[lo : lo + SCORE_SETS]]  # reads x sets x members
+        same = each == each.min(axis=2, keepdims=True)
+        out[lo : lo + SCORE_SETS] = (same / same.sum(axis=2, keepdims=True)).sum(axis=0) / max(len(k), 1)
     return out
 
 
@@ -102,10 +107,10 @@ def extend(k: np.ndarray, beam: Beam | None, allowed: np.ndarray, top: int) -> B
     picks = sorted(seen.items(), key=lambda x: (costs[x[1]], x[0]))[: max(top, len(seen) // 5)]
     sets = np.array([[*beam.sets[i].tolist(), int(allowed[j])] for _, (i, j) in picks], dtype=np.int64)
     cost = np.array([costs[p] for _, p in picks], dtype=np.int64)
-    # Sets are scored in turn, so that memory holds reads x kept sets only.
-    best = np.stack([k[:, s].min(axis=1) for s in sets], axis=1)
-    found = Beam(sets, cost, total[sets], _shares(k, sets, best), best)
-    return _ranked(found, top)
+    # All picks are ranked before the best members are kept for those that stay.
+    found = _ranked(Beam(sets, cost, total[sets], _shares(k, sets), np.zeros((0, len(sets)), dtype=k.dtype)), top)
+    found.best = np.stack([k[:, s].min(axis=1) for s in found.sets], axis=1)
+    return found
 
 
 def homozygous(reads: list[tuple[list[str], list[str]]], place: dict[str, tuple[int, str, str]], cn: int) -> bool:
@@ -175,16 +180,21 @@ def prepare(reads: list[tuple[list[str], list[str]]], correct: bool) -> list[tup
     return [r for r in reads if r[0] or r[1]]
 
 
-def type_gene(gene: str, cn: int, reads: list[tuple[list[str], list[str]]], variants: list[tuple], strategy: str, setting: Setting) -> list[dict]:
+Mates = list[tuple[list[str], list[str], list[str], list[str]]]
+
+
+def type_gene(gene: str, cn: int, mates: Mates, variants: list[tuple], strategy: str, setting: Setting, lengths: dict[str, int] | None = None) -> list[dict]:
     """Ranked sets of one gene: rank, value, alleles, share, chosen.
 
-    variants: (id, position, type, value, carriers, in_exon).  strategy: full, exonfirst or em.
+    mates: what each pair supports and contradicts, left then right; variants: (id, position, type, value, carriers,
+    in_exon).  strategy: full, exonfirst or em; lengths normalises the EM.
     """
+    reads = [([*lp, *rp], [*ln, *rn]) for lp, ln, rp, rn in mates]
     carriers = {v[0]: set(() if v[4] is None else v[4]) for v in variants}
     place = {v[0]: (v[1], v[2], v[3]) for v in variants}
     alleles = sorted(set().union(*carriers.values())) if carriers else []
     if strategy == "em":
-        called = em_call(reads, carriers, cn)
+        called = em_call(mates, carriers, cn, lengths)
         return [{"rank": 0, "value": 0.0, "alleles": called, "share": [], "chosen": True}]
     used = prepare(reads, setting.correct)
     if not used or not alleles:
@@ -223,17 +233,30 @@ def exon_first(reads, alleles: list[str], carriers: dict[str, set[str]], exon: s
     return _ranked(beam.cut(np.array(sorted(seen.values()))), None)
 
 
-def em_candidates(reads, carriers: dict[str, set[str]]) -> list[list[str]]:
-    """For each read, the alleles with all it supports and none of what it contradicts."""
+def em_candidates(mates: Mates, carriers: dict[str, set[str]]) -> list[list[str]]:
+    """For each pair the alleles that most of its mates allow: those of both, or where none is, of either one.
+
+    A mate allows the alleles with all that it supports and none of what it contradicts; one that supports nothing
+    allows none.  Pairs that allow no allele are left out.
+    """
+
+    def allowed(pos: list[str], neg: list[str]) -> set[str]:
+        have = set.intersection(*(set(carriers.get(v, ())) for v in pos)) if pos else set()
+        return have.difference(*(carriers.get(v, ()) for v in neg))
+
     out = []
-    for pos, neg in reads:
-        have = set.intersection(*(carriers.get(v, set()) for v in pos)) if pos else set()
-        out.append(sorted(have.difference(*(carriers.get(v, set()) for v in neg))) if have else [])
+    for lp, ln, rp, rn in mates:
+        left, right = allowed(lp, ln), allowed(rp, rn)
+        out.append(sorted(left & right or left | right))
     return [x for x in out if x]
 
 
-def em(candidates: list[list[str]], rounds: int = 300, tolerance: float = 1e-4) -> dict[str, float]:
-    """Shares of alleles by expectation-maximisation with squared extrapolation."""
+def em(candidates: list[list[str]], rounds: int = 300, tolerance: float = 1e-4, lengths: dict[str, int] | None = None) -> dict[str, float]:
+    """Shares of alleles by expectation-maximisation with squared extrapolation.
+
+    With lengths, what an allele gets of a read is divided by its length.  The step that turns out smaller than the
+    tolerance isn't taken any more.
+    """
     alleles = sorted({a for c in candidates for a in c})
     if not alleles:
         return {}
@@ -241,32 +264,32 @@ def em(candidates: list[list[str]], rounds: int = 300, tolerance: float = 1e-4)
     member = np.zeros((len(candidates), len(alleles)))
     for r, c in enumerate(candidates):
         member[r, [index[a] for a in c]] = 1
+    size = np.array([float(lengths[a]) for a in alleles]) if lengths else np.ones(len(alleles))
 
     def step(p: np.ndarray) -> np.ndarray:
-        w = member * p
-        w = w / np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
-        out = w.sum(axis=0)
+        given = member * p
+        whole = given.sum(axis=1, keepdims=True)
+        out = (np.divide(given, whole, out=np.zeros_like(given), where=whole > 0) / size).sum(axis=0)
         return out / out.sum()
 
-    p = np.full(len(alleles), 1 / len(alleles))
+    p = step(np.ones(len(alleles)))
     for _ in range(rounds):
-        p1 = step(p)
-        p2 = step(p1)
-        r, v = p1 - p, (p2 - p1) - (p1 - p)
-        new = p2
-        if (v**2).sum() > 0:
-            g = -math.sqrt((r**2).sum() / (v**2).sum())
-            new = step(np.maximum(p - 2 * g * r + g * g * v, 0))
+        new = step(p)
+        slope = new - p
+        bend = step(new) - new - slope
+        if (bend**2).sum() > 0:
+            stride = math.sqrt((slope**2).sum() / (bend**2).sum())
+            new = step(np.maximum(p + 2 * stride * slope + stride**2 * bend, 0))
         if np.abs(new - p).sum() <= tolerance:
             break
         p = new
     return dict(zip(alleles, p.tolist(), strict=True))
 
 
-def em_call(reads, carriers: dict[str, set[str]], cn: int) -> list[str]:
+def em_call(mates: Mates, carriers: dict[str, set[str]], cn: int, lengths: dict[str, int] | None = None) -> list[str]:
     """Alleles by share; each takes its rounded number of copies, one at least, until all cn are given."""
     out: list[str] = []
-    for allele, p in sorted(em(em_candidates(reads, carriers)).items(), key=lambda x: (-x[1], x[0])):
+    for allele, p in sorted(em(em_candidates(mates, carriers), lengths=lengths).items(), key=lambda x: (-x[1], x[0])):
         if len(out) == cn:
             break
         out += [allele] * min(cn - len(out), max(1, round(p * cn)))
@@ -276,10 +299,12 @@ def em_call(reads, carriers: dict[str, set[str]], cn: int) -> list[str]:
 RESULT = "sample string, gene string, cn int, n_reads bigint, rank int, value double, alleles array<string>, share array<double>, chosen boolean"
 
 
-def type_alleles(reads: DataFrame, variants: DataFrame, copies: DataFrame, strategy: str = "full", setting: Setting | None = None) -> DataFrame:
+def type_alleles(reads: DataFrame, variants: DataFrame, copies: DataFrame, strategy: str = "full", setting: Setting | None = None, lengths: DataFrame | None = None, *, broadcast_rows: int = BROADCAST_CATALOGUE) -> DataFrame:
     """RESULT: near-optimal sets of every (sample, gene) with copies; chosen marks the call.
 
-    reads: as_pairs() rows; variants: catalogue rows (ref, pos, typ, val, id, allele, in_exon); copies: sample, gene, cn.
+    reads: as_pairs() rows; variants: catalogue rows (ref, pos, typ, val, id, allele, in_exon); copies: sample, gene, cn;
+    lengths: allele, length, for the EM.  A group is one (sample, gene); the catalogue, which doesn't grow with the
+    cohort, is sent to the workers after a count, and beyond the bound it is cogrouped with slices of samples.
     """
     setting = setting or Setting()
     if strategy not in ("full", "exonfirst", "em", "report"):
@@ -287,26 +312,38 @@ def type_alleles(reads: DataFrame, variants: DataFrame, copies: DataFrame, strat
     kind = "em" if strategy == "report" else strategy
     import pandas as pd
 
-    unique = reads.filter("multiple = 1").select("sample", F.col("backbone").alias("gene"), F.concat("lpv", "rpv").alias("pos"), F.concat("lnv", "rnv").alias("neg"))
+    columns, sides = [x.split()[0] for x in RESULT.split(", ")], ["lpv", "lnv", "rpv", "rnv"]
+    unique = reads.filter("multiple = 1").select("sample", F.col("backbone").alias("gene"), *sides)
     wanted = copies.filter("cn > 0").select("sample", "gene", F.col("cn").cast("int").alias("cn"))
     joined = wanted.join(unique, ["sample", "gene"], "left")
-    catalogue = variants.filter(F.size("allele") > 0).groupBy(F.col("ref").alias("gene")).agg(F.collect_list(F.struct("id", "pos", "typ", "val", "allele", F.coalesce("in_exon", F.lit(False)).alias("in_exon"))).alias("variants"))
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        gene = key[0]
-        known = [tuple(v[c] for c in ("id", "pos", "typ", "val", "allele", "in_exon")) for row in right["variants"] for v in row]
-        rows = []
-        for sample, part in left.groupby("sample"):
-            cn = int(part["cn"].iloc[0])
-            found = [(list(p), list(n)) for p, n in zip(part["pos"], part["neg"], strict=True) if p is not None]
-            rows += [{"sample": sample, "gene": gene, "cn": cn, "n_reads": len(found), **r} for r in type_gene(gene, cn, found, known, kind, setting)]
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")])
-
-    # A group is one gene in a slice of samples: samples are dealt by hash, so a gene of a large cohort isn't one task.
-    slices = 64
+    rows = variants.filter(F.size("allele") > 0).select(F.col("ref").alias("gene"), F.struct("id", "pos", "typ", "val", "allele", F.coalesce("in_exon", F.lit(False)).alias("in_exon")).alias("variant"))
+    sizes = None if lengths is None else {r["allele"]: r["length"] for r in lengths.select("allele", "length").limit(broadcast_rows).collect()}
+
+    def solved(gene: str, part: pd.DataFrame, known: list[tuple]) -> list[dict]:
+        sample, cn = part["sample"].iloc[0], int(part["cn"].iloc[0])
+        mates = [tuple(map(list, m)) for m in zip(*(part[c] for c in sides), strict=True) if m[0] is not None]
+        return [{"sample": sample, "gene": gene, "cn": cn, "n_reads": len(mates), **r} for r in type_gene(gene, cn, mates, known, kind, setting, sizes)]
+
+    if rows.count() <= broadcast_rows:
+        catalogue: dict[str, list[tuple]] = {}
+        for r in rows.collect():
+            catalogue.setdefault(r["gene"], []).append(tuple(r["variant"]))
+        sent = reads.sparkSession.sparkContext.broadcast({g: sorted(v, key=lambda x: (x[1], x[0])) for g, v in catalogue.items()})
+
+        def one(part: pd.DataFrame) -> pd.DataFrame:
+            gene = part["gene"].iloc[0]
+            return pd.DataFrame(solved(gene, part, sent.value.get(gene, [])), columns=columns)
+
+        return joined.groupBy("sample", "gene").applyInPandas(one, RESULT)
+
+    def some(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        known = sorted((tuple(v[c] for c in ("id", "pos", "typ", "val", "allele", "in_exon")) for v in right["variant"]), key=lambda x: (x[1], x[0]))
+        return pd.DataFrame([r for _, part in left.groupby("sample") for r in solved(key[0], part, known)], columns=columns)
+
+    slices = max(1, -(-wanted.select("sample").distinct().count() // SLICE_SAMPLES))
     left = joined.withColumn("slice", F.pmod(F.xxhash64("sample"), F.lit(slices)).cast("int"))
-    right = catalogue.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    return left.groupBy("gene", "slice").cogroup(right.groupBy("gene", "slice")).applyInPandas(lambda k, a, b: run(k, a, b) if len(a) else pd.DataFrame(columns=[x.split()[0] for x in RESULT.split(", ")]), RESULT)
+    right = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    return left.groupBy("gene", "slice").cogroup(right.groupBy("gene", "slice")).applyInPandas(some, RESULT)
 
 
 def warnings(result: DataFrame) -> DataFrame:
@@ -322,6 +359,6 @@ def calls(result: DataFrame) -> DataFrame:
 
 
 def possible_sets(result: DataFrame) -> DataFrame:
-    """gene, rank, value and the alleles in columns 1..n of each near-optimal set."""
-    most = 7
+    """gene, rank, value and the alleles in columns 1..n of each near-optimal set; n is that of the largest set."""
+    most = result.agg(F.max(F.size("alleles"))).first()[0] or 0
     return result.select("sample", "gene", "rank", "value", *(F.get("alleles", F.lit(i)).alias(str(i + 1)) for i in range(most)))

@@ -55,7 +55,7 @@ def per_gene_copy_numbers(depths: DataFrame, settings: Settings) -> DataFrame:
     return copynumber.assign(depths, copynumber.fit(depths, ["gene"], "depth", settings.lcnd), ["gene"], "depth", settings.lcnd)
 
 
-def typed(records: DataFrame, catalogue: DataFrame, copies: DataFrame, settings: Settings, ratios: DataFrame | None = None) -> DataFrame:
-    """Near-optimal allele sets from alignment records; copies: sample, gene, cn."""
+def typed(records: DataFrame, catalogue: DataFrame, copies: DataFrame, settings: Settings, ratios: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
+    """Near-optimal allele sets from alignment records; copies: sample, gene, cn; lengths: allele, length, for the EM."""
     wide, _ = reads.decode_reads(records, catalogue, ratios)
-    return typing.type_alleles(wide, catalogue, copies, settings.strategy, settings.typing)
+    return typing.type_alleles(wide, catalogue, copies, settings.strategy, settings.typing, lengths)

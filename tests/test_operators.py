@@ -118,7 +118,7 @@ def simulated(rng, truth, carriers, n):
     for _ in range(n):
         a = rng.choice(truth)
         seen = rng.sample(variants, 4)
-        out.append(([v for v in seen if a in carriers[v]], [v for v in seen if a not in carriers[v]]))
+        out.append(([v for v in seen if a in carriers[v]], [v for v in seen if a not in carriers[v]], [], []))
     return out
 
 
@@ -132,7 +132,7 @@ def test_typing(spark):
         for strategy in ("full", "exonfirst", "em"):
             best = next(r for r in typing.type_gene("G*BACKBONE", len(truth), found, variants, strategy, typing.Setting(top_n=50)) if r["chosen"])
             assert sorted(best["alleles"]) == truth, strategy
-    rows = [("s1", f"p{i}", "", "", 1, "G*BACKBONE", p, n, [], []) for i, (p, n) in enumerate(simulated(rng, ["G*001", "G*004"], carriers, 200))]
+    rows = [("s1", f"p{i}", "", "", 1, "G*BACKBONE", *m) for i, m in enumerate(simulated(rng, ["G*001", "G*004"], carriers, 200))]
     wide = spark.createDataFrame(rows, "sample string, pair_id string, l_sam string, r_sam string, multiple int, backbone string, lpv array<string>, lnv array<string>, rpv array<string>, rnv array<string>")
     table = spark.createDataFrame([("G*BACKBONE", p, t, v, i, c, e) for i, p, t, v, c, e in variants], "ref string, pos int, typ string, val string, id string, allele array<string>, in_exon boolean")
     copies = spark.createDataFrame([("s1", "G*BACKBONE", 2), ("s2", "G*BACKBONE", 1), ("s1", "Z*BACKBONE", 0)], "sample string, gene string, cn int")
@@ -141,6 +141,9 @@ def test_typing(spark):
     assert called["s1"]["alleles"] == "G*001_G*004" and called["s1"]["warnings"] == ""
     assert called["s2"]["alleles"] == "G*" and "few reads" in called["s2"]["warnings"]
     assert typing.possible_sets(result).filter("sample = 's1' and rank = 0").first()["1"].startswith("G*")
+    for strategy in ("full", "exonfirst", "em"):
+        rows = lambda df: sorted(map(str, df.collect()))
+        assert rows(typing.type_alleles(wide, table, copies, strategy, broadcast_rows=0)) == rows(typing.type_alleles(wide, table, copies, strategy))
     with pytest.raises(NotImplementedError):
         typing.type_alleles(wide, table, copies, "best")
 
@@ -148,15 +151,107 @@ def test_typing(spark):
 def test_typing_parts():
     share = np.array([[0.1, 0.9], [0.05, 0.95], [0.2, 0.8], [0.4, 0.6]])
     assert typing.select_best(share, 2) == 3
-    assert typing.em_call([(["v"], [])] * 66 + [(["w"], [])] * 33, {"v": {"a1"}, "w": {"a2"}}, 1) == ["a1"]
-    assert typing.em_call([(["v"], [])] * 66 + [(["w"], [])] * 33, {"v": {"a1"}, "w": {"a2"}}, 2) == ["a1", "a2"]
-    assert typing.em_call([(["v"], [])] * 66 + [(["w"], [])] * 33, {"v": {"a1"}, "w": {"a2"}}, 3) == ["a1", "a1", "a2"]
+    mates = [(["v"], [], [], [])] * 66 + [([], [], ["w"], [])] * 33
+    for cn, want in ((1, ["a1"]), (2, ["a1", "a2"]), (3, ["a1", "a1", "a2"])):
+        assert typing.em_call(mates, {"v": {"a1"}, "w": {"a2"}}, cn) == want
     assert typing.top_ranks([-10.0, -10.5, -12.0], 0.9) == [0, 1]
     place = {"v": (1, "single", "A"), "w": (1, "single", "C")}
     assert not typing.homozygous([(["v"], [])] * 20 + [(["w"], [])] * 20, place, 2)
     assert typing.homozygous([(["v"], [])] * 40 + [(["w"], [])] * 2, place, 2)
 
 
+def test_em_candidates_go_by_mate():
+    carriers = {"v": {"a1", "a2"}, "w": {"a2", "a3"}, "x": {"a1"}, "y": {"a3"}}
+    found = lambda *m: typing.em_candidates([m], carriers)
+    assert found(["v"], [], ["w"], []) == [["a2"]]  # both mates allow it
+    assert found(["x"], [], ["y"], []) == [["a1", "a3"]]  # mates that disagree keep what either allows
+    assert found(["v"], ["x"], [], ["w"]) == [["a2"]]  # a mate that supports nothing allows nothing, and takes nothing away
+    assert found(["v", "w"], [], ["x"], []) == [["a1", "a2"]]
+    assert found([], ["v"], [], []) == [] and found(["unknown"], [], ["v"], ["v"]) == []
+
+
+def test_em_by_plain_steps():
+    rng = random.Random(3)
+    names = [f"a{i}" for i in range(6)]
+    reads = [sorted(rng.sample(names, rng.randint(1, 3))) for _ in range(400)]
+    for lengths in (None, {a: 100 + 50 * i for i, a in enumerate(names)}):
+        p = dict.fromkeys(names, 1 / 6)
+        for _ in range(20_000):
+            got = dict.fromkeys(names, 0.0)
+            for r in reads:
+                for a in r:
+                    got[a] += p[a] / sum(p[x] for x in r) / (lengths[a] if lengths else 1)
+            new = {a: x / sum(got.values()) for a, x in got.items()}
+            if max(abs(new[a] - p[a]) for a in names) < 1e-9:
+                break
+            p = new
+        quick = typing.em(reads, tolerance=1e-9, lengths=lengths)
+        assert all(abs(quick[a] - p[a]) < 1e-4 for a in names)
+
+
+def test_search_equals_trying_all_sets():
+    """Beams that are wide enough find the best set of all; blocks of any size give the same shares."""
+    import itertools
+
+    rng = np.random.default_rng(1)
+    k = rng.integers(0, 6, (80, 9)).astype(np.int32)
+    for cn in (1, 2, 3):
+        best = min(int(k[:, list(c)].min(axis=1).sum()) for c in itertools.combinations_with_replacement(range(9), cn))
+        beam = typing.search(k, cn, True, 600)
+        assert beam.cost[0] == best and (np.diff(beam.cost) >= 0).all()
+        for s, cost, share, least in zip(beam.sets, beam.cost, beam.share, beam.best.T, strict=True):
+            each = k[:, s]
+            same = each == each.min(axis=1, keepdims=True)
+            assert each.min(axis=1).sum() == cost and (least == each.min(axis=1)).all()
+            assert cn == 1 or np.allclose(share, (same / same.sum(axis=1, keepdims=True)).mean(axis=0))
+
+
+def test_reference_gene_of_each_sample(spark):
+    """Samples of different depths are each bounded by their own reference gene."""
+    rows = [(s, g, d * f) for s, f in (("a", 1.0), ("b", 3.0)) for g, d in (("KIR3DL3*BACKBONE", 20.0), ("x", 10.2), ("y", 20.5), ("z", 30.0), ("w", 39.0))]
+    df = spark.createDataFrame(rows, "sample string, gene string, depth double")
+    got = {(r["sample"], r["gene"]): r["cn"] for r in copynumber.reference_gene_fit(df, copynumber.Lcnd(bins=200), by=["sample"]).collect()}
+    for s in ("a", "b"):
+        assert [got[s, g] for g in ("KIR3DL3*BACKBONE", "x", "y", "z", "w")] == [2, 1, 2, 3, 4]
+    alone = {(r["sample"], r["gene"]): r["cn"] for s in ("a", "b") for r in copynumber.reference_gene_fit(df.filter(F.col("sample") == s), copynumber.Lcnd(bins=200), by=["sample"]).collect()}
+    assert alone == got
+    with pytest.raises(KeyError, match="sample='b'"):
+        copynumber.reference_gene_fit(df.filter("sample = 'a' or gene = 'x'"), by=["sample"])
+
+
+def test_diploid_setting(spark):
+    found = copynumber.diploid_setting(spark.createDataFrame([(30.0, 4.0)], "mean double, sd double"))
+    assert (found.bins, found.lower, found.upper) == (300, 13.0, 17.0)
+    df = spark.createDataFrame([("a", 15.1), ("b", 30.2), ("c", 44.0)], "gene string, depth double")
+    base = copynumber.fit(df, [], "depth", found).first()["base"]
+    assert 13 <= base <= 17
+
+
+def test_tiers_by_hand(spark):
+    """Against matching one tier after the other, with repeated names, several keys and empty sides."""
+    rng = random.Random(2)
+    names = [f"G{g}*{d}" for g in (1, 2) for d in ("0010101", "0010102", "00102", "0020101", "002", "")]
+    truth = [(s, rng.choice(names)) for s in ("x", "y", None) for _ in range(12)]
+    called = [(s, rng.choice(names) + rng.choice(["", "e"])) for s in ("x", "z", None) for _ in range(12)]
+    field = lambda a, n: {7: a.partition("*")[2], 5: a.partition("*")[2][:5], 3: a.partition("*")[2][:3], 0: ""}[n] or ("new" if n else "")
+    want = []
+    for s in ("x", "y", "z", None):
+        for g in ("G1", "G2"):
+            t = sorted(a for k, a in truth if k == s and a.startswith(g))
+            c = sorted(a.removesuffix("e") for k, a in called if k == s and a.startswith(g))
+            for tier in (7, 5, 3, 0):
+                for a in list(t):
+                    other = next((b for b in c if field(b, tier) == field(a, tier)), None)
+                    if other is not None:
+                        t.remove(a)
+                        c.remove(other)
+                        want.append((s, g, f"MATCH{tier}" if tier else "GENE", a, other))
+            want += [(s, g, "FN", a, None) for a in t] + [(s, g, "FP", None, b) for b in c]
+    side = lambda rows: spark.createDataFrame(rows, "sample string, allele string")
+    got = [tuple(r) for r in evaluate.tier_match(side(truth), side(called)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_sparse_mismatches_equal_dense(spark):
     rng = random.Random(3)
     names, carriers = [f"a{i}" for i in range(5)], {f"v{i}": rng.sample([f"a{j}" for j in range(5)], 2) for i in range(6)}
