@@ -54,3 +54,30 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def f1(precision: Column, recall: Column) -> Column:
     return ratio(2 * precision * recall, precision + recall)
+
+
+def common_name(a: Column, b: Column) -> Column:
+    """The parts between dots that two names begin with alike."""
+    x, y = F.split(a, r"\."), F.split(b, r"\.")
+    same = F.transform(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: F.coalesce(p["x"] == p["y"], F.lit(False)))
+    first = F.array_position(same, F.lit(False))
+    return F.array_join(F.slice(x, F.lit(1), F.when(first == 0, F.size(x)).otherwise(first - 1).cast("int")), ".")
+
+
+def escaped_name(name: Column) -> Column:
+    """A path as one word: slashes and dots become underscores."""
+    return F.translate(name, "/.", "__")
+
+
+def in_folder(path: Column, folder: Column) -> Column:
+    """The file of a path in another folder."""
+    return F.concat_ws("/", F.rtrim(folder, F.lit("/")), F.element_at(F.split(path, "/"), -1))
+
+
+def id_from_pattern(name: Column, pattern: str) -> Column:
+    """What stands for {} in a pattern of a file's name; null where the name doesn't fit."""
+    import re
+
+    parts = [re.escape(p) for p in pattern.split("{}")]
+    found = F.regexp_extract(name, "^" + "(.*)".join(parts[:2]) + "".join(f"(?:.*){p}" for p in parts[2:]) + "$", 1)
+    return F.when(name.rlike("^" + "(.*)".join(parts) + "$"), found)

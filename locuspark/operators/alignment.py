@@ -131,3 +131,17 @@ def short_sequences(msa: DataFrame, threshold: float = 0.7) -> DataFrame:
     """Alleles much shorter than their gene's longest."""
     n = F.length(F.regexp_replace("seq", "[-E]", ""))
     return msa.withColumn("_n", n).withColumn("_m", F.max("_n").over(W.partitionBy("gene"))).filter(F.col("_n") < threshold * F.col("_m")).select("gene", "allele")
+
+
+def left_align_blocks(msa: DataFrame, blocks: DataFrame) -> DataFrame:
+    """msa with gaps moved left within each block: blocks are cut out, aligned by themselves and put together again.
+
+    blocks: gene, idx, start, end of 0-based half-open columns that cover the alignment.
+    """
+    parts = without_backbone(msa).join(blocks, "gene").select(F.concat_ws("/", "gene", F.col("idx").cast("string")).alias("gene"), "allele", F.substring("seq", F.col("start") + 1, F.col("end") - F.col("start")).alias("seq"))
+    moved = without_backbone(left_align(parts)).select(F.regexp_extract("gene", "^(.*)/", 1).alias("gene"), F.regexp_extract("gene", "/([0-9]+)$", 1).cast("int").alias("idx"), "allele", "seq")
+    return with_consensus_backbone(merged_blocks(moved))
+
+
+def without_alleles(msa: DataFrame, out: DataFrame) -> DataFrame:
+    return msa.join(out.select("gene", "allele"), ["gene", "allele"], "left_anti")

@@ -193,3 +193,73 @@ def suffixed_sequences(sequences: DataFrame) -> DataFrame:
     """sequences with aliases: every name also with e and N behind it where that isn't a name itself."""
     alias = sequences.select(F.explode(F.array(F.concat("allele", F.lit("e")), F.concat("allele", F.lit("N")))).alias("allele"), "seq")
     return sequences.select("allele", "seq").union(alias.join(sequences.select("allele"), "allele", "left_anti"))
+
+
+def read_targets(records: DataFrame, by: list[str]) -> DataFrame:
+    """by, qname, targets: flag and reference of each of a read's records, sorted."""
+    return records.groupBy(*by, "qname").agg(F.array_sort(F.collect_list(F.struct("flag", "rname"))).alias("targets"))
+
+
+def mapping_means(frames: DataFrame, by: list[str], values: tuple[str, ...] = ("precision", "recall")) -> DataFrame:
+    """by, gene (null: all genes) and the values' means, with the false discovery rate of the mean precision."""
+    out = frames.groupingSets([[*map(F.col, by), F.col("gene")], list(map(F.col, by))], *map(F.col, by), F.col("gene"))
+    return out.agg(*(F.avg(v).alias(v) for v in values), F.grouping("gene").alias("all_genes")).withColumn("fdr", 1 - F.col("precision"))
+
+
+def previous_positions(records: DataFrame, by: list[str]) -> DataFrame:
+    """by, ref, pos, prev_ref, prev_pos of proper pairs whose names hold where both mates were mapped before.
+
+    Names are id|ref|pos|ref|pos, the first mate's place first; pos is 0-based, prev_pos as the name has it, * if unmapped.
+    """
+    part = F.split("qname", r"\|")
+    first = has_flag(F.col("flag"), 64)
+    rows = records.filter(has_flag(F.col("flag"), 2))
+    return rows.select(*by, F.col("rname").alias("ref"), (F.col("pos") - 1).alias("pos"), F.get(part, F.when(first, 1).otherwise(3)).alias("prev_ref"), F.get(part, F.when(first, 2).otherwise(4)).alias("prev_pos"))
+
+
+def simulated_positions(records: DataFrame, by: list[str]) -> DataFrame:
+    """As previous_positions, for reads named after the allele that they were made from: its gene, and no position."""
+    rows = records.filter(has_flag(F.col("flag"), 2))
+    return rows.select(*by, F.col("rname").alias("ref"), (F.col("pos") - 1).alias("pos"), F.split_part("qname", F.lit("*"), F.lit(1)).alias("prev_ref"), F.lit("0").alias("prev_pos"))
+
+
+def previously_mapped(positions: DataFrame) -> DataFrame:
+    """Rows that were mapped before, with prev_pos as a number."""
+    return positions.filter("prev_pos <> '*'").withColumn("prev_pos", F.col("prev_pos").cast("int"))
+
+
+def mapped_records(records: DataFrame) -> DataFrame:
+    return records.filter(~has_flag(F.col("flag"), 4))
+
+
+def reserved_pairs(records: DataFrame, kept: DataFrame, name: str = "qname") -> DataFrame:
+    """All records of reads of which any record is kept."""
+    return records.join(kept.select(name).distinct(), name, "left_semi")
+
+
+def with_multiplicity(pairs: DataFrame, by: list[str], name: str = "qname") -> DataFrame:
+    """pairs with multiple: how many of a read's pairs are left."""
+    return pairs.withColumn("multiple", F.count("*").over(W.partitionBy(*by, name)).cast("int"))
+
+
+def common_ids(df: DataFrame, method: str, wanted: list[str], sample: str) -> DataFrame:
+    """df with the samples that every wanted method has."""
+    has = df.filter(F.col(method).isin(*wanted)).groupBy(sample).agg(F.countDistinct(method).alias("_n")).filter(F.col("_n") == len(set(wanted)))
+    return df.join(has.select(sample), sample, "left_semi")
+
+
+def base_difference_statistics(matches: DataFrame, by: list[str], value: str = "base_diff") -> DataFrame:
+    """by, n, total, mean, sd of the differences in bases; rows without one don't count."""
+    return matches.groupBy(*by).agg(F.count(value).alias("n"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+
+
+def best_of_possible(possible: DataFrame, truth: DataFrame) -> DataFrame:
+    """sample, gene, rank, score: of each gene's possible sets the one that fits the truth best.
+
+    possible: sample, gene, rank, alleles (array); truth: sample, allele.
+    """
+    called = possible.select("sample", "gene", F.col("rank").alias("set"), F.explode("alleles").alias("allele"))
+    sets = possible.select("sample", gene_name(F.col("gene")).alias("gene"), F.col("rank").alias("set")).distinct()
+    wanted = truth.select("sample", "allele", gene_name(F.col("allele")).alias("gene")).join(sets, ["sample", "gene"]).select("sample", "set", "allele")
+    matched = tier_match(wanted, called.select("sample", "set", "allele"), ("sample", "set"))
+    return best_set(matched.withColumnRenamed("set", "rank"), ["sample", "gene"])

@@ -9,14 +9,54 @@ from pyspark.sql import functions as F
 LEAST_READS = 3
 
 
-def assigned_reads(mismatches: DataFrame, *, sample: str = "sample") -> DataFrame:
-    """sample, gene, pair_id, allele of reads that one called allele fits better than all others.
+def read_groups(mismatches: DataFrame, *, sample: str = "sample") -> DataFrame:
+    """sample, gene, pair_id, alleles: the called alleles that fit a read best, sorted, all that tie.
 
     mismatches: sample, gene, pair_id, allele, k of the called alleles.
     """
     w = W.partitionBy(sample, "gene", "pair_id")
-    best = mismatches.withColumn("_m", F.min("k").over(w)).filter("k = _m").withColumn("_n", F.count("*").over(w)).filter("_n = 1")
-    return best.select(sample, "gene", "pair_id", "allele")
+    best = mismatches.withColumn("_m", F.min("k").over(w)).filter("k = _m")
+    return best.groupBy(sample, "gene", "pair_id").agg(F.array_sort(F.collect_set("allele")).alias("alleles"))
+
+
+def assigned_reads(mismatches: DataFrame, *, sample: str = "sample") -> DataFrame:
+    """sample, gene, pair_id, allele of reads that one called allele fits better than all others."""
+    return read_groups(mismatches, sample=sample).filter(F.size("alleles") == 1).select(sample, "gene", "pair_id", F.col("alleles")[0].alias("allele"))
+
+
+def site_bases(mates: DataFrame, assigned: DataFrame, sites: DataFrame) -> DataFrame:
+    """sample, gene, allele, pos, base, n: bases that an allele's own reads show at the sites; deleted ones don't count.
+
+    mates: sample, pair_id, ref, piece and seq as decoded (with the read's bases); a pair's mates that overlap at a site
+    show one base, the left one's.  sites: gene, pos.
+    """
+    from locuspark.operators.sets import range_join
+
+    pieces = mates.select("sample", "pair_id", "mate", F.col("ref").alias("gene"), F.inline("piece")).filter("typ in ('match', 'single')")
+    spans = pieces.select("sample", "pair_id", "mate", "gene", "typ", "val", F.col("pos").alias("first"), (F.col("pos") + F.col("length")).alias("last")).join(assigned.withColumnRenamed("allele", "_allele"), ["sample", "gene", "pair_id"])
+    met = range_join(sites.select("gene", "pos", "reference").distinct(), spans, ["gene"], "pos", "first", "last")
+    shown = met.select("sample", "gene", F.col("_allele").alias("allele"), "pair_id", "mate", "pos", F.when(F.col("typ") == "single", F.col("val")).otherwise(F.col("reference")).alias("base"))
+    one = shown.groupBy("sample", "gene", "allele", "pair_id", "pos").agg(F.min_by("base", "mate").alias("base"))
+    return one.groupBy("sample", "gene", "allele", "pos", "base").agg(F.count("*").alias("n"))
+
+
+def discovered(mates: DataFrame, evidence: DataFrame, variants: DataFrame, catalogue: DataFrame, called: DataFrame, backbone: DataFrame, sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidates, new sequences): all steps from the reads of called alleles to alleles with new singles put in.
+
+    mates: decoded reads; evidence: long form; variants: the reads' variants with ids (sample, ref, variant_id, typ, pos,
+    val); called: sample, gene, allele; backbone: gene, seq without gaps; sequences: allele, seq.
+    """
+    from locuspark.storage import written
+
+    assigned = written(assigned_reads(mismatch_counts(evidence, catalogue, called)), "novel-assigned")
+    counts = written(confusion(evidence, assigned, catalogue), "novel-counts")
+    known = catalogue.select(F.col("id").alias("variant_id"), "typ", "pos", "val")
+    fresh = variants.filter("novel").select("variant_id", "typ", "pos", "val").distinct()
+    every = known.unionByName(fresh)
+    wanted = counts.filter((F.col("novel") >= LEAST_READS) | (F.col("fp") >= LEAST_READS) | (F.col("fn") >= LEAST_READS))
+    sites = wanted.join(every, "variant_id").select("gene", "pos").distinct().join(backbone, "gene").select("gene", "pos", F.substring("seq", F.col("pos") + 1, F.lit(1)).alias("reference"))
+    found = written(candidates(counts, every, site_bases(mates, assigned, sites), backbone), "novel-candidates")
+    return found, applied(found, sequences)
 
 
 def mismatch_counts(evidence: DataFrame, catalogue: DataFrame, called: DataFrame) -> DataFrame:

@@ -164,3 +164,20 @@ def carried_header(df: DataFrame, by: list[str], order: str, header: str) -> Dat
 def region_summary(df: DataFrame, by: list[str], pos: str, depth: str) -> DataFrame:
     """by, first, last, mean_depth over the region's length."""
     return df.groupBy(*by).agg(F.min(pos).alias("first"), F.max(pos).alias("last"), F.try_divide(F.sum(depth), F.max(pos) - F.min(pos)).alias("mean_depth"))
+
+
+def depth_curves(depths: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, median, mean, sd, p25, p75 of depths over samples at each position."""
+    return depths.groupBy(*by).agg(F.median(value).alias("median"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.percentile(value, 0.25).alias("p25"), F.percentile(value, 0.75).alias("p75"))
+
+
+def cohort_regions(positions: DataFrame, samples: int, *, per_sample: float = 2.0, read_length: int = 150, by: list[str] | None = None, pos: str = "pos", legacy: bool = False) -> DataFrame:
+    """by, first, last, length, mean_depth of regions that enough of a cohort's reads map to.
+
+    positions: by and pos of each read; how many begin at a place is its depth, and a region needs on the average what so
+    many samples with per_sample reads over a read's length would bring.
+    """
+    by = by or ["ref"]
+    counts = positions.groupBy(*by, pos).agg(F.count("*").cast("double").alias("depth"))
+    regions = legacy_regions if legacy else significant_regions
+    return regions(counts, by, pos, "depth", min_depth=samples * per_sample / read_length)

@@ -6,37 +6,15 @@ for long evidence, parts for the variant catalogue.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locuspark.functions import alleles, scalars
-from locuspark.operators import copynumber, evaluate, search, series, sets
+from locuspark.operators import copynumber, evaluate, search, series, sets, shapes
+from locuspark.plans import engine, figures, files  # noqa: F401  they register their queries
+from locuspark.plans.registry import ORACLE_SQL, QUERIES, query, rounded  # noqa: F401
 from locuspark.streaming import windows
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str) -> Callable[[Callable], Callable]:
-    """Registers a function of a table reader under its own name."""
-
-    def register(f: Callable) -> Callable:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-        QUERIES[f.__name__] = run
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
-
-
 # --- depth and aggregation ------------------------------------------------------------------------------------
 
 
@@ -62,7 +40,7 @@ def cn_pivot(t):
 
 @query("UNPIVOT (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount FROM lineitem) ON l_quantity, l_extendedprice, l_discount INTO NAME measure VALUE amount")
 def melt(t):
-    return t("lineitem").unpivot(["l_orderkey", "l_linenumber", "l_partkey"], ["l_quantity", "l_extendedprice", "l_discount"], "measure", "amount")
+    return shapes.melted(t("lineitem"), ["l_orderkey", "l_linenumber", "l_partkey"], ["l_quantity", "l_extendedprice", "l_discount"], "measure", "amount")
 
 
 @query("SELECT *, round(total / max(CASE WHEN o_orderstatus = 'O' THEN total END) OVER (PARTITION BY o_custkey), 6) AS ratio FROM (SELECT o_custkey, o_orderstatus, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL)")
@@ -83,8 +61,7 @@ def sign_correction(t):
 
 @query("SELECT o_custkey, array_to_string(list_sort(list_distinct(list(o_orderpriority))), '_') AS alleles, count(*) AS n FROM orders GROUP BY o_custkey")
 def variant_group_concat(t):
-    g = t("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("items"), F.count("*").alias("n"))
-    return g.select("o_custkey", F.array_join("items", "_").alias("alleles"), "n")
+    return shapes.joined_names(t("orders"), ["o_custkey"], "o_orderpriority", as_name="alleles")
 
 
 @query("SELECT items, array_to_string(list_sort(list(m)), ',') AS members, count(*) AS n FROM (SELECT c_custkey AS m, coalesce(array_to_string(list_sort(list_distinct(list(o_orderpriority) FILTER (o_orderpriority IS NOT NULL))), '_'), '') AS items FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey) GROUP BY items")
@@ -192,7 +169,7 @@ def exclusion_filter(t):
 def full_outer_counts(t):
     o = t("orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
     c = t("customer").select(F.col("c_custkey").alias("k"), F.floor(F.col("c_acctbal") / 1000).alias("b"))
-    return o.join(c, "k", "full_outer").na.fill(0, ["n", "b"]).filter("n <> 0 or b <> 0")
+    return shapes.outer_counts(o, c, ["k"], ["n", "b"])
 
 
 # --- search ---------------------------------------------------------------------------------------------------
@@ -480,7 +457,7 @@ def allele_fields(t):
 
 @query(f"SELECT event_type, count(*) AS n, round(avg({_K}), 6) AS mean_k FROM events GROUP BY event_type")
 def json_ratio(t):
-    return rounded(t("events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg(F.get_json_object("props", "$.k").cast("int")).alias("mean_k")), "mean_k")
+    return rounded(shapes.nested_mean(t("events"), ["event_type"], "props", "$.k", "int").withColumnRenamed("mean", "mean_k"), "mean_k")
 
 
 @query("SELECT p_type, pos, base, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY p_type, pos), 9) AS freq FROM (SELECT p_type, CAST(unnest(range(length(p_name))) AS INTEGER) AS pos, unnest(string_split(p_name, '')) AS base FROM part) GROUP BY p_type, pos, base")
@@ -501,7 +478,7 @@ def topk_report(t):
 
 @query("SELECT s_nationkey, s_suppkey, s_acctbal FROM supplier ORDER BY s_nationkey, s_acctbal DESC NULLS LAST, s_suppkey")
 def order_by_mixed(t):
-    return t("supplier").select("s_nationkey", "s_suppkey", "s_acctbal").orderBy("s_nationkey", F.desc_nulls_last("s_acctbal"), "s_suppkey")
+    return shapes.sorted_by(t("supplier").select("s_nationkey", "s_suppkey", "s_acctbal"), F.col("s_nationkey"), F.desc_nulls_last("s_acctbal"), F.col("s_suppkey"))
 
 
 @query("""SELECT 'except' AS kind, k FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'intersect', k FROM (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'O' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')
@@ -509,7 +486,7 @@ UNION ALL SELECT 'union', k FROM (SELECT c_nationkey::BIGINT AS k FROM customer
 def set_ops(t):
     k = lambda name, c: t(name).select(F.col(c).cast("bigint").alias("k"))
     status = lambda s: t("orders").filter(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("k"))
-    out = {"except": k("customer", "c_custkey").exceptAll(k("orders", "o_custkey").distinct()).distinct(), "intersect": status("O").intersect(status("F")), "union": k("customer", "c_nationkey").union(k("supplier", "s_nationkey")).distinct()}
+    out = {"except": shapes.set_operations(k("customer", "c_custkey"), k("orders", "o_custkey"))["except"], "intersect": shapes.set_operations(status("O"), status("F"))["intersect"], "union": shapes.set_operations(k("customer", "c_nationkey"), k("supplier", "s_nationkey"))["union"]}
     parts = [df.select(F.lit(name).alias("kind"), "k") for name, df in out.items()]
     return parts[0].union(parts[1]).union(parts[2])
 
@@ -528,5 +505,4 @@ def nearest_ties(t):
 @query("""WITH d AS (SELECT row_number() OVER () AS rid, lang, text FROM documents), w AS (SELECT lang, unnest(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS word FROM d)
 SELECT lang, word, count(*) AS n FROM w GROUP BY ALL""")
 def token_counts(t):
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
-    return t("documents").select("lang", F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    return shapes.word_counts(t("documents"), ["lang"], "text", r"[\x20\x09-\x0D]+")

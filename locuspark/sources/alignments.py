@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,17 +96,66 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract("value", r"^(\S+)", 1).alias("id"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))
 
 
+def read_msa_set(spark: SparkSession, prefix: str) -> tuple[DataFrame, DataFrame]:
+    """(sequences, blocks) of all genes whose files are prefix.GENE.fa and prefix.GENE.json.
+
+    sequences: gene, allele, seq with gaps; blocks: gene, idx, block, type, start, end, from the lengths in order.  Files
+    with further dots in their name belong to other sets.
+    """
+    of_file = F.regexp_extract(F.replace(F.input_file_name(), F.lit("%2A"), F.lit("*")), r"([^./]+)\.(?:fa|json)$", 1)
+    own = F.input_file_name().rlike(rf"{re.escape(prefix.rsplit('/', 1)[-1])}\.[^./]+\.(?:fa|json)$")
+    text = spark.read.text(f"{prefix}.*.fa", lineSep=">").filter((F.length(F.trim("value")) > 0) & own)
+    sequences = text.select(of_file.alias("gene"), F.regexp_extract("value", r"^(\S+)", 1).alias("allele"), F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "").alias("seq"))
+    meta = spark.read.schema("blocks ARRAY<STRUCT<name: STRING, type: STRING, length: INT>>").json(f"{prefix}.*.json", multiLine=True).filter(own)
+    ends = F.transform("blocks", lambda b, i: F.aggregate(F.slice("blocks", 1, i + 1), F.lit(0), lambda t, x: t + x["length"]))
+    rows = meta.select(of_file.alias("gene"), F.posexplode(F.arrays_zip("blocks", ends.alias("ends"))).alias("idx", "_b"))
+    return sequences, rows.select("gene", "idx", F.col("_b.blocks.name").alias("block"), F.col("_b.blocks.type").alias("type"), (F.col("_b.ends") - F.col("_b.blocks.length")).alias("start"), F.col("_b.ends").alias("end"))
+
+
+def read_reads_and_variants(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(reads in wide form, variants) from saved JSON of one sample or several; sample is the file's name up to its first dot."""
+    found = spark.read.schema(schemas.READS_JSON).json(path, multiLine=True)
+    sample = F.regexp_extract(F.input_file_name(), r"([^/.]+)[^/]*$", 1).alias("sample")
+    deletion = F.col("typ") == "deletion"
+    variants = found.select(sample, F.inline("variants")).withColumn("del_len", F.when(deletion, F.col("val").try_cast("int"))).withColumn("val", F.when(~deletion, F.col("val")))
+    return found.select(sample, F.inline("reads")), variants
+
+
+def read_gene_annotation(spark: SparkSession, path: str, prefix: str = "KIR") -> DataFrame:
+    """gene, release, chrom, start, end, strand from GTF text: each gene of the prefix in its latest release, once for each place.
+
+    start is 0-based, end behind the last base; the release is the number behind the source's name, 0 without one.
+    """
+    p = F.split("value", "\t")
+    rows = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.size(p) >= 9))
+    gene = F.coalesce(F.nullif(F.regexp_extract(p[8], 'gene_name "([^"]*)"', 1), F.lit("")), F.regexp_extract(p[8], 'gene_id "([^"]*)"', 1))
+    rows = rows.filter(p[2] == "gene").select(gene.alias("gene"), F.coalesce(F.regexp_extract(p[1], r"([0-9.]+)$", 1).try_cast("double"), F.lit(0.0)).alias("release"), p[0].alias("chrom"), (p[3].cast("int") - 1).alias("start"), p[4].cast("int").alias("end"), p[6].alias("strand")).filter(F.col("gene").startswith(prefix)).distinct()
+    from pyspark.sql import Window as W
+
+    return rows.withColumn("_latest", F.max("release").over(W.partitionBy("gene"))).filter("release = _latest").drop("_latest")
+
+
 def read_allele_lengths(spark: SparkSession, path: str) -> DataFrame:
     return read_fasta(spark, path).select(F.col("id").alias("allele"), F.length("seq").alias("length"))
 
 
-def read_fastq_ids(spark: SparkSession, path: str) -> DataFrame:
-    """Names of reads, gzip or not: header lines of four-line records."""
-    rows = spark.read.text(path, wholetext=False).select("value", F.monotonically_increasing_id().alias("_n"), F.input_file_name().alias("_f"))
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """Text lines (column value) with file and number, from 0 in each file, in the file's order.
+
+    A file's lines are numbered within each split by their place there; the splits' counts, a row for each, are
+    summed and joined, so no task has more than its split.
+    """
+    rows = lines.select("value", F.input_file_name().alias("file"), F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    splits = rows.groupBy("file", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     from pyspark.sql import Window as W
 
-    numbered = rows.withColumn("_i", F.row_number().over(W.partitionBy("_f").orderBy("_n")) - 1)
-    return numbered.filter("_i % 4 = 0").select(F.regexp_extract("value", r"^@(\S+)", 1).alias("id"))
+    starts = splits.select("file", "_part", "_first", F.coalesce(F.sum("_n").over(W.partitionBy("file").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    return rows.join(starts, ["file", "_part"]).select("value", "file", (F.col("_base") + F.col("_at") - F.col("_first")).alias("number"), "_part")
+
+
+def read_fastq_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Names of reads, gzip or not: header lines of four-line records."""
+    return numbered_lines(spark.read.text(path)).filter("number % 4 = 0").select(F.regexp_extract("value", r"^@(\S+)", 1).alias("id"))
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
@@ -118,12 +169,36 @@ def flag_statistics(records: DataFrame) -> DataFrame:
     return records.agg(F.count("*").alias("total"), F.count_if(has(256)).alias("secondary"), F.count_if(has(2048)).alias("supplementary"), F.count_if(has(1024)).alias("duplicates"), F.count_if(~has(4)).alias("mapped"), F.count_if(primary & has(2) & ~has(4)).alias("properly_paired"))
 
 
-def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """chrom, pos, ref, alt, info (map) and the first sample's genotype."""
+def read_vcf(spark: SparkSession, path: str, samples: list[str] | None = None) -> DataFrame:
+    """chrom, pos, ref, alt, filter, info (map), sample and gt: a row for each site and sample.
+
+    Without names of samples the first column of genotypes is given, under a null sample.
+    """
     rows = spark.read.text(path).filter(~F.col("value").startswith("#"))
     p = F.split("value", "\t")
-    gt = F.split_part(F.get(p, F.lit(9)), F.lit(":"), F.lit(1))
-    return rows.select(p[0].alias("chrom"), p[1].cast("int").alias("pos"), p[3].alias("ref"), p[4].alias("alt"), F.expr("str_to_map(split(value, '\\t')[7], ';', '=')").alias("info"), gt.alias("gt"))
+    gt = lambda i: F.split_part(F.get(p, F.lit(9 + i)), F.lit(":"), F.lit(1))
+    each = F.array(*(F.struct(F.lit(n).cast("string").alias("sample"), gt(i).alias("gt")) for i, n in enumerate(samples or [None])))
+    return rows.select(p[0].alias("chrom"), p[1].cast("int").alias("pos"), p[3].alias("ref"), p[4].alias("alt"), p[5].alias("qual"), p[6].alias("filter"), F.expr("str_to_map(split(value, '\\t')[7], ';', '=')").alias("info"), F.inline(each))
+
+
+def vcf_samples(spark: SparkSession, path: str) -> list[str]:
+    """The samples that a VCF's header names."""
+    head = spark.read.text(path).filter(F.col("value").startswith("#CHROM")).first()
+    return head["value"].split("\t")[9:] if head else []
+
+
+def haplotype_variants(vcf: DataFrame) -> DataFrame:
+    """chrom, sample, haplotype (from 0), pos, ref, alt of phased genotypes: what each haplotype carries.
+
+    Alternatives of a site are told apart, and those of several bases are cut into single ones where ref is as long.
+    """
+    alleles = F.split("alt", ",")
+    rows = vcf.filter(F.contains("gt", F.lit("|"))).select("chrom", "sample", "pos", "ref", alleles.alias("_alts"), F.posexplode(F.split("gt", r"\|")).alias("haplotype", "_g"))
+    rows = rows.withColumn("_i", F.col("_g").try_cast("int")).filter("_i > 0").select("chrom", "sample", "haplotype", "pos", "ref", F.get("_alts", F.col("_i") - 1).alias("alt"))
+    same = (F.length("ref") == F.length("alt")) & (F.length("ref") > 1)
+    single = F.transform(F.sequence(F.lit(0), F.length("ref") - 1), lambda i: F.struct((F.col("pos") + i).alias("pos"), F.substring("ref", i + 1, F.lit(1)).alias("ref"), F.substring("alt", i + 1, F.lit(1)).alias("alt")))
+    whole = F.array(F.struct("pos", "ref", "alt"))
+    return rows.select("chrom", "sample", "haplotype", F.inline(F.when(same, F.filter(single, lambda v: v["ref"] != v["alt"])).otherwise(whole)))
 
 
 def dosage(gt: Column) -> Column:

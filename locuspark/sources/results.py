@@ -75,11 +75,22 @@ def read_wide_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sections(spark: SparkSession, path: str, mark: str = "Sample:") -> DataFrame:
-    """sample, line from text in sections with a header line each."""
-    rows = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_n"), F.input_file_name().alias("_f"))
-    head = F.when(F.col("value").startswith(mark), F.trim(F.substring("value", len(mark) + 1, 10_000)))
-    rows = rows.withColumn("sample", F.last(head, ignorenulls=True).over(W.partitionBy("_f").orderBy("_n").rowsBetween(W.unboundedPreceding, 0)))
-    return rows.filter(~F.col("value").startswith(mark) & (F.trim("value") != "")).select("sample", F.col("value").alias("line"))
+    """sample, line from text in sections with a header line each, in splits of any size.
+
+    Within a split the last header is carried down; what stands before a split's first header belongs to the last one
+    of the splits before, of which there is a row for each.
+    """
+    from locuspark.sources.alignments import numbered_lines
+
+    head = F.when(F.col("value").startswith(mark), F.trim(F.substring(F.col("value"), F.lit(len(mark) + 1), F.length("value"))))
+    rows = numbered_lines(spark.read.text(path)).withColumn("_head", head)
+    last = rows.filter("_head is not null").groupBy("file", "_part").agg(F.max_by("_head", "number").alias("_last"))
+    every = rows.select("file", "_part").distinct().join(last, ["file", "_part"], "left")
+    before = F.last("_last", ignorenulls=True).over(W.partitionBy("file").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.join(every.select("file", "_part", before.alias("_before")), ["file", "_part"])
+    own = F.last("_head", ignorenulls=True).over(W.partitionBy("file", "_part").orderBy("number").rowsBetween(W.unboundedPreceding, 0))
+    rows = rows.withColumn("sample", F.coalesce(own, F.col("_before")))
+    return rows.filter(F.col("_head").isNull() & (F.trim("value") != "")).select("sample", F.col("value").alias("line"))
 
 
 def read_haplotypes(spark: SparkSession, path: str) -> DataFrame:
@@ -159,3 +170,57 @@ def union_calls(tables: list[DataFrame]) -> DataFrame:
     for t in tables[1:]:
         out = out.unionByName(t, allowMissingColumns=True)
     return out
+
+
+def read_copies_of(spark: SparkSession, path: str, method: str, haplotypes: str | None = None) -> DataFrame:
+    """sample, gene, cn from any method's result: answer or allele (counted names), cn (a wide cohort table), ping, sakauekir or kpi."""
+    from locuspark.operators.evaluate import copies_from_alleles
+
+    counted = lambda alleles: copies_from_alleles(alleles, "sample", "allele")
+    if method == "answer":
+        return counted(read_truth(spark, path))
+    if method == "allele":
+        return counted(read_calls(spark, path))
+    if method == "cn":
+        return read_copy_matrix(spark, path)
+    if method == "ping":
+        return read_ping_ratios(spark, path).select("sample", "gene", F.col("ratio").cast("int").alias("cn"))
+    if method == "sakauekir":
+        return read_copy_matrix(spark, path)
+    if method == "kpi":
+        if haplotypes is None:
+            raise ValueError("kpi needs its table of haplotypes")
+        return read_kpi(spark, path, haplotypes)
+    raise NotImplementedError(method)
+
+
+def read_truth_with_marks(spark: SparkSession, path: str) -> DataFrame:
+    """sample, gene, allele, marks, clean: names of a wide truth table with their novelty marks, and without."""
+    from locuspark.functions.alleles import without_marks
+
+    a = F.col("allele")
+    return read_wide_truth(spark, path).select("sample", "gene", "allele", F.regexp_replace(a, "[^#$+=]", "").alias("marks"), without_marks(a).alias("clean"))
+
+
+def read_model(spark: SparkSession, path: str) -> DataFrame:
+    """A saved model's parameters as name and value, from one JSON object in each file."""
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.from_json("value", "map<string,string>").alias("_m"))
+    return text.select("file", F.explode("_m").alias("name", "value"))
+
+
+def long_read_alleles(fields: DataFrame, by: list[str], field: str) -> DataFrame:
+    """by, alleles: names in free text such as KIR3DL3*00101(100.00%), joined by ~ where several lie side by side.
+
+    Marks of novelty, scores and underscores go; of ambiguous names, joined by /, the first stays; sorted.
+    """
+    names = F.regexp_extract_all(F.col(field), F.lit("KIR[^~^(^+^#^$^=]*"), F.lit(0))
+    rows = fields.filter(F.col(field).isNotNull()).select(*by, F.explode(names).alias("_a"))
+    clean = F.split_part(F.replace("_a", F.lit("_"), F.lit("")), F.lit("/"), F.lit(1))
+    return rows.groupBy(*by).agg(F.array_sort(F.collect_list(clean)).alias("alleles"))
+
+
+def merged_haplotypes(haplotypes: DataFrame, sample: str, order: str) -> DataFrame:
+    """sample, haplos, alleles: a sample's haplotypes, in order, as their sizes joined by + and their names joined by _."""
+    rows = haplotypes.groupBy(sample).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col("alleles")))).alias("_h"))
+    sizes = F.transform("_h", lambda h: F.size(h["alleles"]).cast("string"))
+    return rows.select(sample, F.array_join(sizes, "+").alias("haplos"), F.array_join(F.flatten(F.transform("_h", lambda h: h["alleles"])), "_").alias("alleles"))
