@@ -159,7 +159,8 @@ def mapping_counts(records: DataFrame, truth_gene: Column, *, by: list[str]) ->
     """
     ok = records.filter(has_flag(F.col("flag"), 2) & (F.col("rname") != "*") & ~has_flag(F.col("flag"), 2048)).withColumn("gene", truth_gene)
     ok = ok.withColumn("_right", (gene_name(F.col("rname")) == F.col("gene")).cast("double")).withColumn("_k", F.count("*").over(W.partitionBy(*by, "qname")))
-    views = F.array(F.struct(F.lit("all").alias("view"), F.lit(1.0).alias("w")), F.struct(F.lit("read"), 1 / F.col("_k")), F.struct(F.when(F.col("_k") == 2, F.lit("unique")), F.lit(1.0)), F.struct(F.when(~has_flag(F.col("flag"), 256), F.lit("primary")), F.lit(1.0)))
+    vote = lambda name, weight, when: F.struct(F.when(when, name).alias("view"), weight.cast("double").alias("w"))
+    views = F.array(vote("all", F.lit(1), F.lit(True)), vote("read", 1 / F.col("_k"), F.lit(True)), vote("unique", F.lit(1), F.col("_k") == 2), vote("primary", F.lit(1), ~has_flag(F.col("flag"), 256)))
     rows = ok.select(*by, "gene", "_right", F.inline(views)).filter("view is not null")
     return rows.groupBy(*by, "view", "gene").agg(F.sum(F.col("_right") * F.col("w")).alias("right"), F.sum("w").alias("total"))
 

@@ -2,22 +2,58 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from locuspark.storage import written
 
 
 def group_depth(depths: DataFrame, by: list[str], value: str, mode: str = "p75") -> DataFrame:
     """by, depth: p75 with linear interpolation, median or mean.  Null keys are left out."""
-    known = {"p75": F.percentile(value, 0.75), "median": F.median(value), "mean": F.avg(value)}
+    known = {"p75": 0.75, "median": 0.5, "mean": None}
     if mode not in known:
         raise NotImplementedError(f"no depth mode {mode}")
-    return depths.dropna(subset=by).groupBy(*by).agg(known[mode].alias("depth"))
+    rows = depths.dropna(subset=by)
+    return rows.groupBy(*by).agg(F.avg(value).alias("depth")) if mode == "mean" else quantiles(rows, by, value, {"depth": known[mode]})
 
 
 def depth_statistics(depths: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, n, mean, sd (ddof 1), p25, median, p75 in one pass."""
-    return depths.dropna(subset=by).groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.percentile(value, 0.25).alias("p25"), F.median(value).alias("median"), F.percentile(value, 0.75).alias("p75"))
+    """by, n, mean, sd (ddof 1), p25, median, p75."""
+    rows = depths.dropna(subset=by)
+    plain = rows.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    found = quantiles(rows, by, value, {"p25": 0.25, "median": 0.5, "p75": 0.75}).select(*(F.col(b).alias(f"_{b}") for b in by), "p25", "median", "p75")
+    on = reduce(lambda x, y: x & y, (F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by))
+    return plain.join(found, on, "left").drop(*(f"_{b}" for b in by))
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """by and a column for each wanted quantile, with linear interpolation; groups without a value are left out.
+
+    Whole numbers, as depths are, have few distinct values, which the built-in aggregate counts in one buffer.  Other
+    values are counted, ranged by (group, value) over all tasks and numbered there, so that a group of any size is never
+    gathered: a quantile is the values at two ranks.
+    """
+    if isinstance(df.schema[value].dataType, IntegralType):
+        return df.filter(F.col(value).isNotNull()).groupBy(*by).agg(*(F.percentile(value, q).alias(n) for n, q in wanted.items()))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written, since ranges are sampled: both uses below must see the same ones.
+    ranged = written(counts.repartitionByRange(parts, *by, "_v").select("*", F.spark_partition_id().alias("_p")), "quantiles")
+    part = ranged.groupBy(*by, "_p").agg(F.sum("_c").alias("_n"))  # a row for each group and range that it reaches
+    w = W.partitionBy(*by).orderBy("_p")
+    offsets = part.select(*by, "_p", F.coalesce(F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy(*by)).alias("_total"))
+    inside = ranged.withColumn("_upto", F.sum("_c").over(W.partitionBy(*by, "_p").orderBy("_v")))
+    on = reduce(lambda x, y: x & y, (F.col(f"i.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*by, "_p"]))
+    rows = inside.alias("i").join(offsets.alias("o"), on).select(*(F.col(f"i.{b}").alias(b) for b in by), "_v", "_total", (F.col("_before") + F.col("_upto")).alias("_rank"))
+    at = lambda place: F.min(F.when(F.col("_rank") > place, F.col("_v")))
+    places = {n: (F.col("_total") - 1) * q for n, q in wanted.items()}
+    ends = [c for n, x in places.items() for c in (at(F.floor(x)).alias(f"_lo_{n}"), at(F.ceil(x)).alias(f"_hi_{n}"))]
+    found = rows.groupBy(*by).agg(F.max("_total").alias("_total"), *ends)
+    return found.select(*by, *((F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (x - F.floor(x))).alias(n) for n, x in places.items()))
 
 
 def weighted_mean(df: DataFrame, by: list[str], value: Column, weight: Column) -> DataFrame:

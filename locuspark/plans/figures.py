@@ -353,3 +353,97 @@ def read_groups(t):
     k = t("events").groupBy(F.col("user_id").alias("pair_id"), F.col("event_type").alias("allele")).agg(F.min(F.floor(F.col("value") / 10)).alias("k"))
     found = novel.read_groups(k.withColumn("sample", F.lit("s")).withColumn("gene", F.lit("g")))
     return found.groupBy(F.array_join("alleles", ",").alias("alleles")).agg(F.count("*").alias("n"))
+
+
+# --- alignments and evaluation --------------------------------------------------------------------------------
+
+_SEQ = "SELECT 'g' || s_suppkey % 3 AS gene, 'g' || s_suppkey % 3 || '*' || s_suppkey AS allele, s_name || CASE WHEN s_suppkey % 4 = 0 THEN 'E' ELSE 'A' END || CASE WHEN s_suppkey % 5 = 0 THEN '--T' ELSE 'ACT' END AS seq FROM supplier"
+
+
+def _msa(t) -> DataFrame:
+    k = F.col("s_suppkey")
+    gene = F.concat(F.lit("g"), k % 3)
+    return t("supplier").select(gene.alias("gene"), F.concat(gene, F.lit("*"), k).alias("allele"), F.concat("s_name", F.when(k % 4 == 0, "E").otherwise("A"), F.when(k % 5 == 0, "--T").otherwise("ACT")).alias("seq"))
+
+
+_BACK = f"WITH q AS ({_SEQ}), c AS (SELECT gene, allele, CAST(unnest(range(length(seq))) AS INTEGER) AS pos, unnest(string_split(seq, '')) AS base FROM q), b AS (SELECT gene, pos, base AS back FROM (SELECT gene, pos, base, row_number() OVER (PARTITION BY gene, pos ORDER BY count(*) DESC, base) AS r FROM c WHERE base NOT IN ('-', 'E') GROUP BY gene, pos, base) WHERE r = 1)"
+_DIFFER = f"""{_BACK}, d AS (SELECT gene, allele, pos, 'single' AS typ, base AS val, NULL::INTEGER AS del_len FROM c JOIN b USING (gene, pos) WHERE base NOT IN ('-', 'E') AND base <> back
+UNION ALL SELECT gene, allele, CAST(min(pos) AS INTEGER), 'deletion', NULL, CAST(count(*) AS INTEGER) FROM c WHERE base = '-' GROUP BY gene, allele)"""
+
+
+@query(f"{_DIFFER} SELECT * FROM d")
+def msa_variants(t):
+    from locuspark.operators import alignment
+
+    return alignment.variants_of(alignment.with_consensus_backbone(_msa(t)))
+
+
+@query(f"""{_DIFFER}, v AS (SELECT gene AS ref, pos, typ, CASE typ WHEN 'single' THEN 1 ELSE 2 END AS rk, val, del_len, string_agg(allele, ' ' ORDER BY allele) AS alleles, count(*) AS n FROM d GROUP BY ALL)
+SELECT 'hv' || (row_number() OVER (ORDER BY ref, pos, rk, coalesce(val, ''), coalesce(del_len, 0)) - 1) AS id, ref, pos, typ, alleles, round(n / (SELECT count(*) FROM q WHERE q.gene = ref), 9) AS freq FROM v""")
+def msa_catalogue(t):
+    from locuspark.operators import alignment
+
+    msa = alignment.with_consensus_backbone(_msa(t))
+    known = alignment.variant_catalogue(alignment.variants_of(msa))
+    out = known.join(alignment.variant_frequencies(known, msa), "id")
+    return rounded(out.select("id", "ref", "pos", "typ", F.array_join("allele", " ").alias("alleles"), "freq"), "freq", digits=9)
+
+
+@query(f"""WITH q AS ({_SEQ}) SELECT allele, gene IN ('g0', 'g1') AS whole, length(replace(replace(seq, '-', ''), 'E', '')) < 0.9 * max(length(replace(replace(seq, '-', ''), 'E', ''))) OVER (PARTITION BY gene) AS short, contains(substr(seq, 17, 4), 'E') AS lacking FROM q""")
+def msa_quality(t):
+    from locuspark.operators import alignment
+
+    msa = _msa(t)
+    blocks = msa.select("gene").distinct().select("gene", F.lit("e1").alias("block"), F.lit("exon").alias("type"), F.lit(16).alias("start"), F.lit(20).alias("end"))
+    mark = lambda df, name: df.select("allele", F.lit(True).alias(name))
+    out = msa.join(mark(alignment.short_sequences(msa, 0.9), "short"), "allele", "left").join(mark(alignment.incomplete_exons(msa, blocks), "lacking"), "allele", "left")
+    return out.select("allele", F.col("gene").isin("g0", "g1").alias("whole"), *(F.coalesce(c, F.lit(False)).alias(c) for c in ("short", "lacking")))
+
+
+@query("""WITH r AS (SELECT l_suppkey AS gene, l_linenumber AS idx, l_returnflag AS allele, l_partkey % 100 AS k FROM lineitem), n AS (SELECT gene, idx, CAST(max(length(CAST(k AS VARCHAR))) AS INTEGER) AS l FROM r GROUP BY ALL),
+p AS (SELECT gene, idx, allele, CAST(min(k) AS VARCHAR) AS s FROM r GROUP BY ALL)
+SELECT g.gene, g.allele, string_agg(CASE WHEN s IS NULL THEN repeat('-', l) ELSE rpad(s, l, 'x') END, '' ORDER BY n.idx) AS seq FROM (SELECT DISTINCT gene, allele FROM r) g JOIN n ON g.gene = n.gene LEFT JOIN p ON p.gene = g.gene AND p.allele = g.allele AND p.idx = n.idx GROUP BY g.gene, g.allele""")
+def merged_blocks(t):
+    from pyspark.sql import Window as W
+
+    from locuspark.operators import alignment
+
+    rows = t("lineitem").select(F.col("l_suppkey").alias("gene"), F.col("l_linenumber").alias("idx"), F.col("l_returnflag").alias("allele"), (F.col("l_partkey") % 100).alias("k"))
+    parts = rows.groupBy("gene", "idx", "allele").agg(F.min("k").cast("string").alias("s"), F.max(F.length(F.col("k").cast("string"))).alias("l"))
+    parts = parts.select("gene", "idx", "allele", F.rpad("s", F.max("l").over(W.partitionBy("gene", "idx")), F.lit("x")).alias("seq"))
+    return alignment.merged_blocks(parts)
+
+
+@query(f"""WITH r AS (SELECT event_type AS sample, CAST(user_id AS VARCHAR) AS qname, {_FLAG} AS flag FROM events), q AS (SELECT sample, qname, bool_or((flag & 2) <> 0) AS pair, bool_or((flag & 256) <> 0) AS secd FROM r GROUP BY ALL)
+SELECT sample, count(*) AS total, count(*) FILTER (pair) AS pair, count(*) FILTER (NOT pair) AS miss, count(*) FILTER (secd) AS secd FROM q GROUP BY sample""")
+def mapping_status(t):
+    rows = _mapped(t).withColumn("qname", F.split_part("qname", F.lit("|"), F.lit(1)))
+    return evaluate.mapping_status(rows, ["sample"])
+
+
+@query(f"""WITH r AS (SELECT event_type AS sample, CAST(user_id AS VARCHAR) AS qname, {_FLAG} AS flag, 'ref' || event_id % 4 AS gene, CASE WHEN 'ref' || event_id % 4 = 'ref' || user_id % 4 THEN 1.0 ELSE 0.0 END AS ok, 'ref' || user_id % 4 AS truth FROM events WHERE ({_FLAG} & 2) <> 0),
+k AS (SELECT *, count(*) OVER (PARTITION BY sample, qname) AS k FROM r), v AS (SELECT sample, truth, ok, 'all' AS view, 1.0 AS w FROM k UNION ALL SELECT sample, truth, ok, 'read', 1.0 / k FROM k UNION ALL SELECT sample, truth, ok, 'unique', 1.0 FROM k WHERE k = 2 UNION ALL SELECT sample, truth, ok, 'primary', 1.0 FROM k WHERE (flag & 256) = 0)
+SELECT sample, view, truth AS gene, round(sum(ok * w), 6) AS "right", round(sum(w), 6) AS total FROM v GROUP BY ALL""")
+def mapping_counts(t):
+    rows = _mapped(t).withColumn("qname", F.split_part("qname", F.lit("|"), F.lit(1)))
+    truth = F.concat(F.lit("ref"), F.col("qname").cast("bigint") % 4)
+    return rounded(evaluate.mapping_counts(rows, truth, by=["sample"]), "right", "total")
+
+
+_TRUTH = "SELECT s_suppkey AS sample, CASE s_suppkey % 5 WHEN 0 THEN 'KIR2DS4*001e3DL1*015' WHEN 1 THEN 'KIR2DL4*00' || s_nationkey || '#' WHEN 2 THEN 'KIR2DL4*001+' WHEN 3 THEN 'KIR3DL2*002$' ELSE 'KIR3DL3*003' END AS allele FROM supplier"
+
+
+@query(f"WITH a AS ({_TRUTH}) SELECT DISTINCT sample, gene FROM (SELECT sample, unnest(CASE WHEN regexp_matches(allele, 'e\\d') THEN ['KIR2DS4', 'KIR3DL1'] WHEN regexp_matches(allele, '[#+=]') THEN [split_part(allele, '*', 1)] ELSE [] END) AS gene FROM a)")
+def novelty_exclusions(t):
+    k = F.col("s_suppkey") % 5
+    name = F.when(k == 0, "KIR2DS4*001e3DL1*015").when(k == 1, F.concat(F.lit("KIR2DL4*00"), "s_nationkey", F.lit("#"))).when(k == 2, "KIR2DL4*001+").when(k == 3, "KIR3DL2*002$").otherwise("KIR3DL3*003")
+    return evaluate.exclusions(t("supplier").select(F.col("s_suppkey").alias("sample"), name.alias("allele")), 5)
+
+
+@query("""WITH c AS (SELECT o_custkey AS sample, ['KIR2DL1', 'KIR2DS1', 'KIR3DL3'][o_orderkey % 3 + 1] AS gene, count(*) AS cn FROM orders GROUP BY ALL), u AS (SELECT DISTINCT o_custkey AS sample FROM orders WHERE o_orderstatus = 'P')
+SELECT sample, CASE WHEN gene <> 'KIR3DL3' AND sample IN (SELECT sample FROM u) THEN 'KIR2DL1S1' ELSE gene END AS gene, CAST(sum(cn) AS BIGINT) AS cn FROM c GROUP BY ALL""")
+def merged_gene_copies(t):
+    gene = F.get(F.array(*map(F.lit, ("KIR2DL1", "KIR2DS1", "KIR3DL3"))), (F.col("o_orderkey") % 3).cast("int"))
+    cn = t("orders").groupBy(F.col("o_custkey").alias("sample"), gene.alias("gene")).agg(F.count("*").alias("cn"))
+    other = t("orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("sample"), F.lit("KIR2DL1S1").alias("gene"))
+    return evaluate.merged_copies(cn, other, ["sample"])

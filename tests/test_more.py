@@ -149,6 +149,25 @@ def test_regions_of_a_cohort(spark):
         assert [(r["ref"], r["first"], r["last"]) for r in got] == [("g", 0, 2990)]
 
 
+def test_quantiles_of_groups_over_many_ranges(spark):
+    """Against numpy, for doubles with ties, negative and single values, null groups and values."""
+    import numpy as np
+
+    rng = random.Random(5)
+    values = {"a": [rng.gauss(0, 9) for _ in range(999)], "b": [1.5], "c": [rng.choice([0.5, 2.5, 7.0]) for _ in range(500)], None: [3.0, 1.0], "d": []}
+    rows = [(g, v) for g, vs in values.items() for v in vs] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    for parts in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {r["g"]: r for r in series.quantiles(df, ["g"], "v", {"p10": 0.1, "p50": 0.5, "p75": 0.75, "top": 1.0}).collect()}
+        assert set(got) == {"a", "b", "c", None}
+        for g in got:
+            assert np.allclose([got[g][x] for x in ("p10", "p50", "p75", "top")], np.quantile(values[g], [0.1, 0.5, 0.75, 1.0]))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    whole = {r["g"]: r for r in series.depth_statistics(df, ["g"], "v").collect()}
+    assert whole["d"]["n"] == 0 and whole["d"]["median"] is None and whole["b"]["p75"] == 1.5 and None not in whole
+
+
 def test_prefixes_and_missing_columns(spark):
     names = spark.createDataFrame([("abc",), ("ab",), ("x",), (None,), ("abc",)], "name string")
     prefixes = spark.createDataFrame([("", 0, "all"), ("ab", 1, "first"), ("ab", 2, "second"), ("abc", 1, "long"), (None, 9, "none")], "p string, o int, id string")
