@@ -49,6 +49,7 @@ RAW = frozenset("script style textarea title iframe noscript".split())
 BOILERPLATE = frozenset("nav footer header aside form menu dialog".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 CONTENT = frozenset("article main".split())
+KINDS = dict.fromkeys(CONTENT, "article") | dict.fromkeys(BOILERPLATE, "boilerplate") | dict.fromkeys(SKIPPED, "skip")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Start tags that end an open paragraph, and what other start tags end, up to which element.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul".split())
@@ -99,6 +100,10 @@ class Node:
     holds_heading: bool = False
 
 
+#: What an element is that doesn't matter: nothing is ever found inside it.
+PLAIN = Node("")
+
+
 @dataclass
 class Block:
     text: str
@@ -123,8 +128,8 @@ def said(value: str) -> set[str]:
 
 def _kind(name: str, attributes: str) -> tuple[str, str]:
     """What an element is, and its language."""
-    kind, lang = "skip" if name in SKIPPED else "boilerplate" if name in BOILERPLATE else "article" if name in CONTENT else "", ""
-    for key, *values in _ATTRIBUTE.findall(attributes) if attributes.strip() else ():
+    kind, lang = KINDS.get(name, ""), ""
+    for key, *values in _ATTRIBUTE.findall(attributes) if attributes and not attributes.isspace() else ():
         value, key = "".join(values).lower(), key.lower()
         if key == "lang":
             lang = value[:2]
@@ -151,12 +156,13 @@ def blocks(page: str) -> tuple[list[Block], str]:
     marked: dict[str, list[Node]] = {"named": [], "article": [], "content": []}
     linked = links = 0
 
+    named, articles, contents = marked["named"], marked["article"], marked["content"]
+
     def close_block() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            last = lambda k: marked[k][-1] if marked[k] else None
-            out.append(Block(text, linked, depth["boilerplate"] > 0, tuple(marked["named"]), last("article"), last("content"), alone=linked >= len(text)))
+            out.append(Block(text, linked, depth["boilerplate"] > 0, tuple(named), articles[-1] if articles else None, contents[-1] if contents else None, alone=linked >= len(text)))
         parts.clear()
         linked = 0
 
@@ -191,7 +197,8 @@ def blocks(page: str) -> tuple[list[Block], str]:
         if not m:
             add(page[at:])
             break
-        add(page[at : m.start()])
+        if m.start() > at:
+            add(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
@@ -199,7 +206,8 @@ def blocks(page: str) -> tuple[list[Block], str]:
             continue
         name, closing = m[2].lower(), bool(m[1])
         if name in BLOCKS:
-            close_block()
+            if parts:
+                close_block()
         elif name == "br":
             parts.append(" ")
         if name == "a":
@@ -229,13 +237,14 @@ def blocks(page: str) -> tuple[list[Block], str]:
                 node.holds_content |= kind == "article"
                 node.holds_heading |= name == "h1"
         if len(stack) < MAX_DEPTH:
-            node = Node(kind)
+            node = Node(kind) if kind else PLAIN
             stack.append((name, node))
             if kind in depth:
                 depth[kind] += 1
             elif kind:
                 marked[kind].append(node)
-    close_block()
+    if parts:
+        close_block()
     return out, lang
 
 

@@ -20,7 +20,6 @@ over; a file that breaks off ends there, within a gzip member without that recor
 
 from __future__ import annotations
 
-import base64
 import gzip
 import hashlib
 import html
@@ -39,12 +38,16 @@ from pyspark.sql import functions as F
 from locuspark.llm.html_blocks import blocks
 
 SEGMENT_BYTES = 64 << 20
+#: Members are small, so a higher level takes more time than it saves.
+COMPRESSION = 4
 #: Bytes of records that are handed on at once.
 BATCH_BYTES = 4 << 20
 #: Where records come from that have no date of their own.
 NO_DATE = "1970-01-01T00:00:00Z"
 RECORD = "source_key string, warc_type string, record_id string, refers_to string, target_uri string, date string, record binary"
 
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BASE32 = [a + b for a in _LETTERS for b in _LETTERS]
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.I | re.S)
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 # Headers of a response that its derivatives carry in fields of their own, or that speak of its own block.
@@ -55,7 +58,9 @@ _CHARSET = re.compile(r"charset\s*=\s*\"?([A-Za-z0-9_-]+)", re.I)
 
 
 def digest(block: bytes) -> str:
-    return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
+    """SHA-1 in base 32, which has a character for five bits; two are looked up at once."""
+    n = int.from_bytes(hashlib.sha1(block).digest())
+    return "sha1:" + "".join([_BASE32[n >> s & 1023] for s in range(150, -1, -10)])
 
 
 def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
@@ -92,9 +97,10 @@ def response(key: str, url: str, page: str, date: str = NO_DATE) -> bytes:
     """A response record around a page."""
     payload = page.encode("utf-8", "surrogatepass")
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{key} {url} {digest(block)}")
+    whole = digest(block)
+    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{key} {url} {whole}")
     return record(
-        [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Target-URI", url), ("WARC-Date", date), ("Content-Type", "application/http; msgtype=response"), ("WARC-Block-Digest", digest(block)), ("WARC-Payload-Digest", digest(payload))],
+        [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Target-URI", url), ("WARC-Date", date), ("Content-Type", "application/http; msgtype=response"), ("WARC-Block-Digest", whole), ("WARC-Payload-Digest", digest(payload))],
         block,
     )
 
@@ -152,12 +158,12 @@ def derivatives(raw: bytes, key: str | None = None) -> list[tuple[str, str, str,
     status, lines, payload = http_parts(block)
     target, date = headers.get("warc-target-uri", ""), headers.get("warc-date", NO_DATE)
     source = headers.get("warc-record-id") or f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, target + digest(block))}>"
-    sent = headers.get("warc-payload-digest", "")
+    sent, found = headers.get("warc-payload-digest", ""), digest(payload)
     body, unknown = body_of(lines, payload)
     kind = header(lines, "content-type").split(";")[0].strip().lower() or "text/html"
     readable = not unknown and (kind in _HTML or kind.startswith("text/"))
     fields = [("http-status", status), *(("http-header", x) for x in lines), *(("warc-header", f"{k}: {v}") for k, v in headers.items() if k not in _OWN)]
-    fields += [("source-block-digest", headers.get("warc-block-digest") or digest(block)), ("source-payload-digest", digest(payload)), ("payload-digest-match", "unknown" if not sent else str(sent == digest(payload)).lower())]
+    fields += [("source-block-digest", headers.get("warc-block-digest") or digest(block)), ("source-payload-digest", found), ("payload-digest-match", "unknown" if not sent else str(sent == found).lower())]
     fields += [("undecoded", unknown)] if unknown else []
     text = None
     if readable:
@@ -173,7 +179,7 @@ def derivatives(raw: bytes, key: str | None = None) -> list[tuple[str, str, str,
             fields += [("outlink", " ".join(html.unescape("".join(x)).split())) for x in _LINK.findall(page)]
     made = [("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace"), [])]
     if text is not None:
-        made.append(("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"), [("WARC-Source-Payload-Digest", digest(payload))]))
+        made.append(("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"), [("WARC-Source-Payload-Digest", found)]))
     out = []
     for kind, content, block_out, more in made:
         name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {source}')}>"
@@ -226,7 +232,7 @@ def write(records: DataFrame, path: str, *, column: str = "record", key: str = "
                         out.close()
                     names.append((f"{folder}/_{task:06d}-{number:04d}.{attempt}", f"{folder}/part-{task:06d}-{number:04d}.warc.gz"))
                     out, at, number = system.open_output_stream(names[-1][0], compression=None), 0, number + 1
-                packed = gzip.compress(raw, 6, mtime=0)
+                packed = gzip.compress(raw, COMPRESSION, mtime=0)
                 out.write(packed)
                 rows.append((names[-1][1].rsplit("/", 1)[1], at, len(packed), k))
                 at += len(packed)
