@@ -209,7 +209,7 @@ def queues(totals: DataFrame, targets: dict[str, float] | None, size: int, min_q
 
 def pack(
     docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", targets: dict[str, float] | None = None,
-    size: int = WINDOW_TOKENS, end_id: int = END_ID, min_quantum: int = MIN_QUANTUM, with_ids: bool = False,
+    size: int = WINDOW_TOKENS, end_id: int = END_ID, min_quantum: int = MIN_QUANTUM, with_ids: bool = False, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Pieces of all documents with their sequence and offset there.
 
@@ -227,7 +227,7 @@ def pack(
     bases = parts.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0)))
     bases = bases.join(placed, bases["source"].eqNullSafe(placed["source"])).select(bases["source"].alias("b_source"), bases["part"].alias("b_part"), "queue", "member", F.col("before").alias("b_base"))
     bases = written(bases, "packing-bases")
-    if bases.count() <= BROADCAST_ROWS:
+    if bases.count() <= broadcast_rows:
         bases = F.broadcast(bases)
     ready = tokens.join(bases, tokens["source"].eqNullSafe(bases["b_source"]) & (tokens["part"] == bases["b_part"]))
     ready = ready.select("doc_id", "source", "doc_tokens", "payload", "queue", "member", (F.col("b_base") + F.col("local_start")).alias("source_start"))

@@ -156,18 +156,18 @@ def redacted(text: Column, spans: Column, mask: str = "[REDACTED]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(let(F.sort_array(spans), over))
 
 
-def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def redact(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs with all secrets masked: rows and columns stay, n_chars follows the text.
 
     Base spans are found again as the text streams by.  Added spans need the corpus's counts; few documents have any,
-    so these meet their text by id and text hash in a broadcast of a counted table, or in a shuffle beyond BROADCAST_ROWS.
+    so these meet their text by id and text hash in a broadcast of a counted table, or in a shuffle beyond broadcast_rows.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     key = F.xxhash64(F.col(text)).alias("text_hash")
     found = scan(docs, doc_id=doc_id, text=text, keep=[key]).filter(F.size("added") > 0)
     found = written(found.groupBy("doc_id", "text_hash").agg(F.first("added").alias("added")), "secrets-added")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(text).alias("text"), F.col(doc_id).alias("id"), key.alias("hash"), base_spans(t).alias("base"))
-    small = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+    small = F.broadcast(found) if found.count() <= broadcast_rows else found
     joined = rows.join(small, rows["id"].eqNullSafe(found["doc_id"]) & (rows["hash"] == found["text_hash"]), "left")
     spans = F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))
     cut = let(spans, lambda s: redacted(F.col("text"), s))

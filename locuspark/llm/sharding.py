@@ -18,7 +18,6 @@ further columns are carried along in the records.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locuspark.llm.native import before
@@ -53,8 +52,7 @@ def scattered(rows: DataFrame, doc_id: str, text: str, seed: int, bucket_bytes:
     full = written(full.withColumn("ways", F.ceil(F.col("bytes") / bucket_bytes).cast("bigint")), "shuffle-overfull")
     n_full = full.count()
     if n_full:
-        dealt = full.select("bucket", "ways", (F.sum("ways").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))).alias("before"))
-        dealt = dealt.select("bucket", "ways", (F.lit(buckets) + F.coalesce("before", F.lit(0))).alias("from"))
+        dealt = full.join(before(full, "bucket", "ways", "_before"), "bucket").select("bucket", "ways", (F.lit(buckets) + F.col("_before")).alias("from"))
         further = full.agg(F.sum("ways")).first()[0]
         rows = rows.join(F.broadcast(dealt) if n_full <= BROADCAST_BUCKETS else dealt, "bucket", "left")
         way = F.pmod(F.xxhash64(F.lit(seed), F.monotonically_increasing_id()), F.col("ways"))

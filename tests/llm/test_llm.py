@@ -126,8 +126,9 @@ def test_secrets_of_a_key_dump(spark):
         assert masked[i] == out + t[at:]
 
 
-def test_redaction_keeps_rows_and_masks(docs, rows, none):
-    got = secret_scan.redact(docs).collect()
+@pytest.mark.parametrize("bound", [secret_scan.BROADCAST_ROWS, 0])
+def test_redaction_keeps_rows_and_masks(docs, rows, none, bound):
+    got = secret_scan.redact(docs, broadcast_rows=bound).collect()
     assert counted(r["doc_id"] for r in got) == counted(r[0] for r in rows)
     for r in got:
         text, out, at = rows[r["doc_id"]][1], "", 0
@@ -523,6 +524,8 @@ def test_packing(docs, rows, none, tokenizer, targets):
         part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
         assert zlib.crc32(part.tobytes()) == r["ids_crc32"] and r["offset"] + r["length"] <= 256 and r["doc_tokens"] == len(ids[r["doc_id"]])
     assert packing.pack(none, queries.tokenizer_path()).count() == 0
+    shuffled = packing.pack(docs, queries.tokenizer_path(), targets=targets, size=256, broadcast_rows=0).collect()
+    assert counted(map(tuple, shuffled)) == counted(map(tuple, got))
 
 
 def test_schedule_fills_windows_to_the_mixture():
