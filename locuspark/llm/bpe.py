@@ -18,10 +18,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Most words remembered by a Python worker (about 120 bytes each).
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000
 #: Bytes of text whose words are told apart at once, and words in a call of the library.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 CALL_WORDS = 50_000
+#: Rows of a batch that are encoded at once.
+ENCODE_ROWS = 5000
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 # Letters of Latin script, which are letters to every version of the library.
 _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
@@ -54,8 +56,7 @@ class ByteBpe:
         self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True  # how the file writes a space
         # A word of letters is one pre-token, so it needs the file's model but not its pre-tokenizer.
-        self.letters = Tokenizer.from_file(path)
-        self.letters.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        self.whole, self.letters = self.tokenizer.pre_tokenizer, pre_tokenizers.CharDelimiterSplit(" ")
         self.bytes = _byte_letters()
         self._forget()
 
@@ -93,17 +94,21 @@ class ByteBpe:
             # Of two spaces between words the first is the delimiter, the second the word's own.
             spaces = np.flatnonzero(raw == 32)
             mapped[spaces[1::2]] = 32
-            self._cut(part, self.letters, mapped.tobytes().decode("utf-16-le"))
+            self._cut(part, mapped.tobytes().decode("utf-16-le"), self.letters)
         odd = [w for w in others if " " in w]
         others = [w for w in others if " " not in w] if odd else others
         for lo in range(0, len(others), CALL_WORDS):
             part = others[lo : lo + CALL_WORDS]
-            self._cut(part, self.tokenizer, " " + " ".join(part))
+            self._cut(part, " " + " ".join(part), self.whole)
         for w in odd:
             self._add([w], np.frombuffer(self._encode(" " + w), dtype=self.dtype), np.zeros(1, dtype=np.int64))
 
-    def _cut(self, words: list[str], tokenizer, text: str) -> None:
-        ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+    def _cut(self, words: list[str], text: str, splitter) -> None:
+        self.tokenizer.pre_tokenizer = splitter
+        try:
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        finally:
+            self.tokenizer.pre_tokenizer = self.whole
         cuts = np.flatnonzero(self.opens[ids])
         if len(cuts) != len(words):
             raise ValueError("the tokenizer doesn't begin words at spaces")

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from locuspark.llm.workers import lean
+
 WINDOW_WORDS = 13
 #: A document is contaminated from one hit word in so many on.
 HIT_SHARE = 20
@@ -230,7 +232,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", text:
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), *[F.struct(*(docs[c] for c in docs.columns)).alias("row")] * carry, F.col(text).cast("string").alias("__text"))
     fields = [f for f in rows.schema.fields if f.name != "__text"]
-    out = rows.mapInArrow(run, StructType([*fields, *StructType.fromDDL(FOUND).fields]))
+    out = rows.mapInArrow(lean(run), StructType([*fields, *StructType.fromDDL(FOUND).fields]))
     return out.select("*", F.aggregate("hits", F.lit(0).cast("bigint"), lambda a, h: a + h["end"] - h["start"]).alias("n_hit"))
 
 

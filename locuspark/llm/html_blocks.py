@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from locuspark.llm.workers import lean
+
 # Thresholds of the two passes.
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.30, 0.32
@@ -370,4 +372,4 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", pag
             yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("url"), F.col(page).cast("string").alias("html"))
-    return rows.mapInArrow(run, StructType([StructField("page_id", rows.schema["page_id"].dataType), StructField("url", StringType()), StructField("text", StringType()), StructField("n_chars", LongType())]))
+    return rows.mapInArrow(lean(run), StructType([StructField("page_id", rows.schema["page_id"].dataType), StructField("url", StringType()), StructField("text", StringType()), StructField("n_chars", LongType())]))

@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from locuspark.llm.bpe import encoder
+from locuspark.llm.bpe import ENCODE_ROWS, encoder
+from locuspark.llm.workers import lean
 from locuspark.storage import written
 
 WINDOW_TOKENS = 2048
@@ -53,21 +54,19 @@ def tokenised(docs: DataFrame, tokenizer: str, doc_id: Column, text: Column, sou
         bpe = encoder(tokenizer)
         width, end = bpe.dtype.itemsize, np.array([end_id], dtype=bpe.dtype).tobytes()
         so_far: dict[str | None, int] = {}
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 10_000):
-                part = batch.slice(lo, 10_000)
-                payload = [x + end for x in bpe.encode_batch(part["text"])]
-                starts, sizes = [], [len(x) // width for x in payload]
-                for s, n in zip(part["source"].to_pylist(), sizes, strict=True):
-                    starts.append(so_far.get(s, 0))
-                    so_far[s] = starts[-1] + n
-                yield pa.RecordBatch.from_arrays(
-                    [part["doc_id"], part["source"], part["part"], pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(payload, pa.binary())],
-                    names=["doc_id", "source", "part", "local_start", "doc_tokens", "payload"],
-                )
+        for part in batches:
+            payload = [x + end for x in bpe.encode_batch(part["text"])]
+            starts, sizes = [], [len(x) // width for x in payload]
+            for s, n in zip(part["source"].to_pylist(), sizes, strict=True):
+                starts.append(so_far.get(s, 0))
+                so_far[s] = starts[-1] + n
+            yield pa.RecordBatch.from_arrays(
+                [part["doc_id"], part["source"], part["part"], pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(payload, pa.binary())],
+                names=["doc_id", "source", "part", "local_start", "doc_tokens", "payload"],
+            )
 
     rows = docs.select(doc_id.alias("doc_id"), text.cast("string").alias("text"), source.cast("string").alias("source"), F.spark_partition_id().alias("part"))
-    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], *StructType.fromDDL(_TOKENS).fields]))
+    return rows.mapInArrow(lean(run, ENCODE_ROWS), StructType([rows.schema["doc_id"], *StructType.fromDDL(_TOKENS).fields]))
 
 
 class Schedule:
@@ -257,7 +256,7 @@ def pack(
                     rows, docs, ids = [], [], []
             yield _batch(batch.column(0), docs, rows, ids, with_ids)
 
-    return ready.mapInArrow(place, StructType([ready.schema["doc_id"], *StructType.fromDDL(PIECES + (", ids binary" if with_ids else "")).fields]))
+    return ready.mapInArrow(lean(place), StructType([ready.schema["doc_id"], *StructType.fromDDL(PIECES + (", ids binary" if with_ids else "")).fields]))
 
 
 def _batch(keys: pa.Array, docs: list[int], rows: list[tuple], ids: list[bytes], with_ids: bool) -> pa.RecordBatch:

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from locuspark.llm.workers import lean
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
 TRAIN_DOCS = 1500
@@ -374,7 +376,7 @@ def find(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([batch["doc_id"], rows(base), rows(added)], names=["doc_id", "base", "added"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], *StructType.fromDDL(FOUND).fields]))
+    return rows.mapInArrow(lean(run), StructType([rows.schema["doc_id"], *StructType.fromDDL(FOUND).fields]))
 
 
 def digest(found: DataFrame) -> DataFrame:

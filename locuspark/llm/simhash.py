@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from locuspark.llm.native import join_hot
+from locuspark.llm.workers import lean
 from locuspark.storage import release, written
 
 SHINGLE_WORDS = 3
@@ -86,7 +87,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(found, pa.int64())], names=["doc_id", "text_hash", "fp"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_hash(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], rows.schema["text_hash"], StructField("fp", LongType())]))
+    return rows.mapInArrow(lean(run), StructType([rows.schema["doc_id"], rows.schema["text_hash"], StructField("fp", LongType())]))
 
 
 def text_hash(text: Column) -> Column:

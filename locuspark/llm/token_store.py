@@ -30,8 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from locuspark.llm.bpe import encoder
+from locuspark.llm.bpe import ENCODE_ROWS, encoder
 from locuspark.llm.native import before
+from locuspark.llm.workers import lean
 from locuspark.storage import new_folder, written
 
 END_ID = 2
@@ -183,26 +184,24 @@ def write(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str
         offsets, out = [0], []
 
         def encoded() -> Iterator[bytes]:
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 10_000):
-                    part = batch.slice(lo, 10_000)
-                    ids = [x + end for x in bpe.encode_batch(part["text"])]
-                    first = len(offsets) - 1
-                    for x in ids:
-                        offsets.append(offsets[-1] + len(x) // width)
-                    n = len(ids)
-                    out.append(pa.RecordBatch.from_arrays(
-                        [part["key"], pa.array([shard] * n, pa.int32()), pa.array(range(first, first + n), pa.int64()), pa.array(np.diff(offsets[first:]), pa.int64())],
-                        names=["key", "shard", "record", "n_tokens"],
-                    ))
-                    yield b"".join(ids)
+            for part in batches:
+                ids = [x + end for x in bpe.encode_batch(part["text"])]
+                first = len(offsets) - 1
+                for x in ids:
+                    offsets.append(offsets[-1] + len(x) // width)
+                n = len(ids)
+                out.append(pa.RecordBatch.from_arrays(
+                    [part["key"], pa.array([shard] * n, pa.int32()), pa.array(range(first, first + n), pa.int64()), pa.array(np.diff(offsets[first:]), pa.int64())],
+                    names=["key", "shard", "record", "n_tokens"],
+                ))
+                yield b"".join(ids)
 
         _save(path, f"shard-{shard:06d}.bin", attempt, encoded())
         _save(path, f"shard-{shard:06d}.off", attempt, iter([np.array(offsets, dtype="<u8").tobytes()]))
         yield from out
 
     sorted_rows = rows.repartitionByRange(shards, "key").sortWithinPartitions("key", "text")
-    entries = written(sorted_rows.mapInArrow(run, "key bigint, shard int, record bigint, n_tokens bigint"), "tokens-entries")
+    entries = written(sorted_rows.mapInArrow(lean(run, ENCODE_ROWS), "key bigint, shard int, record bigint, n_tokens bigint"), "tokens-entries")
     counts = written(entries.groupBy("shard").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("records")), "tokens-shards")
     buckets = max(1, -(-(counts.agg(F.sum("records")).first()[0] or 0) // BUCKET_KEYS))
     keyed = entries.groupBy("key").agg(F.min(F.struct("shard", "record")).alias("at"), F.count("*").alias("records"))
@@ -276,4 +275,4 @@ def read(store: Store, keys: DataFrame, *, doc_id: str = "doc_id", with_ids: boo
             arrays = [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4], pa.binary())] * with_ids
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
-    return rows.mapInArrow(fetch, READ + (", ids binary" if with_ids else ""))
+    return rows.mapInArrow(lean(fetch), READ + (", ids binary" if with_ids else ""))

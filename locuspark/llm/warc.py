@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locuspark.llm.html_blocks import blocks
+from locuspark.llm.workers import lean
 
 SEGMENT_BYTES = 64 << 20
 #: Members are small, so a higher level takes more time than it saves.
@@ -197,7 +198,7 @@ def responses(pages: DataFrame, *, key: str = "page_id", url: str = "url", page:
             made = [response(k or "", u or "", p or "") for k, u, p in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["source_key", "record"])
 
-    return pages.select(F.col(key).cast("string"), F.col(url).cast("string"), F.col(page).cast("string")).mapInArrow(run, "source_key string, record binary")
+    return pages.select(F.col(key).cast("string"), F.col(url).cast("string"), F.col(page).cast("string")).mapInArrow(lean(run), "source_key string, record binary")
 
 
 def derive(records: DataFrame, *, key: str = "source_key", column: str = "record") -> DataFrame:
@@ -211,7 +212,7 @@ def derive(records: DataFrame, *, key: str = "source_key", column: str = "record
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    return records.select(F.col(key).cast("string"), F.col(column)).mapInArrow(run, RECORD)
+    return records.select(F.col(key).cast("string"), F.col(column)).mapInArrow(lean(run), RECORD)
 
 
 def write(records: DataFrame, path: str, *, column: str = "record", key: str = "source_key", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -243,7 +244,7 @@ def write(records: DataFrame, path: str, *, column: str = "record", key: str = "
         for own, final in names:
             system.move(own, final)
 
-    return written(records.select(F.col(key).cast("string"), F.col(column)).mapInArrow(run, "segment string, offset bigint, length bigint, source_key string"), "warc-places")
+    return written(records.select(F.col(key).cast("string"), F.col(column)).mapInArrow(lean(run), "segment string, offset bigint, length bigint, source_key string"), "warc-places")
 
 
 def members(f: BinaryIO) -> Iterator[bytes]:

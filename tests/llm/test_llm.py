@@ -769,3 +769,14 @@ def test_pipeline_rejects_a_host_and_takes_odd_tables(spark, tmp_path):
     got = {r["doc_id"] for r in corpus_pipeline.run(spark, f"{tmp_path}/full").collect()}
     assert got == {200 + i for i in range(80)} | {None}
     assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_workers_take_slices_and_end_well():
+    from locuspark.llm.workers import lean
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n))], names=["x"]) for n in (0, 1, 7, 4)]
+    seen = []
+    run = lambda bs: (seen.append(b.num_rows) or b for b in bs)
+    out = [x for b in lean(run, 3)(iter(batches)) for x in b["x"].to_pylist()]
+    assert out == [*range(1), *range(7), *range(4)] and seen == [1, 3, 3, 1, 3, 1]
+    assert list(lean(run)(iter([]))) == []
