@@ -231,37 +231,43 @@ def pack(
     ready = tokens.join(bases, tokens["source"].eqNullSafe(bases["b_source"]) & (tokens["part"] == bases["b_part"]))
     ready = ready.select("doc_id", "source", "doc_tokens", "payload", "queue", "member", (F.col("b_base") + F.col("local_start")).alias("source_start"))
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schedule, crc = Schedule(totals, weights, size), zlib.crc32
         turns = {q: Turns(n, min_quantum) for q, n in members.items()}
         for batch in batches:
-            rows: list[tuple] = []
-            docs: list[int] = []  # rows of the batch that the pieces belong to
+            # Of each piece its place among all windows' tokens, its length and checksum; of each row its pieces.
+            where: list[int] = []
+            lengths: list[int] = []
+            sums: list[int] = []
+            pieces: list[int] = []
             ids: list[bytes] = []
-            for row, (src, n, payload, queue, member, begin) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(1, 7)), strict=True)):
-                wide = np.frombuffer(payload, dtype="<u2" if len(payload) == 2 * n else "<u4").astype("<u4").tobytes()
-                wide, start = memoryview(wide), 0
-                inside = turns[queue].runs(member, begin, n) if queue in turns else ((begin, n),)
-                for where, length in (run for at, most in inside for run in schedule.runs(queue, at, most)):
-                    end = start + 4 * length
-                    piece = wide[start:end]
-                    window, offset = divmod(where, size)
-                    docs.append(row)
-                    rows.append((start >> 2, length, crc(piece), n, window, offset, src))
-                    if with_ids:
-                        ids.append(bytes(piece))
-                    start = end
-                if len(rows) >= 50_000:
-                    yield _batch(batch.column(0), docs, rows, ids, with_ids)
-                    rows, docs, ids = [], [], []
-            yield _batch(batch.column(0), docs, rows, ids, with_ids)
-
-    return ready.mapInArrow(lean(place), StructType([ready.schema["doc_id"], *StructType.fromDDL(PIECES + (", ids binary" if with_ids else "")).fields]))
-
-
-def _batch(keys: pa.Array, docs: list[int], rows: list[tuple], ids: list[bytes], with_ids: bool) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 6 + [pa.string()]
+            for n, payload, queue, member, begin in zip(*(batch.column(i).to_pylist() for i in range(2, 7)), strict=True):
+                wide = memoryview(np.frombuffer(payload, dtype="<u2" if len(payload) == 2 * n else "<u4").astype("<u4").tobytes())
+                start, before = 0, len(where)
+                for at, most in turns[queue].runs(member, begin, n) if queue in turns else ((begin, n),):
+                    for place, length in schedule.runs(queue, at, most):
+                        end = start + 4 * length
+                        where.append(place)
+                        lengths.append(length)
+                        sums.append(crc(wide[start:end]))
+                        if with_ids:
+                            ids.append(bytes(wide[start:end]))
+                        start = end
+                pieces.append(len(where) - before)
+            yield _batch(batch, where, lengths, sums, pieces, size, ids if with_ids else None)
+
+    return ready.mapInArrow(lean(placed_pieces), StructType([ready.schema["doc_id"], *StructType.fromDDL(PIECES + (", ids binary" if with_ids else "")).fields]))
+
+
+def _batch(batch: pa.RecordBatch, where: list[int], lengths: list[int], sums: list[int], pieces: list[int], size: int, ids: list[bytes] | None) -> pa.RecordBatch:
+    """PIECES of a batch's rows, of which each has so many."""
+    row = np.repeat(np.arange(len(pieces)), pieces)
+    place, length = np.array(where, dtype=np.int64), np.array(lengths, dtype=np.int64)
+    through = np.cumsum(length) - length
+    firsts = np.cumsum(pieces) - pieces
+    start = through - through[firsts][row] if len(row) else through
+    whole, source = (batch.column(i).take(pa.array(row)) for i in (2, 1))
+    numbers = [start, length, np.array(sums, dtype=np.int64)]
+    arrays = [batch.column(0).take(pa.array(row)), *map(pa.array, numbers), whole, pa.array(place // size), pa.array(place % size), source]
     names = ["doc_id", *(x.split()[0] for x in PIECES.split(", "))]
-    columns = zip(*rows, strict=True) if rows else [[]] * 7
-    arrays = [keys.take(pa.array(docs, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
-    return pa.RecordBatch.from_arrays([*arrays, pa.array(ids, pa.binary())] if with_ids else arrays, names=names + ["ids"] * with_ids)
+    return pa.RecordBatch.from_arrays([*arrays, pa.array(ids, pa.binary())] if ids is not None else arrays, names=names + ["ids"] * (ids is not None))
