@@ -270,7 +270,8 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *, h
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
     first = keyed.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n_keys"))
     # A component with one key has nothing to give up; the others' keys meet their first, a hot component's in several tasks.
-    several = join_hot(keyed, first.filter("n_keys > 1"), ["root"], "n_keys", "text_hash", most=hot_rows)
+    first = written(first.filter("n_keys > 1"), "simhash-first")
+    several = join_hot(keyed, first, ["root"], "n_keys", "text_hash", most=hot_rows)
     gone = several.filter(order != F.col("first")).select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"))
     gone = written(gone, "simhash-gone")
     key = lambda i, h: F.col("_id").eqNullSafe(F.col(i)) & (F.col("_hash") == F.col(h))
