@@ -40,6 +40,8 @@ SEGMENTS, SEGMENT_BITS = 8, 8
 SMALL_EDGES = 16_384
 #: A fingerprint of more rows than this is dealt over several tasks when its rows meet their component.
 HOT_ROWS = 1_000_000
+#: Candidate keys that a worker takes at once.
+LINK_ROWS = 100_000
 #: Shingles whose bits are counted at once by a worker.
 CHUNK = 1 << 19
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -194,7 +196,7 @@ def links(fps: DataFrame) -> DataFrame:
             yield emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     keyed = candidate_keys(fps).select("chain", "key", "fp").repartition("chain", "key").sortWithinPartitions("chain", "key")
-    return keyed.mapInArrow(run, "a bigint, b bigint")
+    return keyed.mapInArrow(lean(run, LINK_ROWS), "a bigint, b bigint")
 
 
 # --- components -----------------------------------------------------------------------------------------------
