@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from locuspark.llm import license_rules, licenses
 from locuspark.llm.quality_rules import BOUND, DEVIATIONS, HOST_RATE, LEAST_WORDS, REPEAT_PERCENT, RULES
 from locuspark.llm.secret_scan import BARE, BARE_DIFFERENT, LIVE_REPOSITORIES, WIDE_OWNERS, WIDE_REPOSITORIES
 
@@ -83,3 +84,50 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM f LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
 """
+
+
+def op11() -> str:
+    """Every rule on every text that has its gates, and the levels one after the other."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    rules = ", ".join(f"({r['rule']}, {r['level']}, {quoted(r['label'])}, {quoted(' ' + r['gate'] + ' ')}, [{', '.join(map(quoted, r['more']))}]::VARCHAR[], {quoted(r['pattern'])})" for r in licenses.table())
+    base = ", ".join(f"({-1 - n}, -1, {quoted(label)}, {quoted(licenses.spelled(phrase))}, []::VARCHAR[], {quoted(licenses.spelled(phrase))})" for n, (phrase, label) in enumerate(licenses.BASE.items()))
+    inside = "e.rid = d.rid AND e.s <= d.s AND e.e >= d.e AND (e.s < d.s OR e.e > d.e OR e.rule < d.rule)"
+    levels, before = [], "SELECT NULL::BIGINT AS rid, 0 AS s, 0 AS e WHERE false"
+    for n in range(len(license_rules.LEVELS)):
+        levels.append(f"a{n} AS (SELECT * FROM found d WHERE level = {n} AND NOT EXISTS (SELECT 1 FROM ({before}) k WHERE k.rid = d.rid AND k.s < d.e AND d.s < k.e))")
+        levels.append(f"k{n} AS (SELECT * FROM a{n} d WHERE NOT EXISTS (SELECT 1 FROM a{n} e WHERE {inside}))")
+        before = " UNION ALL ".join(f"SELECT rid, s, e FROM k{i}" for i in range(n + 1))
+    kept = " UNION ALL ".join(f"SELECT * FROM k{n}" for n in range(len(license_rules.LEVELS)))
+    score = "CASE level " + " ".join(f"WHEN {n} THEN {x!r}::DOUBLE" for n, x in enumerate(license_rules.LEVELS)) + " END"
+    return f"""
+WITH r(rule, level, label, gate, more, pattern) AS (VALUES {rules}, {base}),
+d AS (SELECT row_number() OVER () AS rid, doc_id, trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{licenses.SEPARATORS}', '  ', 'g')) AS w FROM documents),
+t AS (SELECT rid, doc_id, CASE WHEN w = '' THEN '' ELSE ' ' || w || ' ' END AS t FROM d),
+open AS (SELECT rid, t, r.* FROM t JOIN r ON contains(t, gate) AND len(list_filter(more, lambda g: NOT contains(t, g))) = 0),
+ms AS (SELECT rid, rule, level, label, regexp_extract_all(t, pattern) AS ms, string_split_regex(t, pattern) AS gs FROM open WHERE regexp_matches(t, pattern)),
+one AS (SELECT rid, rule, level, label, unnest(range(len(ms))) AS i, unnest(list_transform(ms, lambda m: (length(m) - length(replace(m, ' ', ''))) // 2)) AS own, unnest(list_transform(gs[:len(ms)], lambda m: (length(m) - length(replace(m, ' ', ''))) // 2)) AS gap FROM ms),
+placed AS (SELECT rid, rule, level, label, own, sum(gap + own) OVER (PARTITION BY rid, rule ORDER BY i) AS e FROM one),
+found AS (SELECT rid, rule, level, label, e - own AS s, e FROM placed WHERE level >= 0),
+base AS (SELECT rid, label, e - own AS s FROM placed WHERE level < 0),
+{", ".join(levels)},
+kept AS ({kept}),
+b AS (SELECT rid, count(*) AS n_base, min(s) AS first_word, max(s) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY rid),
+k AS (SELECT rid, count(*) AS n_kept, max({score}) AS score, string_agg(label || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, e DESC, rule) AS spans FROM kept GROUP BY rid),
+l AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM base UNION SELECT rid, label FROM kept) GROUP BY rid),
+n AS (SELECT rid, count(*) AS n_found FROM found GROUP BY rid)
+SELECT doc_id, CAST((length(t) - length(replace(t, ' ', ''))) // 2 AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score, coalesce(n_kept, 0) AS n_kept, coalesce(n_found, 0) - coalesce(n_kept, 0) AS n_suppressed, coalesce(spans, '') AS spans
+FROM t LEFT JOIN b USING (rid) LEFT JOIN k USING (rid) LEFT JOIN l USING (rid) LEFT JOIN n USING (rid)
+"""
+
+
+OP13 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, t, CAST(length(regexp_replace(t, '[A-Za-z]+', 'a', 'g')) AS BIGINT) AS n, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u,
+             CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+f AS (SELECT doc_id, t, n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+             coalesce(array_to_string(u[:least(h1 % (n + 1), h2 % (n + 1))], ''), '') AS p, coalesce(array_to_string(u[least(h1 % (n + 1), h2 % (n + 1)) + 1:greatest(h1 % (n + 1), h2 % (n + 1))], ''), '') AS m, coalesce(array_to_string(u[greatest(h1 % (n + 1), h2 % (n + 1)) + 1:], ''), '') AS s FROM u)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM f
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuspark.llm import decontaminate, html_blocks, oracle, packing, pii_crf, quality_rules, secret_scan, sharding, simhash, token_store, warc
+from locuspark.llm import decontaminate, fim, html_blocks, licenses, oracle, packing, pii_crf, quality_rules, secret_scan, sharding, simhash, spelling, token_store, warc
 from locuspark.storage import new_folder
 
 
@@ -67,6 +67,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.scan(_table(spark, sf_dir, "documents")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(fim.fill_in_middle(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_ownership": op1_secret_ownership,
     "op2_decontaminate": op2_decontaminate,
@@ -78,9 +90,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_shards": op9_shards,
     "op10_simhash": op10_simhash,
+    "op11_license_rules": op11_license_rules,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_secret_ownership": oracle.OP1,
     "op2_decontaminate": oracle.OP2,
     "op6_host_rules": oracle.OP6,
+    "op11_license_rules": oracle.op11(),
+    "op13_fill_in_middle": oracle.OP13,
 }
