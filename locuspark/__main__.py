@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from locuspark.operators import copynumber, typing
 from locuspark.plans import pipeline
-from locuspark.sources import alignments, results, sinks
+from locuspark.sources import alignments, bam, results, sinks
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -24,7 +24,7 @@ def arguments() -> argparse.ArgumentParser:
     cn.add_argument("--diploid-depth", help="JSON with mean and std of a diploid region's depth")
     cn.add_argument("--output", required=True)
     ty = commands.add_parser("type", help="alleles from alignment text")
-    ty.add_argument("--sam", nargs="+", required=True, help="name=path of alignment text")
+    ty.add_argument("--sam", nargs="+", required=True, help="name=path of alignment text, or of a .bam file")
     ty.add_argument("--index", required=True, help="prefix of .snp, .link and .locus")
     ty.add_argument("--copynumber", required=True, help="table of sample, gene and cn")
     ty.add_argument("--strategy", default="full", choices=["full", "exonfirst", "em", "report"])
@@ -44,6 +44,11 @@ def _union(parts):
     return out
 
 
+def _records(spark: SparkSession, path: str, sample: str):
+    """Alignment text, or BAM by its name."""
+    return bam.read_bam(spark, path, sample).drop("file") if path.endswith(".bam") else alignments.read_sam(spark, path, sample)
+
+
 def main() -> None:
     args = arguments().parse_args()
     spark = SparkSession.builder.appName("locuspark").getOrCreate()
@@ -56,7 +61,7 @@ def main() -> None:
         depths = _union([alignments.read_depth(spark, path).withColumn("sample", F.lit(name)) for name, path in named(args.depth)])
         sinks.write_table(pipeline.copy_numbers(pipeline.gene_depths(depths, settings), settings).select("sample", "gene", "cn", "depth"), args.output)
     elif args.command == "type":
-        records = _union([alignments.read_sam(spark, path, name) for name, path in named(args.sam)])
+        records = _union([_records(spark, path, name) for name, path in named(args.sam)])
         catalogue = alignments.catalogue(alignments.read_variants(spark, f"{args.index}.snp"), alignments.read_links(spark, f"{args.index}.link"), alignments.read_exons(spark, f"{args.index}.locus"))
         copies = spark.read.schema("sample STRING, gene STRING, cn INT, depth DOUBLE").csv(args.copynumber, sep="\t", header=True)
         settings = pipeline.Settings(strategy=args.strategy, typing=typing.Setting(top_n=args.top_n))

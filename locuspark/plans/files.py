@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from locuspark.operators import copynumber, evaluate, reads, typing
 from locuspark.plans.engine import GENE, alignment_text, catalogue
 from locuspark.plans.registry import query, rounded
-from locuspark.sources import alignments, results, sinks
+from locuspark.sources import alignments, bam, results, sinks
 from locuspark.storage import new_folder
 
 
@@ -69,19 +69,60 @@ def index_files(t):
 @query("SELECT event_type AS sample, 2 * count(*) AS total, 2 * count(*) AS mapped, 2 * count(*) AS paired, 1 AS headers, 2 * count(*) AS again FROM events GROUP BY event_type")
 def sam_files(t):
     text = alignment_text(t("events"))
-    spark, out = text.sparkSession, None
-    for (sample,) in sorted(tuple(r) for r in text.select("sample").distinct().collect()):
-        own = text.filter(F.col("sample") == sample)
-        path = _text(own.select("line", "value").union(spark.range(1).select(F.lit(-1).alias("line"), F.lit("@HD\tVN:1").alias("value"))), "sam")
-        records = alignments.read_sam(spark, path, sample)
-        head = alignments.read_sam_header(spark, path).agg(F.count("*").cast("int").alias("headers"))
-        copy = new_folder(spark, "sam")
-        sinks.write_sam(records.select(F.col("sam").alias("l_sam"), F.lit(None).cast("string").alias("r_sam"), F.lit(1).alias("multiple")), copy, unique=True)
-        again = alignments.read_sam(spark, copy, sample).agg(F.count("*").alias("again"))
-        s = alignments.flag_statistics(records).select(F.lit(sample).alias("sample"), "total", "mapped", F.col("properly_paired").alias("paired"))
-        rows = s.crossJoin(F.broadcast(head)).crossJoin(F.broadcast(again))  # one row each
-        out = rows if out is None else out.union(rows)
-    return out
+    spark, path, copy = text.sparkSession, new_folder(text.sparkSession, "sam"), new_folder(text.sparkSession, "sam")
+    heads = text.select("sample").distinct().select("sample", F.lit("@HD\tVN:1").alias("value"))
+    text.select("sample", "value").union(heads).write.partitionBy("sample").text(path)
+    records = alignments.read_sam(spark, path, keep=["sample"])
+    lines = records.select(F.col("sam").alias("l_sam"), F.lit(None).cast("string").alias("r_sam"), F.lit(1).alias("multiple"), "sample")
+    sinks.write_sam(lines, copy, unique=True, keys=["sample"])
+    again = alignments.read_sam(spark, copy, keep=["sample"]).groupBy("sample").agg(F.count("*").alias("again"))
+    head = alignments.read_sam_header(spark, path, keep=["sample"]).groupBy("sample").agg(F.count("*").cast("int").alias("headers"))
+    found = alignments.flag_statistics(records, "sample").select("sample", "total", "mapped", F.col("properly_paired").alias("paired"))
+    return found.join(head, "sample").join(again, "sample")
+
+
+# Three contigs, positions by part, pairs of which some aren't proper, some are duplicates and some have no place.
+_BAM = """r AS (SELECT l_orderkey, l_linenumber, l_orderkey * 8 + l_linenumber AS k, CASE WHEN l_orderkey % 17 = 0 THEN '*' ELSE 'chr' || l_suppkey % 3 END AS rname, CASE WHEN l_orderkey % 17 = 0 THEN 0 ELSE l_partkey * 50 + l_linenumber END AS pos,
+CASE WHEN l_orderkey % 17 = 0 THEN 4 WHEN l_orderkey % 5 = 0 THEN 65 WHEN l_orderkey % 7 = 0 THEN 1123 ELSE 99 END AS flag, CASE l_linenumber % 3 WHEN 0 THEN '30M' WHEN 1 THEN '10M5D20M' ELSE '4S20M2I4M' END AS cigar, CASE l_linenumber % 3 WHEN 0 THEN 30 WHEN 1 THEN 35 ELSE 24 END AS span FROM lineitem)"""
+CONTIGS = [(f"chr{i}", 1 << 25) for i in range(3)]
+
+
+def _placed_reads(t) -> DataFrame:
+    """Lines of alignment text (column sam) made from line items."""
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    none = o % 17 == 0
+    cigar = F.when(n % 3 == 0, "30M").when(n % 3 == 1, "10M5D20M").otherwise("4S20M2I4M")
+    fields = [
+        F.concat(F.lit("q"), o * 8 + n), F.when(none, 4).when(o % 5 == 0, 65).when(o % 7 == 0, 1123).otherwise(99), F.when(none, "*").otherwise(F.concat(F.lit("chr"), F.col("l_suppkey") % 3)),
+        F.when(none, 0).otherwise(F.col("l_partkey") * 50 + n), F.lit(60), F.when(none, "*").otherwise(cigar), F.lit("="), F.lit(7), F.lit(-40), F.substring(F.repeat(F.lit("ACGTN"), F.lit(6)), F.lit(1), F.lit(30)),
+        F.repeat(F.lit("#"), F.lit(30)), F.concat(F.lit("NH:i:"), n), F.concat(F.lit("NM:i:"), o % 6), F.concat(F.lit("MD:Z:"), n, F.lit("A5")),
+    ]
+    return t("lineitem").select(F.concat_ws("\t", *(f.cast("string") for f in fields)).alias("sam"))
+
+
+def _bam_folder(t) -> tuple:
+    rows = _placed_reads(t)
+    path = new_folder(rows.sparkSession, "bam")
+    bam.write_bam(rows, path, CONTIGS, shards=4)
+    return rows.sparkSession, path
+
+
+@query(f"""WITH {_BAM} SELECT rname, flag, CASE WHEN rname = '*' THEN '*' ELSE cigar END AS cigar, CAST(l_linenumber AS INTEGER) AS nh, CAST(l_orderkey % 6 AS INTEGER) AS nm, count(*) AS n, CAST(sum(pos) AS BIGINT) AS places, CAST(sum(k) AS BIGINT) AS names, min(l_linenumber || 'A5') AS md, 'ACGTN' AS bases
+FROM r GROUP BY ALL""")
+def bam_file(t):
+    spark, path = _bam_folder(t)
+    # Small splits, so that readers begin inside files.
+    found = bam.read_bam(spark, path, split=20_000)
+    return found.groupBy("rname", "flag", "cigar", "nh", "nm").agg(F.count("*").alias("n"), F.sum(F.col("pos").cast("bigint")).alias("places"), F.sum(F.substring("qname", 2, 20).cast("bigint")).alias("names"), F.min("md").alias("md"), F.min(F.substring("seq", 1, 5)).alias("bases"))
+
+
+@query(f"""WITH {_BAM}, m AS (SELECT *, rname = 'chr1' AND pos - 1 < 30000 AND pos - 1 + span > 19999 AS near, rname = 'chr2' AS decoy, flag // 2 % 2 = 0 AS loose FROM r WHERE flag // 1024 % 2 = 0)
+SELECT 'region' AS form, rname, count(*) AS n, CAST(sum(k) AS BIGINT) AS names FROM m WHERE near GROUP BY rname UNION ALL SELECT 'loose', rname, count(*), CAST(sum(k) AS BIGINT) FROM m WHERE near OR decoy OR loose GROUP BY rname""")
+def bam_regions(t):
+    spark, path = _bam_folder(t)
+    forms = {"region": bam.read_bam_regions(spark, path, "chr1:20,000-30,000"), "loose": bam.read_bam_regions(spark, path, "chr1:20,000-30,000", decoys="chr2", loose=True)}
+    rows = [df.select(F.lit(name).alias("form"), "rname", F.substring("qname", 2, 20).cast("bigint").alias("k")) for name, df in forms.items()]
+    return rows[0].union(rows[1]).groupBy("form", "rname").agg(F.count("*").alias("n"), F.sum("k").alias("names"))
 
 
 @query("SELECT 'a' || p_partkey AS allele, CAST(length(replace(p_name, ' ', '')) AS INTEGER) AS length FROM part")

@@ -29,14 +29,15 @@ def sam_records(lines: DataFrame, *more: str) -> DataFrame:
     return rows.select(*more, *fixed, F.coalesce(number(r"NH:i:(\d+)"), F.lit(1)).alias("nh"), number(r".*\tNM:i:(\d+)").alias("nm"), text("MD"), text("Zs"), F.col("value").alias("sam"))
 
 
-def read_sam(spark: SparkSession, path: str, sample: str | None = None) -> DataFrame:
-    """Records of SAM text with a line number that rises within each file."""
-    records = sam_records(spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line")), "line")
+def read_sam(spark: SparkSession, path: str, sample: str | None = None, *, keep: list[str] | None = None) -> DataFrame:
+    """Records of SAM text with a line number that rises within each file; keep names columns that path's folders have."""
+    kept = keep or []
+    records = sam_records(spark.read.text(path).select(*kept, "value", F.monotonically_increasing_id().alias("line")), *kept, "line")
     return records if sample is None else records.withColumn("sample", F.lit(sample))
 
 
-def read_sam_header(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).filter(F.col("value").startswith("@"))
+def read_sam_header(spark: SparkSession, path: str, *, keep: list[str] | None = None) -> DataFrame:
+    return spark.read.text(path).filter(F.col("value").startswith("@")).select(*(keep or []), "value")
 
 
 def read_depth(spark: SparkSession, path: str) -> DataFrame:
@@ -162,18 +163,23 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
     return _tsv(spark, path, schemas.BED)
 
 
-def flag_statistics(records: DataFrame) -> DataFrame:
+def flag_statistics(records: DataFrame, *by: str) -> DataFrame:
     """total, secondary and properly paired records."""
     has = lambda bit: F.col("flag").bitwiseAND(F.lit(bit)) != 0
     primary = ~has(256) & ~has(2048)
-    return records.agg(F.count("*").alias("total"), F.count_if(has(256)).alias("secondary"), F.count_if(has(2048)).alias("supplementary"), F.count_if(has(1024)).alias("duplicates"), F.count_if(~has(4)).alias("mapped"), F.count_if(primary & has(2) & ~has(4)).alias("properly_paired"))
+    return records.groupBy(*by).agg(F.count("*").alias("total"), F.count_if(has(256)).alias("secondary"), F.count_if(has(2048)).alias("supplementary"), F.count_if(has(1024)).alias("duplicates"), F.count_if(~has(4)).alias("mapped"), F.count_if(primary & has(2) & ~has(4)).alias("properly_paired"))
 
 
 def read_vcf(spark: SparkSession, path: str, samples: list[str] | None = None) -> DataFrame:
     """chrom, pos, ref, alt, filter, info (map), sample and gt: a row for each site and sample.
 
-    Without names of samples the first column of genotypes is given, under a null sample.
+    Without names of samples those of the header are taken; without a header's line of columns there must be one column
+    of genotypes at most, which is given under a null sample.
     """
+    if samples is None:
+        samples = vcf_samples(spark, path) or None
+    if samples is None and not spark.read.text(path).filter(~F.col("value").startswith("#") & (F.size(F.split("value", "\t")) > 10)).isEmpty():
+        raise ValueError(f"{path} has several samples and names none: give their names")
     rows = spark.read.text(path).filter(~F.col("value").startswith("#"))
     p = F.split("value", "\t")
     gt = lambda i: F.split_part(F.get(p, F.lit(9 + i)), F.lit(":"), F.lit(1))

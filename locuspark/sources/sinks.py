@@ -22,10 +22,11 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_sam(reads: DataFrame, path: str, *, unique: bool = False) -> None:
-    """Both mates' lines; unique leaves out reads with several places."""
+def write_sam(reads: DataFrame, path: str, *, unique: bool = False, keys: list[str] | None = None) -> None:
+    """Both mates' lines; unique leaves out reads with several places.  Each value of keys has a folder of its own."""
     rows = reads.filter("multiple = 1") if unique else reads
-    rows.select(F.explode(F.array("l_sam", "r_sam")).alias("value")).filter("value is not null").write.mode("overwrite").text(path)
+    lines = rows.select(*(keys or []), F.explode(F.array("l_sam", "r_sam")).alias("value")).filter("value is not null")
+    lines.write.mode("overwrite").partitionBy(*(keys or [])).text(path)
 
 
 def write_read_groups(reads: DataFrame, assigned: DataFrame, path: str) -> None:
