@@ -1,4 +1,4 @@
-"""Command line: python -m locuspark {depth,type,merge} ..."""
+"""Command line: python -m locuspark {copynumber,type,novel,merge} ..."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ import argparse
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from locuspark.operators import copynumber, typing
+from locuspark.operators import copynumber, novel, reads, typing
 from locuspark.plans import pipeline
 from locuspark.sources import alignments, bam, results, sinks
+from locuspark.storage import written
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -31,6 +32,14 @@ def arguments() -> argparse.ArgumentParser:
     ty.add_argument("--allele-fasta", help="sequences whose lengths normalise the EM")
     ty.add_argument("--top-n", type=int, default=typing.TOP_N)
     ty.add_argument("--output", required=True)
+    no = commands.add_parser("novel", help="new variants of called alleles, over a cohort")
+    no.add_argument("--sam", nargs="+", required=True, help="name=path of alignment text, or of a .bam file")
+    no.add_argument("--index", required=True, help="prefix of .snp, .link and .locus")
+    no.add_argument("--calls", required=True, help="table of name and alleles, as type writes it")
+    no.add_argument("--backbone", required=True, help="sequences of the index's references")
+    no.add_argument("--allele-fasta", required=True, help="sequences of the alleles on the same coordinates")
+    no.add_argument("--registry", help="folder of an earlier run's registry, which is extended")
+    no.add_argument("--output", required=True)
     me = commands.add_parser("merge", help="cohort tables from single ones")
     me.add_argument("--copynumber", nargs="+", required=True)
     me.add_argument("--output", required=True)
@@ -49,6 +58,23 @@ def _records(spark: SparkSession, path: str, sample: str):
     return bam.read_bam(spark, path, sample).drop("file") if path.endswith(".bam") else alignments.read_sam(spark, path, sample)
 
 
+def _novel(spark: SparkSession, records, args: argparse.Namespace) -> None:
+    known = alignments.catalogue(alignments.read_variants(spark, f"{args.index}.snp"), alignments.read_links(spark, f"{args.index}.link"), alignments.read_exons(spark, f"{args.index}.locus"))
+    mates = written(reads.decoded(reads.mates(reads.read_pairs(records))), "mates")
+    variants = written(reads.with_ids(reads.long_variants(mates), known), "read-variants")
+    found = written(reads.evidence(mates, variants, known), "evidence")
+    # An allele belongs to the reference whose variants name it.
+    genes = known.select(F.col("ref").alias("gene"), F.explode("allele").alias("allele")).distinct()
+    called = results.read_calls(spark, args.calls).select("sample", "allele").join(genes, "allele")
+    backbone = alignments.read_fasta(spark, args.backbone).select(F.col("id").alias("gene"), "seq")
+    sequences = alignments.read_fasta(spark, args.allele_fasta).select(F.col("id").alias("allele"), "seq")
+    new, applied = novel.discovered(mates, found, variants, known, called, backbone, sequences)
+    earlier = spark.read.parquet(args.registry) if args.registry else None
+    written(novel.registry(variants, earlier), "registry").write.mode("overwrite").parquet(f"{args.output}.registry")
+    sinks.write_table(new.drop("_v"), f"{args.output}.variant")
+    sinks.write_fasta(applied.select(F.col("name").alias("allele"), "seq"), f"{args.output}.fa")
+
+
 def main() -> None:
     args = arguments().parse_args()
     spark = SparkSession.builder.appName("locuspark").getOrCreate()
@@ -69,6 +95,9 @@ def main() -> None:
         found = pipeline.typed(records, catalogue, copies, settings, lengths=lengths)
         sinks.write_table(typing.calls(found), f"{args.output}.allele")
         sinks.write_table(typing.possible_sets(found), f"{args.output}.possible")
+    elif args.command == "novel":
+        records = _union([_records(spark, path, name) for name, path in named(args.sam)])
+        _novel(spark, records, args)
     else:
         tables = results.union_calls([results.read_copy_numbers(spark, path).withColumn("name", F.lit(name)) for name, path in named(args.copynumber)])
         sinks.write_table(sinks.copy_matrix(tables, [n for n, _ in named(args.copynumber)]), args.output)

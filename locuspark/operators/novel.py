@@ -40,11 +40,32 @@ def site_bases(mates: DataFrame, assigned: DataFrame, sites: DataFrame) -> DataF
     return one.groupBy("sample", "gene", "allele", "pos", "base").agg(F.count("*").alias("n"))
 
 
+REGISTRY = ["variant_id", "ref", "pos", "typ", "val", "sample"]
+
+
+def registry(variants: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """REGISTRY and n: how many mates of each sample show each new variant.
+
+    A variant's id is its content, so registries of other samples or earlier runs (known) are merged by adding rows up;
+    a sample that is in both is taken from variants alone, so that a run may be repeated.
+    """
+    fresh = variants.filter("novel and variant_id is not null").groupBy(*REGISTRY).agg(F.count("*").alias("n"))
+    if known is None:
+        return fresh
+    return known.join(variants.select("sample").distinct(), "sample", "left_anti").select(*REGISTRY, "n").unionByName(fresh)
+
+
+def cohort_variants(registered: DataFrame) -> DataFrame:
+    """variant_id, ref, pos, typ, val, samples, n, most: new variants by how many samples show them, and the most reads of one."""
+    return registered.groupBy(*REGISTRY[:-1]).agg(F.count_distinct("sample").alias("samples"), F.sum("n").alias("n"), F.max("n").alias("most"))
+
+
 def discovered(mates: DataFrame, evidence: DataFrame, variants: DataFrame, catalogue: DataFrame, called: DataFrame, backbone: DataFrame, sequences: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(candidates, new sequences): all steps from the reads of called alleles to alleles with new singles put in.
 
     mates: decoded reads; evidence: long form; variants: the reads' variants with ids (sample, ref, variant_id, typ, pos,
-    val); called: sample, gene, allele; backbone: gene, seq without gaps; sequences: allele, seq.
+    val); called: sample, gene, allele; backbone: gene, seq without gaps; sequences: allele, seq.  Of any number of samples:
+    a new variant has one id in all of them, and counts are kept by sample.
     """
     from locuspark.storage import written
 

@@ -100,14 +100,12 @@ def long_variants(reads: DataFrame, ratios: DataFrame | None = None) -> DataFram
 
 
 def with_ids(variants: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """variants with the catalogue's ids; what it doesn't have gets nv and a number within its sample."""
+    """variants with the catalogue's ids; what it doesn't have is named by its content, alike in all samples and runs."""
     value = lambda: F.when(F.col("typ") == "deletion", F.col("del_len").cast("string")).otherwise(F.col("val"))
     known = catalogue.select("ref", "pos", "typ", value().alias("val"), F.col("id").alias("_id"))
     joined = variants.join(known, ["ref", "pos", "typ", "val"], "left")
-    fresh = joined.filter("_id is null and val <> 'N'").select("sample", "ref", "pos", "typ", "val").distinct()
-    fresh = fresh.withColumn("_nv", F.concat(F.lit("nv"), F.row_number().over(W.partitionBy("sample").orderBy("ref", "pos", "typ", "val")) - 1))
-    out = joined.join(fresh, ["sample", "ref", "pos", "typ", "val"], "left")
-    return out.withColumn("variant_id", F.coalesce("_id", "_nv")).withColumn("novel", F.col("_id").isNull()).drop("_id", "_nv")
+    fresh = F.when(F.col("val") != "N", F.concat_ws(":", F.lit("nv"), "ref", "pos", "typ", "val"))
+    return joined.withColumn("variant_id", F.coalesce("_id", fresh)).withColumn("novel", F.col("_id").isNull()).drop("_id")
 
 
 def evidence(reads: DataFrame, variants: DataFrame, catalogue: DataFrame, *, broadcast_rows: int = BROADCAST_CATALOGUE) -> DataFrame:

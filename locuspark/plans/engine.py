@@ -7,13 +7,14 @@ catalogue has ten single-base variants and six alleles; event types are the samp
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuspark.operators import reads, typing
+from locuspark.operators import novel, reads, typing
 from locuspark.plans import pipeline
 from locuspark.plans.registry import query, rounded
 from locuspark.sources import alignments
+from locuspark.storage import written
 
 GENE, HALF = "G*BACKBONE", 20
 PLACES = (3, 7, 11, 15, 19, 20, 24, 28, 32, 36)
@@ -25,10 +26,14 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ref string, pos int, typ string, val string, del_len int, id string, length int, allele array<string>, freq double, ignore boolean, in_exon boolean")
 
 
-def alignment_text(events: DataFrame) -> DataFrame:
-    """sample, line, value: two lines of alignment text for each event."""
+def alignment_text(events: DataFrame, new: Column | None = None) -> DataFrame:
+    """sample, line, value: two lines of alignment text for each event.
+
+    new: the place of a base G, from columns sample and a (the allele); by default some place in every eleventh event.
+    """
     allele = F.when(F.col("user_id") % 10 < 5, 0).when(F.col("user_id") % 10 < 8, 1).otherwise(F.col("user_id") % 6)
-    e = events.select("event_id", F.col("event_type").alias("sample"), allele.alias("a"), F.when(F.col("event_id") % 11 == 0, F.col("event_id") % 40).alias("wrong"))
+    new = F.when(F.col("event_id") % 11 == 0, F.col("event_id") % 40) if new is None else new
+    e = events.select("event_id", F.col("event_type").alias("sample"), allele.alias("a")).withColumn("wrong", new)
     base = F.lit("A")
     for _, p, v, held, _ in VARIANTS:
         base = F.when((F.col("p") == p) & F.col("a").isin(*held), v).otherwise(base) if held else base
@@ -46,7 +51,8 @@ def _records(t) -> DataFrame:
 
 
 _V = f"v(i, pos, val, exon) AS (VALUES {', '.join(f'({i}, {p}, {v!r}, {exon})' for i, p, v, _, exon in VARIANTS)}), h(i, j) AS (VALUES {', '.join(f'({i}, {j})' for i, _, _, held, _ in VARIANTS for j in held)})"
-_READS = f"""WITH {_V}, e AS (SELECT event_id, event_type AS sample, CASE WHEN user_id % 10 < 5 THEN 0 WHEN user_id % 10 < 8 THEN 1 ELSE user_id % 6 END AS a, CASE WHEN event_id % 11 = 0 THEN event_id % 40 END AS wrong FROM events),
+_CASES = "CASE WHEN event_id % 11 = 0 THEN event_id % 40 END"
+_READS = f"""WITH {_V}, e AS (SELECT *, {_CASES} AS wrong FROM (SELECT event_id, event_type AS sample, CASE WHEN user_id % 10 < 5 THEN 0 WHEN user_id % 10 < 8 THEN 1 ELSE user_id % 6 END AS a FROM events)),
 m AS (SELECT event_id, sample, p, p // {HALF} AS mate, c FROM (SELECT event_id, sample, p, CASE WHEN p = wrong THEN 'G' WHEN EXISTS (SELECT 1 FROM v JOIN h USING (i) WHERE v.pos = p AND h.j = a) THEN (SELECT val FROM v WHERE v.pos = p) ELSE 'A' END AS c FROM e, range({2 * HALF}) r(p)) WHERE c <> 'A'),
 bad AS (SELECT DISTINCT event_id FROM (SELECT event_id, mate FROM m GROUP BY ALL HAVING count(*) > 4)),
 ok AS (SELECT event_id, sample FROM e WHERE event_id NOT IN (SELECT event_id FROM bad)),
@@ -145,3 +151,45 @@ def novel_reads(t):
     found = reads.with_ids(reads.long_variants(reads.decoded(reads.mates(pairs))), catalogue(spark))
     new = found.filter("novel").select("sample", "pair_id").distinct().groupBy("sample").agg(F.count("*").alias("unsure"))
     return pairs.groupBy("sample").agg(F.count("*").alias("n")).join(new, "sample", "left").select("sample", "n", F.coalesce("unsure", F.lit(0)).cast("decimal(38,0)").alias("unsure"))
+
+
+# New bases: allele 0 has another one in early samples than in late ones, allele 1 the same in all.
+_NEW = "CASE WHEN a = 0 AND sample < 'm' THEN 5 WHEN a = 0 THEN 9 WHEN a = 1 THEN 13 END"
+_NEW_READS = _READS.replace(_CASES, _NEW)
+
+
+def _new_records(t) -> DataFrame:
+    return alignments.sam_records(alignment_text(t("events"), F.expr(_NEW)), "sample", "line")
+
+
+@query(f"""{_NEW_READS}, called(g) AS (VALUES (0), (1)), k AS (SELECT sample, event_id, g, sum(CASE WHEN sign = (i IN (SELECT i FROM h WHERE h.j = g)) THEN 0 ELSE 1 END) AS k FROM ev, called GROUP BY ALL),
+own AS (SELECT sample, event_id, g FROM (SELECT *, min(k) OVER (PARTITION BY event_id) AS least FROM k) WHERE k = least QUALIFY count(*) OVER (PARTITION BY event_id) = 1),
+seen AS (SELECT own.sample, g, p, c, count(*) AS n FROM own JOIN m USING (event_id) WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.pos = m.p AND v.val = m.c) GROUP BY ALL),
+told AS (SELECT own.sample, g, i, count(*) FILTER (sign AND i NOT IN (SELECT i FROM h WHERE h.j = g)) AS fp, count(*) FILTER (NOT sign AND i IN (SELECT i FROM h WHERE h.j = g)) AS fn FROM own JOIN ev USING (event_id) GROUP BY ALL),
+c AS (SELECT sample, g, 'novel' AS kind, p AS pos, c AS alt, n FROM seen WHERE n >= 3 UNION ALL SELECT sample, g, CASE WHEN fp >= 3 THEN 'fp' ELSE 'fn' END, v.pos, CASE WHEN fp >= 3 THEN v.val ELSE 'A' END, CASE WHEN fp >= 3 THEN fp ELSE fn END FROM told JOIN v USING (i) WHERE fp >= 3 OR fn >= 3),
+site AS (SELECT own.sample, g, s.pos, coalesce(m.c, 'A') AS base, count(*) AS n FROM own JOIN (SELECT DISTINCT sample, g, pos FROM c) s USING (sample, g) LEFT JOIN m ON m.event_id = own.event_id AND m.p = s.pos GROUP BY ALL)
+SELECT c.sample, 'G*00' || g AS allele, kind, CAST(c.pos AS INTEGER) AS pos, alt, c.n, coalesce(max(site.n) FILTER (site.base = alt), 0) AS alt_depth FROM c JOIN site USING (sample, g, pos) GROUP BY ALL HAVING coalesce(max(site.n) FILTER (site.base = alt), 0) >= max(site.n)""")
+def novel_discovery(t):
+    records = _new_records(t)
+    spark, known = records.sparkSession, catalogue(records.sparkSession)
+    mates = written(reads.decoded(reads.mates(reads.read_pairs(records))), "mates")
+    variants = written(reads.with_ids(reads.long_variants(mates), known), "read-variants")
+    found = written(reads.evidence(mates, variants, known), "evidence")
+    called = t("events").select(F.col("event_type").alias("sample"), F.lit(GENE).alias("gene"), F.explode(F.array(F.lit("G*000"), F.lit("G*001"))).alias("allele")).distinct()
+    rows = spark.range(1)
+    backbone = rows.select(F.lit(GENE).alias("gene"), F.repeat(F.lit("A"), F.lit(2 * HALF)).alias("seq"))
+    sequences = rows.select(F.explode(F.array(F.lit("G*000"), F.lit("G*001"))).alias("allele"), F.repeat(F.lit("A"), F.lit(2 * HALF)).alias("seq"))
+    new, _ = novel.discovered(mates, found, variants, known, called, backbone, sequences)
+    count = F.when(F.col("kind") == "novel", F.col("novel")).when(F.col("kind") == "fp", F.col("fp")).otherwise(F.col("fn"))
+    return new.select("sample", "allele", "kind", "pos", "alt", count.alias("n"), "alt_depth")
+
+
+@query(f"""{_NEW_READS}, s AS (SELECT p, c, m.sample, count(*) AS n FROM m JOIN ok USING (event_id) WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.pos = m.p AND v.val = m.c) GROUP BY ALL)
+SELECT 'nv:{GENE}:' || p || ':single:' || c AS variant_id, CAST(p AS INTEGER) AS pos, c AS val, count(*) AS samples, CAST(sum(n) AS BIGINT) AS n, max(n) AS most FROM s GROUP BY ALL""")
+def novel_registry(t):
+    records, known = _new_records(t), None
+    # Early samples make the registry, late ones extend it.
+    for own in (records.filter("sample < 'm'"), records.filter("sample >= 'm'")):
+        found = reads.with_ids(reads.long_variants(reads.decoded(reads.mates(reads.read_pairs(own)))), catalogue(records.sparkSession))
+        known = written(novel.registry(written(found, "read-variants"), known), "registry")
+    return novel.cohort_variants(known).select("variant_id", "pos", "val", "samples", "n", "most")

@@ -174,3 +174,52 @@ def test_prefixes_and_missing_columns(spark):
     got = sorted(((r["name"], r["id"]) for r in shapes.joined_by_prefix(names, "name", prefixes, "p", "id", "o").collect()), key=str)
     assert got == sorted([("abc", "second"), ("abc", "second"), ("ab", "second"), ("x", "all"), (None, None)], key=str)
     assert shapes.reindexed(names, ["name", "other"]).filter("other = 'NA'").count() == 5
+
+
+def paired_lines(sample, truths):
+    """(sample, line, value): a pair of alignment lines for each truth, a dict of places and bases on a backbone of A."""
+    lines = []
+    for i, truth in enumerate(truths):
+        for mate in (0, 1):
+            seq = "".join(truth.get(p, "A") for p in range(20 * mate, 20 * mate + 20))
+            md, run = "", 0
+            for c in seq:
+                md, run = (md, run + 1) if c == "A" else (f"{md}{run}A", 0)
+            fields = [f"q{i}", "99" if mate == 0 else "147", engine.GENE, str(20 * mate + 1), "60", "20M", "=", str(20 * (1 - mate) + 1), "40", seq, "I" * 20, "NH:i:1", f"NM:i:{sum(c != 'A' for c in seq)}", f"MD:Z:{md}{run}"]
+            lines.append((sample, 2 * i + mate, "\t".join(fields)))
+    return lines
+
+
+def test_new_variants_of_samples_stay_apart(spark):
+    """Sample a shows new bases at 5 and, once, at 9; sample b at 9 only: numbers within a sample would mix them up."""
+    catalogue = engine.catalogue(spark)
+    own = {p: v for _, p, v, held, _ in engine.VARIANTS if 0 in held}
+    a = [own | {5: "C"}] * 5 + [own | {9: "C"}] + [own] * 2
+    b = [own | {9: "C"}] * 7
+    lines = paired_lines("a", a) + paired_lines("b", b)
+    records = alignments.sam_records(spark.createDataFrame(lines, "sample string, line bigint, value string"), "sample", "line")
+    mates = reads.decoded(reads.mates(reads.read_pairs(records)))
+    variants = reads.with_ids(reads.long_variants(mates), catalogue)
+    found = reads.evidence(mates, variants, catalogue)
+    called = spark.createDataFrame([(s, engine.GENE, x) for s in "ab" for x in ("G*000", "G*001")], "sample string, gene string, allele string")
+    backbone = spark.createDataFrame([(engine.GENE, "A" * 40)], "gene string, seq string")
+    sequences = spark.createDataFrame([("G*000", "A" * 40)], "allele string, seq string")
+    candidates, new = novel.discovered(mates, found, variants, catalogue, called, backbone, sequences)
+    assert sorted((r["sample"], r["pos"], r["novel"], r["alt_depth"]) for r in candidates.collect()) == [("a", 5, 5, 5), ("b", 9, 7, 7)]
+    assert sorted((r["sample"], r["name"]) for r in new.collect()) == [("a", "G*000-5C"), ("b", "G*000-9C")]
+
+
+def test_registry_is_merged_by_content(spark):
+    catalogue = engine.catalogue(spark)
+
+    def of(sample, truths):
+        records = alignments.sam_records(spark.createDataFrame(paired_lines(sample, truths), "sample string, line bigint, value string"), "sample", "line")
+        return reads.with_ids(reads.long_variants(reads.decoded(reads.mates(reads.read_pairs(records)))), catalogue)
+
+    first = novel.registry(of("a", [{5: "C"}] * 3 + [{9: "C"}]))
+    both = novel.registry(of("b", [{9: "C"}] * 2), first)
+    again = novel.registry(of("b", [{9: "C"}] * 2), both)  # a run that is repeated
+    want = {("a", 5): 3, ("a", 9): 1, ("b", 9): 2}
+    for table in (both, again):
+        assert {(r["sample"], r["pos"]): r["n"] for r in table.collect()} == want
+    assert {(r["pos"], r["samples"], r["n"], r["most"]) for r in novel.cohort_variants(again).collect()} == {(5, 1, 3, 3), (9, 2, 3, 2)}
