@@ -7,10 +7,12 @@ segments after the first three, one therefore agrees too.  So a candidate key is
 starts and two pairs, and no link is lost.  Fingerprints that share a key are then held to the chain's budgets
 and last to the full distance.
 
-Equal texts share a fingerprint, so that all work from there on is on distinct fingerprints.  Within a key, links
-become a spanning forest, never all pairs: small sets are compared in blocks, larger ones look up the 300
-neighbours that a key's 24 free bits leave.  Components of the forest's edges are found by alternating star
-contraction on tables in the shared folder; nothing but counts reaches the driver.
+Equal texts share a fingerprint, so that all work from there on is on distinct fingerprints.  A key of more than
+KEY_ROWS fingerprints is split by what it leaves free: at most two bits differ in three segments, so one of the three
+agrees, and of three parts of the other two segments one agrees as well.  With that fixed, at most 2048 fingerprints
+are left to a key, so that every key is compared in blocks by the same budgets, whatever its size.  Its links become a
+spanning forest, never all pairs.  Components of the forest's edges are found by alternating star contraction on
+tables in the shared folder; nothing but counts reaches the driver.
 
 Rows: null or wordless text has fingerprint zero and is linked like any other; fewer words than a shingle give one
 shingle of them all; every row of the table counts, also repeated ones; an empty table gives no rows; ids of any
@@ -40,8 +42,9 @@ SEGMENTS, SEGMENT_BITS = 8, 8
 SMALL_EDGES = 16_384
 #: A fingerprint of more rows than this is dealt over several tasks when its rows meet their component.
 HOT_ROWS = 1_000_000
-#: Candidate keys that a worker takes at once.
+#: Candidate keys that a worker takes at once, and the largest key that is compared whole.
 LINK_ROWS = 100_000
+KEY_ROWS = 2048
 #: Shingles whose bits are counted at once by a worker.
 CHUNK = 1 << 19
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -99,12 +102,41 @@ def text_hash(text: Column) -> Column:
 # --- candidates -----------------------------------------------------------------------------------------------
 
 
+def turned(start: int) -> Column:
+    """The fingerprint with a segment turned to the lowest bits."""
+    return F.expr(f"(shiftrightunsigned(fp, {8 * start}) | shiftleft(fp, {64 - 8 * start}))") if start else F.col("fp")
+
+
+def fixed_bits(pair: int) -> int:
+    """Of a turned ring the chain's first three segments, and one of the two pairs behind them."""
+    return 0xFFFFFF | 0xFFFF << 24 + 16 * pair
+
+
 def candidate_keys(fps: DataFrame) -> DataFrame:
-    """(start, pair, key, fp): sixteen rows for each distinct fingerprint.  The key is what the chain leaves fixed."""
-    turned = lambda i: F.expr(f"(shiftrightunsigned(fp, {8 * i}) | shiftleft(fp, {64 - 8 * i}))") if i else F.col("fp")
-    # Bits 0..23 of the turned ring are the chain's first three segments, then come the two pairs of segments.
-    keys = [F.struct(F.lit(2 * i + h).alias("chain"), turned(i).bitwiseAND(F.lit(0xFFFFFF | 0xFFFF << 24 + 16 * h)).alias("key")) for i in range(SEGMENTS) for h in (0, 1)]
-    return fps.select("fp", F.inline(F.array(*keys)))
+    """(chain, key, fp): sixteen rows for each distinct fingerprint.  The key is what the chain leaves fixed."""
+    keys = [F.struct(F.lit(2 * i + h).alias("chain"), turned(i).bitwiseAND(F.lit(fixed_bits(h))).alias("key")) for i in range(SEGMENTS) for h in (0, 1)]
+    return fps.select("fp", F.inline(F.array(*keys))).select("chain", "key", "fp")
+
+
+def finer_bits(pair: int) -> list[int]:
+    """Nine choices of further bits, one of which agrees where at most two of the free ones differ; 10 or 11 stay free."""
+    free = [24 + 16 * (1 - pair), 32 + 16 * (1 - pair), 56]
+    out = []
+    for kept in free:
+        rest = [b + i for b in free if b != kept for i in range(8)]
+        out += [0xFF << kept | sum(1 << b for b in part) for part in (rest[:5], rest[5:10], rest[10:])]
+    return out
+
+
+def finer_keys(rows: DataFrame) -> DataFrame:
+    """(chain, key, fp) of rows of large keys: chain, now a number of its start, pair and further bits, times 9."""
+    pick = F.lit(None)
+    for i in range(SEGMENTS):
+        for h in (0, 1):
+            bits = [fixed_bits(h) | more for more in finer_bits(h)]
+            keys = F.array(*(F.struct(F.lit(9 * (2 * i + h) + n).alias("chain"), turned(i).bitwiseAND(F.lit(b - (1 << 64) if b >= 1 << 63 else b)).alias("key")) for n, b in enumerate(bits)))
+            pick = keys if i == h == 0 else F.when(F.col("chain") == 2 * i + h, keys).otherwise(pick)
+    return rows.select("fp", F.inline(pick)).select("chain", "key", "fp")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -140,63 +172,85 @@ class Forest:
         return a != b
 
 
-def links_in_key(fps: np.ndarray, chain: int) -> list[tuple[int, int]]:
-    """A spanning forest, as (position, position), of the links among sorted distinct fingerprints of one key."""
-    n, forest, out = len(fps), Forest(len(fps)), []
-    if n <= 2048:
-        for lo in range(0, n, 256):
-            diff = fps[lo : lo + 256, None] ^ fps[None, :]
-            ok = chain_holds(diff, chain // 2)
-            ok[ok] = _popcount(diff[ok]) <= BUDGET
-            rows, columns = np.nonzero(ok)
-            out += [(a, b) for a, b in zip((rows + lo).tolist(), columns.tolist(), strict=True) if a < b and forest.join(a, b)]
-        return out
-    fixed = 0xFFFFFF | 0xFFFF << (24 + 16 * (chain % 2))
-    turn = 8 * (chain // 2)
-    free = [1 << (b + turn) % 64 for b in range(64) if not fixed >> b & 1]
-    masks = free + [x | y for i, x in enumerate(free) for y in free[:i]]
-    for mask in masks:
-        other = fps ^ np.uint64(mask)
-        at = np.minimum(np.searchsorted(fps, other), n - 1)
-        here = np.flatnonzero((fps[at] == other) & (fps < other))
-        out += [(a, b) for a, b in zip(here.tolist(), at[here].tolist(), strict=True) if forest.join(a, b)]
+def links_in_key(fps: np.ndarray, start: int) -> list[tuple[int, int]]:
+    """A spanning forest, as (position, position), of the links among distinct fingerprints of one key."""
+    forest, out = Forest(len(fps)), []
+    for lo in range(0, len(fps), 256):
+        diff = fps[lo : lo + 256, None] ^ fps[None, lo:]  # a link is found once, from its first position
+        ok = chain_holds(diff, start)
+        ok[ok] = _popcount(diff[ok]) <= BUDGET
+        rows, columns = np.nonzero(ok)
+        out += [(a, b) for a, b in zip((rows + lo).tolist(), (columns + lo).tolist(), strict=True) if a < b and forest.join(a, b)]
     return out
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b): links among distinct fingerprints, enough of them to connect all that is connected."""
+def linked(keyed: DataFrame, ways: int, most: int) -> DataFrame:
+    """(a, b, chain): links of the fingerprints that share a key, without a chain; rows of larger keys pass by as (fp, fp, chain).
+
+    A chain's start is chain // ways.  A worker holds the rows of a batch and of one key of at most ``most`` rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(chain: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        late: tuple[int, int] | None = None  # the large key whose rows pass by
+        held: tuple[np.ndarray, ...] | None = None
+
+        def out(a: list[int] | np.ndarray, b: list[int] | np.ndarray, chain: np.ndarray | None) -> pa.RecordBatch:
+            shown = pa.nulls(len(a), pa.int32()) if chain is None else pa.array(chain, pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), shown], names=["a", "b", "chain"])
+
+        def emit(chain: np.ndarray, key: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
             edge = np.flatnonzero((chain[1:] != chain[:-1]) | (key[1:] != key[:-1])) + 1
             cuts = np.concatenate([[0], edge, [len(fp)]])
-            many = np.flatnonzero(np.diff(cuts) > 1)
             pairs: list[tuple[int, int]] = []
-            for i in many.tolist():
+            for i in np.flatnonzero(np.diff(cuts) > 1).tolist():
                 lo, hi = int(cuts[i]), int(cuts[i + 1])
-                values = np.sort(fp[lo:hi].view(np.uint64))
-                signed = values.view(np.int64).tolist()
-                pairs += [(signed[a], signed[b]) for a, b in links_in_key(values, int(chain[lo]))]
-            a, b = zip(*pairs, strict=True) if pairs else ([], [])
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                if hi - lo > most:
+                    yield out(fp[lo:hi], fp[lo:hi], chain[lo:hi])
+                else:
+                    signed = fp[lo:hi].tolist()
+                    pairs += [(signed[a], signed[b]) for a, b in links_in_key(fp[lo:hi].view(np.uint64), int(chain[lo]) // ways)]
+            if pairs:
+                a, b = zip(*pairs, strict=True)
+                yield out(a, b, None)
 
-        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            columns = tuple(batch.column(i).to_numpy() for i in range(3))
-            if not len(columns[0]):
+            chain, key, fp = (batch.column(i).to_numpy() for i in range(3))
+            if late is not None:
+                more = (chain == late[0]) & (key == late[1])  # the first rows, if any
+                if more.any():
+                    yield out(fp[more], fp[more], chain[more])
+                    chain, key, fp = chain[~more], key[~more], fp[~more]
+            if not len(fp):
                 continue
-            # The last key of a batch may go on in the next one.
-            same = np.flatnonzero((columns[0] != columns[0][-1]) | (columns[1] != columns[1][-1]))
-            cut = int(same[-1]) + 1 if len(same) else 0
-            if cut or (held and (held[-1][0][-1], held[-1][1][-1]) != (columns[0][0], columns[1][0])):
-                yield emit(*(np.concatenate(x) for x in zip(*held, tuple(c[:cut] for c in columns), strict=True)))
-                held = []
-            held.append(tuple(c[cut:] for c in columns))
-        if held:
-            yield emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-    keyed = candidate_keys(fps).select("chain", "key", "fp").repartition("chain", "key").sortWithinPartitions("chain", "key")
-    return keyed.mapInArrow(lean(run, LINK_ROWS), "a bigint, b bigint")
+            late = None
+            if held is not None:
+                chain, key, fp = (np.concatenate(x) for x in zip(held, (chain, key, fp), strict=True))
+            # The last key may go on in the next batch.
+            other = np.flatnonzero((chain != chain[-1]) | (key != key[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield from emit(chain[:cut], key[:cut], fp[:cut])
+            chain, key, fp = chain[cut:].copy(), key[cut:].copy(), fp[cut:].copy()
+            held = (chain, key, fp)
+            if len(fp) > most:
+                yield out(fp, fp, chain)
+                late, held = (int(chain[0]), int(key[0])), None
+        if held is not None:
+            yield from emit(*held)
+
+    dealt = keyed.repartition("chain", "key").sortWithinPartitions("chain", "key")
+    return dealt.mapInArrow(lean(run, LINK_ROWS), "a bigint, b bigint, chain int")
+
+
+def links(fps: DataFrame, most: int = KEY_ROWS) -> DataFrame:
+    """(a, b): links among distinct fingerprints, enough of them to connect all that is connected."""
+    found = written(linked(candidate_keys(fps), 2, most), "simhash-links")
+    small = found.filter("chain is null").select("a", "b")
+    large = found.filter("chain is not null").select(F.col("a").alias("fp"), "chain")
+    if large.isEmpty():
+        return small
+    # Nine choices leave 11 bits free at most, so no key is larger than 2048 any more.
+    return small.union(linked(finer_keys(large), 18, KEY_ROWS).select("a", "b"))
 
 
 # --- components -----------------------------------------------------------------------------------------------
@@ -245,7 +299,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tupl
     """The rows' fingerprints, and of each distinct one its component's root and smallest doc_id, and its rows."""
     prints = written(fingerprints(docs, doc_id, text), "simhash-docs")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_rows")), "simhash-distinct")
-    roots = components(written(links(distinct.select("fp")), "simhash-links"))
+    roots = components(links(distinct.select("fp")))
     placed = written(distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "first_doc", "n_rows"), "simhash-roots")
     ids = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     of_linked = placed.join(ids, "root").select("fp", "root", "component_id", "n_rows")

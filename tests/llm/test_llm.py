@@ -694,13 +694,17 @@ def test_keep_first_tells_rows_apart(spark, hot):
     assert len(found) == len(rows) and counted(r["component_id"] for r in found)["20"] == 31
 
 
-def test_simhash_links_large_keys():
+@pytest.mark.parametrize("most", [simhash.KEY_ROWS, 20, 0])
+def test_simhash_links_large_keys(spark, most):
+    """Thousands of fingerprints that share a key are linked through the chains' budgets; none is lost where keys are split."""
     rng = random.Random(4)
     chain, base = 5, rng.getrandbits(64)
-    fixed, turn = 0xFFFFFF | 0xFFFF << 24 + 16 * (chain % 2), 8 * (chain // 2)
-    free = [1 << (b + turn) % 64 for b in range(64) if not fixed >> b & 1]
-    values = np.array(sorted({base ^ sum(rng.sample(free, rng.randint(0, 9))) for _ in range(4000)}), dtype=np.uint64)
-    assert len(values) > 2048
+    turn = 8 * (chain // 2)
+    free = [1 << (b + turn) % 64 for b in range(64) if not simhash.fixed_bits(chain % 2) >> b & 1]
+    values = {base ^ sum(rng.sample(free, rng.randint(0, 9))) for _ in range(9000)}
+    values |= {base ^ 1 << rng.randrange(64) ^ 1 << rng.randrange(64) for _ in range(200)} | {rng.getrandbits(64) for _ in range(200)}
+    values = np.array(sorted(values), dtype=np.uint64)
+    assert len(values) > 5000
 
     def grouped(edges):
         forest = simhash.Forest(len(values))
@@ -708,8 +712,22 @@ def test_simhash_links_large_keys():
             forest.join(a, b)
         return [forest.root(i) for i in range(len(values))]
 
-    every = [(i, int(j)) for i in range(len(values)) for j in np.flatnonzero(np.bitwise_count(values ^ values[i]) <= 2) if j < i]
-    assert grouped(simhash.links_in_key(values, chain)) == grouped(every)
+    every = [(i, int(j)) for i in range(len(values)) for j in np.flatnonzero(np.bitwise_count(values[:i] ^ values[i]) <= 2)]
+    at = {v: i for i, v in enumerate(values.view(np.int64).tolist())}
+    found = simhash.links(spark.createDataFrame([(v,) for v in at], "fp bigint"), most).collect()
+    edges = [(at[r["a"]], at[r["b"]]) for r in found if r["a"] != r["b"]]
+    assert all(int(values[a] ^ values[b]).bit_count() <= 2 for a, b in edges)
+    assert grouped(edges) == grouped(every)
+
+
+def test_finer_keys_lose_no_link():
+    for pair in (0, 1):
+        free = [b for b in range(64) if not simhash.fixed_bits(pair) >> b & 1]
+        for bits in simhash.finer_bits(pair):
+            assert not bits & simhash.fixed_bits(pair) and len(free) - bits.bit_count() <= 11
+        for x in free:
+            for y in free:
+                assert any(not bits & (1 << x | 1 << y) for bits in simhash.finer_bits(pair))
 
 
 @pytest.mark.parametrize("small", [0, simhash.SMALL_EDGES])
