@@ -2,8 +2,8 @@
 
 A read and an allele disagree on k of the n variants that the read tells; the likelihood depends on k alone, so the
 search works with whole numbers: the best member of a set has the least k, and a set's value follows from the sum
-of least ks.  Each (sample, gene) is a small problem of its own (hundreds of alleles, thousands of reads), solved in one
-group; groups are spread over the cluster.  Sets are scored in blocks, so memory holds reads x kept sets.
+of least ks.  All groups, (sample, gene), are searched in the same tables (beam, em); jobs grow with the copies of a
+gene, not with the groups, and a group may have any number of reads.
 """
 
 from __future__ import annotations
@@ -11,17 +11,17 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from locuspark.operators import beam, em
+from locuspark.operators.beam import GROUP, PROBLEM
+from locuspark.storage import written
+
 HIT, MISS = math.log10(0.999), math.log10(0.001)
 TOP_N = 600
 LEAST_READS = 100
-#: Sets whose members' shares are worked out at once.
-SCORE_SETS = 256
-#: Catalogue rows that are sent to every worker; a larger catalogue meets the reads in slices of SLICE_SAMPLES samples.
-BROADCAST_CATALOGUE, SLICE_SAMPLES = 200_000, 8
 #: Genes that are never taken for homozygous.
 ALWAYS_MIXED = ("2DL1S1", "2DL5")
 
@@ -34,316 +34,117 @@ class Setting:
     exon_share: float = 1.0
 
 
-def corrected(signs: dict[str, list[int]]) -> set[tuple[str, bool]]:
-    """(variant, sign) that lack support: fewer than 3 in all drop both signs, a share under 0.2 drops that sign."""
-    gone = set()
-    for v, (neg, pos) in signs.items():
-        total = neg + pos
-        for sign, n in ((False, neg), (True, pos)):
-            if total < 3 or n / total < 0.2:
-                gone.add((v, sign))
-    return gone
-
-
-def matrix(reads: list[tuple[list[str], list[str]]], alleles: list[str], carriers: dict[str, set[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """(mismatches of reads x alleles, variants told by each read)."""
-    index = {a: i for i, a in enumerate(alleles)}
-    members = {v: np.array(sorted(index[a] for a in c if a in index), dtype=np.int64) for v, c in carriers.items()}
-    none = np.array([], dtype=np.int64)
-    k, n = np.zeros((len(reads), len(alleles)), dtype=np.int32), np.zeros(len(reads), dtype=np.int64)
-    for r, (pos, neg) in enumerate(reads):
-        n[r] = len(pos) + len(neg)
-        k[r] += len(pos)
-        for v in pos:
-            k[r, members.get(v, none)] -= 1
-        for v in neg:
-            k[r, members.get(v, none)] += 1
-    return k, n
-
-
-@dataclass
-class Beam:
-    """Ranked sets: member indexes, summed least mismatches, each member's own sum, and its share of reads."""
-
-    sets: np.ndarray
-    cost: np.ndarray
-    own: np.ndarray
-    share: np.ndarray
-    best: np.ndarray  # reads x sets
-
-    def cut(self, order: np.ndarray) -> Beam:
-        return Beam(self.sets[order], self.cost[order], self.own[order], self.share[order], self.best[:, order])
-
-
-def _ranked(beam: Beam, top: int | None) -> Beam:
-    uneven = np.abs(beam.share - beam.share.mean(axis=1, keepdims=True)).sum(axis=1)
-    names = [tuple(s) for s in np.sort(beam.sets, axis=1).tolist()]
-    order = sorted(range(len(names)), key=lambda i: (beam.cost[i], beam.own[i].sum(), round(float(uneven[i]), 12), names[i]))
-    return beam.cut(np.array(order[:top], dtype=np.int64))
-
-
-def _shares(k: np.ndarray, sets: np.ndarray) -> np.ndarray:
-    """Share of the reads that each member explains best; ties are split."""
-    out = np.zeros(sets.shape)
-    for lo in range(0, len(sets), SCORE_SETS):
-        each = k[:, sets[lo : lo + SCORE_SETS]]  # reads x sets x members
-        same = each == each.min(axis=2, keepdims=True)
-        out[lo : lo + SCORE_SETS] = (same / same.sum(axis=2, keepdims=True)).sum(axis=0) / max(len(k), 1)
-    return out
-
-
-def extend(k: np.ndarray, beam: Beam | None, allowed: np.ndarray, top: int) -> Beam:
-    """The beam with one more member of the allowed alleles in each set."""
-    total = k.sum(axis=0, dtype=np.int64)
-    if beam is None:
-        order = sorted(allowed.tolist(), key=lambda a: (int(total[a]), a))[:top]
-        sets = np.array(order, dtype=np.int64)[:, None]
-        return Beam(sets, total[sets[:, 0]], total[sets], np.ones(sets.shape), k[:, sets[:, 0]])
-    costs = np.stack([np.minimum(beam.best[:, [i]], k[:, allowed]).sum(axis=0, dtype=np.int64) for i in range(len(beam.sets))])
-    seen: dict[tuple[int, ...], tuple[int, int]] = {}
-    for i, members in enumerate(beam.sets.tolist()):
-        for j, a in enumerate(allowed.tolist()):
-            seen.setdefault(tuple(sorted([*members, a])), (i, j))
-    picks = sorted(seen.items(), key=lambda x: (costs[x[1]], x[0]))[: max(top, len(seen) // 5)]
-    sets = np.array([[*beam.sets[i].tolist(), int(allowed[j])] for _, (i, j) in picks], dtype=np.int64)
-    cost = np.array([costs[p] for _, p in picks], dtype=np.int64)
-    # All picks are ranked before the best members are kept for those that stay.
-    found = _ranked(Beam(sets, cost, total[sets], _shares(k, sets), np.zeros((0, len(sets)), dtype=k.dtype)), top)
-    found.best = np.stack([k[:, s].min(axis=1) for s in found.sets], axis=1)
-    return found
-
+RESULT = "sample string, gene string, cn int, n_reads bigint, rank int, value double, alleles array<string>, share array<double>, chosen boolean"
 
-def homozygous(reads: list[tuple[list[str], list[str]]], place: dict[str, tuple[int, str, str]], cn: int) -> bool:
-    """Whether no position shows two values in the shares that a mixture of cn copies would.
 
-    place: variant -> (position, type, value).  Deletions aren't counted.
-    """
-    if cn <= 1:
-        return False
-    counts: dict[int, dict[str, int]] = {}
-    for pos, neg in reads:
-        for sign, ids in (("", pos), ("*", neg)):
-            for v in ids:
-                if v in place and place[v][1] != "deletion":
-                    at = counts.setdefault(place[v][0], {})
-                    at[sign + str(place[v][2])] = at.get(sign + str(place[v][2]), 0) + 1
-    for at in counts.values():
-        if len(at) <= 1 or all(x.startswith("*") for x in at):
-            continue
-        kept = [n for n in at.values() if n > 3]
-        if sum(kept) < 20:
-            continue
-        shares = sorted((n / sum(kept) for n in kept if n / sum(kept) > 0.1), reverse=True)
-        if len(shares) > 1 and shares[1] > 1 / (2 * cn):
-            return False
-    return True
+def numbered(variants: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gene, variant, members) and (gene, allele, a): what carries each variant, by sorted alleles' numbers from 0."""
+    names = variants.select("gene", F.explode("allele").alias("allele")).distinct()
+    names = written(names.select("gene", "allele", (F.row_number().over(W.partitionBy("gene").orderBy("allele")) - 1).alias("a")), "alleles")
+    each = variants.select("gene", "variant", F.explode("allele").alias("allele")).join(names, ["gene", "allele"])
+    return written(each.groupBy("gene", "variant").agg(F.sort_array(F.collect_set("a")).alias("members")), "carriers"), names
 
 
-def search(k: np.ndarray, cn: int, mixed: bool, top: int, steps: list[np.ndarray] | None = None) -> Beam:
-    """The ranked sets of cn alleles; steps limits the alleles that each step may add."""
-    everyone = np.arange(k.shape[1])
-    if not mixed:
-        one = extend(k, None, everyone if steps is None else steps[0], top)
-        return Beam(np.repeat(one.sets, cn, 1), one.cost * 1, np.repeat(one.own, cn, 1), np.full((len(one.sets), cn), 1 / cn), one.best)
-    beam = None
-    for i in range(cn):
-        beam = extend(k, beam, everyone if steps is None else steps[i], top)
-    return beam
+def exon_groups(variants: DataFrame, names: DataFrame) -> DataFrame:
+    """gene, g, members: alleles with the same variants in exons, numbered in the order of their first allele."""
+    exon = variants.filter("in_exon").select("gene", "variant", F.explode("allele").alias("allele"))
+    held = names.join(exon, ["gene", "allele"], "left").groupBy("gene", "a").agg(F.sort_array(F.collect_set("variant")).alias("held"))
+    groups = held.groupBy("gene", "held").agg(F.sort_array(F.collect_list("a")).alias("members"))
+    return groups.select("gene", "held", "members", (F.row_number().over(W.partitionBy("gene").orderBy(F.get("members", F.lit(0)))) - 1).alias("g"))
 
 
-def value_of(cost: int, told: int, copies: int = 1) -> float:
+def value_of(cost: Column, told: Column) -> Column:
     """The log10 likelihood of a summed mismatch count."""
-    return copies * (cost * MISS + (told - cost) * HIT)
-
-
-def select_best(share: np.ndarray, cn: int) -> int:
-    """The first rank whose every member explains 1/(2 cn) of the reads, else rank 0."""
-    ok = (share >= 1 / (2 * cn)).all(axis=1)
-    return int(np.argmax(ok)) if ok.any() else 0
-
-
-def top_ranks(values: list[float], share: float) -> list[int]:
-    """Rank 0 and all others whose value, scaled, reaches it; share 1 means ties."""
-    return [i for i, v in enumerate(values) if i == 0 or v * share >= values[0]]
-
-
-def prepare(reads: list[tuple[list[str], list[str]]], correct: bool) -> list[tuple[list[str], list[str]]]:
-    """Reads after sign correction, without those that tell nothing."""
-    if correct:
-        signs: dict[str, list[int]] = {}
-        for pos, neg in reads:
-            for ids, s in ((neg, 0), (pos, 1)):
-                for v in ids:
-                    signs.setdefault(v, [0, 0])[s] += 1
-        gone = corrected(signs)
-        reads = [([v for v in pos if (v, True) not in gone], [v for v in neg if (v, False) not in gone]) for pos, neg in reads]
-    return [r for r in reads if r[0] or r[1]]
-
-
-Mates = list[tuple[list[str], list[str], list[str], list[str]]]
-
-
-def type_gene(gene: str, cn: int, mates: Mates, variants: list[tuple], strategy: str, setting: Setting, lengths: dict[str, int] | None = None) -> list[dict]:
-    """Ranked sets of one gene: rank, value, alleles, share, chosen.
-
-    mates: what each pair supports and contradicts, left then right; variants: (id, position, type, value, carriers,
-    in_exon).  strategy: full, exonfirst or em; lengths normalises the EM.
-    """
-    reads = [([*lp, *rp], [*ln, *rn]) for lp, ln, rp, rn in mates]
-    carriers = {v[0]: set(() if v[4] is None else v[4]) for v in variants}
-    place = {v[0]: (v[1], v[2], v[3]) for v in variants}
-    alleles = sorted(set().union(*carriers.values())) if carriers else []
-    if strategy == "em":
-        called = em_call(mates, carriers, cn, lengths)
-        return [{"rank": 0, "value": 0.0, "alleles": called, "share": [], "chosen": True}]
-    used = prepare(reads, setting.correct)
-    if not used or not alleles:
-        return [{"rank": 0, "value": 0.0, "alleles": [f"{gene.split('*')[0]}*"] * cn, "share": [], "chosen": True}]
-    mixed = any(x in gene for x in ALWAYS_MIXED) or not homozygous(used, place, cn)
-    k, told = matrix(used, alleles, carriers)
-    if strategy == "exonfirst":
-        beam = exon_first(used, alleles, carriers, {v[0] for v in variants if v[5]}, cn, mixed, setting, k)
-    else:
-        beam = search(k, cn, mixed, setting.top_n)
-    copies = 1 if mixed else cn
-    values = [value_of(int(c), int(told.sum()), copies) for c in beam.cost]
-    chosen = select_best(beam.share, cn)
-    return [{"rank": i, "value": values[i], "alleles": [alleles[a] for a in beam.sets[i]], "share": beam.share[i].tolist(), "chosen": i == chosen} for i in sorted({*top_ranks(values, setting.rank_share), chosen})]
-
-
-def exon_first(reads, alleles: list[str], carriers: dict[str, set[str]], exon: set[str], cn: int, mixed: bool, setting: Setting, k: np.ndarray) -> Beam:
-    """Types groups of alleles that have the same exon variants first, then alleles within the best groups."""
-    groups: dict[frozenset[str], list[int]] = {}
-    for i, a in enumerate(alleles):
-        groups.setdefault(frozenset(v for v in exon if a in carriers.get(v, ())), []).append(i)
-    of_exon = prepare([([v for v in p if v in exon], [v for v in n if v in exon]) for p, n in reads], setting.correct)
-    if not of_exon:
-        return search(k, cn, mixed, max(1, setting.top_n // 5))
-    members = list(groups.values())
-    names = [str(i) for i in range(len(members))]
-    by_group = {v: {names[g] for g, s in enumerate(groups) if v in s} for v in exon}
-    ek, told = matrix(of_exon, names, by_group)
-    first = search(ek, cn, mixed, setting.top_n)
-    values = [value_of(int(c), int(told.sum())) for c in first.cost]
-    found = [search(k, cn, mixed, max(1, setting.top_n // 5), [np.array(members[int(g)]) for g in first.sets[r]]) for r in top_ranks(values, setting.exon_share)]
-    beam = Beam(*(np.concatenate([getattr(b, f) for b in found], axis=1 if f == "best" else 0) for f in ("sets", "cost", "own", "share", "best")))
-    seen: dict[tuple, int] = {}
-    for i, s in enumerate(np.sort(beam.sets, axis=1).tolist()):
-        seen.setdefault(tuple(s), i)
-    return _ranked(beam.cut(np.array(sorted(seen.values()))), None)
-
-
-def em_candidates(mates: Mates, carriers: dict[str, set[str]]) -> list[list[str]]:
-    """For each pair the alleles that most of its mates allow: those of both, or where none is, of either one.
-
-    A mate allows the alleles with all that it supports and none of what it contradicts; one that supports nothing
-    allows none.  Pairs that allow no allele are left out.
-    """
-
-    def allowed(pos: list[str], neg: list[str]) -> set[str]:
-        have = set.intersection(*(set(carriers.get(v, ())) for v in pos)) if pos else set()
-        return have.difference(*(carriers.get(v, ()) for v in neg))
-
-    out = []
-    for lp, ln, rp, rn in mates:
-        left, right = allowed(lp, ln), allowed(rp, rn)
-        out.append(sorted(left & right or left | right))
-    return [x for x in out if x]
-
-
-def em(candidates: list[list[str]], rounds: int = 300, tolerance: float = 1e-4, lengths: dict[str, int] | None = None) -> dict[str, float]:
-    """Shares of alleles by expectation-maximisation with squared extrapolation.
-
-    With lengths, what an allele gets of a read is divided by its length.  The step that turns out smaller than the
-    tolerance isn't taken any more.
-    """
-    alleles = sorted({a for c in candidates for a in c})
-    if not alleles:
-        return {}
-    index = {a: i for i, a in enumerate(alleles)}
-    member = np.zeros((len(candidates), len(alleles)))
-    for r, c in enumerate(candidates):
-        member[r, [index[a] for a in c]] = 1
-    size = np.array([float(lengths[a]) for a in alleles]) if lengths else np.ones(len(alleles))
-
-    def step(p: np.ndarray) -> np.ndarray:
-        given = member * p
-        whole = given.sum(axis=1, keepdims=True)
-        out = (np.divide(given, whole, out=np.zeros_like(given), where=whole > 0) / size).sum(axis=0)
-        return out / out.sum()
-
-    p = step(np.ones(len(alleles)))
-    for _ in range(rounds):
-        new = step(p)
-        slope = new - p
-        bend = step(new) - new - slope
-        if (bend**2).sum() > 0:
-            stride = math.sqrt((slope**2).sum() / (bend**2).sum())
-            new = step(np.maximum(p + 2 * stride * slope + stride**2 * bend, 0))
-        if np.abs(new - p).sum() <= tolerance:
-            break
-        p = new
-    return dict(zip(alleles, p.tolist(), strict=True))
-
-
-def em_call(mates: Mates, carriers: dict[str, set[str]], cn: int, lengths: dict[str, int] | None = None) -> list[str]:
-    """Alleles by share; each takes its rounded number of copies, one at least, until all cn are given."""
-    out: list[str] = []
-    for allele, p in sorted(em(em_candidates(mates, carriers), lengths=lengths).items(), key=lambda x: (-x[1], x[0])):
-        if len(out) == cn:
-            break
-        out += [allele] * min(cn - len(out), max(1, round(p * cn)))
-    return out
-
-
-RESULT = "sample string, gene string, cn int, n_reads bigint, rank int, value double, alleles array<string>, share array<double>, chosen boolean"
-
-
-def type_alleles(reads: DataFrame, variants: DataFrame, copies: DataFrame, strategy: str = "full", setting: Setting | None = None, lengths: DataFrame | None = None, *, broadcast_rows: int = BROADCAST_CATALOGUE) -> DataFrame:
+    return cost * MISS + (told - cost) * HIT
+
+
+def near_best(found: DataFrame, keys: list[str], share: float) -> Column:
+    """Whether a set is the first one, or its value, scaled, reaches the first one's; found has rank from 1 and value."""
+    best = F.max(F.when(F.col("rank") == 1, F.col("value"))).over(W.partitionBy(*keys))
+    return (F.col("rank") == 1) | (F.col("value") * share >= best)
+
+
+def _exon_first(used: DataFrame, variants: DataFrame, names: DataFrame, rows: DataFrame, groups: DataFrame, problems: DataFrame, setting: Setting) -> DataFrame:
+    """Types groups of alleles that have the same exon variants first, then alleles within the best sets of groups."""
+    of_gene = written(exon_groups(variants, names), "exon-groups")
+    exon = variants.filter("in_exon").select("gene", "variant").distinct()
+    told = used.join(exon, ["gene", "variant"], "left_semi")
+    told = written(beam.corrected(told) if setting.correct else told, "exon-evidence")
+    by_group = of_gene.select("gene", "g", F.explode("held").alias("variant")).groupBy("gene", "variant").agg(F.sort_array(F.collect_list("g")).alias("members"))
+    e_rows, e_groups = beam.dealt(beam.classes(told, by_group, of_gene.groupBy("gene").agg(F.count("*").cast("int").alias("size"))))
+    seen = told.groupBy(*GROUP).agg(F.sum("n").alias("told"))
+    with_exons = written(problems.join(seen.select(*GROUP), GROUP, "left_semi"), "exon-problems")
+    first = beam.search(e_rows, e_groups, with_exons, None, setting.top_n).join(seen, GROUP)
+    first = first.withColumn("value", value_of(F.col("cost"), F.col("told")))
+    first = written(first.withColumn("_near", near_best(first, PROBLEM, setting.exon_share)).filter("_near"), "exon-sets")
+    branches = problems.drop("branch").join(first.select(*GROUP, F.col("rank").alias("branch"), F.col("members").alias("_sets")), GROUP)
+    steps = branches.select(*PROBLEM, F.posexplode("_sets").alias("_step", "g"))
+    allowed = steps.join(of_gene.select("gene", "g", "members"), ["gene", "g"]).select(*PROBLEM, (F.col("_step") + 1).alias("step"), F.explode("members").alias("a"))
+    # Without a word on exons any allele may stand at any place.
+    others = problems.join(seen.select(*GROUP), GROUP, "left_anti")
+    free = others.join(names.select("gene", "a"), "gene").select(*PROBLEM, F.explode(F.sequence(F.lit(1), "cn")).alias("step"), "a")
+    every = written(branches.drop("_sets").unionByName(others), "exon-branches")
+    found = beam.search(rows, groups, every, written(allowed.unionByName(free), "exon-allowed"), max(1, setting.top_n // 5))
+    one = found.groupBy(*GROUP, "cn", "members").agg(F.first("cost").alias("cost"), F.first("own").alias("own"), F.first("share").alias("share"))
+    uneven = F.round(F.aggregate("share", F.lit(0.0), lambda t, x: t + F.abs(x - 1 / F.col("cn"))), 12)
+    return one.withColumn("rank", F.row_number().over(W.partitionBy(*GROUP).orderBy("cost", "own", uneven, "members")))
+
+
+def type_alleles(reads: DataFrame, variants: DataFrame, copies: DataFrame, strategy: str = "full", setting: Setting | None = None, lengths: DataFrame | None = None) -> DataFrame:
     """RESULT: near-optimal sets of every (sample, gene) with copies; chosen marks the call.
 
     reads: as_pairs() rows; variants: catalogue rows (ref, pos, typ, val, id, allele, in_exon); copies: sample, gene, cn;
-    lengths: allele, length, for the EM.  A group is one (sample, gene); the catalogue, which doesn't grow with the
-    cohort, is sent to the workers after a count, and beyond the bound it is cogrouped with slices of samples.
+    lengths: allele, length, for the EM; alleles that it lacks are an error.  strategy: full, exonfirst, em or report.
     """
     setting = setting or Setting()
     if strategy not in ("full", "exonfirst", "em", "report"):
         raise NotImplementedError(strategy)
-    kind = "em" if strategy == "report" else strategy
-    import pandas as pd
-
-    columns, sides = [x.split()[0] for x in RESULT.split(", ")], ["lpv", "lnv", "rpv", "rnv"]
-    unique = reads.filter("multiple = 1").select("sample", F.col("backbone").alias("gene"), *sides)
-    wanted = copies.filter("cn > 0").select("sample", "gene", F.col("cn").cast("int").alias("cn"))
-    joined = wanted.join(unique, ["sample", "gene"], "left")
-    rows = variants.filter(F.size("allele") > 0).select(F.col("ref").alias("gene"), F.struct("id", "pos", "typ", "val", "allele", F.coalesce("in_exon", F.lit(False)).alias("in_exon")).alias("variant"))
-    sizes = None if lengths is None else {r["allele"]: r["length"] for r in lengths.select("allele", "length").limit(broadcast_rows).collect()}
-
-    def solved(gene: str, part: pd.DataFrame, known: list[tuple]) -> list[dict]:
-        sample, cn = part["sample"].iloc[0], int(part["cn"].iloc[0])
-        mates = [tuple(map(list, m)) for m in zip(*(part[c] for c in sides), strict=True) if m[0] is not None]
-        return [{"sample": sample, "gene": gene, "cn": cn, "n_reads": len(mates), **r} for r in type_gene(gene, cn, mates, known, kind, setting, sizes)]
-
-    if rows.count() <= broadcast_rows:
-        catalogue: dict[str, list[tuple]] = {}
-        for r in rows.collect():
-            catalogue.setdefault(r["gene"], []).append(tuple(r["variant"]))
-        sent = reads.sparkSession.sparkContext.broadcast({g: sorted(v, key=lambda x: (x[1], x[0])) for g, v in catalogue.items()})
-
-        def one(part: pd.DataFrame) -> pd.DataFrame:
-            gene = part["gene"].iloc[0]
-            return pd.DataFrame(solved(gene, part, sent.value.get(gene, [])), columns=columns)
-
-        return joined.groupBy("sample", "gene").applyInPandas(one, RESULT)
-
-    def some(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        known = sorted((tuple(v[c] for c in ("id", "pos", "typ", "val", "allele", "in_exon")) for v in right["variant"]), key=lambda x: (x[1], x[0]))
-        return pd.DataFrame([r for _, part in left.groupby("sample") for r in solved(key[0], part, known)], columns=columns)
-
-    slices = max(1, -(-wanted.select("sample").distinct().count() // SLICE_SAMPLES))
-    left = joined.withColumn("slice", F.pmod(F.xxhash64("sample"), F.lit(slices)).cast("int"))
-    right = rows.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    return left.groupBy("gene", "slice").cogroup(right.groupBy("gene", "slice")).applyInPandas(some, RESULT)
+    wanted = written(copies.filter("cn > 0").select("sample", "gene", F.col("cn").cast("int").alias("cn")), "copies")
+    unique = reads.filter("multiple = 1").join(wanted.select("sample", F.col("gene").alias("backbone")), ["sample", "backbone"], "left_semi")
+    unique = written(unique.select("sample", "backbone", "pair_id", "lpv", "lnv", "rpv", "rnv"), "unique")
+    counted = wanted.join(unique.groupBy("sample", F.col("backbone").alias("gene")).agg(F.count("*").alias("n_reads")), GROUP, "left").withColumn("n_reads", F.coalesce("n_reads", F.lit(0).cast("bigint")))
+    known = variants.filter(F.size("allele") > 0).select(F.col("ref").alias("gene"), F.col("id").alias("variant"), "pos", "typ", "val", "allele", F.coalesce("in_exon", F.lit(False)).alias("in_exon"))
+    carriers, names = numbered(known)
+    listed = names.groupBy("gene").agg(F.transform(F.sort_array(F.collect_list(F.struct("a", "allele"))), lambda x: x["allele"]).alias("names"))
+    shown = lambda members: F.transform(members, lambda a: F.get("names", a))
+    if strategy in ("em", "report"):
+        of_name = F.lit(1.0) if lengths is None else F.coalesce("length", F.raise_error(F.concat(F.lit("no length of "), "allele")).cast("int")).cast("double")
+        sized = names if lengths is None else names.join(lengths.select("allele", "length"), "allele", "left")
+        sizes = sized.groupBy("gene").agg(F.transform(F.sort_array(F.collect_list(F.struct("a", of_name.alias("size")))), lambda x: x["size"]).alias("lengths"))
+        p = em.shares(written(em.candidates(unique, carriers), "em-rows"), written(sizes, "em-lengths"))
+        given = em.copies_of(p, wanted).join(listed, "gene").select(*GROUP, shown("members").alias("alleles"))
+        rows = counted.join(given, GROUP, "left")
+        none = F.array().cast("array<string>")
+        return rows.select(*GROUP, "cn", "n_reads", F.lit(0).alias("rank"), F.lit(0.0).alias("value"), F.coalesce("alleles", none).alias("alleles"), F.array().cast("array<double>").alias("share"), F.lit(True).alias("chosen"))
+    told = written(beam.long_evidence(unique), "told")
+    used = written(beam.corrected(told), "used") if setting.correct else told
+    rows, groups = beam.dealt(beam.classes(used, carriers, names.groupBy("gene").agg(F.count("*").cast("int").alias("size"))))
+    differs = beam.two_values(used, known.select("gene", "variant", "pos", "typ", "val"), wanted).withColumn("_two", F.lit(True))
+    mixed = (F.col("cn") <= 1) | F.col("_two").isNotNull() | reduce_or([F.contains("gene", F.lit(x)) for x in ALWAYS_MIXED])
+    problems = wanted.join(groups.select(*GROUP), GROUP, "left_semi").join(differs, GROUP, "left")
+    problems = written(problems.select(*GROUP, F.lit(0).alias("branch"), "cn", mixed.alias("mixed")), "problems")
+    if strategy == "exonfirst":
+        found = _exon_first(used, known, names, rows, groups, problems, setting)
+    else:
+        found = beam.search(rows, groups, problems, None, setting.top_n)
+    sums = used.groupBy(*GROUP).agg(F.sum("n").alias("told"))
+    by_copies = F.when(F.col("mixed"), F.lit(1)).otherwise(F.col("cn"))
+    valued = found.drop("branch").join(problems.select(*GROUP, "mixed"), GROUP).join(sums, GROUP).withColumn("value", by_copies * value_of(F.col("cost"), F.col("told")))
+    enough = F.forall("share", lambda x: x >= 1 / (2 * F.col("cn")))
+    first = F.row_number().over(W.partitionBy(*GROUP).orderBy(F.when(enough, 0).otherwise(1), "rank")) == 1
+    kept = valued.withColumn("chosen", first).withColumn("_near", near_best(valued, GROUP, setting.rank_share)).filter("_near or chosen")
+    kept = kept.join(listed, "gene").select(*GROUP, (F.col("rank") - 1).alias("rank"), "value", shown("members").alias("alleles"), "share", "chosen")
+    # Without evidence or alleles the call says so much of the gene as there are copies.
+    blank = F.array_repeat(F.concat(F.split_part("gene", F.lit("*"), F.lit(1)), F.lit("*")), F.col("cn"))
+    none = counted.join(problems.select(*GROUP), GROUP, "left_anti").select(*GROUP, "cn", "n_reads", F.lit(0).alias("rank"), F.lit(0.0).alias("value"), blank.alias("alleles"), F.array().cast("array<double>").alias("share"), F.lit(True).alias("chosen"))
+    return counted.join(kept, GROUP).select(none.columns).unionByName(none)
+
+
+def reduce_or(conditions: list[Column]) -> Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
 
 
 def warnings(result: DataFrame) -> DataFrame:

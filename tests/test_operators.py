@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import plain_typing
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,7 +131,7 @@ def test_typing(spark):
     for truth in (["G*001", "G*004"], ["G*002", "G*005", "G*007"]):
         found = simulated(rng, truth, carriers, 300)
         for strategy in ("full", "exonfirst", "em"):
-            best = next(r for r in typing.type_gene("G*BACKBONE", len(truth), found, variants, strategy, typing.Setting(top_n=50)) if r["chosen"])
+            best = next(r for r in plain_typing.type_gene("G*BACKBONE", len(truth), found, variants, strategy, typing.Setting(top_n=50)) if r["chosen"])
             assert sorted(best["alleles"]) == truth, strategy
     rows = [("s1", f"p{i}", "", "", 1, "G*BACKBONE", *m) for i, m in enumerate(simulated(rng, ["G*001", "G*004"], carriers, 200))]
     wide = spark.createDataFrame(rows, "sample string, pair_id string, l_sam string, r_sam string, multiple int, backbone string, lpv array<string>, lnv array<string>, rpv array<string>, rnv array<string>")
@@ -141,28 +142,25 @@ def test_typing(spark):
     assert called["s1"]["alleles"] == "G*001_G*004" and called["s1"]["warnings"] == ""
     assert called["s2"]["alleles"] == "G*" and "few reads" in called["s2"]["warnings"]
     assert typing.possible_sets(result).filter("sample = 's1' and rank = 0").first()["1"].startswith("G*")
-    for strategy in ("full", "exonfirst", "em"):
-        rows = lambda df: sorted(map(str, df.collect()))
-        assert rows(typing.type_alleles(wide, table, copies, strategy, broadcast_rows=0)) == rows(typing.type_alleles(wide, table, copies, strategy))
     with pytest.raises(NotImplementedError):
         typing.type_alleles(wide, table, copies, "best")
 
 
 def test_typing_parts():
     share = np.array([[0.1, 0.9], [0.05, 0.95], [0.2, 0.8], [0.4, 0.6]])
-    assert typing.select_best(share, 2) == 3
+    assert plain_typing.select_best(share, 2) == 3
     mates = [(["v"], [], [], [])] * 66 + [([], [], ["w"], [])] * 33
     for cn, want in ((1, ["a1"]), (2, ["a1", "a2"]), (3, ["a1", "a1", "a2"])):
-        assert typing.em_call(mates, {"v": {"a1"}, "w": {"a2"}}, cn) == want
-    assert typing.top_ranks([-10.0, -10.5, -12.0], 0.9) == [0, 1]
+        assert plain_typing.em_call(mates, {"v": {"a1"}, "w": {"a2"}}, cn) == want
+    assert plain_typing.top_ranks([-10.0, -10.5, -12.0], 0.9) == [0, 1]
     place = {"v": (1, "single", "A"), "w": (1, "single", "C")}
-    assert not typing.homozygous([(["v"], [])] * 20 + [(["w"], [])] * 20, place, 2)
-    assert typing.homozygous([(["v"], [])] * 40 + [(["w"], [])] * 2, place, 2)
+    assert not plain_typing.homozygous([(["v"], [])] * 20 + [(["w"], [])] * 20, place, 2)
+    assert plain_typing.homozygous([(["v"], [])] * 40 + [(["w"], [])] * 2, place, 2)
 
 
 def test_em_candidates_go_by_mate():
     carriers = {"v": {"a1", "a2"}, "w": {"a2", "a3"}, "x": {"a1"}, "y": {"a3"}}
-    found = lambda *m: typing.em_candidates([m], carriers)
+    found = lambda *m: plain_typing.em_candidates([m], carriers)
     assert found(["v"], [], ["w"], []) == [["a2"]]  # both mates allow it
     assert found(["x"], [], ["y"], []) == [["a1", "a3"]]  # mates that disagree keep what either allows
     assert found(["v"], ["x"], [], ["w"]) == [["a2"]]  # a mate that supports nothing allows nothing, and takes nothing away
@@ -185,7 +183,7 @@ def test_em_by_plain_steps():
             if max(abs(new[a] - p[a]) for a in names) < 1e-9:
                 break
             p = new
-        quick = typing.em(reads, tolerance=1e-9, lengths=lengths)
+        quick = plain_typing.em(reads, tolerance=1e-9, lengths=lengths)
         assert all(abs(quick[a] - p[a]) < 1e-4 for a in names)
 
 
@@ -197,7 +195,7 @@ def test_search_equals_trying_all_sets():
     k = rng.integers(0, 6, (80, 9)).astype(np.int32)
     for cn in (1, 2, 3):
         best = min(int(k[:, list(c)].min(axis=1).sum()) for c in itertools.combinations_with_replacement(range(9), cn))
-        beam = typing.search(k, cn, True, 600)
+        beam = plain_typing.search(k, cn, True, 600)
         assert beam.cost[0] == best and (np.diff(beam.cost) >= 0).all()
         for s, cost, share, least in zip(beam.sets, beam.cost, beam.share, beam.best.T, strict=True):
             each = k[:, s]
