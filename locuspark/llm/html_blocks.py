@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -42,7 +43,6 @@ STOP_UNKNOWN = 0.1
 OPEN_WEIGHT, LEAST_SHARE, OUTVOTES = 0.1, 0.25, 3.0
 #: So many neighbouring blocks that are links and nothing else are a menu.
 MENU_RUN = 3
-MAX_DEPTH = 512
 
 # Elements.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -71,6 +71,8 @@ ENDS = {
     "body": (frozenset(["head"]), frozenset(["body"])),
     **{h: (HEADINGS, BLOCKS - HEADINGS) for h in HEADINGS},
 }
+# End tags that don't reach out of a table.
+IN_TABLE, TABLE = frozenset("p li div span b a".split()), frozenset(["table"])
 # Words of class, id and role attributes that name boilerplate.
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header login menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget".split()
@@ -87,8 +89,10 @@ STOP_WORDS = {
     "es": frozenset("a al como con de del desde donde el ella en entre era es esta este fue ha hay la las le lo los más me mi muy no nos o para pero por que se ser si sin sobre son su sus también un una y ya yo".split()),
 }
 
+_CLOSES = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|lang|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_HREF = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
 _PIECES = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -148,12 +152,26 @@ def _kind(name: str, attributes: str) -> tuple[str, str]:
     return kind, lang
 
 
-def blocks(page: str) -> tuple[list[Block], str]:
-    """The blocks with text, in page order, and the page's language."""
+@dataclass
+class Marks:
+    """What a page says beside its text: its first title, and where its links lead, in page order."""
+
+    title: str | None = None
+    links: list[str] = field(default_factory=list)
+
+
+def target(attributes: str) -> str | None:
+    """The first href of a tag's attributes, None without one."""
+    return next((html.unescape("".join(values)) for name, *values in _HREF.findall(attributes) if name.lower() == "href"), None)
+
+
+def blocks(page: str, marks: Marks | None = None) -> tuple[list[Block], str]:
+    """The blocks with text, in page order, and the page's language.  Time is linear in the page, however deep it is."""
     out: list[Block] = []
     parts: list[str] = []
     lang = ""
     stack: list[tuple[str, Node]] = []
+    where: dict[str, list[int]] = defaultdict(list)  # open elements' places in the stack, by name
     depth = {"skip": 0, "boilerplate": 0}
     marked: dict[str, list[Node]] = {"named": [], "article": [], "content": []}
     linked = links = 0
@@ -177,20 +195,25 @@ def blocks(page: str) -> tuple[list[Block], str]:
                 linked += len(text.strip())
 
     def pop(i: int) -> None:
-        """Closes the open elements from the i-th on."""
-        for _, node in reversed(stack[i:]):
+        """Closes the open elements from the i-th on; a link ends with the element around it."""
+        nonlocal links
+        for name, node in reversed(stack[i:]):
+            where[name].pop()
+            if name == "a":
+                links = 0
             if node.kind in depth:
                 depth[node.kind] -= 1
             elif node.kind:
                 marked[node.kind].pop()
         del stack[i:]
 
+    def innermost(names: frozenset[str]) -> int:
+        return max((where[n][-1] for n in names if where.get(n)), default=-1)
+
     def end(closes: frozenset[str], scope: frozenset[str]) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in closes:
-                return pop(i)
-            if stack[i][0] in scope:
-                return None
+        i = innermost(closes)
+        if i >= 0 and i >= innermost(scope):
+            pop(i)
 
     paragraph = frozenset(["p"])
     at, stop = 0, len(page)
@@ -213,14 +236,14 @@ def blocks(page: str) -> tuple[list[Block], str]:
         elif name == "br":
             parts.append(" ")
         if name == "a":
-            links = 0 if closing else 1
+            led = None if closing else target(m[3])
+            links = int(led is not None)  # an anchor that leads nowhere is text
+            if marks is not None and led is not None:
+                marks.links.append(" ".join(led.split()))
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    pop(i)
-                    break
-                if stack[i][0] == "table" and name in ("p", "li", "div", "span", "b", "a"):
-                    break
+            i = where[name][-1] if where.get(name) else -1
+            if i >= 0 and not (name in IN_TABLE and i < innermost(TABLE)):
+                pop(i)
             continue
         if name in ENDS_P:
             end(paragraph, P_SCOPE)
@@ -231,20 +254,22 @@ def blocks(page: str) -> tuple[list[Block], str]:
         kind, own = _kind(name, m[3])
         lang = own if own and name == "html" else lang
         if name in RAW and not m[0].endswith("/>"):
-            close = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+            close = _CLOSES[name].search(page, at)
+            if name == "title" and marks is not None and marks.title is None:
+                marks.title = " ".join(html.unescape(page[at : close.start() if close else stop]).split())
             at = close.end() if close else stop
             continue
         if kind == "article" or name in HEADINGS:
             for node in marked["named"]:
                 node.holds_content |= kind == "article"
                 node.holds_heading |= name == "h1"
-        if len(stack) < MAX_DEPTH:
-            node = Node(kind) if kind else PLAIN
-            stack.append((name, node))
-            if kind in depth:
-                depth[kind] += 1
-            elif kind:
-                marked[kind].append(node)
+        node = Node(kind) if kind else PLAIN
+        where[name].append(len(stack))
+        stack.append((name, node))
+        if kind in depth:
+            depth[kind] += 1
+        elif kind:
+            marked[kind].append(node)
     if parts:
         close_block()
     return out, lang

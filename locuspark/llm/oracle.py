@@ -22,7 +22,7 @@ def _matches(kind: int, pattern: str, least: int, group: int) -> str:
 
 
 OP1 = f"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce('=' || source, '') AS owner, concat_ws('/', source, lang) AS repository FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce('=' || source, '') AS owner, coalesce(length(source) || ':' || source, '-') || coalesce('=' || lang, '') AS repository FROM documents),
 base AS ({_matches(0, _ASSIGN, 8, 2)} UNION ALL {_matches(1, "AKIA[A-Z0-9]+", 16, 0)} UNION ALL {_matches(2, "[0-9a-f]{32,}", 32, 0)}),
 bare AS (SELECT * FROM ({_matches(3, BARE, 16, 0)}) b
          WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= {BARE_DIFFERENT}
@@ -32,10 +32,11 @@ stats AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT reposito
 judged AS (SELECT cand.*, owners, repositories, ['assign', 'access', 'hex', 'live'][kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS shown FROM cand JOIN stats USING (value)),
 per AS (SELECT rid, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
                string_agg(shown, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS base, string_agg(shown, ',' ORDER BY s, kind, e) FILTER (kind < 3 OR (owners = 1 AND repositories <= {LIVE_REPOSITORIES})) AS spans,
-               count(*) FILTER (kind = 3 AND owners = 1 AND repositories <= {LIVE_REPOSITORIES}) AS n_live, count(*) FILTER (owners >= {WIDE_OWNERS} OR repositories >= {WIDE_REPOSITORIES}) AS n_wide, count(*) FILTER (owners = 1) AS n_single, max(owners) AS most_owners, max(repositories) AS most_repositories
+               count(*) FILTER (kind = 3 AND owners = 1 AND repositories <= {LIVE_REPOSITORIES}) AS n_live, count(*) FILTER (owners >= {WIDE_OWNERS} OR repositories >= {WIDE_REPOSITORIES}) AS n_wide, count(*) FILTER (owners = 1) AS n_single, max(owners) AS most_owners, max(repositories) AS most_repositories,
+               string_agg(shown || ':' || CASE WHEN owners >= {WIDE_OWNERS} OR repositories >= {WIDE_REPOSITORIES} THEN 'wide' WHEN owners = 1 AND repositories <= {LIVE_REPOSITORIES} THEN 'live' WHEN owners = 1 THEN 'single' ELSE 'shared' END, ',' ORDER BY s, kind, e) FILTER (kind < 3 OR (owners = 1 AND repositories <= {LIVE_REPOSITORIES})) AS classes
         FROM judged GROUP BY rid)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_live, 0) AS n_live, coalesce(n_wide, 0) AS n_wide, coalesce(n_single, 0) AS n_single, coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
+       coalesce(n_live, 0) AS n_live, coalesce(n_wide, 0) AS n_wide, coalesce(n_single, 0) AS n_single, coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories, coalesce(classes, '') AS classes
 FROM d LEFT JOIN per USING (rid)
 """
 

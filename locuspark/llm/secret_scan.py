@@ -8,8 +8,8 @@ become spans of kind ``live``; the base stays.
 
 Rows: null text is empty; a null owner or repository is one of its own, apart from the empty one; repeated rows are
 scanned as often as they occur, and count once for their owner and repository; an empty table gives no rows; further
-columns are ignored.  Texts are read once and never shuffled: only spans and hashes are.  Time is linear in a text
-and n log n in its spans.
+columns are ignored.  Texts are read once and never shuffled: only spans and hashes are.  Time is linear in a text,
+and n log n in its spans but for sums over blocks of 64 of them, whose number counts by its square.
 """
 
 from __future__ import annotations
@@ -41,6 +41,7 @@ HOT_VALUE = 1_000_000
 BROADCAST_ROWS = 100_000
 
 SPAN = "struct<start:bigint,kind:int,end:bigint,hash:string>"
+CLASSED = "struct<start:bigint,kind:int,end:bigint,class:string>"
 
 
 def base_spans(text: Column) -> Column:
@@ -82,6 +83,12 @@ def _named(name: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), name.cast("string")), F.lit(""))
 
 
+def repository_of(owner: Column, name: Column) -> Column:
+    """One name for an owner's repository; no two pairs share it, whatever they hold, null or not."""
+    own = owner.cast("string")
+    return F.concat(F.coalesce(F.concat(F.length(own).cast("string"), F.lit(":"), own), F.lit("-")), _named(name))
+
+
 def extracted(docs: DataFrame, keys: list[Column], text: str, owner: Column, repository: Column) -> DataFrame:
     """keys, owner, repository, base, bare: one row for each document, without its text."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -102,10 +109,12 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner:
 
     base, added: array<struct<start, kind, end, hash>>.  n_wide: candidates that WIDE_OWNERS owners or WIDE_REPOSITORIES
     repositories hold at least; n_single: those of a single owner; most_owners, most_repositories: of any candidate.
-    A repository belongs to its owner, unless named otherwise ``source`` and ``source/lang``.  keep adds columns from docs.
+    classed: array<struct<start, kind, end, class>> of base and added spans: wide, live, single (one owner, but in more
+    repositories than a live value has) or shared.
+    A repository belongs to its owner, unless named otherwise ``source``, and ``lang`` within it.  keep adds columns from docs.
     """
     owner = F.col("source") if owner is None else owner
-    repository = F.concat_ws("/", owner, F.col("lang")) if repository is None else repository
+    repository = repository_of(owner, F.col("lang")) if repository is None else repository
     keys = [F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), *(keep or [])]
     rows = written(extracted(docs, keys, text, owner, repository), "secrets")
     having = rows.filter((F.size("base") > 0) | (F.size("bare") > 0))
@@ -113,9 +122,12 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner:
     stats = written(ownership(candidates), "secrets-owners")
     judged = join_hot(candidates.select("row", "start", "kind", "end", "hash"), stats, ["hash"], "copies", "row", most=hot)
     live = (F.col("owners") == 1) & (F.col("repositories") <= LIVE_REPOSITORIES)
+    wide = (F.col("owners") >= WIDE_OWNERS) | (F.col("repositories") >= WIDE_REPOSITORIES)
+    sort = F.when(wide, "wide").when(live, "live").when(F.col("owners") == 1, "single").otherwise("shared")
     by_row = judged.groupBy("row").agg(
+        F.sort_array(F.collect_list(F.when((F.col("kind") < 3) | live, F.struct("start", "kind", "end", sort.alias("class"))))).alias("classed"),
         F.sort_array(F.collect_list(F.when((F.col("kind") == 3) & live, F.struct("start", "kind", "end", "hash")))).alias("added"),
-        F.count_if((F.col("owners") >= WIDE_OWNERS) | (F.col("repositories") >= WIDE_REPOSITORIES)).alias("n_wide"),
+        F.count_if(wide).alias("n_wide"),
         F.count_if(F.col("owners") == 1).alias("n_single"),
         F.max("owners").alias("most_owners"),
         F.max("repositories").alias("most_repositories"),
@@ -123,12 +135,12 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", owner:
     none = F.lit(0).cast("bigint")
     joined = rows.join(by_row, "row", "left")
     kept = [c for c in rows.columns if c not in ("row", "owner", "repository", "base", "bare")]
-    return joined.select(*kept, "base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")).alias("added"), *(F.coalesce(c, none).alias(c) for c in ("n_wide", "n_single", "most_owners", "most_repositories")))
+    return joined.select(*kept, "base", F.coalesce("added", F.array().cast(f"array<{SPAN}>")).alias("added"), F.coalesce("classed", F.array().cast(f"array<{CLASSED}>")).alias("classed"), *(F.coalesce(c, none).alias(c) for c in ("n_wide", "n_single", "most_owners", "most_repositories")))
 
 
-def rendered(spans: Column) -> Column:
+def rendered(spans: Column, *more: str) -> Column:
     kinds = F.array(*map(F.lit, KINDS))
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"], *(s[c] for c in more))), ",")
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -137,6 +149,7 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(rendered(F.col("base")), 256).alias("base_sha256"),
         rendered(F.sort_array(F.concat("base", "added"))).alias("spans"), F.size("added").cast("bigint").alias("n_live"), "n_wide", "n_single", "most_owners", "most_repositories",
+        rendered(F.col("classed"), "class").alias("classes"),
     )
 
 

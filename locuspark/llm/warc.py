@@ -5,8 +5,9 @@ response's HTTP status and headers as they were sent, the response's other WARC
 its title and its links; the conversion record's block is the page's text, with a digest of its own.  New record ids
 follow from the response's id, so a second run gives the same records.
 
-Bodies are taken out of chunked and gzip or deflate encodings before they are read; what can't be decoded is named in
-the metadata.  Pages of HTML are converted to the text of their blocks, other text as it is; payloads of any other type
+Bodies are taken out of chunked and gzip or deflate encodings before they are read, all members of them; what can't be
+decoded is named in the metadata, and so is a body that breaks off, of which what is there is read.  Title and links come
+from the page's scan, so comments and scripts have none.  Pages of HTML are converted to the text of their blocks, other text as it is; payloads of any other type
 (images, archives, bodies in an unknown encoding) have no conversion record, only metadata.
 
 Files hold one gzip member for each record, as crawlers write them, in segments of bounded size; a task writes under
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import html
 import io
 import re
 import uuid
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuspark.llm.html_blocks import blocks
+from locuspark.llm.html_blocks import Marks, blocks
 from locuspark.llm.workers import lean
 
 SEGMENT_BYTES = 64 << 20
@@ -49,8 +49,6 @@ RECORD = "source_key string, warc_type string, record_id string, refers_to strin
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _BASE32 = [a + b for a in _LETTERS for b in _LETTERS]
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title|\Z)", re.I | re.S)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 # Headers of a response that its derivatives carry in fields of their own, or that speak of its own block.
 _OWN = frozenset("warc-type warc-record-id warc-target-uri warc-date warc-block-digest warc-payload-digest content-type content-length".split())
 # Types that are read as HTML.
@@ -106,8 +104,8 @@ def response(key: str, url: str, page: str, date: str = NO_DATE) -> bytes:
     )
 
 
-def plain_text(page: str) -> str:
-    return "\n".join(b.text for b in blocks(page)[0])
+def plain_text(page: str, marks: Marks | None = None) -> str:
+    return "\n".join(b.text for b in blocks(page, marks)[0])
 
 
 def header(lines: list[str], name: str) -> str:
@@ -127,28 +125,45 @@ def dechunked(body: bytes) -> bytes:
     return b"".join(out)
 
 
+def inflated(payload: bytes, name: str) -> tuple[bytes, bool] | None:
+    """All members of a compressed body, and whether it is whole; None if it isn't compressed like that."""
+    for bits in (47, -15) if name == "deflate" else (31,):
+        out, rest, whole = [], payload, False
+        while rest:
+            opened = zlib.decompressobj(bits)
+            try:
+                out.append(opened.decompress(rest))
+                whole = opened.eof
+            except zlib.error:
+                # What stands behind a whole member and is none itself is padding; a first member must hold.
+                if not out:
+                    break
+                return b"".join(out), whole
+            rest = opened.unused_data
+        else:
+            return b"".join(out), whole
+    return None
+
+
 def body_of(lines: list[str], payload: bytes) -> tuple[bytes, str]:
-    """The payload without its transfer and content encodings, and the encoding that can't be undone, if any."""
+    """The payload without its transfer and content encodings, and the encoding that can't be undone, if any, or breaks off."""
     if "chunked" in header(lines, "transfer-encoding").lower() and re.match(rb"[0-9A-Fa-f]{1,8}[ ;\r]", payload):
         payload = dechunked(payload)
     encodings = [x.strip().lower() for x in header(lines, "content-encoding").split(",") if x.strip()]
+    broken = ""
     for name in reversed(encodings):
-        if name == "identity":
+        if name == "identity" or not payload:
             continue
         if name not in ("gzip", "x-gzip", "deflate"):
             return payload, name
         if name != "deflate" and payload[:2] != b"\x1f\x8b":
             continue  # the crawler has undone it already
-        for bits in (47, -15):
-            opened = zlib.decompressobj(bits)
-            try:
-                payload = opened.decompress(payload)
-                break
-            except zlib.error:
-                continue
-        else:
+        found = inflated(payload, name)
+        if found is None:
             return payload, name
-    return payload, ""
+        payload, whole = found
+        broken = broken if whole else f"{name} (breaks off)"
+    return payload, broken
 
 
 def derivatives(raw: bytes, key: str | None = None) -> list[tuple[str, str, str, str, str, bytes]]:
@@ -162,7 +177,7 @@ def derivatives(raw: bytes, key: str | None = None) -> list[tuple[str, str, str,
     sent, found = headers.get("warc-payload-digest", ""), digest(payload)
     body, unknown = body_of(lines, payload)
     kind = header(lines, "content-type").split(";")[0].strip().lower() or "text/html"
-    readable = not unknown and (kind in _HTML or kind.startswith("text/"))
+    readable = (not unknown or unknown.endswith("(breaks off)")) and (kind in _HTML or kind.startswith("text/"))
     fields = [("http-status", status), *(("http-header", x) for x in lines), *(("warc-header", f"{k}: {v}") for k, v in headers.items() if k not in _OWN)]
     fields += [("source-block-digest", headers.get("warc-block-digest") or digest(block)), ("source-payload-digest", found), ("payload-digest-match", "unknown" if not sent else str(sent == found).lower())]
     fields += [("undecoded", unknown)] if unknown else []
@@ -175,9 +190,10 @@ def derivatives(raw: bytes, key: str | None = None) -> list[tuple[str, str, str,
             page = body.decode("utf-8", "replace")
         text = page
         if kind in _HTML:
-            text, title = plain_text(page), _TITLE.search(page)
-            fields += [("title", " ".join(html.unescape(title[1]).split()))] if title else []
-            fields += [("outlink", " ".join(html.unescape("".join(x)).split())) for x in _LINK.findall(page)]
+            marks = Marks()
+            text = plain_text(page, marks)
+            fields += [("title", marks.title)] if marks.title is not None else []
+            fields += [("outlink", x) for x in marks.links]
     made = [("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields).encode("utf-8", "replace"), [])]
     if text is not None:
         made.append(("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"), [("WARC-Source-Payload-Digest", found)]))

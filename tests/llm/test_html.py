@@ -112,3 +112,19 @@ def test_pages_table(spark):
     assert sorted((r["page_id"] or "", r["text"], r["n_chars"]) for r in got) == sorted((i or "", t := html_blocks.main_text(h), len(t)) for i, _, h in rows)
     assert got[0]["text"] == f"{LINE}\né" and max(r["n_chars"] for r in got) > 500_000
     assert html_blocks.extract(pages.limit(0)).count() == 0
+
+
+ROAD = "<p>The road that leads out of the town is one of the oldest in the country, and it was long the only one there.</p>"
+
+
+def test_anchors_that_lead_nowhere_are_text():
+    got = html_blocks.main_text(f'<article><h1>Road</h1><a name="top">{ROAD * 4}</article>')
+    assert got.count("The road") == 4
+    got = html_blocks.main_text(f'<article><h1>Road</h1><div><a href="x">a link that never ends</div>{ROAD * 4}</article>')
+    assert got.count("The road") == 4
+
+
+def test_depth_has_no_bound():
+    for n in (100, 600, 5000):
+        got = html_blocks.main_text("<article>" + "<div>" * n + f"<nav>menu of things</nav><span hidden>unseen</span>{ROAD}" + "</div>" * n + "</article>")
+        assert got.startswith("The road") and "menu" not in got and "unseen" not in got

@@ -96,6 +96,23 @@ def test_secret_repositories(spark):
         assert got[40]["most_owners"] == 2 and got[40]["n_live"] == 0
 
 
+def test_repositories_are_told_apart(spark):
+    """Null, empty and composed names: four repositories of as many owners, and a slash makes no two alike."""
+    token = "see tok3nQ8zL0vXw2Rk9PmB"
+    data = [(1, token, "en", None), (2, token, None, "en"), (3, token, "c", "a/b"), (4, token, "b/c", "a")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string")
+    got = secret_scan.digest(secret_scan.scan(docs)).collect()
+    assert {(r["most_owners"], r["most_repositories"]) for r in got} == {(4, 4)}
+
+
+def test_spans_are_classed(spark):
+    wide, single, shared, live = "password=wide12345678", "password=single123456", "password=shared123456", "password=live12345678"
+    data = [(i, f"{wide} {single}", f"l{i}", "one") for i in range(4)] + [(10 + i, f"{wide} {shared}", "l", f"o{i}") for i in range(2)] + [(20, f"{live} tok3nQ8zL0vXw2Rk9PmB", "l", "two")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string")
+    got = {r["doc_id"]: r["classes"] for r in secret_scan.digest(secret_scan.scan(docs)).collect()}
+    assert got[0] == "assign:0:21:wide,assign:22:43:single" and got[10] == "assign:0:21:wide,assign:22:43:shared" and got[20] == "assign:0:21:live,live:22:42:live"
+
+
 def test_secrets_of_a_key_dump(spark):
     """Many secrets in one text, some overlapping, some bare: time grows with the text, and masking equals the plain way."""
     import time

@@ -131,3 +131,39 @@ def test_any_bytes_are_taken():
             warc.derivatives(start + raw)
             list(warc.members(io.BytesIO(start + raw)))
     assert re.match("<urn:uuid:", warc.derivatives(b"")[0][1])
+
+
+def test_all_members_of_a_body_are_read():
+    whole = gzip.compress(b"one ") + gzip.compress(b"two")
+    lines = ["Content-Encoding: gzip"]
+    assert warc.body_of(lines, whole) == (b"one two", "")
+    assert warc.body_of(lines, whole + b"\0\0") == (b"one two", "")
+    text, broken = warc.body_of(lines, whole[:-9])
+    assert b"one two".startswith(text) and text.startswith(b"one") and broken == "gzip (breaks off)"
+    assert warc.body_of(lines, b"\x1f\x8bnothing of the kind") == (b"\x1f\x8bnothing of the kind", "gzip")
+    assert warc.body_of(["Content-Encoding: deflate"], zlib.compress(b"q")) == (b"q", "")
+
+
+def test_a_body_that_breaks_off_is_read_and_named():
+    body = gzip.compress(b"<p>" + b"words of a page " * 500)[:-12]
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nContent-Encoding: gzip\r\n\r\n" + body
+    raw = warc.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>")], block)
+    made = {x[0]: x[-1] for x in warc.derivatives(raw)}
+    assert b"undecoded: gzip (breaks off)" in made["metadata"] and b"words of a page" in made["conversion"]
+
+
+def test_links_come_from_the_scan():
+    page = '<title>One &amp;\n two</title><title>other</title><!-- <a href="no">x</a> --><script>"<a href=no2>"</script><a data-x="href=no3" href="yes&amp;1">y</a><a name=top>z</a><A HREF=two>'
+    raw = warc.response("1", "http://x", page)
+    [meta] = [x[-1].decode() for x in warc.derivatives(raw) if x[0] == "metadata"]
+    assert [v for k, _, v in (x.partition(": ") for x in meta.split("\r\n")) if k == "outlink"] == ["yes&1", "two"]
+    assert "title: One & two\r\n" in meta
+
+
+def test_long_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<a " * 350_000, "<title" * 150_000, "<a href=x>" * 100_000, "<table>" + "<div>" * 100_000 + "</p>" * 100_000):
+        warc.derivatives(warc.response("1", "u", page))
+    assert time.time() - began < 30
