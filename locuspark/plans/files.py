@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locuspark.operators import copynumber, evaluate, reads, typing
-from locuspark.plans.engine import GENE, alignment_text, catalogue
+from locuspark.operators import copynumber, evaluate, phased, reads, typing
+from locuspark.plans.engine import GENE, VARIANTS, alignment_text, catalogue
 from locuspark.plans.registry import query, rounded
 from locuspark.sources import alignments, bam, results, sinks
 from locuspark.storage import new_folder
@@ -290,3 +290,38 @@ def diploid_bounds(t):
     spark = t("region").sparkSession
     found = copynumber.diploid_setting(spark.createDataFrame([(30.0, 4.0)], "mean double, sd double"))
     return spark.createDataFrame([(found.bins, found.lower, found.upper)], "bins int, lower double, upper double")
+
+
+# A gene for each supplier, with the engine's ten variants and a deletion; its two haplotypes show an allele each, the first
+# with one variant wrong.  Some rows aren't phased, some have several bases, some are a base and a deletion in one.
+_GONE = (len(VARIANTS), 30, 2, (1, 3, 5))
+_SITES = [(i, p, v, held) for i, p, v, held, _ in VARIANTS]
+
+
+def _phased_rows(t) -> DataFrame:
+    k = F.col("s_suppkey")
+    shows = lambda i, held, h: (F.array_contains(F.array(*map(F.lit, held)), (k * (h + 1) + h) % 6) if held else F.lit(False)) != F.lit(h == 0) & (k % 11 == i)
+    row = lambda pos, ref, alt, i, held: F.struct(F.lit(pos).alias("pos"), ref.alias("ref"), alt.alias("alt"), F.concat(shows(i, held, 0).cast("int"), F.when((k + i) % 13 == 0, "/").otherwise("|"), shows(i, held, 1).cast("int")).alias("gt"))
+    rows = [row(p + 1, F.when(k % 4 == 0, "AA").otherwise("A"), F.when(k % 4 == 0, f"{v}A").otherwise(v), i, held) for i, p, v, held in _SITES]
+    i, p, size, held = _GONE
+    rows.append(row(p, F.repeat(F.lit("A"), F.lit(size + 1)), F.when(k % 3 == 0, "G").otherwise("A"), i, list(held)))
+    return t("supplier").select(F.concat(F.lit("G"), "s_suppkey").alias("gene"), F.inline(F.array(*rows)))
+
+
+@query(f"""WITH h(i, j) AS (VALUES {", ".join(f"({i}, {j})" for i, *_, held in [*_SITES, _GONE] for j in held)}), hap(h) AS (VALUES (0), (1)), site AS (SELECT unnest(range({len(_SITES) + 1})) AS i),
+shown AS (SELECT s_suppkey AS k, h, i FROM supplier, hap, site WHERE (s_suppkey + i) % 13 <> 0 AND (EXISTS (SELECT 1 FROM h x WHERE x.i = site.i AND x.j = (s_suppkey * (hap.h + 1) + hap.h) % 6) <> (hap.h = 0 AND s_suppkey % 11 = site.i))),
+al AS (SELECT j, count(*) AS c FROM h GROUP BY j), n AS (SELECT k, h, count(*) AS n FROM shown GROUP BY ALL), b AS (SELECT k, shown.h, j, count(*) AS b FROM shown JOIN h USING (i) GROUP BY ALL),
+d AS (SELECT s_suppkey AS k, hap.h, al.j, coalesce(n, 0) + c - 2 * coalesce(b, 0) AS distance FROM supplier, hap, al LEFT JOIN n ON n.k = s_suppkey AND n.h = hap.h LEFT JOIN b ON b.k = s_suppkey AND b.h = hap.h AND b.j = al.j)
+SELECT 'G' || k AS chrom, h AS haplotype, 'G' || k || '*00' || j AS allele, distance FROM d QUALIFY row_number() OVER (PARTITION BY k, h ORDER BY distance, j) = 1""")
+def phased_typing(t):
+    rows = _phased_rows(t)
+    spark = rows.sparkSession
+    lines = rows.select(F.concat_ws("\t", "gene", "pos", F.lit("."), "ref", "alt", F.lit("50"), F.lit("PASS"), F.lit("."), F.lit("GT"), "gt").alias("value"))
+    heads = spark.range(1).select(F.lit("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1").alias("value"))
+    vcf = alignments.read_vcf(spark, _text(lines.union(heads), "phased"))
+    known = [F.struct(F.lit(p).alias("pos"), F.lit("single").alias("typ"), F.lit(v).alias("val"), F.lit(None).cast("int").alias("del_len"), F.lit(f"hv{i}").alias("id"), F.array(*map(F.lit, held)).cast("array<int>").alias("held")) for i, p, v, held in _SITES]
+    i, p, size, held = _GONE
+    known.append(F.struct(F.lit(p).alias("pos"), F.lit("deletion").alias("typ"), F.lit(None).cast("string").alias("val"), F.lit(size).alias("del_len"), F.lit(f"hv{i}").alias("id"), F.array(*map(F.lit, held)).alias("held")))
+    table = t("supplier").select(F.concat(F.lit("G"), "s_suppkey").alias("ref"), F.inline(F.array(*known)))
+    table = table.withColumn("allele", F.transform("held", lambda j: F.concat(F.col("ref"), F.lit("*00"), j.cast("string")))).drop("held")
+    return phased.phased_typing(vcf, table).select("chrom", "haplotype", "allele", "distance")
