@@ -30,17 +30,32 @@ def depth_statistics(depths: DataFrame, by: list[str], value: str) -> DataFrame:
     return plain.join(found, on, "left").drop(*(f"_{b}" for b in by))
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+#: Distinct values of a group that one aggregation buffer takes.
+BUFFER_VALUES = 1_000_000
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, float], *, most: int = BUFFER_VALUES) -> DataFrame:
     """by and a column for each wanted quantile, with linear interpolation; groups without a value are left out.
 
-    Whole numbers, as depths are, have few distinct values, which the built-in aggregate counts in one buffer.  Other
-    values are counted, ranged by (group, value) over all tasks and numbered there, so that a group of any size is never
-    gathered: a quantile is the values at two ranks.
+    The built-in aggregate holds a group's distinct values in one buffer.  Whole numbers, as depths are, have few, and so
+    have tables of at most ``most`` rows.  Of other tables values are counted first, and only groups with more distinct
+    ones go by ranges, where no task holds a group.  All ways are exact.
     """
-    if isinstance(df.schema[value].dataType, IntegralType):
-        return df.filter(F.col(value).isNotNull()).groupBy(*by).agg(*(F.percentile(value, q).alias(n) for n, q in wanted.items()))
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.filter(F.col(value).isNotNull())
+    if isinstance(df.schema[value].dataType, IntegralType) or rows.count() <= most:
+        return rows.groupBy(*by).agg(*(F.percentile(value, q).alias(n) for n, q in wanted.items()))
+    counts = written(rows.groupBy(*by, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")), "quantiles")
+    large = written(counts.groupBy(*by).agg(F.count("*").alias("_d")).filter(F.col("_d") > most).select(*(F.col(c).alias(f"_l{i}") for i, c in enumerate(by))), "quantiles")
+    in_buffers = lambda part: part.groupBy(*by).agg(*(F.percentile("_v", q, F.col("_c")).alias(n) for n, q in wanted.items()))
+    if large.isEmpty():
+        return in_buffers(counts)
+    on = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_l{i}")) for i, c in enumerate(by)), F.lit(True))
+    return in_buffers(counts.join(large, on, "left_anti")).unionByName(_ranged_quantiles(counts.join(large, on, "left_semi"), by, wanted))
+
+
+def _ranged_quantiles(counts: DataFrame, by: list[str], wanted: dict[str, float]) -> DataFrame:
+    """From by, _v and _c: values are ranged by (group, value) over all tasks and numbered there; a quantile is two ranks' values."""
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Written, since ranges are sampled: both uses below must see the same ones.
     ranged = written(counts.repartitionByRange(parts, *by, "_v").select("*", F.spark_partition_id().alias("_p")), "quantiles")
     part = ranged.groupBy(*by, "_p").agg(F.sum("_c").alias("_n"))  # a row for each group and range that it reaches

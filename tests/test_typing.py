@@ -85,3 +85,21 @@ def test_lengths_are_joined(spark):
         assert got[s, g] == sorted(plain_typing.em_call(mates[s, g], carriers, cn, lengths))
     with pytest.raises(Exception, match="no length of"):
         typing.type_alleles(*args, "em", lengths=spark.createDataFrame(list(lengths.items())[1:], "allele string, length int")).collect()
+
+
+def test_quantiles_of_groups_of_any_size(spark):
+    """In one buffer, counted first, and by ranges where a group has more distinct values: the same figures."""
+    import numpy as np
+
+    from locuspark.operators import series
+
+    rng = random.Random(2)
+    rows = [(g, rng.random() if rng.random() < 0.7 else float(rng.randint(0, 3))) for g, n in (("a", 300), ("b", 20), (None, 40), ("c", 1)) for _ in range(n)] + [("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    wanted = {"q": 0.75, "m": 0.5, "low": 0.1}
+    want = {g: tuple(float(np.quantile([v for x, v in rows if x == g and v is not None], q)) for q in wanted.values()) for g in ("a", "b", "c", None)}
+    for most in (series.BUFFER_VALUES, 250, 30, 0):
+        got = {r["g"]: (r["q"], r["m"], r["low"]) for r in series.quantiles(df, ["g"], "v", wanted, most=most).collect()}
+        assert set(got) == set(want)
+        for g in want:
+            assert np.allclose(got[g], want[g])
