@@ -122,36 +122,47 @@ def significant_regions(depths: DataFrame, by: list[str], pos: str, depth: str,
     return found.withColumn("mean_depth", F.col("_sum") / F.col("length")).filter(F.col("mean_depth") >= min_depth).drop("_sum", "island")
 
 
-def legacy_regions(depths: DataFrame, by: list[str], pos: str, depth: str, *, min_depth: float = 20, min_length: int = 2000, max_gap: int = 500) -> DataFrame:
-    """As significant_regions, but the position that breaks an island belongs to none, as in the older tool.
+def legacy_islands(rows: DataFrame, by: list[str], pos: str, tie: str, max_gap: float) -> DataFrame:
+    """rows of islands with island (from 1), by the older rule: the row that breaks an island off belongs to none.
 
-    That rule depends on the rows before in order, so each group is folded in sequence.
+    The row after a breaking one begins an island, whatever the gap.  So of rows one after the other that all lie beyond a
+    gap, the first breaks off, the second begins, the third breaks off again, and any row within a gap lies in an island:
+    a row's part follows from its number in such a run.  Rows are dealt by ranges; a range only hands on its last place,
+    how many rows beyond gaps it ends with, and how many islands it begins, so a group of any size is split.
     """
-    import pandas as pd
-
-    kinds = {f.name: f.dataType.simpleString() for f in depths.schema.fields}
-    schema = ", ".join([*(f"{b} {kinds[b]}" for b in by), "first bigint, last bigint, length bigint, mean_depth double"])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, first, last, total, fresh = [], None, None, 0.0, True
-        key = [pdf[b].iloc[0] for b in by]
-
-        def flush() -> None:
-            if first is not None and last - first >= min_length and total / (last - first) >= min_depth:
-                rows.append((*key, first, last, last - first, total / (last - first)))
-
-        for p, d in pdf.sort_values([pos, depth])[[pos, depth]].itertuples(index=False):
-            if fresh:
-                first, last, total, fresh = p, p, d, False
-            elif p - last < max_gap:
-                last, total = p, total + d
-            else:
-                flush()
-                first, fresh = None, True
-        flush()
-        return pd.DataFrame(rows, columns=[*by, "first", "last", "length", "mean_depth"])
-
-    return depths.groupBy(*by).applyInPandas(fold, schema)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = written(rows.repartitionByRange(parts, *by, pos, tie).select("*", F.spark_partition_id().alias("_p")), "islands")
+    inside, before = W.partitionBy(*by, "_p").orderBy(pos, tie), W.partitionBy(*by).orderBy("_p")
+    earlier = before.rowsBetween(W.unboundedPreceding, -1)
+    ends = ranged.groupBy(*by, "_p").agg(F.max(pos).alias("_end")).select(*by, "_p", F.lag("_end").over(before).alias("_end"))
+    on = lambda a, b: reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in [*by, "_p"]))
+    met = lambda table, more: table.alias("a").join(more.alias("b"), on("a", "b")).select("a.*", *(f"b.{c}" for c in more.columns if c not in [*by, "_p"]))
+    last = F.coalesce(F.lag(pos).over(inside), F.col("_end"))
+    number = F.row_number().over(inside)
+    marked = met(ranged, ends).withColumn("_first", last.isNull()).withColumn("_far", F.coalesce(F.col(pos) - last >= max_gap, F.lit(False))).withColumn("_n", number)
+    # _run: a row's number in its run of rows beyond gaps, of those in the range; _whole: the run goes on before the range.
+    inside = W.partitionBy(*by, "_p").orderBy("_n")  # rows that are alike keep their order
+    near = F.max(F.when(~F.col("_far"), F.col("_n"))).over(inside)
+    marked = written(marked.withColumn("_run", F.col("_n") - F.coalesce(near, F.lit(0))).withColumn("_whole", near.isNull()).drop("_end"), "islands")
+    tails = marked.groupBy(*by, "_p").agg(F.max("_n").alias("_rows"), F.max_by("_run", "_n").alias("_run"), F.bool_and("_far").alias("_all"))
+    upto = F.sum("_rows").over(before)
+    tails = tails.withColumn("_base", F.when(~F.col("_all"), upto - F.col("_run"))).withColumn("_sum", upto)
+    carried = F.coalesce(F.lag("_sum").over(before) - F.coalesce(F.last("_base", ignorenulls=True).over(earlier), F.lit(0)), F.lit(0))
+    rows = met(marked, tails.select(*by, "_p", carried.alias("_carried")))
+    rows = rows.withColumn("_run", F.col("_run") + F.when(F.col("_whole"), F.col("_carried")).otherwise(0))
+    # A row is in an island where its number in the run is even; 0 is a row within a gap.
+    previous = F.when(F.col("_far"), F.col("_run") - 1).otherwise(F.coalesce(F.lag("_run").over(inside), F.col("_carried")))
+    rows = rows.withColumn("_opens", (F.col("_run") % 2 == 0) & (F.col("_first") | (previous % 2 == 1)))
+    rows = written(rows.filter("_run % 2 = 0").withColumn("_k", F.sum(F.col("_opens").cast("int")).over(inside)), "islands")
+    opened = rows.groupBy(*by, "_p").agg(F.max("_k").alias("_k")).select(*by, "_p", F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_offset"))
+    return met(rows, opened).withColumn("island", F.col("_k") + F.col("_offset")).drop("_p", "_first", "_far", "_n", "_run", "_whole", "_carried", "_opens", "_k", "_offset")
+
+
+def legacy_regions(depths: DataFrame, by: list[str], pos: str, depth: str, *, min_depth: float = 20, min_length: int = 2000, max_gap: int = 500) -> DataFrame:
+    """As significant_regions, but the position that breaks an island belongs to none, as in the older tool."""
+    found = legacy_islands(depths.select(*by, pos, depth), by, pos, depth, max_gap).groupBy(*by, "island").agg(F.min(pos).cast("bigint").alias("first"), F.max(pos).cast("bigint").alias("last"), F.sum(depth).cast("double").alias("_sum"))
+    found = found.withColumn("length", F.col("last") - F.col("first")).filter((F.col("length") >= min_length) & (F.col("length") > 0))
+    return found.withColumn("mean_depth", F.col("_sum") / F.col("length")).filter(F.col("mean_depth") >= min_depth).drop("_sum", "island")
 
 
 def merged_intervals(df: DataFrame, by: list[str], start: str, end: str, *, flank: int = 0, low: Column | None = None, high: Column | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locuspark.operators import novel, reads, typing
+from locuspark.operators import component_votes, novel, reads, typing
 from locuspark.plans import pipeline
 from locuspark.plans.registry import query, rounded
 from locuspark.sources import alignments
@@ -193,3 +193,20 @@ def novel_registry(t):
         found = reads.with_ids(reads.long_variants(reads.decoded(reads.mates(reads.read_pairs(own)))), catalogue(records.sparkSession))
         known = written(novel.registry(written(found, "read-variants"), known), "registry")
     return novel.cohort_variants(known).select("variant_id", "pos", "val", "samples", "n", "most")
+
+
+# The graph of what mates tell one after the other; its cycles are found by leaving out one edge at a time.
+@query(f"""{_READS.replace("WITH ", "WITH RECURSIVE ", 1)}, nodes AS (SELECT sample, event_id, mate, i, sign, 'hv' || i || '|' || sign AS node, lead('hv' || i || '|' || sign) OVER (PARTITION BY event_id, mate ORDER BY i) AS next FROM ev),
+edges AS (SELECT DISTINCT sample, least(node, next) AS u, greatest(node, next) AS v FROM nodes WHERE next IS NOT NULL),
+arcs AS (SELECT sample, u, v, u || v AS e FROM edges UNION ALL SELECT sample, v, u, u || v FROM edges),
+reach AS (SELECT sample, u || v AS e, u AS node FROM edges UNION SELECT r.sample, r.e, a.v FROM reach r JOIN arcs a ON a.sample = r.sample AND a.u = r.node AND a.e <> r.e),
+cyc AS (SELECT DISTINCT edges.sample, unnest([edges.u, edges.v]) AS node FROM edges JOIN reach ON reach.sample = edges.sample AND reach.e = edges.u || edges.v AND reach.node = edges.v),
+near(sample, start, reached) AS (SELECT sample, node, node FROM cyc UNION SELECT n.sample, n.start, a.v FROM near n JOIN arcs a ON a.sample = n.sample AND a.u = n.reached JOIN cyc ON cyc.sample = a.sample AND cyc.node = a.v),
+comp AS (SELECT sample, start AS node, min(reached) AS component FROM near GROUP BY sample, start), al AS (SELECT DISTINCT j FROM h),
+k AS (SELECT sample, component, j, sum(CASE WHEN sign = (i IN (SELECT i FROM h WHERE h.j = al.j)) THEN 0 ELSE 1 END) AS k FROM nodes JOIN comp USING (sample, node), al GROUP BY ALL)
+SELECT sample, 'G*00' || j AS allele, count(*) AS votes FROM (SELECT *, min(k) OVER (PARTITION BY sample, component) AS least FROM k) WHERE k = least GROUP BY ALL""")
+def component_typing(t):
+    records = _records(t)
+    known = catalogue(records.sparkSession)
+    _, found = reads.decode_reads(records, known)
+    return component_votes.votes(found, known, copies=1).select("sample", "allele", "votes")
