@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from locuspark.functions.alleles import allele_field, digits, gene_name, is_fusion, merged_gene, without_exon_suffix
 from locuspark.functions.scalars import f1, has_flag, ratio
+from locuspark.storage import written
 
 TIERS = (7, 5, 3)
 
@@ -61,37 +64,53 @@ def resolution_accuracy(matches: DataFrame, *, by: str = "method") -> DataFrame:
     return out.filter(F.col(by).isNotNull()).select(by, "gene", "total", "fp", *(ratio(F.col(f"right{r}"), F.col("total")).alias(f"accuracy{r}") for r in right), (F.col("total") - F.col("right0")).alias("fn"))
 
 
+def _in_order(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Of pairs (keys, t, c) those that are made when truths, in order, take their first free call.
+
+    A truth and a call that are each other's first are such a pair, whatever the rest; each round makes all of these at
+    once, over all groups, and takes their truths and calls out.
+    """
+    made: list[DataFrame] = []
+    pairs = written(pairs, "match")
+    while not pairs.isEmpty():
+        first = lambda x, by: F.min(x).over(W.partitionBy(*keys, by)) == F.col(x)
+        now = written(pairs.withColumn("_m", first("c", "t") & first("t", "c")).filter("_m").drop("_m"), "match")
+        made.append(now)
+        left = pairs.join(now.select(*keys, "t"), [*keys, "t"], "left_anti").join(now.select(*keys, "c"), [*keys, "c"], "left_anti")
+        pairs = written(left, "match")
+    return reduce(DataFrame.unionByName, made) if made else pairs
+
+
 def greedy_match(truth: DataFrame, called: DataFrame, n: int, *, sample: str = "sample") -> DataFrame:
     """sample, gene, truth, called, match at n digits: truths in order take the first fitting call, in four passes.
 
-    Passes: both have n digits; only the call has; only the truth has; neither has.  Passes two and three match prefixes
-    and depend on order, so each (sample, gene), a handful of names, is one small group.
+    Passes: both have n digits, and these agree; only the call has, and begins with the truth's; only the truth has; neither
+    has, and both are the same.  Names are in order of digits and then of themselves.
     """
-    def fits(step: int, t: str, c: str) -> bool:
-        long_t, long_c = len(t) >= n, len(c) >= n
-        if step == 0:
-            return long_t and long_c and t[:n] == c[:n]
-        if step == 1:
-            return long_c and not long_t and bool(t) and c.startswith(t)
-        if step == 2:
-            return long_t and not long_c and bool(c) and t.startswith(c)
-        return not long_t and not long_c and t == c
-
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        truths = sorted(zip(left["digits"], left["allele"], strict=True)) if len(left) else []
-        calls = sorted(zip(right["digits"], right["allele"], strict=True)) if len(right) else []
-        free_t, free_c, rows = dict(enumerate(truths)), dict(enumerate(calls)), []
-        for step in range(4):
-            for i, (t, name) in list(free_t.items()):
-                j = next((j for j, (c, _) in free_c.items() if fits(step, t, c)), None)
-                if j is not None:
-                    rows.append((*key, name, free_c.pop(j)[1], "TP"))
-                    del free_t[i]
-        rows += [(*key, name, None, "FN") for _, name in free_t.values()] + [(*key, None, name, "FP") for _, name in free_c.values()]
-        return pd.DataFrame(rows, columns=["sample", "gene", "truth", "called", "match"])
-
+    keys, size = ["sample", "gene"], F.lit(n)
+    order = W.partitionBy(*keys).orderBy("digits", "allele")
     side = lambda df: df.select(F.col(sample).alias("sample"), gene_name(F.col("allele")).alias("gene"), "allele", digits(allele_field(F.col("allele"), 7)).alias("digits"))
-    return side(truth).groupBy("sample", "gene").cogroup(side(called).groupBy("sample", "gene")).applyInPandas(run, "sample string, gene string, truth string, called string, match string")
+    numbered = lambda df, i: written(side(df).select(*keys, F.row_number().over(order).alias(i), F.col("allele").alias(f"{i}_allele"), F.col("digits").alias(f"{i}_digits")), "match")
+    truths, calls = numbered(truth, "t"), numbered(called, "c")
+    t, c = F.col("t_digits"), F.col("c_digits")
+    long_t, long_c = F.length(t) >= n, F.length(c) >= n
+    fits = [
+        long_t & long_c & (F.substring(t, F.lit(1), size) == F.substring(c, F.lit(1), size)),
+        long_c & ~long_t & (t != "") & F.startswith(c, t),
+        long_t & ~long_c & (c != "") & F.startswith(t, c),
+        ~long_t & ~long_c & (t == c),
+    ]
+    free_t, free_c, made = truths, calls, []
+    for fit in fits:
+        now = written(_in_order(free_t.join(free_c, keys).filter(fit).select(*keys, "t", "c"), keys), "matched")
+        made.append(now)
+        free_t, free_c = free_t.join(now.select(*keys, "t"), [*keys, "t"], "left_anti"), free_c.join(now.select(*keys, "c"), [*keys, "c"], "left_anti")
+    pairs = reduce(DataFrame.unionByName, made).join(truths, [*keys, "t"]).join(calls, [*keys, "c"])
+    none = F.lit(None).cast("string")
+    return (
+        pairs.select(*keys, F.col("t_allele").alias("truth"), F.col("c_allele").alias("called"), F.lit("TP").alias("match"))
+        .union(free_t.select(*keys, "t_allele", none, F.lit("FN"))).union(free_c.select(*keys, none, "c_allele", F.lit("FP")))
+    )
 
 
 def precision_recall(matches: DataFrame, by: list[str]) -> DataFrame:
