@@ -43,6 +43,8 @@ STOP_UNKNOWN = 0.1
 OPEN_WEIGHT, LEAST_SHARE, OUTVOTES = 0.1, 0.25, 3.0
 #: So many neighbouring blocks that are links and nothing else are a menu.
 MENU_RUN = 3
+#: Open elements that are looked at one by one before their places by name are.
+NEAR = 8
 
 # Elements.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -93,6 +95,7 @@ _CLOSES = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in RAW}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|lang|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _HREF = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
+_FIRST_HREF = re.compile(r'\s+href="([^"]*)"', re.I)
 _PIECES = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -162,6 +165,8 @@ class Marks:
 
 def target(attributes: str) -> str | None:
     """The first href of a tag's attributes, None without one."""
+    if m := _FIRST_HREF.match(attributes):
+        return html.unescape(m[1]) if "&" in m[1] else m[1]
     return next((html.unescape("".join(values)) for name, *values in _HREF.findall(attributes) if name.lower() == "href"), None)
 
 
@@ -197,20 +202,26 @@ def blocks(page: str, marks: Marks | None = None) -> tuple[list[Block], str]:
     def pop(i: int) -> None:
         """Closes the open elements from the i-th on; a link ends with the element around it."""
         nonlocal links
-        for name, node in reversed(stack[i:]):
+        while len(stack) > i:
+            name, node = stack.pop()
             where[name].pop()
             if name == "a":
                 links = 0
-            if node.kind in depth:
-                depth[node.kind] -= 1
-            elif node.kind:
-                marked[node.kind].pop()
-        del stack[i:]
+            if node is not PLAIN:
+                if node.kind in depth:
+                    depth[node.kind] -= 1
+                elif node.kind:
+                    marked[node.kind].pop()
 
     def innermost(names: frozenset[str]) -> int:
         return max((where[n][-1] for n in names if where.get(n)), default=-1)
 
     def end(closes: frozenset[str], scope: frozenset[str]) -> None:
+        for i in range(len(stack) - 1, max(-1, len(stack) - 1 - NEAR), -1):
+            if stack[i][0] in closes:
+                return pop(i)
+            if stack[i][0] in scope:
+                return None
         i = innermost(closes)
         if i >= 0 and i >= innermost(scope):
             pop(i)
@@ -241,6 +252,9 @@ def blocks(page: str, marks: Marks | None = None) -> tuple[list[Block], str]:
             if marks is not None and led is not None:
                 marks.links.append(" ".join(led.split()))
         if closing:
+            if stack and stack[-1][0] == name:
+                pop(len(stack) - 1)
+                continue
             i = where[name][-1] if where.get(name) else -1
             if i >= 0 and not (name in IN_TABLE and i < innermost(TABLE)):
                 pop(i)
