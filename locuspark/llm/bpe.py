@@ -18,12 +18,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Most words remembered by a Python worker (about 120 bytes each).
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 100_000
 #: Bytes of text whose words are told apart at once, and words in a call of the library.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 CALL_WORDS = 50_000
 #: Rows of a batch that are encoded at once.
-ENCODE_ROWS = 10_000
+ENCODE_ROWS = 4000
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 # Letters of Latin script, which are letters to every version of the library.
 _LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
