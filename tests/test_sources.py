@@ -84,3 +84,14 @@ def test_sinks(spark, tmp_path):
     rec = spark.createDataFrame([("r", 16, "AAC", "ABC")], "qname string, flag int, seq string, qual string")
     sinks.write_fastq(rec, f"file://{tmp_path}/f")
     assert [r["value"] for r in spark.read.text(f"file://{tmp_path}/f").collect()] == ["@r", "GTT", "+", "CBA"]
+
+
+def test_copies_of_many_samples(spark, tmp_path):
+    rows = [(f"s{i}", g, i % 3 + 1) for i in range(7) for g in ("A", "B") if (i, g) != (3, "B")] + [("s\t8", "A", 2), ("s0", "A", 4)]
+    cn = spark.createDataFrame(rows, "name string, gene string, cn int")
+    sinks.write_copy_matrix(cn, f"file://{tmp_path}/m", block=3)
+    heads = [len(f.read_text().splitlines()[0].split("\t")) for f in tmp_path.glob("m/*/*.txt")]
+    assert len(heads) == 3 and max(heads) <= 5
+    got = {(r["sample"], r["gene"]): r["cn"] for r in results.read_copies_of(spark, f"file://{tmp_path}/m", "cn").collect()}
+    means = {(s, g): [c for t, h, c in rows if (t, h) == (s, g)] for s in {r[0] for r in rows} for g in "AB"}
+    assert got == {k: sum(v) // len(v) if v else 0 for k, v in means.items()}
