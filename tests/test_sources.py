@@ -95,3 +95,14 @@ def test_copies_of_many_samples(spark, tmp_path):
     got = {(r["sample"], r["gene"]): r["cn"] for r in results.read_copies_of(spark, f"file://{tmp_path}/m", "cn").collect()}
     means = {(s, g): [c for t, h, c in rows if (t, h) == (s, g)] for s in {r[0] for r in rows} for g in "AB"}
     assert got == {k: sum(v) // len(v) if v else 0 for k, v in means.items()}
+
+
+def test_saved_reads_in_lines(spark, tmp_path):
+    reads = spark.createDataFrame([(s, f"l{i}", 1, ["hv1"]) for s in ("00", "01") for i in range(50)], "sample string, l_sam string, multiple int, lpv array<string>")
+    known = spark.createDataFrame([("00", 3, "hv1", ["a"]), ("01", 4, "hv2", [])], "sample string, pos int, id string, allele array<string>")
+    sinks.write_reads_and_variants(reads, known, f"file://{tmp_path}/saved", keys=["sample"])
+    texts = [f.read_text() for f in tmp_path.glob("saved/*/*.json")]
+    assert sum(t.count("\n") for t in texts) == 102  # no line holds more than one read or variant
+    found, variants = alignments.read_reads_and_variants(spark, f"file://{tmp_path}/saved", lines=True)
+    assert sorted((r["sample"], r["l_sam"], r["lpv"][0]) for r in found.collect()) == sorted((s, f"l{i}", "hv1") for s in ("00", "01") for i in range(50))
+    assert sorted((r["sample"], r["id"], r["allele"]) for r in variants.collect()) == [("00", "hv1", ["a"]), ("01", "hv2", [])]
