@@ -5,7 +5,7 @@ import plain_typing
 import pytest
 from pyspark.sql import functions as F
 
-from locuspark.operators import alignment, copynumber, evaluate, novel, reads, search, series, typing
+from locuspark.operators import alignment, copynumber, evaluate, novel, reads, search, series, sets, typing
 from locuspark.plans import pipeline
 from locuspark.sources import alignments
 from locuspark.streaming import windows
@@ -272,6 +272,14 @@ def test_tier_match(spark):
     assert (row["MATCH7"], row["MATCH3"], row["GENE"], row["FN"], row["FP"]) == (1, 1, 1, 1, 1)
 
 
+def test_tier_match_in_parts_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(sets.dealt, "__kwdefaults__", {"rows": 10})
+    rows = spark.range(200).selectExpr("cast(id % 40 as string) as sample", "concat('G*00', id % 7) as allele")
+    plan = evaluate.tier_match(rows, rows)._jdf.queryExecution().toString()
+    assert "41), REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
+    assert evaluate.tier_match(rows, rows).filter("match <> 'MATCH7'").isEmpty()
+
+
 def test_greedy_match(spark):
     t = spark.createDataFrame([("s", "G*00101"), ("s", "G*002"), ("s", "G*00301")], "sample string, allele string")
     c = spark.createDataFrame([("s", "G*0010105"), ("s", "G*00205"), ("s", "G*004")], "sample string, allele string")
