@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from locuspark.operators.sets import dealt
 from locuspark.storage import written
 
 
@@ -213,9 +214,9 @@ def step_thresholds(df: DataFrame, by: list[str], ratio: str, level: str) -> Dat
 
 
 def runs(df: DataFrame, by: list[str], pos: str, same: list[str]) -> DataFrame:
-    """by, same, first, length of runs of adjacent positions with equal values."""
+    """by, same, first, length of runs of adjacent positions with equal values; a position that comes twice counts once."""
     w = W.partitionBy(*by, *same).orderBy(pos)
-    return df.withColumn("_g", F.col(pos) - F.row_number().over(w)).groupBy(*by, *same, "_g").agg(F.min(pos).alias("first"), F.count("*").alias("length")).drop("_g")
+    return dealt(df.select(*by, *same, pos), [*by, *same]).distinct().withColumn("_g", F.col(pos) - F.row_number().over(w)).groupBy(*by, *same, "_g").agg(F.min(pos).alias("first"), F.count("*").alias("length")).drop("_g")
 
 
 def carried_header(df: DataFrame, by: list[str], order: str, header: str) -> DataFrame:

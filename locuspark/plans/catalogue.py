@@ -350,7 +350,7 @@ def coverage(t):
 @query("SELECT l_suppkey, l_returnflag, min(d) AS first, count(*) AS length FROM (SELECT *, d - row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY d) AS g FROM (SELECT DISTINCT l_suppkey, l_returnflag, CAST(CAST(l_shipdate AS DATE) - DATE '1990-01-01' AS INTEGER) AS d FROM lineitem)) GROUP BY l_suppkey, l_returnflag, g")
 def adjacent_runs(t):
     day = F.date_diff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date")).alias("d")
-    return series.runs(t("lineitem").select("l_suppkey", "l_returnflag", day).distinct(), ["l_suppkey"], "d", ["l_returnflag"])
+    return series.runs(t("lineitem").select("l_suppkey", "l_returnflag", day), ["l_suppkey"], "d", ["l_returnflag"])
 
 
 @query("SELECT user_id, event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS head FROM events")

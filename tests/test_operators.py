@@ -280,6 +280,14 @@ def test_tier_match_in_parts_by_rows(spark, monkeypatch):
     assert evaluate.tier_match(rows, rows).filter("match <> 'MATCH7'").isEmpty()
 
 
+def test_runs_in_parts_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(sets.dealt, "__kwdefaults__", {"rows": 10})
+    rows = spark.range(60).selectExpr("id % 3 as k", "id % 2 as f", "cast(id div 6 + if(id >= 30, 5, 0) as int) as p")
+    found = series.runs(rows.union(rows), ["k"], "p", ["f"])  # every position twice
+    assert "13), REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+    assert sorted((r["k"], r["f"], r["first"], r["length"]) for r in found.collect()) == [(k, f, a, 5) for k in range(3) for f in range(2) for a in (0, 10)]
+
+
 def test_greedy_match(spark):
     t = spark.createDataFrame([("s", "G*00101"), ("s", "G*002"), ("s", "G*00301")], "sample string, allele string")
     c = spark.createDataFrame([("s", "G*0010105"), ("s", "G*00205"), ("s", "G*004")], "sample string, allele string")
