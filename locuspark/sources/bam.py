@@ -19,6 +19,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +37,13 @@ BASES, OPERATIONS, QUERY_OPERATIONS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X", "MDN=X"
 EOF_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 DEEPEST, WINDOW_SHIFT = 5, 14
+#: Positions that an index can tell; a contig's reads may lie behind its length in the header.
+INDEXED = 1 << WINDOW_SHIFT + 3 * DEEPEST
 
 _NIBBLES = str.maketrans("0123456789abcdef", BASES)
 _QUALITIES = bytes(min(b + 33, 126) for b in range(256))
+_DIGITS = bytes(ord(f"{max(BASES.find(chr(b)), 0):x}") if chr(b) in BASES else ord("f") for b in range(256))
+_SCORES = bytes((b - 33) % 256 for b in range(256))
 _FIXED = struct.Struct("<iiBBHHHiiii")
 Region = tuple[str, int, int]
 
@@ -258,12 +263,26 @@ def _operations(raw: bytes, count: int, at: int) -> list[tuple[int, str]]:
     return [(x >> 4, OPERATIONS[x & 15]) for x in struct.unpack_from(f"<{count}I", raw, at)]
 
 
+@lru_cache(1 << 14)
+def _shape(packed: bytes) -> tuple[str, int]:
+    """The text and span of packed operations, of which most reads have the same few."""
+    ops = _operations(packed, len(packed) // 4, 0)
+    return "".join(f"{n}{c}" for n, c in ops) or "*", _span(ops)
+
+
+@lru_cache(1 << 14)
+def _packed(cigar: str) -> tuple[bytes, int, int]:
+    """Packed operations of text, their number and span."""
+    ops = [(int(n), c) for n, c in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+    return struct.pack(f"<{len(ops)}I", *(n << 4 | OPERATIONS.index(c) for n, c in ops)), len(ops), _span(ops)
+
+
 def as_row(raw: bytes, header: Header) -> tuple:
     """The columns of SCHEMA behind line."""
     ref, pos, name, mapq, _, ops, flag, length, mate, mate_pos, tlen = _FIXED.unpack_from(raw)
     p = 32 + name
     qname = raw[32 : p - 1].decode() or "*"
-    cigar = "".join(f"{n}{c}" for n, c in _operations(raw, ops, p)) or "*"
+    cigar, _ = _shape(raw[p : p + 4 * ops])
     p += 4 * ops
     seq = raw[p : p + (length + 1) // 2].hex().translate(_NIBBLES)[:length] or "*"
     p += (length + 1) // 2
@@ -274,8 +293,8 @@ def as_row(raw: bytes, header: Header) -> tuple:
     rnext = "*" if mate < 0 else "=" if mate == ref else header.names[mate]
     # Of a tag that is there twice the first counts for NH and the last for NM, as in text.
     first = {t[:2]: t[5:] for t in reversed(tags)}
-    number = lambda t: int(t) if t is not None and re.fullmatch(r"-?\d+", t) else None
-    nm = number({t[:2]: t[5:] for t in tags}.get("NM"))
+    number = lambda t: int(t) if t is not None and t.removeprefix("-").isdecimal() else None
+    nm = number(next((t[5:] for t in reversed(tags) if t[:2] == "NM"), None))
     nh = number(first.get("NH"))
     sam = "\t".join([qname, str(flag), rname, str(pos + 1), str(mapq), cigar, rnext, str(mate_pos + 1), str(tlen), seq, shown, *tags])
     return qname, flag, rname, pos + 1, mapq, cigar, rnext, mate_pos + 1, tlen, seq, shown, 1 if nh is None else nh, nm, first.get("MD", ""), first.get("Zs", ""), sam
@@ -283,14 +302,22 @@ def as_row(raw: bytes, header: Header) -> tuple:
 
 def as_record(sam: str, index: dict[str, int]) -> bytes:
     """A line of text as a record, with its length."""
+    return _encoded(sam, index)[0]
+
+
+def _encoded(sam: str, index: dict[str, int]) -> tuple[bytes, int, int, int, int]:
+    """A line of text as a record, with its contig, start, bin and span."""
     q, flag, rname, pos, mapq, cigar, rnext, pnext, tlen, seq, qual, *tags = sam.split("\t")
-    ops = [(int(n), c) for n, c in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+    ops, count, span = _packed(cigar)
     ref = index.get(rname, -1)
     mate = ref if rnext == "=" else index.get(rnext, -1)
     start = int(pos) - 1
     seq = "" if seq == "*" else seq.upper()
-    packed = bytes.fromhex("".join(f"{max(BASES.find(c), 0) if c in BASES else 15:x}" for c in seq) + "0" * (len(seq) % 2))
-    quality = b"\xff" * len(seq) if qual == "*" else bytes(b - 33 for b in qual.encode())
+    packed = bytes.fromhex(seq.encode("ascii", "replace").translate(_DIGITS).decode() + "0" * (len(seq) % 2))
+    scores = qual.encode()
+    if scores and min(scores) < 33:
+        raise ValueError(f"{q} has a quality below 0")
+    quality = b"\xff" * len(seq) if qual == "*" else scores.translate(_SCORES)
     out = bytearray()
     for t in tags:
         name, kind, value = t.split(":", 2)
@@ -307,9 +334,12 @@ def as_record(sam: str, index: dict[str, int]) -> bytes:
         else:
             out += kind.encode() + value.encode() + b"\0"
     name = q.encode() + b"\0"
-    fixed = _FIXED.pack(ref, start, len(name), int(mapq), bin_of(start, start + _span(ops)) if start >= 0 else 4680, len(ops), int(flag), len(seq), mate, int(pnext) - 1, int(tlen))
-    body = fixed + name + struct.pack(f"<{len(ops)}I", *(n << 4 | OPERATIONS.index(c) for n, c in ops)) + packed + quality + bytes(out)
-    return struct.pack("<i", len(body)) + body
+    if start + span > INDEXED:
+        raise ValueError(f"{q} ends at {start + span}: a BAI index holds positions up to {INDEXED}")
+    number = bin_of(start, start + span) if start >= 0 else 4680
+    fixed = _FIXED.pack(ref, start, len(name), int(mapq), number, count, int(flag), len(seq), mate, int(pnext) - 1, int(tlen))
+    body = b"".join((fixed, name, ops, packed, quality, out))
+    return struct.pack("<i", len(body)) + body, ref, start, number, span
 
 
 # --- index ----------------------------------------------------------------------------------------------------
@@ -455,7 +485,7 @@ class BamReader(DataSourceReader):
                 chunks = [(header.first, whole)]
             else:
                 refs = {n: i for i, n in enumerate(header.names)}
-                chunks = merged([c for n, a, b in self.regions if n in refs for c in index.chunks(refs[n], max(a, 0), header.lengths[refs[n]] if b < 0 else b)])
+                chunks = merged([c for n, a, b in self.regions if n in refs for c in index.chunks(refs[n], max(a, 0), INDEXED if b < 0 else min(b, INDEXED))])
             # Chunks are cut at records that the index knows, and gathered up to a split's bytes.
             cuts, held, size_held = index.starts(), [], 0
             for a, b in chunks:
@@ -480,7 +510,7 @@ class BamReader(DataSourceReader):
             ref, pos, name, _, _, ops = struct.unpack_from("<iiBBHH", raw)
             if ref not in regions:
                 return False
-            end = pos + _span(_operations(raw, ops, 32 + name))
+            end = pos + _shape(raw[32 + name : 32 + name + 4 * ops])[1]
             return any(pos < b and a < end for a, b in regions[ref])
 
         def wanted(raw: bytes) -> bool:
@@ -597,14 +627,13 @@ class ShardWriter:
             self.at += len(packed) + 26
 
     def add(self, sam: str) -> None:
-        record = as_record(sam, self.names)
+        record, ref, start, number, span = _encoded(sam, self.names)
         if len(self.held) + len(record) > BLOCK_BYTES:
             self._flush(0)  # so that most records begin and end in one block
         begin = self.at << 16 | len(self.held)
         self.held += record
         self._flush(BLOCK_BYTES)
         end = self.at << 16 | len(self.held)
-        ref, start, name, _, number, ops = struct.unpack_from("<iiBBHH", record, 4)
         if ref < 0:
             self.unplaced += 1
             return
@@ -613,7 +642,7 @@ class ShardWriter:
             chunks[-1] = (chunks[-1][0], end)
         else:
             chunks.append((begin, end))
-        linear, last = self.index.linear[ref], (max(start, 0) + _span(_operations(record, ops, 36 + name)) - 1) >> WINDOW_SHIFT
+        linear, last = self.index.linear[ref], (max(start, 0) + span - 1) >> WINDOW_SHIFT
         while len(linear) <= last:
             linear.append(begin)
 

@@ -154,3 +154,13 @@ def test_keys_have_folders(spark, text, tmp_path):
     bam.write_bam(rows, str(tmp_path), CONTIGS, shards=2, keys=["sample"])
     got = bam.read_bam(spark, str(tmp_path)).selectExpr("regexp_extract(file, 'sample=([^/]*)', 1) as sample", "qname").collect()
     assert sorted(map(tuple, got)) == sorted((f"s%20{i % 3}", x.split("\t")[0]) for i, x in enumerate(text[:300]))
+
+
+def test_reads_behind_the_length_that_a_header_tells(spark, tmp_path):
+    rows = ["\t".join([f"q{i}", "99", "chr1", str(i * 50_000 + 1), "60", "10M", "=", "1", "0", "*", "*"]) for i in range(1000)]
+    bam.write_bam(spark.createDataFrame([(x,) for x in rows], "sam string"), str(tmp_path), [("chr1", 10_000_000)], shards=2)
+    assert len(names(bam.read_bam_regions(spark, str(tmp_path), "chr1"))) == 1000
+    assert names(bam.read_bam_regions(spark, str(tmp_path), "chr1:40,000,001-40,100,000")) == ["q800", "q801"]
+    assert names(bam.read_bam_regions(spark, str(tmp_path), "chr1:1-10", decoys="chr1:40,000,001", loose=True)) == sorted(["q0", *(f"q{i}" for i in range(800, 1000))])
+    with pytest.raises(ValueError, match="BAI index holds"):
+        bam.as_record("\t".join(["far", "99", "chr1", str(bam.INDEXED), "60", "10M", "=", "1", "0", "*", "*"]), {"chr1": 0})
