@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import plain_typing
@@ -288,6 +289,27 @@ def test_runs_in_parts_by_rows(spark, monkeypatch):
     assert sorted((r["k"], r["f"], r["first"], r["length"]) for r in found.collect()) == [(k, f, a, 5) for k in range(3) for f in range(2) for a in (0, 10)]
 
 
+def test_pairs_are_shuffled_once(spark, monkeypatch):
+    monkeypatch.setattr(sets, "PART_ROWS", 10)
+    rows = spark.range(40).selectExpr("concat('q', id div 2) as q", "id as line", "cast(id as int) as pos", "cast(if(id % 2 = 0, id + 1, id - 1) as int) as mate", "cast(if(id % 2 = 0, 64, 128) as int) as flag")
+    found = sets.pair_records(rows, ["q"], "line", "pos", "mate", "flag")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2  # one for each side of the join
+    assert sorted((r["left"]["line"], r["right"]["line"]) for r in found.collect()) == [(i + 1, i) for i in range(0, 40, 2)]
+
+
+def test_alignment_text_needs_no_shuffle(spark):
+    from locuspark.plans import engine
+
+    events = spark.createDataFrame([(22, 3, "x"), (5, 11, "y"), (33, None, "y")], "event_id bigint, user_id bigint, event_type string")
+    text = engine.alignment_text(events)
+    assert "Exchange" not in text._jdf.queryExecution().toString()
+    got = {(r["sample"], r["line"]): r["value"].split("\t") for r in text.collect()}
+    assert len(got) == 6 and got["x", 45][9][2] == "G"  # event 22 has its new base at place 22
+    for f in got.values():
+        shown = re.sub(r"\d+", lambda m: "." * int(m[0]), f[13][5:])
+        assert len(shown) == engine.HALF and [c != "A" for c in f[9]] == [c == "A" for c in shown]
+
+
 def test_greedy_match(spark):
     t = spark.createDataFrame([("s", "G*00101"), ("s", "G*002"), ("s", "G*00301")], "sample string, allele string")
     c = spark.createDataFrame([("s", "G*0010105"), ("s", "G*00205"), ("s", "G*004")], "sample string, allele string")
