@@ -317,6 +317,43 @@ def test_greedy_match(spark):
     assert got == [("FN", "G*00301", ""), ("FP", "", "G*004"), ("TP", "G*00101", "G*0010105"), ("TP", "G*002", "G*00205")]
 
 
+def plain_greedy(truths, calls, n):
+    """One truth after the other, pass by pass, over (gene, allele) of a sample."""
+    order = lambda x: (x[0], re.search(r"\*(\d*)|$", x[1])[1] or "", x[1])
+    truths, calls, used_t, used_c, out = sorted(truths, key=order), sorted(calls, key=order), set(), set(), []
+    for k in range(4):
+        for i, (gene, t) in enumerate(truths):
+            for j, (other, c) in enumerate(calls):
+                a, b = order((gene, t))[1], order((other, c))[1]
+                fit = [len(a) >= n and len(b) >= n and a[:n] == b[:n], 0 < len(a) < n <= len(b) and b.startswith(a), 0 < len(b) < n <= len(a) and a.startswith(b), len(a) < n and len(b) < n and a == b][k]
+                if gene == other and fit and i not in used_t and j not in used_c:
+                    used_t.add(i), used_c.add(j), out.append((gene, t, c, "TP"))
+    return out + [(*t, None, "FN") for i, t in enumerate(truths) if i not in used_t] + [(g, None, c, "FP") for j, (g, c) in enumerate(calls) if j not in used_c]
+
+
+@pytest.mark.parametrize("n", [3, 5, 7])
+def test_greedy_match_in_order(spark, n):
+    r = random.Random(n)
+    name = lambda: (g := r.choice("GH"), f"{g}*{''.join(r.choice('12') for _ in range(r.randrange(9)))}{r.choice(['', '', 'N', '#'])}")
+    samples = {f"s{i}": ([name() for _ in range(r.randrange(25))], [name() for _ in range(r.randrange(25))]) for i in range(30)}
+    t, c = (spark.createDataFrame([(s, a) for s, both in samples.items() for _, a in both[k]] + [(None, "G*001"), ("x", None)], "sample string, allele string") for k in (0, 1))
+    text = lambda rows: sorted(tuple(map(str, x)) for x in rows)
+    got = evaluate.greedy_match(t, c, n).select("sample", "gene", "truth", "called", "match").collect()
+    want = [(s, *x) for s, both in samples.items() for x in plain_greedy(*both, n)]
+    nothing = [(None, "G", "G*001", None, "FN"), (None, "G", None, "G*001", "FP"), ("x", None, None, None, "FN"), ("x", None, None, None, "FP")]
+    assert text(got) == text(want + nothing)
+
+
+def test_greedy_match_takes_no_rounds(spark):
+    """Equal names used to take a round of jobs for each pair, over all pairs of them."""
+    t = spark.createDataFrame([("s", "G*001")] * 30, "sample string, allele string")
+    spark.sparkContext.setJobGroup("greedy", "")
+    got = evaluate.greedy_match(t, t, 5).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("greedy")
+    spark.sparkContext.setJobGroup("others", "")
+    assert [r["match"] for r in got] == ["TP"] * 30 and 0 < len(jobs) < 15
+
+
 def test_alignment(spark):
     msa = spark.createDataFrame([("G", "G*001", "ACGTA-CC"), ("G", "G*002", "ATGTA-CC"), ("G", "G*003", "A--TAGCC"), ("G", "G*BACKBONE", "ACGTA-CC")], "gene string, allele string, seq string")
     found = {(r["allele"], r["typ"], r["pos"], r["val"], r["del_len"]) for r in alignment.variants_of(msa).collect()}
